@@ -20,9 +20,11 @@ then renamed, so a task that runs twice leaves one whole file.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,52 +129,81 @@ class Reader:
         return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n + 1, 8 * n).astype(np.int64)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes as: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """Ids of whole texts, with the ids of pieces that come again kept.
 
-    The byte-level pre-tokenizer never joins what stands before a single space to
-    what follows it, so a text is cut there, and equal pieces have equal ids. Texts
-    with a run of white space around a space, or with a special token, go to the
-    library whole. A piece that is new is cut by the pre-tokenizer's own pattern.
+    A byte-level pre-tokenizer never joins what stands before a single space to
+    what follows it, so a text is cut there, and equal pieces have equal ids. A piece that
+    is new is cut by the pre-tokenizer's own pattern, and new words go to the library's
+    model. Texts with a run of white space after a space, or with a special token, go to the
+    library whole. Kept are the pieces of this and of the last generation of at most ``most``.
     """
 
-    RUNS = re.compile(r"[^\S ] \s|\s [^\S ]|  ")
+    RUN = re.compile(r" \s")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.cut = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.most = most
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word) or self.old_words.get(word)
+        if ids is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in tokens]).tobytes()
+        self.words[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.old_pieces.get(piece)
+        if ids is None:
+            bare = piece[1:] if piece[0] == " " else piece
+            if bare.isalpha():
+                ids = self.word(piece)
+            elif bare[-1:] in (".", ",") and bare[:-1].isalpha():
+                ids = self.word(piece[:-1]) + self.word(bare[-1])
+            else:
+                ids = b"".join(map(self.word, self.cut(piece)))
+        self.pieces[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
+        out = []
         for text in texts:
-            if self.RUNS.search(text) or any(s in text for s in self.special):
-                cut.append(None)
+            if self.RUN.search(text) or any(s in text for s in self.special):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
                 continue
             head, *rest = text.split(" ")
-            cut.append([head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest)))
-        if len(self.pieces) > self.most:
-            self.pieces = {}
-        if len(self.known) > self.most:
-            self.known = {}
-        new = {p for pieces in cut if pieces for p in pieces if p not in self.pieces}
-        words = {p: self.words(p) for p in new}
-        fresh = list({w for own in words.values() for w in own if w not in self.known})
-        self.known.update(zip(fresh, self._library(fresh), strict=True))
-        self.pieces.update((p, b"".join(map(self.known.__getitem__, own))) for p, own in words.items())
-        get = self.pieces.__getitem__
-        whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+            own = [head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest))
+            try:
+                out.append(b"".join(map(self.pieces.__getitem__, own)))
+            except KeyError:
+                get, new = self.pieces.get, self.piece
+                out.append(b"".join([get(p) or new(p) for p in own]))
+            if len(self.pieces) > self.most:
+                self.pieces, self.old_pieces = {}, self.pieces
+            if len(self.words) > self.most:
+                self.words, self.old_words = {}, self.words
+        return out
 
 
 _encoders: dict[str, PieceEncoder] = {}
