@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("symbol").orderBy("date")
 MA_LENGTHS = (5, 10, 20, 30, 60, 120, 250)
 
 
+def by_date() -> WindowSpec:
+    """Rows of an instrument in date order."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -21,54 +25,54 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
-def last_rows(n: int, w: WindowSpec = BY_DATE) -> WindowSpec:
-    return w.rowsBetween(-(n - 1), 0)
+def last_rows(n: int, w: WindowSpec | None = None) -> WindowSpec:
+    return (w or by_date()).rowsBetween(-(n - 1), 0)
 
 
-def sma(col: str | Column, n: int, w: WindowSpec = BY_DATE) -> Column:
+def sma(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     """Moving average over up to n rows (partial at the start)."""
     return F.avg(_col(col)).over(last_rows(n, w))
 
 
-def sma_full(col: str | Column, n: int, w: WindowSpec = BY_DATE) -> Column:
+def sma_full(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     """Moving average that is null until there are n values."""
     f = last_rows(n, w)
     return F.when(F.count(_col(col)).over(f) == n, F.avg(_col(col)).over(f))
 
 
-def vol_ma(n: int, w: WindowSpec = BY_DATE) -> Column:
+def vol_ma(n: int, w: WindowSpec | None = None) -> Column:
     return sma("volume", n, w)
 
 
-def vol_ratio(n: int, w: WindowSpec = BY_DATE) -> Column:
+def vol_ratio(n: int, w: WindowSpec | None = None) -> Column:
     """Volume over its average; 1 where the average is not above 0."""
     mean = vol_ma(n, w)
     return F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0))
 
 
-def pct_return(col: str | Column = "close_adj", w: WindowSpec = BY_DATE) -> Column:
+def pct_return(col: str | Column = "close_adj", w: WindowSpec | None = None) -> Column:
     """Return on the row before, in percent."""
-    before = F.lag(_col(col)).over(w)
+    before = F.lag(_col(col)).over(w or by_date())
     return ratio(_col(col) - before, before) * 100
 
 
-def rolling_std(col: str | Column, n: int = 20, annualize: int | None = None, w: WindowSpec = BY_DATE) -> Column:
+def rolling_std(col: str | Column, n: int = 20, annualize: int | None = None, w: WindowSpec | None = None) -> Column:
     """Sample deviation over up to n rows, times the root of ``annualize`` if given."""
     out = F.stddev_samp(_col(col)).over(last_rows(n, w))
     return out * F.sqrt(F.lit(float(annualize))) if annualize else out
 
 
-def rolling_max(col: str | Column, n: int, w: WindowSpec = BY_DATE) -> Column:
+def rolling_max(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     return F.max(_col(col)).over(last_rows(n, w))
 
 
-def rolling_min(col: str | Column, n: int, w: WindowSpec = BY_DATE) -> Column:
+def rolling_min(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     return F.min(_col(col)).over(last_rows(n, w))
 
 
-def slope_pct(ma: str | Column, k: int = 5, w: WindowSpec = BY_DATE) -> Column:
+def slope_pct(ma: str | Column, k: int = 5, w: WindowSpec | None = None) -> Column:
     """Change of a moving average over k rows in percent; 0 where there is no row k before."""
-    before = F.coalesce(F.lag(_col(ma), k).over(w), _col(ma))
+    before = F.coalesce(F.lag(_col(ma), k).over(w or by_date()), _col(ma))
     return ratio(_col(ma) - before, before) * 100
 
 
@@ -76,17 +80,17 @@ def deviation_pct(col: str | Column, ma: str | Column) -> Column:
     return ratio(_col(col) - _col(ma), _col(ma)) * 100
 
 
-def forward_return(k: int = 5, col: str | Column = "close_adj", w: WindowSpec = BY_DATE) -> Column:
+def forward_return(k: int = 5, col: str | Column = "close_adj", w: WindowSpec | None = None) -> Column:
     """Return in percent from this row to the k-th after it; null near the end."""
-    return ratio(F.lead(_col(col), k).over(w) - _col(col), _col(col)) * 100
+    return ratio(F.lead(_col(col), k).over(w or by_date()) - _col(col), _col(col)) * 100
 
 
-def trailing_max(col: str | Column, lo: int = 14, hi: int = 1, w: WindowSpec = BY_DATE) -> Column:
+def trailing_max(col: str | Column, lo: int = 14, hi: int = 1, w: WindowSpec | None = None) -> Column:
     """Highest value of the rows lo to hi before this one."""
-    return F.max(_col(col)).over(w.rowsBetween(-lo, -hi))
+    return F.max(_col(col)).over((w or by_date()).rowsBetween(-lo, -hi))
 
 
-def dist_from_high(n: int = 250, col: str | Column = "close_adj", w: WindowSpec = BY_DATE) -> Column:
+def dist_from_high(n: int = 250, col: str | Column = "close_adj", w: WindowSpec | None = None) -> Column:
     high = rolling_max(col, n, w)
     return ratio(high - _col(col), high) * 100
 
