@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import indicators_market, screens_profile, sources_universe
+from . import events_seats, indicators_market, screens_profile, sources_universe
 from .fixtures import Views
 
-_PARTS = (sources_universe, indicators_market, screens_profile)
+_PARTS = (sources_universe, indicators_market, screens_profile, events_seats)
 
 
 def _bound(build: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
