@@ -96,7 +96,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+def _secrets_sql() -> str:
+    """Base spans from the pieces between matches, entropies of all windows by counting."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [("assign", secrets.ASSIGN, f"length(regexp_extract(f, {quoted(secrets.ASSIGN)}, 2)) >= 8"), ("access", secrets.ACCESS, "true"), ("hex", secrets.HEX, "true"), ("dense", secrets.CANDIDATE, "true")]
+    parts = " union all ".join(
+        f"""select doc_id, {n} as nth, '{kind}' as kind, f, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::bigint as a
+        from (select doc_id, pieces, found, unnest(found) as f, generate_subscripts(found, 1) as i from
+            (select doc_id, string_split_regex(t, {quoted(p)}) as pieces, regexp_extract_all(t, {quoted(p)}, 0) as found from d)) where {keep}"""
+        for n, (kind, p, keep) in enumerate(kinds)
+    )
+    bits = "case " + " ".join(f"when regexp_matches(f, {quoted(p)}) then {least}" if p else f"else {least}" for _, p, least in secrets.CLASSES) + " end"
+    allowed = " or ".join(f"regexp_matches(f, {quoted(p)})" for p in secrets.ALLOWED)
+    w = secrets.WINDOW
+    return f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents), s as (select doc_id, nth, kind, f, a, a + length(f) as b from ({parts})),
+        base as (select * from s where kind <> 'dense'), c as (select * from s where kind = 'dense' and regexp_matches(f, '[0-9]') and regexp_matches(f, '[A-Za-z]') and not ({allowed})),
+        win as (select doc_id, a, b, f, unnest(range(1, length(f) - {w - 2})) as i from c), ch as (select doc_id, a, b, f, i, unnest(string_split(substr(f, i, {w}), '')) as k from win),
+        cnt as (select doc_id, a, b, f, i, k, count(*) as n from ch group by all), ent as (select doc_id, a, b, f, i, -sum(n / {w}.0::double * log2(n / {w}.0::double)) as h from cnt group by all),
+        best as (select doc_id, a, b, f, max(h) as h from ent group by all),
+        every as (select doc_id, nth, kind, a, b from base union all select doc_id, 3, 'entropy', a, b from best where h >= {bits} - 1e-9 and not exists (select 1 from base where base.doc_id = best.doc_id and base.a < best.b and best.a < base.b)),
+        g as (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+            string_agg(kind || ':' || a || ':' || b, ',' order by a, nth) filter (where nth < 3) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, nth) as spans from every group by 1)
+        select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g on g.doc_id = d.doc_id
+    """
+
+
+def _overlaps_sql() -> str:
+    before, width, span = decontaminate.BEFORE, decontaminate.BEFORE + decontaminate.WINDOW, decontaminate.SPAN
+
+    def placed(name: str, key: str, source: str) -> str:
+        shifted = ", ".join(f"{'lag' if k < before else 'lead'}(x, {abs(k - before)}) over o as w{k}" for k in range(width))
+        return f"""{name}w as (select {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from {source}),
+            {name}x as (select {key}, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) - 1 as p from {name}w),
+            {name} as (select {key}, n, p, {shifted} from {name}x window o as (partition by {key} order by p))"""
+
+    def joined(mask: tuple[int, ...]) -> str:
+        on = " and ".join(f"d.w{before + k} = b.w{before + k}" for k in mask)
+        same = ", ".join(f"coalesce((d.w{k} = b.w{k})::int, 0)" for k in range(width))
+        return f"select d.doc_id, b.item_id, b.n, d.p as place, b.p as item_place, [{same}] as same from d join b on {on}"
+
+    best = "greatest(" + ", ".join(f"list_sum(same[{k + 1}:{k + decontaminate.WINDOW}])" for k in range(before + 1)) + ")"
+    wanted = f"least({decontaminate.WINDOW}, n)"
+    return f"""
+        with {placed("d", "doc_id", "documents")}, {placed("b", "item_id", "benchmark")}, h as ({" union all ".join(map(joined, decontaminate.MASKS))}),
+        k as (select * from h where {best} >= {wanted} - floor({wanted} * {decontaminate.SPARE} / {decontaminate.WINDOW}::double))
+        select doc_id, item_id, count(*) as windows, min(place) as first_word, max(place) as last_word, count(distinct item_place)::double / greatest(any_value(n) - {span} + 1, 1) as covered, any_value(n) as item_words
+        from k group by 1, 2
+    """
+
+
 ORACLE = {
+    "op6_secrets": _secrets_sql(),
+    "op9_decontamination": _overlaps_sql(),
     "op3_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
         g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
