@@ -128,7 +128,7 @@ def volume_profile(index_bars: DataFrame, days: int = 120, buckets: int = 10) ->
     """bucket, min_close, max_close, amount and days of equal-width buckets of the last closes of one index; empty ones are absent."""
     last = index_bars.orderBy(F.desc("date")).limit(days)
     span = F.broadcast(last.agg(F.min("close").alias("_lo"), F.max("close").alias("_hi")))
-    bucket = F.coalesce(F.least(F.width_bucket("close", "_lo", "_hi", F.lit(buckets)), F.lit(buckets)), F.lit(1))
+    bucket = F.least(F.coalesce(F.width_bucket("close", "_lo", "_hi", F.lit(buckets)), F.lit(1)), F.lit(buckets))
     return last.crossJoin(span).groupBy(bucket.cast("int").alias("bucket")).agg(F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("days"))
 
 
