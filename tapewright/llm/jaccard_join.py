@@ -1,10 +1,11 @@
 """Near-duplicate join on word shingles by count-vector R-trees.
 
-A document's shingles are hashed into GROUPS groups; the counts of its groups are a
-point. The summed minima of two points bound the overlap of their sets from above, and the
-same sum against the upper corner of a tree node bounds it for all points below. An
-R-tree over such points finds the candidates of a document, and survivors are
-verified on their whole shingle sets.
+A document's shingles are hashed into groups, about as many as it has shingles (a power of
+two); the counts of its groups are a point. The summed minima of two points bound the overlap
+of their sets from above; points of different lengths are compared after the finer one's
+neighbouring groups are added up. An R-tree over points of GROUPS groups, with the largest
+counts below as a node's upper corner, finds the candidates of a document, the full points
+turn most of them away, and survivors are verified on their whole shingle sets.
 
 One tree over a corpus would be searched by every document, and the counts of unrelated
 texts of one length overlap too much for its upper levels to turn anybody away. So
@@ -13,12 +14,12 @@ first n - ceil(3n/4) + 1 shingles in any fixed order, so each set goes to the ce
 those shingles; the order puts shingles that many documents share last, which keeps
 common passages from making large cells. The order decides speed only.
 
-Equal sets are one node from the start. Within a cell, each node first meets one hub
-that all cells choose alike; nodes that link with it are one component, and pairs within a
-component need no second look. Two rounds of hubs leave few cells with more than one
-component; these get a tree each, cells beyond BLOCK nodes in blocks of tiles, and all
-pairs of different components that pass the bound are verified. So no link is lost,
-and a group of thousands of copies costs a few comparisons a copy.
+Equal sets are one node from the start. In a cell of up to SMALL nodes all pairs that pass the
+bound are verified. In a larger one every node first meets HUBS nodes of the cell; nodes that
+link through them are one component, and pairs within a component need no second look. Then the
+nodes outside a large cell's largest component search a tree over all of its nodes, cells beyond
+BLOCK nodes in blocks of two tiles. So no link is lost, and a group of thousands of copies costs
+a few comparisons a copy.
 """
 
 from __future__ import annotations
@@ -28,20 +29,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, scratch, small_batches, stored
+from ._common import partitions, remove, scratch, small_batches, stored
 
 WORDS = 5
-GROUPS = 64
-BLOCK = 4096
+GROUP_BITS, MOST_GROUP_BITS = 6, 16
+GROUPS = 1 << GROUP_BITS
+SMALL, HUBS, BLOCK = 64, 8, 4096
 LEAF, FAN = 32, 16
 PREFIX_ENTRIES = 1_000_000
 FLUSH_ENTRIES = 1_000_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
+
+_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+SEGMENT = 1 << 21
+_powers: dict[str, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -51,31 +57,50 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers["up"]) < n:
+        size = max(1 << 17, 1 << (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+                _powers[name] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def _window_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the bytes of each run of ``width`` words with one space between, by differences of prefix sums."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    up, down = _powers_of(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1])])
+        spaces = np.flatnonzero(data == 32)
+        starts = np.concatenate([[0], spaces + 1])[: len(words) - width + 1]
+        ends = np.concatenate([spaces, [len(data)]])[width - 1 :]
+        return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles; none without words."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    known = _words
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(WORDS, len(words))
-    with np.errstate(over="ignore"):
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for k in range(width):
-            out = out * _ODD + h[k : len(h) - width + 1 + k]
-    return np.unique(mixed(out))
+    if len(text) <= SEGMENT:
+        out = _window_hashes(words, width)
+    else:  # very long texts go in parts that overlap by four words; a part is bounded in bytes by its words' lengths
+        step = max(1, SEGMENT // max(map(len, words)))
+        out = np.concatenate([_window_hashes(words[k : k + step + width - 1], width) for k in range(0, len(words) - width + 1, step)])
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sorted sets is 0.75 or more."""
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    merged = np.concatenate([a, b])
+    merged.sort()
+    both = int((merged[1:] == merged[:-1]).sum())
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
@@ -84,8 +109,50 @@ def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-(3 * (n + m)) // 7)
 
 
-def point(shingle_set: np.ndarray) -> np.ndarray:
-    return np.bincount((shingle_set >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point(shingle_set: np.ndarray) -> bytes:
+    """The counts of a set's groups: a byte with log2 of the groups (128 added for two-byte counts), then the packed counts."""
+    bits = min(max(GROUP_BITS, int(len(shingle_set)).bit_length()), MOST_GROUP_BITS)
+    counts = np.bincount((shingle_set >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    wide = counts.max() > 255
+    if counts.max() > 65535:
+        raise ValueError("a text of over 65535 shingles in one group")  # over a billion words
+    return bytes([bits | 128 * wide]) + zstandard.ZstdCompressor(1).compress(counts.astype("<u2" if wide else np.uint8).tobytes())
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), "<u2" if packed[0] & 128 else np.uint8)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups: neighbours share their leading hash bits, so they add up."""
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1, dtype=np.int64)
+
+
+class Points:
+    """The full points of a group of sets, stacked by length, so that one meets many at once."""
+
+    def __init__(self, full: list[np.ndarray], sizes: np.ndarray):
+        self.full, self.sizes = full, sizes
+        self.length = np.array([len(x) for x in full])
+        self.row = np.zeros(len(full), np.int64)
+        self.stacks = {}
+        for n in np.unique(self.length):
+            at = np.flatnonzero(self.length == n)
+            self.row[at] = np.arange(len(at))
+            self.stacks[int(n)] = np.stack([full[k] for k in at])
+
+    def may_link(self, q: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that leave room for a link with ``q``."""
+        fits = np.zeros(len(others), bool)
+        for n, stack in self.stacks.items():
+            at = np.flatnonzero(self.length[others] == n)
+            if len(at):
+                groups = min(n, len(self.full[q]))
+                theirs = stack[self.row[others[at]]].astype(np.int32).reshape(len(at), groups, -1).sum(2)
+                both = np.minimum(theirs, folded(self.full[q], groups)).sum(1)
+                fits[at] = both >= least_overlap(self.sizes[others[at]], self.sizes[q])
+        m = self.sizes[others]
+        return others[fits & (4 * np.minimum(m, self.sizes[q]) >= 3 * np.maximum(m, self.sizes[q]))]
 
 
 class CountTree:
@@ -160,8 +227,10 @@ def _sign(batches) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def common():
-        values, times = np.unique(np.concatenate(held), return_counts=True)
-        values, times = values[times >= 3], times[times >= 3]
+        flat = np.sort(np.concatenate(held))
+        start = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1]) if len(flat) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([start, [len(flat)]]))
+        values, times = flat[start[times >= 3]], times[times >= 3]
         none = pa.nulls(len(values))
         return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], schema=_SIGNATURE)
 
@@ -169,7 +238,7 @@ def _sign(batches) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             own = shingles(text)
-            rows.append((len(own), node_of(own), point(own).tobytes()))
+            rows.append((len(own), node_of(own), point(own)))
             held.append(own)
             size += len(own)
             if size > 2 * FLUSH_ENTRIES:
@@ -195,7 +264,7 @@ def in_order(shingle_set: np.ndarray, common: np.ndarray, rank: np.ndarray) -> n
     return np.concatenate([shingle_set[~is_common], last[np.argsort(rank[at[is_common]], kind="stable")]])
 
 
-_CELL_PART = "bucket int, nodes binary, counts binary, shingles binary"
+_CELL_PART = "bucket int, nodes binary, sizes binary, counts binary, shingles binary"
 
 
 def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
@@ -203,6 +272,7 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
 
     def run(batches):
         nodes: list[int] = []
+        sizes: list[int] = []
         prefixes: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
@@ -213,16 +283,17 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # within a bucket by node
             flat, of, bucket = flat[order], of[order], bucket[order]
-            keys = np.array(nodes, np.int64)
+            keys, own_sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
             starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 first = np.concatenate([[0], np.flatnonzero(np.diff(of[a:b])) + 1])
                 out[0].append(int(bucket[a]))
                 out[1].append(keys[of[a:b][first]].tobytes())
-                out[2].append(np.diff(np.concatenate([first, [b - a]])).astype(np.uint32).tobytes())
-                out[3].append(flat[a:b].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "nodes", "counts", "shingles"])
+                out[2].append(own_sizes[of[a:b][first]].tobytes())
+                out[3].append(np.diff(np.concatenate([first, [b - a]])).astype(np.uint32).tobytes())
+                out[4].append(flat[a:b].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "nodes", "sizes", "counts", "shingles"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -234,11 +305,12 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
                 seen.add(node)
                 prefix = in_order(own, common, rank)[: n - (3 * n + 3) // 4 + 1]
                 nodes.append(node)
+                sizes.append(n)
                 prefixes.append(prefix)
                 size += len(prefix)
                 if size > FLUSH_ENTRIES:
                     yield flush()
-                    nodes, prefixes, size = [], [], 0
+                    nodes, sizes, prefixes, size = [], [], [], 0
                     seen.clear()
         if nodes:
             yield flush()
@@ -246,66 +318,73 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
     return run
 
 
-CELL = "cell long, node long, hub long, hub2 long"
+CELL = "cell long, node long"
 
 
 def _gather(batches) -> Iterator[pa.RecordBatch]:
-    """The cells of a bucket that hold two nodes or more; cells with the same nodes are one."""
-    nodes, shared = [], []
+    """The cells (cell, node) of a bucket that hold two nodes or more; the node that names a cell goes without saying.
+
+    A cell ends where the next larger set is too large for a link, so sizes far apart never meet. It is
+    named after its node with the smallest hash, and cells of one name are one: copies
+    share many shingles, but meet once.
+    """
+    nodes, sizes, shared = [], [], []
     for batch in batches:
-        for _, keys, counts, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes.append(np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.uint32)))
+        for _, keys, own_sizes, counts, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            times = np.frombuffer(counts, np.uint32)
+            nodes.append(np.repeat(np.frombuffer(keys, np.int64), times))
+            sizes.append(np.repeat(np.frombuffer(own_sizes, np.int64), times))
             shared.append(np.frombuffer(flat, np.uint64))
     if not nodes:
         return
-    node, shingle = np.concatenate(nodes), np.concatenate(shared)
-    order = np.lexsort((node, shingle))
-    node, shingle = node[order], shingle[order]
-    again = np.concatenate([[False], (node[1:] == node[:-1]) & (shingle[1:] == shingle[:-1])])
-    node, shingle = node[~again], shingle[~again]
-    start = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1])
-    length = np.diff(np.concatenate([start, [len(shingle)]]))
-    many = np.repeat(length > 1, length)
-    node, shingle = node[many], shingle[many]
+    node, n, shingle = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(shared)
+    order = np.lexsort((node, n, shingle))
+    node, n, shingle = node[order], n[order], shingle[order]
+    fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1])])
+    node, n, shingle = node[fresh], n[fresh], shingle[fresh]
+    first = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (3 * n[1:] > 4 * n[:-1])])
+    start = np.flatnonzero(first)
+    length = np.diff(np.concatenate([start, [len(node)]]))
+    node = node[np.repeat(length > 1, length)]
+    length = length[length > 1]
     if not len(node):
         return
-    start = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1])
-    length = np.diff(np.concatenate([start, [len(shingle)]]))
-    with np.errstate(over="ignore"):
-        name = mixed(np.add.reduceat(mixed(node.view(np.uint64)), start) * _ODD + length.astype(np.uint64))
-    _, once = np.unique(name, return_index=True)
-    columns = [[], [], [], []]
-    for k in once:
-        a, b = start[k], start[k] + length[k]
-        own = node[a:b]
-        columns[0].append(np.full(b - a, name[k].view(np.int64)))
-        columns[1].append(own)
-        for column, salt in ((2, 1), (3, 2)):
-            with np.errstate(over="ignore"):
-                columns[column].append(np.full(b - a, own[mixed(own.view(np.uint64) + np.uint64(salt) * _ODD).argmin()]))
-    for low in range(0, len(columns[0]), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c[low : low + 20_000])) for c in columns], names=["cell", "node", "hub", "hub2"])
+    start = np.cumsum(length) - length
+    of = np.repeat(np.arange(len(start)), length)
+    named = node[np.lexsort((mixed(node.view(np.uint64)), of))[start]]  # each cell's node with the smallest hash
+    cell = named[of]
+    cell, node = cell[cell != node], node[cell != node]
+    order = np.lexsort((node, cell))
+    cell, node = cell[order], node[order]
+    fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])
+    cell, node = cell[fresh], node[fresh]
+    for low in range(0, len(cell), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in (cell, node)], names=["cell", "node"])
+
+
+def _with_hubs(met: DataFrame) -> DataFrame:
+    """cell, node, rows and is_hub of the met nodes and of the node that names the cell: the cell's size, and whether the node is one of its hubs.
+
+    One shuffle by cell serves the distinct, the count and the rank.
+    """
+    own = met.repartition("cell").dropDuplicates(["cell", "node"])
+    of_cell = Window.partitionBy("cell")
+    counted = own.withColumns({"rows": F.count(F.lit(1)).over(of_cell) + 1, "_nth": F.row_number().over(of_cell.orderBy(F.xxhash64("node"), "node"))})
+    one = F.struct("node", ((F.col("_nth") < HUBS) & (F.col("rows") > SMALL)).alias("is_hub"))
+    name = F.struct(F.col("cell").alias("node"), (F.col("rows") > SMALL).alias("is_hub"))
+    return counted.select("cell", "rows", F.explode(F.when(F.col("_nth") == 1, F.array(one, name)).otherwise(F.array(one))).alias("_x")).select("cell", "_x.node", "rows", "_x.is_hub")
 
 
 # -------------------------------------------------------------- verification
 
 
-def _bounded(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs (hub, node, two points) whose summed minima leave room for a link."""
-    for batch in batches:
-        a = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, GROUPS)
-        b = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32).reshape(-1, GROUPS)
-        n, m = a.sum(1), b.sum(1)
-        fits = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.minimum(a, b).sum(1) >= least_overlap(n, m))
-        yield batch.select(["hub", "node"]).filter(pa.array(fits))
-
-
 def _compare(batches) -> Iterator[pa.RecordBatch]:
     """Rows (hub, part, node, text) with a hub's own text before the others: the linked pairs."""
     hub, own = None, None
     for batch in batches:
         out: tuple[list, list] = ([], [])
-        for key, part, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [*batch.columns[:3], batch.column(3).cast(pa.binary())]
+        for key, part, node, text in zip(*(c.to_pylist() for c in columns), strict=True):
             if node is None:
                 hub, own = (key, part), shingles(text)
             elif (key, part) == hub and linked(own, shingles(text)):
@@ -314,15 +393,9 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["hub", "node"])
 
 
-def _verify(pairs: DataFrame, points: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     """The linked pairs among ``pairs`` (hub, node). A hub's text goes once to each part of its partners."""
-    small = points.select(F.col("node").alias("_p"), F.col("counts").alias("_c"))
-    with_points = (
-        pairs.join(small, F.col("node") == F.col("_p")).select("hub", "node", F.col("_c").alias("b"))
-        .join(small, F.col("hub") == F.col("_p")).select("hub", "node", F.col("_c").alias("a"), "b")
-    )
-    left = stored(with_points.mapInArrow(_bounded, "hub long, node long"), f"{path}/bounded")
-    left = left.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int"))
+    left = pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int"))
     hubs = left.select("hub", "part").distinct()
     text = texts.select(F.col("node").alias("_t"), "text")
     rows = left.join(text, F.col("node") == F.col("_t")).select("hub", "part", "node", "text").unionByName(
@@ -354,67 +427,101 @@ def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most} steps")
 
 
-def _labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return cells.withColumn("comp", F.col("node"))
-    own = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_comp"))
-    return cells.join(own, F.col("node") == F.col("_n"), "left").select(*cells.columns, F.coalesce("_comp", "node").alias("comp"))
+def _groups(batches) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first three columns, as the key and the rest."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if held:
+                    yield key, held
+                key, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield key, held
 
 
-def _open(cells: DataFrame) -> DataFrame:
-    """The rows of cells that hold more than one component, with the cell's rows counted."""
-    counted = cells.groupBy("cell").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("rows")).where("_low != _high").select(F.col("cell").alias("_cell"), "rows")
-    return cells.join(counted, F.col("cell") == F.col("_cell")).drop("_cell")
+def _pair_batches(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[int, int]] = []
+    for pair in found:
+        out.append(pair if pair[0] < pair[1] else pair[::-1])
+        if len(out) == 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "node"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "node"])
 
 
-def _search(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, tile_a, tile_b, side, node, comp, counts) by block: pairs of different components that a tree lets through."""
-    held: list[tuple] = []
-    key = None
+def _first_search(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, tile, rows, node, is_hub, counts) by cell and tile: of small cells all pairs that pass the bound, of others those with a hub."""
 
-    def pairs():
-        block = key
-        nodes = np.array([r[0] for r in held], np.int64)
-        comps = np.array([r[1] for r in held], np.int64)
-        side = np.array([r[3] for r in held])
-        points = np.frombuffer(b"".join(r[2] for r in held), np.int32).reshape(-1, GROUPS)
-        sizes = points.sum(1).astype(np.int64)
-        same = block[1] == block[2]
-        build, ask = (np.arange(len(held)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        out: tuple[list, list] = ([], [])
-        if len(build) and len(ask):
-            tree = CountTree(points[build], sizes[build])
-            for q in ask:
-                found = build[tree.search(points[q], int(sizes[q]))]
-                found = found[comps[found] != comps[q]]
-                if same:
-                    found = found[nodes[found] < nodes[q]]
-                out[0].extend(np.minimum(nodes[found], nodes[q]).tolist())
-                out[1].extend(np.maximum(nodes[found], nodes[q]).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["hub", "node"])
+    def found() -> Iterator[tuple[int, int]]:
+        for (_, _, rows), held in _groups(batches):
+            full = [counts_of(r[2]) for r in held]
+            points = np.stack([folded(x, GROUPS) for x in full]).astype(np.int32)
+            sizes = points.sum(1, dtype=np.int64)
+            whole = Points(full, sizes)
+            for q in range(len(held)) if rows <= SMALL else (k for k, r in enumerate(held) if r[1]):
+                m = sizes if rows > SMALL else sizes[:q]
+                near = (4 * np.minimum(m, sizes[q]) >= 3 * np.maximum(m, sizes[q])) & (np.minimum(points[: len(m)], points[q]).sum(1) >= least_overlap(sizes[q], m))
+                for k in whole.may_link(q, np.flatnonzero(near)) if near.any() else ():
+                    if k != q:
+                        yield held[k][0], held[q][0]
 
-    for batch in batches:
-        for cell, a, b, side, node, comp, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (cell, a, b) != key:
-                if held:
-                    yield pairs()
-                key, held = (cell, a, b), []
-            held.append((node, comp, counts, side))
-    if held:
-        yield pairs()
+    return _pair_batches(found())
+
+
+def _first_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
+    own = points.select(F.col("node").alias("_p"), "counts")
+    tiles = F.ceil(F.col("rows") / BLOCK).cast("int")
+    tile = F.when(F.col("is_hub"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), tiles.cast("long")).cast("int")))
+    dealt = cells.join(own, F.col("node") == F.col("_p")).select("cell", F.explode(tile).alias("tile"), "rows", "node", "is_hub", "counts")
+    return dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "node").mapInArrow(_first_search, "hub long, node long").distinct()
+
+
+def _tree_search(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, tile_a, tile_b, side, node, comp, counts) by block: pairs of different components that a tree lets through.
+
+    Only nodes outside the block's largest component ask; every pair of different components has one.
+    """
+
+    def found() -> Iterator[tuple[int, int]]:
+        for (_, a, b), held in _groups(batches):
+            side, nodes, comps = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            values, counts = np.unique(comps, return_counts=True)
+            ask = np.flatnonzero(comps != values[counts.argmax()])
+            full = [counts_of(r[3]) for r in held]
+            points = np.stack([folded(x, GROUPS) for x in full]).astype(np.int32)
+            sizes = points.sum(1, dtype=np.int64)
+            whole = Points(full, sizes)
+            for part in (0,) if a == b else (0, 1):
+                build = np.flatnonzero(side == part)
+                asking = ask if a == b else ask[side[ask] != part]
+                if not len(build) or not len(asking):
+                    continue
+                tree = CountTree(points[build], sizes[build])
+                for q in asking:
+                    near = build[tree.search(points[q], int(sizes[q]))]
+                    for k in whole.may_link(int(q), near[comps[near] != comps[q]]):
+                        yield int(nodes[k]), int(nodes[q])
 
+    return _pair_batches(found())
 
-def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """All pairs (hub, node) of different components in one cell that the bound lets through, each once."""
+
+def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (hub, node) of different components in one large cell that pass the bound, each once."""
+    named = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_comp"))
+    large = cells.where(F.col("rows") > SMALL).join(named, F.col("node") == F.col("_n"), "left").select("cell", "node", "rows", F.coalesce("_comp", "node").alias("comp"))
+    mixed_cells = large.groupBy("cell").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select(F.col("cell").alias("_cell"))
     own = points.select(F.col("node").alias("_p"), "counts")
     tiles = F.ceil(F.col("rows") / BLOCK).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles.cast("long")).cast("int")
-    rows = cells.join(own, F.col("node") == F.col("_p")).withColumn("tiles", tiles).withColumn("tile", tile)
+    rows = large.join(mixed_cells, F.col("cell") == F.col("_cell"), "left_semi").join(own, F.col("node") == F.col("_p")).withColumn("tiles", tiles).withColumn("tile", tile)
     # a tile meets every tile once: as the first of a block with later tiles, as the second with earlier ones
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     blocks = spread.select("cell", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "counts")
-    dealt = blocks.repartition("cell", "tile_a", "tile_b").sortWithinPartitions("cell", "tile_a", "tile_b")
-    return dealt.mapInArrow(_search, "hub long, node long").distinct()
+    dealt = blocks.repartition("cell", "tile_a", "tile_b").sortWithinPartitions("cell", "tile_a", "tile_b", "node")
+    return dealt.mapInArrow(_tree_search, "hub long, node long").distinct()
 
 
 # ---------------------------------------------------------------------- join
@@ -439,7 +546,7 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(_sign, SIGNATURE), f"{base}/signed")
     sets = signed.where("common is null").select("doc_id", "n", "node", "counts")
-    points = stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies")), f"{base}/points")
+    points = stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies")), f"{base}/tmp/points")
 
     shared = signed.where("common is not null").groupBy("common").agg(F.sum("times").alias("times")).where(F.col("times") >= frequent)
     top = shared.orderBy(F.desc("times"), "common").limit(most_common).collect()  # bounded by most_common
@@ -451,36 +558,29 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     entries = points.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = int(max(partitions(spark), -(-entries // PREFIX_ENTRIES)))
     dealt = rows.select("text").mapInArrow(_deal(common, rank, buckets), _CELL_PART).repartitionById(buckets, F.col("bucket"))
-    cells = stored(dealt.mapInArrow(_gather, CELL).dropDuplicates(["cell", "node"]), f"{base}/cells")
+    cells = stored(_with_hubs(dealt.mapInArrow(_gather, CELL)), f"{base}/tmp/cells")
 
-    involved = cells.select("node").distinct().join(points.select(F.col("node").alias("_p"), "rep"), F.col("node") == F.col("_p")).select("node", "rep")
+    pairs = stored(_first_pairs(cells, points), f"{base}/tmp/first-pairs")
+    # texts are fetched once: of the nodes of these pairs, and of large cells, whose nodes may meet again
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).unionByName(cells.where(F.col("rows") > SMALL).select("node")).distinct()
+    involved = wanted.join(points.select(F.col("node").alias("_p"), "rep"), F.col("node") == F.col("_p")).select("node", "rep")
     some = rows.join(involved, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     # rows that share a doc_id may differ in text: the text must be that of the node
-    texts = stored(some.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), f"{base}/texts")
-
-    labels, edges, tried = None, None, None
-    for nth, hub in enumerate(("hub", "hub2")):
-        left = _labelled(cells, labels)
-        if labels is not None:
-            left = _open(left)
-            comp_of = labels.select(F.col("node").alias("_h"), F.col("comp").alias("_hc"))
-            left = left.join(comp_of, F.col(hub) == F.col("_h"), "left").where(F.col("comp") != F.coalesce("_hc", F.col(hub)))
-        pairs = left.where(F.col(hub) != F.col("node")).select(F.col(hub).alias("hub"), "node").distinct()
-        found = _verify(pairs, points, texts, f"{base}/round-{nth}")
-        edges = found if edges is None else stored(edges.unionByName(found), f"{base}/edges-{nth}")
-        labels = components(edges, f"{base}/components-{nth}")
-        tried = pairs
-    del tried
-    open_cells = stored(_open(_labelled(cells, labels)), f"{base}/open")
-    found = _verify(_tree_pairs(open_cells, points), points, texts, f"{base}/round-tree")
-    edges = stored(edges.unionByName(found), f"{base}/edges-tree")
-    labels = components(edges, f"{base}/components-tree")
+    texts = stored(some.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), f"{base}/tmp/texts")
+
+    edges = _verify(pairs, texts, f"{base}/tmp/first")
+    labels = components(edges, f"{base}/tmp/components-first")
+    tried = pairs.select(F.col("hub").alias("_h"), F.col("node").alias("_n"))
+    more = stored(_tree_pairs(cells, labels, points).join(tried, (F.col("hub") == F.col("_h")) & (F.col("node") == F.col("_n")), "left_anti"), f"{base}/tmp/tree-pairs")
+    edges = stored(edges.unionByName(_verify(more, texts, f"{base}/tmp/tree")), f"{base}/tmp/edges")
+    labels = components(edges, f"{base}/tmp/components")
 
     degree = edges.select(F.col("hub").alias("node")).unionByName(edges.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     own = points.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = own.groupBy("comp").agg(F.min("rep").alias("component_id")).select(F.col("comp").alias("_comp"), "component_id")
     named = own.join(lowest, F.col("comp") == F.col("_comp")).select("node", "copies", "component_id")
     named = stored(named.join(degree.select(F.col("node").alias("_d"), "links"), F.col("node") == F.col("_d"), "left").select("node", "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links")), f"{base}/named")
+    remove(spark, f"{base}/tmp")
     return _for_documents(sets, named)
 
 
