@@ -116,7 +116,7 @@ def _bypass(v: Views):
 Q["b12_regime_kept"] = (lambda v: _bypass(v)[0].select("symbol", "signal_month"), with_views("bars index_bars", _FILLS + _REGIME + " select symbol, signal_month from tr left join rg on rg.date = signal_date where coalesce(ok, true)"))
 Q["b12_regime_stats"] = (
     lambda v: _bypass(v)[1].withColumn("bypass_ratio", F.round("bypass_ratio", 6)),
-    with_views("bars index_bars", _FILLS + _REGIME + " select count(*) as signals, count(*) filter (where coalesce(ok, true)) as executed, count(*) filter (where not coalesce(ok, true)) as bypassed, round(count(*) filter (where not coalesce(ok, true)) * 100.0::double / count(*), 6) as bypass_ratio from tr left join rg on rg.date = signal_date"),
+    with_views("bars index_bars", _FILLS + _REGIME + " select count(*) as signals, count(*) filter (where coalesce(ok, true)) as executed, count(*) filter (where not coalesce(ok, true)) as bypassed, round(coalesce(count(*) filter (where not coalesce(ok, true)) * 100.0::double / nullif(count(*), 0), 0), 6) as bypass_ratio from tr left join rg on rg.date = signal_date"),
 )
 Q["b13_stop_loss"] = (
     lambda v: events.apply_stop_loss(_trades(v), v.bars, 8.0, H).select(*_KEY, "exit_date", "stopped", *r6(ret=F.col("ret"), exit_price_adj=F.col("exit_price_adj"))),
@@ -220,7 +220,7 @@ Q["b23_curve_metrics"] = (
 Q["b24_benchmark_nav"] = (lambda v: curves.benchmark_nav(v.index_bars, 100.0).select("date", *r6(nav=F.col("nav"))), with_views("index_bars", "select date, round(close / (select arg_min(close, date) from index_bars) * 100, 6) as nav from index_bars"))
 Q["b25_trade_ratios"] = (
     lambda v: curves.trade_ratios(events.net_of_costs(events.evaluate_exits(_trades(v), v.bars)), "net_pct").select("sells", *r6(win_rate=F.col("win_rate"), profit_loss_ratio=F.col("profit_loss_ratio"))),
-    with_views("bars", _EXITS + ", np as (select (exit_price * 0.999 * (1 - 0.0013) / (buy_price_adj * 1.001 * 1.0003) - 1) * 100 as p from ex) select count(*) as sells, round(count(*) filter (where p > 0) * 100.0::double / count(*), 6) as win_rate, round(avg(p) filter (where p > 0) / avg(-p) filter (where p <= 0), 6) as profit_loss_ratio from np"),
+    with_views("bars", _EXITS + ", np as (select (exit_price * 0.999 * (1 - 0.0013) / (buy_price_adj * 1.001 * 1.0003) - 1) * 100 as p from ex) select count(*) as sells, round(coalesce(count(*) filter (where p > 0) * 100.0::double / nullif(count(*), 0), 0), 6) as win_rate, case when count(*) = 0 then 0 else round(coalesce(coalesce(avg(p) filter (where p > 0), 0) / avg(-p) filter (where p <= 0), 99), 6) end as profit_loss_ratio from np"),
 )
 _SWEEP = _FLAGS + _MONTHLY.partition(",\n    ma as")[0] + """,
     ma as (select *, coalesce(sum(case when ratio >= vol_ratio then 1 else 0 end) over (partition by param_id, symbol order by month rows between 12 preceding and 1 preceding), 0)::bigint as cnt from mr, params),

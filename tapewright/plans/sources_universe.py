@@ -195,8 +195,8 @@ Q["a3_adjusted_bars"] = (
     with_views("bars_raw actions", _FACTORED + " select symbol, date, close, round(open * factor, 2) as open_adj, round(high * factor, 2) as high_adj, round(low * factor, 2) as low_adj, round(close * factor, 2) as close_adj, round(volume / factor, 0) as volume_adj from c"),
 )
 Q["a4_i12_adjust_or_passthrough"] = (
-    lambda v: adjust.adjust_or_passthrough(v.bars_raw.unionByName(v.index_bars), v.actions.unionByName(v.actions.withColumn("symbol", F.lit("sh000001")))).select("symbol", "date", F.round("factor", 9).alias("factor"), "close_adj"),
-    with_views("bars_raw actions index_bars", _FACTORED + " select symbol, date, round(factor, 9) as factor, round(close * factor, 2) as close_adj from c union all select symbol, date, 1, round(close, 2) from index_bars"),
+    lambda v: adjust.adjust_or_passthrough(v.bars_raw.unionByName(v.index_bars.withColumn("close", F.floor("close").cast("double"))), v.actions.unionByName(v.actions.withColumn("symbol", F.lit("sh000001")))).select("symbol", "date", F.round("factor", 9).alias("factor"), "close_adj"),
+    with_views("bars_raw actions index_bars", _FACTORED + " select symbol, date, round(factor, 9) as factor, round(close * factor, 2) as close_adj from c union all select symbol, date, 1, floor(close) from index_bars"),
 )
 Q["a5_adjustment_audit"] = (
     lambda v: adjust.adjustment_audit(adjust.adjusted_bars(v.bars_raw, v.actions)).withColumn("first_factor", F.round("first_factor", 9)),
