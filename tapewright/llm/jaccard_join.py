@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, remove, scratch, small_batches, stored
+from ._common import remove, scratch, small_batches, stored
 
 WORDS = 5
 GROUP_BITS, MOST_GROUP_BITS = 6, 16
@@ -556,7 +556,8 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     common, rank = common[by], rank[by]
 
     entries = points.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    buckets = int(max(partitions(spark), -(-entries // PREFIX_ENTRIES)))
+    # as few buckets as memory allows: copies that share many shingles meet once in each bucket that has some of them
+    buckets = int(max(1, -(-entries // PREFIX_ENTRIES)))
     dealt = rows.select("text").mapInArrow(_deal(common, rank, buckets), _CELL_PART).repartitionById(buckets, F.col("bucket"))
     cells = stored(_with_hubs(dealt.mapInArrow(_gather, CELL)), f"{base}/tmp/cells")
 
