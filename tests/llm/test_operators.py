@@ -328,6 +328,31 @@ def test_masks_leave_no_two_substitutions_unseen():
         assert any(all(o + k not in gone for k in m) for m in decontaminate.MASKS for o in range(7))
 
 
+@pytest.mark.parametrize("broadcast_words", [400_000, 0])
+def test_short_items_are_found(spark, monkeypatch, broadcast_words):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", broadcast_words)
+    rng = random.Random(21)
+    items = [(n, sentence(rng, n)) for n in range(1, 13)]
+    texts = []
+    for n, item in items:
+        for gone in [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            words = [f"changed{k}" if k in gone else w for k, w in enumerate(item.split())]
+            texts.append((len(texts), " ".join([*(f"a{k}" for k in range(7)), *words, *(f"b{k}" for k in range(7))])))
+        texts.append((len(texts), item))
+
+    def brute(text, item):
+        a, b = text.split(), item.split()
+        w = len(b)
+        return w >= 4 and any(sum(x == y for x, y in zip(a[p : p + w], b, strict=True)) >= w - w * 2 // 12 for p in range(len(a) - w + 1))
+
+    wanted = {(i, k) for i, t in texts for k, b in items if brute(t, b)}
+    found = decontaminate.overlaps(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == wanted and len(found) == len(wanted)
+    assert all(0 < r.covered <= 1 for r in found)
+    kept = decontaminate.clean(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in texts} - {i for i, _ in wanted}
+
+
 # ------------------------------------------------------------------ language
 
 
