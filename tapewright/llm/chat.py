@@ -42,26 +42,31 @@ def unescaped_role(role: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, nth, role, text) from a log of events.
 
-    Deltas before the last edit or regeneration of their turn no longer count. A
-    null text is empty, a null role too. nth tells turns apart that carry the same
+    Deltas before the last edit or regeneration of their turn no longer count for its text.
+    The role is that of this last event, or else the first that the turn was given since
+    it was last deleted. A null text is empty, as is the role of a turn without any. nth tells turns apart that carry the same
     number (rows that share conv_id, turn and ``part`` belong together). Turns
     whose last word is a deletion are left out. Columns beyond those named are
     ignored; an empty log gives no messages.
     """
     log = events.select(
         "conv_id", "turn", "nth", "seq", "kind",
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        "role", F.coalesce("text", F.lit("")).alias("text"),
     )
     of_turn = Window.partitionBy("conv_id", "turn", "nth")
-    cut = F.max(F.when(F.col("kind") != "delta", F.struct("seq", "kind"))).over(of_turn)
-    alive = log.withColumn("_cut", cut).where(
+    cut = F.max(F.when(F.col("kind") != "delta", F.struct("seq", "kind", "role"))).over(of_turn)
+    deleted = F.max(F.when(F.col("kind") == "delete", F.col("seq"))).over(of_turn)
+    opened = F.col("role").isNotNull() & (F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
+    first = F.min(F.when(opened, F.struct("seq", "role"))).over(of_turn)
+    role = F.coalesce(F.when(F.col("_cut.kind") != "delete", F.col("_cut.role")), first["role"], F.lit(""))
+    alive = log.withColumns({"_cut": cut, "_deleted": deleted}).withColumn("role", role).where(
         F.col("_cut").isNull()
         | ((F.col("_cut.kind") != "delete") & (F.col("seq") >= F.col("_cut.seq")))
         | ((F.col("_cut.kind") == "delete") & (F.col("seq") > F.col("_cut.seq")))
     )
     said = F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text"))))
     return alive.groupBy("conv_id", "turn", "nth").agg(
-        F.min_by("role", "seq").alias("role"),
+        F.min("role").alias("role"),  # the same in all rows of the turn
         F.array_join(F.transform(said, lambda e: e["text"]), "").alias("text"),
     )
 

@@ -251,6 +251,20 @@ def test_events_fold_into_final_messages(spark):
     assert chat.fold(events.where("conv_id = 99")).count() == 0
 
 
+def test_roles_outlive_edits_and_regenerations(spark):
+    log = [
+        (1, 0, 0, "delta", "user", "a"), (1, 0, 1, "edit", None, "b"), (1, 0, 2, "delta", None, "c"),
+        (1, 1, 0, "delta", "assistant", "a"), (1, 1, 1, "delta", None, "b"), (1, 1, 2, "regenerate", None, None), (1, 1, 3, "delta", None, "c"),
+        (1, 2, 0, "delta", "user", "a"), (1, 2, 1, "edit", "assistant", "b"), (1, 3, 0, "delta", None, "a"), (1, 3, 1, "delta", "user", "b"),
+        (1, 4, 0, "delta", "user", "a"), (1, 4, 1, "delete", None, None), (1, 4, 2, "delta", "assistant", "b"), (1, 4, 3, "edit", None, "c"), (1, 5, 0, "delta", None, "a"),
+        (1, 6, 0, "delta", "user", "a"), (1, 6, 1, "edit", None, "b"), (1, 6, 2, "delete", None, None),
+    ]
+    events = spark.createDataFrame([(c, t, 1, s, k, r, x) for c, t, s, k, r, x in reversed(log)], "conv_id long, turn long, nth int, seq long, kind string, role string, text string")
+    messages = chat.fold(events)
+    assert {(m.turn, m.role, m.text) for m in messages.collect()} == {(0, "user", "bc"), (1, "assistant", "c"), (2, "assistant", "b"), (3, "user", "ab"), (4, "assistant", "c"), (5, "", "a")}
+    assert chat.read_back(chat.render(messages)).first().learnt == "cbc"
+
+
 # ------------------------------------------------------------------- secrets
 
 
