@@ -13,6 +13,8 @@ from ..sources.shared import shared_path
 from .fixtures import Views, with_views
 
 RAW = "symbol, date, open, high, low, close, amount, volume"
+#: rows a file of names or of one block's codes, about
+FILE_ROWS = 4000
 Q: dict[str, tuple] = {}
 
 
@@ -43,6 +45,7 @@ def i5_name_files(v: Views):
     folder = shared_path(v.spark, "name-files")
     rows = v.names.withColumn("market", F.substring("symbol", 1, 2))
     encode = lambda g: fixed_width.encode_names([(s[2:], n) for s, n in zip(g["symbol"], g["name"], strict=True)])
+    rows = fixed_width.in_parts(rows, "market", "symbol", FILE_ROWS)
     fixed_width.write_files(rows, "market", encode, folder, "m.tnf").write.parquet(f"{folder}-manifest")
     return fixed_width.read_fixed_width(v.spark, f"{folder}/*.tnf", fixed_width.NAMES_LAYOUT)
 
@@ -63,7 +66,8 @@ def i6_block_files(v: Views):
         named = [(n[:8], int(own["block_type_id"].iloc[0]), sorted(own["raw_code"])) for n, own in g.groupby("block_name")]
         return fixed_width.encode_blocks(named)
 
-    rows = _raw_blocks(v, "concept").withColumn("file", F.lit("concept"))
+    rows = _raw_blocks(v, "concept").withColumn("file", F.concat(F.lit("concept-"), F.hex(F.xxhash64("block_name"))))
+    rows = fixed_width.in_parts(rows, "file", "raw_code", FILE_ROWS)
     fixed_width.write_files(rows, "file", encode, folder, ".dat").write.parquet(f"{folder}-manifest")
     return fixed_width.read_fixed_width(v.spark, f"{folder}/*.dat", fixed_width.BLOCKS_LAYOUT)
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # fixed values: record formats of the three kinds of files
 BAR_RECORD = np.dtype([("date", "<i4"), ("open", "<i4"), ("high", "<i4"), ("low", "<i4"), ("close", "<i4"), ("amount", "<f4"), ("volume", "<i4"), ("reserved", "<i4")])
@@ -95,8 +96,10 @@ def encode_names(rows: list[tuple[str, str]]) -> bytes:
 
 
 def encode_blocks(blocks: list[tuple[str, int, list[str]]]) -> bytes:
-    parts = [bytes(BLOCKS_HEADER), len(blocks).to_bytes(2, "little")]
-    for name, kind, codes in blocks:
+    """The bytes of a block file; a block of more than BLOCK_CODES codes takes several records of its name."""
+    records = [(name, kind, codes[k : k + BLOCK_CODES]) for name, kind, codes in blocks for k in range(0, max(len(codes), 1), BLOCK_CODES)]
+    parts = [bytes(BLOCKS_HEADER), len(records).to_bytes(2, "little")]
+    for name, kind, codes in records:
         row = np.zeros(1, BLOCK_RECORD)
         row["name"], row["n"], row["type"] = name.encode("gbk"), len(codes), kind
         row["codes"][0, : len(codes)] = [c.encode() for c in codes]
@@ -104,6 +107,13 @@ def encode_blocks(blocks: list[tuple[str, int, list[str]]]) -> bytes:
     return b"".join(parts)
 
 
+def in_parts(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """``rows`` with ``-`` and a part's number added to ``key``, so that a part, dealt by the hash of ``by``, has about ``most`` rows."""
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    part = F.pmod(F.xxhash64(by), F.col("_parts")).cast("string")
+    return rows.join(counts, F.col(key) == F.col("_key")).withColumn(key, F.concat_ws("-", key, part)).drop("_key", "_parts")
+
+
 def write_files(rows: DataFrame, key: str, encode: Callable[[pd.DataFrame], bytes], folder: str, suffix: str) -> DataFrame:
     """Writes one file a value of ``key`` (its rows are one group) through pyarrow's file systems; returns the key and the bytes.
 

@@ -327,3 +327,27 @@ def test_radar_screens_running_bars(spark, tmp_path):
     query = radar.start_radar(radar.running_bars(stream), history, blocks, lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp"), alert=3)
     query.awaitTermination(120)
     assert {(r.symbol, r.Close, r.Resonance_Sectors) for r in seen} == {(f"sh60000{s}", 11.0, "B(3/100.0%)") for s in range(3)}
+
+
+def test_blocks_and_names_spread_over_files(spark, monkeypatch, tmp_path):
+    from tapewright.plans import sources_universe
+    from tapewright.sources import fixed_width
+
+    codes = [f"1{k:06d}" for k in range(1001)]
+    assert [len(x) for x in (fixed_width._blocks("x", fixed_width.encode_blocks([("large", 2, codes), ("small", 3, codes[:400]), ("none", 4, [])])),)] == [1401]
+    monkeypatch.setattr(sources_universe, "FILE_ROWS", 300)
+    monkeypatch.setattr(sources_universe, "shared_path", lambda _, name: f"file://{tmp_path}/{name}")
+    blocks = [("Brand#11", 1, "concept", f"{k:06d}", "sh") for k in range(1001)] + [("Brand#12", 2, "concept", f"{k:06d}", "sz") for k in range(5)] + [("Brand#13", 3, "style", "000001", "sz")]
+    names = [(f"sh{k:06d}", f"name {k}") for k in range(700)] + [("sz000001", "one")]
+
+    class V:
+        pass
+
+    v = V()
+    v.spark = spark
+    v.blocks = spark.createDataFrame(blocks, "block_name string, block_type_id int, block_category string, code string, market string")
+    v.names = spark.createDataFrame(names, "symbol string, name string")
+    found = sorted(map(tuple, sources_universe.i6_block_files(v).collect()))
+    assert found == sorted((b, t, {"sh": "1", "sz": "0"}[m] + c) for b, t, k, c, m in blocks if k == "concept")
+    assert sorted(map(tuple, sources_universe.i5_name_files(v).collect())) == sorted(names)
+    assert len(list((tmp_path / "block-files").glob("*.dat"))) == 5 and len(list((tmp_path / "name-files").glob("*.tnf"))) == 4
