@@ -384,6 +384,37 @@ def test_languages_are_told_apart(spark, odd, none):
     assert langid.identify(odd, model).count() == len(ODD) and langid.identify(none, model).count() == 0
 
 
+def test_grams_have_hashes_of_their_own():
+    grams = ["".join(x) for x in itertools.product("abcdefghijklmnöü𝒳\x02\x03", repeat=4)]
+    assert len(np.unique(langid._hash_all(grams, 4))) == len(grams)
+
+
+def test_all_grams_are_in_the_tables(spark):
+    rng = random.Random(22)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    rows = [("aa", word("abcd")) for _ in range(400) for _ in range(3)] + [("bb", word("cdéö𝒳")) for _ in range(60)] + [("cc", "once")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    counts = langid.gram_counts(docs, 4)
+    grams = collections.defaultdict(dict)
+    for r in counts.collect():
+        grams[r.lang][r.gram] = r.n
+    wanted = langid.resolve({x: langid.kneser_ney(c, 4) for x, c in grams.items()}, 4)
+    found = langid.write_tables(counts, 4).loaded()
+    assert found.languages == wanted.languages and np.allclose(found.floor, wanted.floor)
+    for mine, theirs in ((found.grams, wanted.grams), (found.contexts, wanted.contexts)):
+        assert len(mine) == len(theirs) and all(np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1], atol=1e-5) for a, b in zip(mine, theirs, strict=True))
+
+
+def test_a_rare_language_is_learnt_beside_a_million_grams(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßαβγδεζηθικλμνξοπρστυφχψω"
+    large = spark.range(90_000).selectExpr("'aa' as lang", f"array_join(transform(sequence(1, 18), k -> substring('{letters}', 1 + cast(pmod(xxhash64(id, k), {len(letters)}) as int), 1)), '') as text")
+    large = large.unionAll(large)  # each of its n-grams occurs twice at least
+    assert langid.gram_counts(large, 4).count() > 1_000_000
+    model = langid.train(large.unionAll(spark.createDataFrame([("rare", "жук")], "lang string, text string")))
+    assert model.languages == ["aa", "rare"]
+    assert langid.identify(spark.createDataFrame([(1, "жук")], "doc_id long, text string"), model).first().lang_pred == "rare"
+
+
 def test_probabilities_sum_to_one():
     rng = random.Random(12)
     counts = collections.Counter()
