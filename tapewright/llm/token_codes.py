@@ -20,12 +20,14 @@ then renamed, so a task that runs twice leaves one whole file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -129,81 +131,82 @@ class Reader:
         return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n + 1, 8 * n).astype(np.int64)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level tokenizers write bytes as: printable ones stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether the tokenizer's own settings promise that no token spans the place before a single space.
+
+    So does a byte-level pre-tokenizer with its word pattern, if nothing rewrites texts
+    before it and no prefix space is added.
+    """
+    said = json.loads(tokenizer.to_str())
+    first = said["pre_tokenizer"] or {}
+    return (
+        said["normalizer"] is None and said["truncation"] is None and said["padding"] is None and said["model"]["type"] == "BPE"
+        and first.get("type") == "ByteLevel" and first.get("use_regex") is True and first.get("add_prefix_space") is False
+    )
 
 
 class PieceEncoder:
-    """Ids of whole texts, with the ids of pieces that come again kept.
+    """Ids of whole texts by the tokenizers library, with the ids of pieces that come again kept.
 
-    A byte-level pre-tokenizer never joins what stands before a single space to
-    what follows it, so a text is cut there, and equal pieces have equal ids. A piece that
-    is new is cut by the pre-tokenizer's own pattern, and new words go to the library's
-    model. Texts with a run of white space after a space, or with a special token, go to the
-    library whole. Kept are the pieces of this and of the last generation of at most ``most``.
+    Where the tokenizer's settings allow it (``cuts_at_spaces``) a text is cut before each
+    space, and every piece is encoded by the library once; a mark at the end of a run of
+    letters is a piece of its own. All other texts (those with a run of white
+    space after a space, with a special token, or for another kind of tokenizer) go to the library whole.
+    Kept are the pieces of this and of the last generation of at most ``most``.
     """
 
     RUN = re.compile(r" \s")
 
     def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.letters = _byte_letters()
+        self.in_pieces = cuts_at_spaces(self.tokenizer)
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.most = most
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word) or self.old_words.get(word)
-        if ids is None:
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = array("I", [t.id for t in tokens]).tobytes()
-        self.words[word] = ids
-        return ids
-
-    def piece(self, piece: str) -> bytes:
-        ids = self.old_pieces.get(piece)
-        if ids is None:
-            bare = piece[1:] if piece[0] == " " else piece
-            if bare.isalpha():
-                ids = self.word(piece)
-            elif bare[-1:] in (".", ",") and bare[:-1].isalpha():
-                ids = self.word(piece[:-1]) + self.word(bare[-1])
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces, each with a space before it; those that were learnt a generation ago are taken over."""
+        parts = {}
+        for piece in pieces:
+            ids = self.old_pieces.get(piece)
+            if ids is not None:
+                self.pieces[piece] = ids
+            elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                parts[piece] = (" " + piece[:-1], piece[-1])
             else:
-                ids = b"".join(map(self.word, self.cut(piece)))
-        self.pieces[piece] = ids
-        return ids
+                parts[piece] = (" " + piece,)
+        words = {w for own in parts.values() for w in own} - self.words.keys()
+        for word in words & self.old_words.keys():
+            self.words[word] = self.old_words[word]
+        new = sorted(words - self.old_words.keys())
+        self.words.update(zip(new, self.library(new), strict=True))
+        for piece, own in parts.items():
+            self.pieces[piece] = b"".join(map(self.words.__getitem__, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if self.RUN.search(text) or any(s in text for s in self.special):
-                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-                continue
-            head, *rest = text.split(" ")
-            own = [head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest))
-            try:
-                out.append(b"".join(map(self.pieces.__getitem__, own)))
-            except KeyError:
-                get, new = self.pieces.get, self.piece
-                out.append(b"".join([get(p) or new(p) for p in own]))
-            if len(self.pieces) > self.most:
-                self.pieces, self.old_pieces = {}, self.pieces
-            if len(self.words) > self.most:
-                self.words, self.old_words = {}, self.words
-        return out
+        if len(self.pieces) > self.most:
+            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
+        cut = [self.in_pieces and not self.RUN.search(t) and not any(s in t for s in self.special) for t in texts]
+        own = [t.split(" ") if c else [t] for t, c in zip(texts, cut, strict=True)]
+        heads = self.library([o[0] for o in own])  # what stands before the first space, or a whole text
+        known, new = self.pieces.__contains__, set()
+        for pieces in own:
+            new.update(filterfalse(known, islice(pieces, 1, None)))
+        self.learn(new)
+        get = self.pieces.__getitem__
+        return [head + b"".join(map(get, islice(pieces, 1, None))) for head, pieces in zip(heads, own, strict=True)]
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -226,6 +226,21 @@ def test_pieces_agree_with_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}])
+def test_other_settings_send_whole_texts_to_the_library(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.load(open(tokenizer_file()))
+    path = str(tmp_path / "other.json")
+    json.dump(said | change, open(path, "w"))
+    library, own = Tokenizer.from_file(path), token_codes.PieceEncoder(path)
+    texts = ["Two Words, a third.", " lead", "", "A b C d e"]
+    assert not own.in_pieces
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # ---------------------------------------------------------------------- chat
 
 
@@ -307,6 +322,15 @@ def test_incremental_entropy_is_the_entropy(spark):
     assert all(abs(r.h - max(entropies(dict(rows)[r.doc_id], 20))) < 1e-9 for r in best)
 
 
+def test_a_megabyte_candidate_is_scanned(spark):
+    rng = random.Random(23)
+    dull = "ab1" * 350_000
+    rows = [(1, dull), (2, dull + "q8Zk3Lm9Xv2Bn7Tc5Rw1" + dull), (3, "".join(rng.choice("abcABC0189") for _ in range(3000)))]
+    found = {r.doc_id: r.h for r in frame(spark, rows).select("doc_id", secrets._best_entropy(F.col("text"), 20).alias("h")).collect()}
+    assert abs(found[1] - max(entropies(dull[:200], 20))) < 1e-9 and abs(found[2] - np.log2(20)) < 1e-9
+    assert abs(found[3] - max(entropies(rows[2][1], 20))) < 1e-9
+
+
 # ----------------------------------------------------------- decontamination
 
 
