@@ -61,6 +61,20 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name`` with as many ``_`` before it as it takes to differ from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is not in the one column of ``gone``; null ids stay."""
+    name = fresh(docs, "_gone")
+    return docs.join(gone.toDF(name).distinct(), docs["doc_id"] == F.col(name), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

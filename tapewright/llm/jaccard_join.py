@@ -14,33 +14,41 @@ first n - ceil(3n/4) + 1 shingles in any fixed order, so each set goes to the ce
 those shingles; the order puts shingles that many documents share last, which keeps
 common passages from making large cells. The order decides speed only.
 
-Equal sets are one node from the start. In a cell of up to SMALL nodes all pairs that pass the
-bound are verified. In a larger one every node first meets HUBS nodes of the cell; nodes that
-link through them are one component, and pairs within a component need no second look. Then the
-nodes outside a large cell's largest component search a tree over all of its nodes, cells beyond
-BLOCK nodes in blocks of two tiles. So no link is lost, and a group of thousands of copies costs
-a few comparisons a copy.
+A shingle that very many sets share (HOT_ENTRIES documents or more) is not gathered in one
+place: its entries stay spread, and its cell is named by an aggregate.
+
+Equal sets are one node from the start. In a cell of up to SMALL nodes (two leaves of a tree)
+all pairs that pass the bound are verified. In a larger one every node first meets HUBS nodes of the
+cell; nodes that link through them are one component, and pairs within a component need no
+second look. Then the nodes outside a large cell's largest component search trees over all of its
+nodes, BLOCK nodes a tree. So no link between components is lost, and a group of thousands of copies
+costs a few comparisons a copy. No task holds a whole cell: counts and hubs are aggregates,
+and the nodes of large cells are dealt in tiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remove, scratch, small_batches, stored
+from ._common import remove, scratch, small_batches, stored, without
 
 WORDS = 5
 GROUP_BITS, MOST_GROUP_BITS = 6, 16
 GROUPS = 1 << GROUP_BITS
-SMALL, HUBS, BLOCK = 64, 8, 4096
+SMALL, HUBS, TILE, BLOCK = 64, 8, 256, 4096
 LEAF, FAN = 32, 16
 PREFIX_ENTRIES = 1_000_000
+HOT_ENTRIES = 10_000
+HOT_SHARE = 500
 FLUSH_ENTRIES = 1_000_000
 
 
@@ -267,8 +275,11 @@ def in_order(shingle_set: np.ndarray, common: np.ndarray, rank: np.ndarray) -> n
 _CELL_PART = "bucket int, nodes binary, sizes binary, counts binary, shingles binary"
 
 
-def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
-    """Each set's prefix, dealt into buckets of shingle hashes; one row a bucket and flush."""
+def _deal(common: np.ndarray, rank: np.ndarray, buckets: int, hot: np.ndarray):
+    """Each set's prefix, dealt into buckets of shingle hashes; one row a bucket and flush.
+
+    Entries of hot shingles go to any bucket, in rows without sizes.
+    """
 
     def run(batches):
         nodes: list[int] = []
@@ -280,12 +291,17 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
         def flush():
             flat = np.concatenate(prefixes)
             of = np.repeat(np.arange(len(nodes)), [len(p) for p in prefixes])
+            keys, own_sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
+            out = [[], [], [], [], []]
+            is_hot = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
+            if is_hot.any():
+                for column, value in zip(out, (nodes[0] % buckets, keys[of[is_hot]].tobytes(), None, None, flat[is_hot].tobytes()), strict=True):
+                    column.append(value)
+                flat, of = flat[~is_hot], of[~is_hot]
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # within a bucket by node
             flat, of, bucket = flat[order], of[order], bucket[order]
-            keys, own_sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            out = [[], [], [], [], []]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 first = np.concatenate([[0], np.flatnonzero(np.diff(of[a:b])) + 1])
                 out[0].append(int(bucket[a]))
@@ -318,7 +334,12 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int):
     return run
 
 
-CELL = "cell long, node long"
+CELL = "cell long, node long, at long"
+
+
+def _at(node: np.ndarray) -> np.ndarray:
+    """The number by which the node that names a cell is chosen: the smallest names it."""
+    return (mixed(node.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _gather(batches) -> Iterator[pa.RecordBatch]:
@@ -326,11 +347,17 @@ def _gather(batches) -> Iterator[pa.RecordBatch]:
 
     A cell ends where the next larger set is too large for a link, so sizes far apart never meet. It is
     named after its node with the smallest hash, and cells of one name are one: copies
-    share many shingles, but meet once.
+    share many shingles, but meet once. Entries of hot shingles come out as (shingle, node, at).
     """
     nodes, sizes, shared = [], [], []
     for batch in batches:
         for _, keys, own_sizes, counts, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own_sizes is None:
+                node, shingle = np.frombuffer(keys, np.int64), np.frombuffer(flat, np.int64)
+                for low in range(0, len(node), 100_000):
+                    some = node[low : low + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle[low : low + 100_000]), pa.array(some), pa.array(_at(some))], names=["cell", "node", "at"])
+                continue
             times = np.frombuffer(counts, np.uint32)
             nodes.append(np.repeat(np.frombuffer(keys, np.int64), times))
             sizes.append(np.repeat(np.frombuffer(own_sizes, np.int64), times))
@@ -351,7 +378,7 @@ def _gather(batches) -> Iterator[pa.RecordBatch]:
         return
     start = np.cumsum(length) - length
     of = np.repeat(np.arange(len(start)), length)
-    named = node[np.lexsort((mixed(node.view(np.uint64)), of))[start]]  # each cell's node with the smallest hash
+    named = node[np.lexsort((_at(node), of))[start]]  # each cell's node with the smallest hash
     cell = named[of]
     cell, node = cell[cell != node], node[cell != node]
     order = np.lexsort((node, cell))
@@ -359,20 +386,43 @@ def _gather(batches) -> Iterator[pa.RecordBatch]:
     fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])
     cell, node = cell[fresh], node[fresh]
     for low in range(0, len(cell), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in (cell, node)], names=["cell", "node"])
+        some = [pa.array(c[low : low + 100_000]) for c in (cell, node)]
+        yield pa.RecordBatch.from_arrays([*some, pa.nulls(len(some[0]), pa.int64())], names=["cell", "node", "at"])
+
+
+def _named(met: DataFrame, most_common: int) -> DataFrame:
+    """(cell, node), each once, with the cells of hot shingles named like the others."""
+    hot = met.where("at is not null")
+    names = hot.groupBy("cell").agg(F.min(F.struct("at", "node")).alias("_first")).select(F.col("cell").alias("_shingle"), F.col("_first.node").alias("_name"))
+    # at most most_common rows, as no more shingles are hot
+    hot = hot.join(F.broadcast(names.limit(most_common)), F.col("cell") == F.col("_shingle")).select(F.col("_name").alias("cell"), "node").where("cell <> node")
+    return met.where("at is null").select("cell", "node").unionByName(hot).dropDuplicates(["cell", "node"])
+
 
+def _with_info(rows: DataFrame, info: DataFrame, weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``info``, one row a cell, of which ``weight`` tells the cell's rows.
 
-def _with_hubs(met: DataFrame) -> DataFrame:
+    Cells with more than one row in HOT_SHARE, so HOT_SHARE of them at most, are broadcast; their rows stay where they are.
+    """
+    hot = F.col(weight) > max(1000, total // HOT_SHARE)
+    renamed = info.withColumnRenamed("cell", "_cell")
+    large = F.broadcast(renamed.where(hot))
+    met = rows.join(large, F.col("cell") == F.col("_cell"))
+    other = rows.join(F.broadcast(renamed.where(hot).select("_cell")), F.col("cell") == F.col("_cell"), "left_anti").join(renamed.where(~hot), F.col("cell") == F.col("_cell"))
+    return met.unionByName(other).drop("_cell")
+
+
+def _with_hubs(own: DataFrame, path: str) -> DataFrame:
     """cell, node, rows and is_hub of the met nodes and of the node that names the cell: the cell's size, and whether the node is one of its hubs.
 
-    One shuffle by cell serves the distinct, the count and the rank.
+    Hubs are the name and the nodes with the smallest of HUBS - 1 hashes, which aggregates find.
     """
-    own = met.repartition("cell").dropDuplicates(["cell", "node"])
-    of_cell = Window.partitionBy("cell")
-    counted = own.withColumns({"rows": F.count(F.lit(1)).over(of_cell) + 1, "_nth": F.row_number().over(of_cell.orderBy(F.xxhash64("node"), "node"))})
-    one = F.struct("node", ((F.col("_nth") < HUBS) & (F.col("rows") > SMALL)).alias("is_hub"))
-    name = F.struct(F.col("cell").alias("node"), (F.col("rows") > SMALL).alias("is_hub"))
-    return counted.select("cell", "rows", F.explode(F.when(F.col("_nth") == 1, F.array(one, name)).otherwise(F.array(one))).alias("_x")).select("cell", "_x.node", "rows", "_x.is_hub")
+    hashes = [F.xxhash64("node", F.lit(k)) for k in range(HUBS - 1)]
+    info = stored(own.groupBy("cell").agg((F.count(F.lit(1)) + 1).alias("rows"), *(F.min(h).alias(f"_h{k}") for k, h in enumerate(hashes))), f"{path}/info")
+    total = info.agg(F.sum("rows")).first()[0] or 0
+    is_hub = reduce(lambda a, b: a | b, (h == F.col(f"_h{k}") for k, h in enumerate(hashes)))
+    met = _with_info(own, info, "rows", total).select("cell", "node", "rows", ((F.col("rows") > SMALL) & is_hub).alias("is_hub"))
+    return met.unionByName(info.select("cell", F.col("cell").alias("node"), "rows", (F.col("rows") > SMALL).alias("is_hub")))
 
 
 # -------------------------------------------------------------- verification
@@ -405,15 +455,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     return stored(ordered.mapInArrow(_compare, "hub long, node long"), f"{path}/links")
 
 
-def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, comp) of all nodes of ``edges`` (hub, node); comp is the component's smallest node.
 
     Each step takes the smallest label among the neighbours and then the label of that
-    label, so long chains shrink fast.
+    label, so long chains shrink fast; labels only fall, so the steps end.
     """
     both = stored(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct(), f"{path}/both")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), f"{path}/labels-0")
-    for step in range(1, most + 1):
+    for step in count(1):
         heard = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "comp")
         lower = labels.unionByName(heard).groupBy("node").agg(F.min("comp").alias("comp"))
         jump = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
@@ -424,7 +474,6 @@ def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
         labels = new
         if changed.isEmpty():
             return labels
-    raise RuntimeError(f"components have not settled after {most} steps")
 
 
 def _groups(batches) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -452,75 +501,78 @@ def _pair_batches(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "node"])
 
 
-def _first_search(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, tile, rows, node, is_hub, counts) by cell and tile: of small cells all pairs that pass the bound, of others those with a hub."""
+def _first_search(small: int):
+    """Rows (cell, tile, rows, node, is_hub, counts) by cell and tile: of cells of up to ``small`` nodes all pairs that pass the bound, of others those with a hub."""
 
-    def found() -> Iterator[tuple[int, int]]:
+    def found(batches) -> Iterator[tuple[int, int]]:
         for (_, _, rows), held in _groups(batches):
             full = [counts_of(r[2]) for r in held]
             points = np.stack([folded(x, GROUPS) for x in full]).astype(np.int32)
             sizes = points.sum(1, dtype=np.int64)
             whole = Points(full, sizes)
-            for q in range(len(held)) if rows <= SMALL else (k for k, r in enumerate(held) if r[1]):
-                m = sizes if rows > SMALL else sizes[:q]
+            for q in range(len(held)) if rows <= small else (k for k, r in enumerate(held) if r[1]):
+                m = sizes if rows > small else sizes[:q]
                 near = (4 * np.minimum(m, sizes[q]) >= 3 * np.maximum(m, sizes[q])) & (np.minimum(points[: len(m)], points[q]).sum(1) >= least_overlap(sizes[q], m))
                 for k in whole.may_link(q, np.flatnonzero(near)) if near.any() else ():
                     if k != q:
                         yield held[k][0], held[q][0]
 
-    return _pair_batches(found())
+    return lambda batches: _pair_batches(found(batches))
 
 
 def _first_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
     own = points.select(F.col("node").alias("_p"), "counts")
-    tiles = F.ceil(F.col("rows") / BLOCK).cast("int")
+    tiles = F.when(F.col("rows") > SMALL, F.ceil(F.col("rows") / TILE).cast("int")).otherwise(1)
     tile = F.when(F.col("is_hub"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), tiles.cast("long")).cast("int")))
     dealt = cells.join(own, F.col("node") == F.col("_p")).select("cell", F.explode(tile).alias("tile"), "rows", "node", "is_hub", "counts")
-    return dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "node").mapInArrow(_first_search, "hub long, node long").distinct()
+    return dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "node").mapInArrow(_first_search(SMALL), "hub long, node long").distinct()
 
 
 def _tree_search(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, tile_a, tile_b, side, node, comp, counts) by block: pairs of different components that a tree lets through.
-
-    Only nodes outside the block's largest component ask; every pair of different components has one.
-    """
+    """Rows (cell, tile, ask_tile, asks, node, comp, counts) by block: pairs of different components that the tree of the block's tile lets through."""
 
     def found() -> Iterator[tuple[int, int]]:
-        for (_, a, b), held in _groups(batches):
-            side, nodes, comps = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            values, counts = np.unique(comps, return_counts=True)
-            ask = np.flatnonzero(comps != values[counts.argmax()])
+        for _, held in _groups(batches):
+            asks = np.array([r[0] for r in held])
+            nodes, comps = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
+            build, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+            if not len(build) or not len(asking):
+                continue
             full = [counts_of(r[3]) for r in held]
             points = np.stack([folded(x, GROUPS) for x in full]).astype(np.int32)
             sizes = points.sum(1, dtype=np.int64)
             whole = Points(full, sizes)
-            for part in (0,) if a == b else (0, 1):
-                build = np.flatnonzero(side == part)
-                asking = ask if a == b else ask[side[ask] != part]
-                if not len(build) or not len(asking):
-                    continue
-                tree = CountTree(points[build], sizes[build])
-                for q in asking:
-                    near = build[tree.search(points[q], int(sizes[q]))]
-                    for k in whole.may_link(int(q), near[comps[near] != comps[q]]):
-                        yield int(nodes[k]), int(nodes[q])
+            tree = CountTree(points[build], sizes[build])
+            for q in asking:
+                near = build[tree.search(points[q], int(sizes[q]))]
+                for k in whole.may_link(int(q), near[comps[near] != comps[q]]):
+                    yield int(nodes[k]), int(nodes[q])
 
     return _pair_batches(found())
 
 
-def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (hub, node) of different components in one large cell that pass the bound, each once."""
+def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, path: str) -> DataFrame:
+    """Pairs (hub, node) of different components in one large cell that pass the bound, each once.
+
+    Only nodes outside the cell's largest component ask; every pair of different components has one.
+    A tile of BLOCK nodes goes once to each tile of those that ask, and they to each tile.
+    """
     named = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_comp"))
-    large = cells.where(F.col("rows") > SMALL).join(named, F.col("node") == F.col("_n"), "left").select("cell", "node", "rows", F.coalesce("_comp", "node").alias("comp"))
-    mixed_cells = large.groupBy("cell").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select(F.col("cell").alias("_cell"))
+    large = stored(cells.where(F.col("rows") > SMALL).join(named, F.col("node") == F.col("_n"), "left").select("cell", "node", F.coalesce("_comp", "node").alias("comp")), f"{path}/large")
+    of_comp = large.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed_cells = of_comp.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("_main"), F.sum("n").alias("_all")).where(F.col("_all") > F.col("_main.n"))
+    info = stored(mixed_cells.select("cell", "_all", F.col("_main.comp").alias("_most"), (F.col("_all") - F.col("_main.n")).alias("_asking")), f"{path}/mixed")
+    total = info.agg(F.sum("_all")).first()[0]
+    if not total:
+        return large.where("1 = 0").select(F.col("cell").alias("hub"), "node")
     own = points.select(F.col("node").alias("_p"), "counts")
-    tiles = F.ceil(F.col("rows") / BLOCK).cast("int")
-    tile = F.pmod(F.xxhash64("node"), tiles.cast("long")).cast("int")
-    rows = large.join(mixed_cells, F.col("cell") == F.col("_cell"), "left_semi").join(own, F.col("node") == F.col("_p")).withColumn("tiles", tiles).withColumn("tile", tile)
-    # a tile meets every tile once: as the first of a block with later tiles, as the second with earlier ones
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    blocks = spread.select("cell", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "counts")
-    dealt = blocks.repartition("cell", "tile_a", "tile_b").sortWithinPartitions("cell", "tile_a", "tile_b", "node")
+    rows = _with_info(large, info, "_all", total).join(own, F.col("node") == F.col("_p"))
+    tiles, ask_tiles = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_all", "_asking"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    tile = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
+    build = rows.select("cell", tile(tiles).alias("tile"), each(ask_tiles).alias("ask_tile"), F.lit(False).alias("asks"), "node", "comp", "counts")
+    ask = rows.where(F.col("comp") != F.col("_most")).select("cell", each(tiles).alias("tile"), tile(ask_tiles).alias("ask_tile"), F.lit(True).alias("asks"), "node", "comp", "counts")
+    dealt = build.unionByName(ask).repartition("cell", "tile", "ask_tile").sortWithinPartitions("cell", "tile", "ask_tile", "node")
     return dealt.mapInArrow(_tree_search, "hub long, node long").distinct()
 
 
@@ -535,10 +587,12 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     set and are linked with nothing. Documents with equal sets are linked; rows repeated with one
     doc_id are one document. component_id is the smallest doc_id that can be reached; a null
     doc_id is reached by none and has a null component if it stands alone. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Whole texts are read, however long.
 
     frequent and most_common: shingles that so many documents share come last in the order
-    of prefixes, the most common ones at the end. They decide speed only.
+    of prefixes, the most common ones at the end. They decide speed only. A shingle that
+    isn't among the most_common ones is in one entry in most_common at most, which bounds what
+    one task gathers.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -551,6 +605,7 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     shared = signed.where("common is not null").groupBy("common").agg(F.sum("times").alias("times")).where(F.col("times") >= frequent)
     top = shared.orderBy(F.desc("times"), "common").limit(most_common).collect()  # bounded by most_common
     common = np.array([r["common"] for r in top], np.int64).view(np.uint64)
+    hot = np.sort(common[np.array([r["times"] for r in top]) >= HOT_ENTRIES]) if top else common
     rank = np.arange(len(common))[::-1]
     by = np.argsort(common)
     common, rank = common[by], rank[by]
@@ -558,8 +613,9 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     entries = points.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     # as few buckets as memory allows: copies that share many shingles meet once in each bucket that has some of them
     buckets = int(max(1, -(-entries // PREFIX_ENTRIES)))
-    dealt = rows.select("text").mapInArrow(_deal(common, rank, buckets), _CELL_PART).repartitionById(buckets, F.col("bucket"))
-    cells = stored(_with_hubs(dealt.mapInArrow(_gather, CELL)), f"{base}/tmp/cells")
+    dealt = rows.select("text").mapInArrow(_deal(common, rank, buckets, hot), _CELL_PART).repartitionById(buckets, F.col("bucket"))
+    met = stored(dealt.mapInArrow(_gather, CELL), f"{base}/tmp/met")
+    cells = stored(_with_hubs(stored(_named(met, most_common), f"{base}/tmp/own"), f"{base}/tmp"), f"{base}/tmp/cells")
 
     pairs = stored(_first_pairs(cells, points), f"{base}/tmp/first-pairs")
     # texts are fetched once: of the nodes of these pairs, and of large cells, whose nodes may meet again
@@ -572,7 +628,7 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     edges = _verify(pairs, texts, f"{base}/tmp/first")
     labels = components(edges, f"{base}/tmp/components-first")
     tried = pairs.select(F.col("hub").alias("_h"), F.col("node").alias("_n"))
-    more = stored(_tree_pairs(cells, labels, points).join(tried, (F.col("hub") == F.col("_h")) & (F.col("node") == F.col("_n")), "left_anti"), f"{base}/tmp/tree-pairs")
+    more = stored(_tree_pairs(cells, labels, points, f"{base}/tmp/blocks").join(tried, (F.col("hub") == F.col("_h")) & (F.col("node") == F.col("_n")), "left_anti"), f"{base}/tmp/tree-pairs")
     edges = stored(edges.unionByName(_verify(more, texts, f"{base}/tmp/tree")), f"{base}/tmp/edges")
     labels = components(edges, f"{base}/tmp/components")
 
@@ -591,7 +647,7 @@ def _own_text(batches) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(fits, pa.bool_()))
 
 
-def _for_documents(sets: DataFrame, named: DataFrame, hot_share: int = 500) -> DataFrame:
+def _for_documents(sets: DataFrame, named: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
     """Each document's component. Nodes with a large part of all rows, ``hot_share`` of them at most, are broadcast."""
     total = named.agg(F.sum("copies")).first()[0] or 0
     hot = F.col("copies") > max(1000, total // hot_share)
@@ -613,8 +669,8 @@ def _for_documents(sets: DataFrame, named: DataFrame, hot_share: int = 500) -> D
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs``, with all their columns, but of each component only those with its smallest doc_id."""
     found = near_duplicates(docs, **params)
-    gone = found.where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = found.where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id")
+    return without(docs, gone)
 
 
 __all__ = ["CountTree", "components", "keep_one", "linked", "near_duplicates", "shingles"]
