@@ -8,6 +8,11 @@ of (seq, turn):
 * ``regenerate``: empties the turn, and deltas that follow build it anew;
 * ``delete``: takes the turn away.
 
+Turns of a conversation fold on their own, so the log is dealt by conversation and turn, and a
+conversation of any length is spread until its messages are put together. Events of an
+unknown or null kind say nothing and are left out; a null ``seq`` comes first, and events tied in
+seq stand in the order of their texts.
+
 A conversation's messages are then rendered by a template that marks turns with
 control strings; the same strings inside a text are escaped reversibly. The
 rendered conversation is kept as segments, each with a flag that says whether the
@@ -19,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+KINDS = ("delta", "edit", "regenerate", "delete")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -49,8 +55,8 @@ def fold(events: DataFrame) -> DataFrame:
     whose last word is a deletion are left out. Columns beyond those named are
     ignored; an empty log gives no messages.
     """
-    log = events.select(
-        "conv_id", "turn", "nth", "seq", "kind",
+    log = events.where(F.col("kind").isin(*KINDS)).select(
+        "conv_id", "turn", "nth", F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63))).alias("seq"), "kind",
         "role", F.coalesce("text", F.lit("")).alias("text"),
     )
     of_turn = Window.partitionBy("conv_id", "turn", "nth")
@@ -116,13 +122,26 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return rendered.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length(whole).cast("long").alias("formatted_chars"))
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """A log of finished rows (conv_id, turn, role, text) as events: each row is one turn said in one delta.
+def as_events(conversations: DataFrame, piece: int = 256) -> DataFrame:
+    """A log of events (conv_id, turn, nth, seq, kind, role, text) that fold into the rows (conv_id, turn, role, text).
 
-    Rows that share a turn number become turns of their own, in the order of role
-    and text (nulls first).
+    Each text is streamed in deltas of ``piece`` code points. An ``assistant`` turn first streams
+    its last and its first piece as a draft and is then regenerated; any other turn opens with its
+    last piece, which an edit replaces by the first. Only the first event of a turn names the role. Rows
+    that share a turn number become turns of their own (nth), in the order of role and text (nulls first).
     """
     tied = Window.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    return conversations.select("conv_id", "turn", "role", "text").withColumn("nth", F.row_number().over(tied)).select(
-        "conv_id", "turn", "nth", F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text"
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("nth", F.row_number().over(tied))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    first, last = F.get(F.col("_pieces"), F.lit(0)), F.get(F.col("_pieces"), F.size("_pieces") - 1)
+    deltas = lambda own: F.transform(own, lambda x: event("delta", x))
+    redone = F.concat(F.array(event("delta", last), event("delta", first), event("regenerate", F.lit(None).cast("string"))), deltas(F.col("_pieces")))
+    edited = F.concat(F.array(event("delta", last), event("edit", first)), deltas(F.slice("_pieces", 2, F.greatest(F.size("_pieces"), F.lit(1)))))
+    events = F.when(F.col("role") == "assistant", redone).otherwise(edited)
+    return rows.withColumn("_pieces", pieces).select("conv_id", "turn", "nth", "role", F.posexplode(events).alias("seq", "_e")).select(
+        "conv_id", "turn", "nth", "seq", F.col("_e.kind").alias("kind"), F.when(F.col("seq") == 0, F.col("role")).alias("role"), F.col("_e.text").alias("text"),
     )
