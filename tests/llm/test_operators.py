@@ -124,15 +124,47 @@ def test_components_match_brute_force(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == reference_components(rows)
 
 
-def test_large_cells_go_through_hubs_and_trees(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SMALL", 6)
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_large_cells_go_through_hubs_and_trees(spark, monkeypatch, hot):
+    for name, value in (("SMALL", 6), ("HUBS", 2), ("TILE", 8), ("BLOCK", 16), ("HOT_ENTRIES", hot)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(3)
     base = sentence(rng, 60)
     rows = [(i, edited(rng, base, rng.choice([0, 1, 2, 3]))) for i in range(90)] + [(100 + i, sentence(rng, 60)) for i in range(20)]
-    found = jaccard_join.near_duplicates(frame(spark, rows), frequent=1000)
+    chain = base
+    for i in range(200, 240):  # neighbours link, the ends don't
+        chain = edited(rng, chain, 1)
+        rows.append((i, chain))
+    found = jaccard_join.near_duplicates(frame(spark, rows), frequent=2 if hot == 20 else 1000)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == reference_components(rows)
 
 
+def test_ten_thousand_near_copies_are_one_component(spark):
+    rng = random.Random(24)
+    base = sentence(rng, 100)
+    rows = [(i, edited(rng, base, 1 + i % 2)) for i in range(10_000)] + [(20_000 + i, sentence(rng, 40)) for i in range(500)]
+    docs = frame(spark, rows).repartition(16)
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert all(found[i] == 0 for i in range(10_000)) and all(found[i] == i for i, _ in rows[10_000:])
+
+
+def test_no_task_holds_a_hot_cell(spark, monkeypatch, tmp_path):
+    """Cells' nodes come in tiles, whether the shingle of the cell is hot or not."""
+    monkeypatch.setattr(jaccard_join, "HOT_ENTRIES", 50)
+    most = []
+    first = jaccard_join._first_pairs
+
+    def watch(cells, points):
+        most.append(cells.where("not is_hub").groupBy("cell", F.floor(F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / jaccard_join.TILE)))).count().agg(F.max("count")).first()[0])
+        return first(cells, points)
+
+    monkeypatch.setattr(jaccard_join, "_first_pairs", watch)
+    rng = random.Random(25)
+    base = sentence(rng, 80)
+    found = jaccard_join.near_duplicates(frame(spark, [(i, edited(rng, base, 1)) for i in range(3000)]))
+    assert found.where("component_id <> 0").count() == 0 and most[0] < 2 * jaccard_join.TILE
+
+
 def test_tree_misses_no_set_that_the_bound_allows():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 2**64, rng.integers(1, 300), np.uint64)) for _ in range(300)]
@@ -151,6 +183,10 @@ def test_odd_rows_have_components(odd, none):
     assert (1, 0, 1) in found and (3, 0, 3) in found and (5, 1, 5) in found and (6, 1, 5) in found and (None, 1, 5) in found and (None, 0, None) in found
     assert (10, 1, 10) in found
     assert jaccard_join.near_duplicates(none).count() == 0
+    clashing = odd.withColumnsRenamed({"hub": "_gone", "tokens": "_node", "source": "component_id", "keep_id": "n"})
+    kept = jaccard_join.keep_one(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 5, 9, 10, 11]
+    assert jaccard_join.keep_one(none).count() == 0
 
 
 # ------------------------------------------------------------------ sharding
@@ -266,6 +302,27 @@ def test_events_fold_into_final_messages(spark):
     assert chat.fold(events.where("conv_id = 99")).count() == 0
 
 
+def test_logs_of_streams_fold_into_their_rows(spark):
+    rng = random.Random(26)
+    rows = [(c, k, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "x" * 300, "é☃𝒳\n" * 200, sentence(rng, 120)])) for c in range(20) for k in range(5)]
+    rows += [(3, 2, "user", "tie"), (3, 2, "user", "tie"), (3, 2, "assistant", None)]
+    logs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.as_events(logs, piece=50)
+    kinds = {r.kind for r in events.select("kind").distinct().collect()}
+    assert kinds == {"delta", "edit", "regenerate"} and events.count() > 4 * len(rows)
+    found = collections.Counter((m.conv_id, m.turn, m.role, m.text) for m in chat.fold(events).collect())
+    assert found == collections.Counter((c, k, r or "", t or "") for c, k, r, t in rows)
+
+
+def test_unknown_kinds_and_tied_events_have_a_defined_result(spark):
+    log = [
+        (1, 0, 0, "delta", "user", "b"), (1, 0, 0, "delta", None, "a"), (1, 0, 1, "rename", "x", "lost"), (1, 0, 2, None, "x", "lost"), (1, 0, 3, "delta", None, None),
+        (1, 1, None, "delta", "assistant", "first "), (1, 1, 5, "delta", None, "then"), (2, 0, 0, "typing", "user", "nothing"), (None, 0, 0, "delta", "user", "no id"),
+    ]
+    events = spark.createDataFrame([(c, t, 1, s, k, r, x) for c, t, s, k, r, x in log], "conv_id long, turn long, nth int, seq long, kind string, role string, text string")
+    assert {(m.conv_id, m.turn, m.role, m.text) for m in chat.fold(events).collect()} == {(1, 0, "user", "ab"), (1, 1, "assistant", "first then"), (None, 0, "user", "no id")}
+
+
 def test_roles_outlive_edits_and_regenerations(spark):
     log = [
         (1, 0, 0, "delta", "user", "a"), (1, 0, 1, "edit", None, "b"), (1, 0, 2, "delta", None, "c"),
@@ -391,6 +448,23 @@ def test_short_items_are_found(spark, monkeypatch, broadcast_words):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in texts} - {i for i, _ in wanted}
 
 
+@pytest.mark.parametrize("broadcast_words", [400_000, 0])
+def test_odd_rows_and_passages_in_long_texts(spark, monkeypatch, odd, none, broadcast_words):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", broadcast_words)
+    rng = random.Random(27)
+    passage = sentence(rng, 15)
+    benchmark = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (None, sentence(rng, 14))], "item_id long, text string")
+    long = sentence(rng, 30_000) + " " + passage.upper().replace(" ", ",\n") + " " + sentence(rng, 30_000)
+    rows = [(1, None), (2, ""), (3, long), (4, passage), (4, passage), (None, passage), (5, sentence(rng, 40))]
+    docs = frame(spark, rows).withColumnsRenamed({"source": "_gone", "hub": "_words", "keep_id": "item_id"})
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, benchmark).collect()}
+    assert found - {(None, 1)} == {(3, 1), (4, 1)}
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5]
+    assert decontaminate.overlaps(odd, benchmark).count() == 0 and decontaminate.clean(none, benchmark).count() == 0
+    assert decontaminate.clean(docs, benchmark.where("1 = 0")).count() == len(rows)
+
+
 # ------------------------------------------------------------------ language
 
 
@@ -508,3 +582,57 @@ def test_rates_meet_the_targets(spark, odd, none):
     assert bounded["rate"].max() <= 1.0
     assert mixing.mix(odd, marked, targets).count() == len(ODD) and mixing.mix(none, marked, targets).count() == 0
     assert mixing.mix(docs, marked.where("1 = 0"), targets).where("rate <> 1 or copies <> 1").count() == 0
+
+
+def brute_rates(soft, targets, most, steps=60_000):
+    """Projected gradient with tiny steps over all rates at once: (rates, objective)."""
+    names = list(targets)
+    p, t = soft[[f"p_{d}" for d in names]].to_numpy(), soft["tokens"].to_numpy(float)
+    total, mass = t.sum(), (p * t[:, None]).sum(0)
+    wanted = mass[names.index("clean")] * np.array([targets[d] / targets["clean"] for d in names])
+    rate = np.ones(len(t))
+    for _ in range(steps):
+        off = (p * (t * rate)[:, None]).sum(0) - wanted
+        rate = np.clip(rate - p @ (off / mass), 0, most)
+    off = ((p * (t * rate)[:, None]).sum(0) - wanted) / total
+    return rate, float((off**2 / (mass / total)).sum())
+
+
+@pytest.mark.parametrize(("most", "targets"), [(None, {"clean": 0.6, "low": 0.1, "toxic": 0.3}), (1.0, {"clean": 0.985, "low": 0.01, "toxic": 0.005}), (1.5, {"clean": 0.2, "low": 0.4, "toxic": 0.4})])
+def test_rates_are_as_good_as_brute_force(spark, most, targets):
+    """Posteriors that overlap: the best rates are found, and a target that the bounds rule out is told by the residual."""
+    rng = np.random.default_rng(28)
+    p = rng.dirichlet([1.2, 0.8, 0.5], 300)
+    rows = [(i, int(rng.integers(1, 400)), *map(float, x)) for i, x in enumerate(p)] + [(1000, 0, 0.2, 0.3, 0.5)]
+    soft = spark.createDataFrame(rows, "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
+    out, told, residual = mixing.rates(soft, targets, most=most)
+    out = out.toPandas()
+    body = out[out["tokens"] > 0]
+    _, best = brute_rates(body, targets, np.inf if most is None else most)
+    mass = np.array([(body[f"p_{d}"] * body["tokens"]).sum() for d in targets]) / body["tokens"].sum()
+    wanted = mass[0] * np.array([targets[d] / targets["clean"] for d in targets])
+    off = np.array([told[-1][d] for d in targets]) - wanted
+    assert np.isclose(abs(off).max(), residual) and float((off**2 / mass).sum()) <= best * 1.02 + 1e-9
+    assert (out["rate"] >= 0).all() and (most is None or out["rate"].max() <= most) and out.set_index("doc_id").loc[1000, "rate"] == 1
+    assert residual <= 1e-5 or best > 1e-10
+
+
+def test_posteriors_are_those_of_a_plain_model(spark):
+    """The classifier's weights are near the minimum that a plain gradient descent over dense rows finds."""
+    rng = np.random.default_rng(29)
+    dense = (rng.random((200, 6)) < 0.4).astype(float)
+    truth = rng.normal(size=(6, 3))
+    y = (dense @ truth + rng.gumbel(size=(200, 3))).argmax(1)
+    weights, bias = mixing.fit([(int(d), np.flatnonzero(x).tolist()) for d, x in zip(y, dense, strict=True)], 6, 3, steps=3000, rate=0.02)
+    w, b = np.zeros((6, 3)), np.zeros(3)
+    for _ in range(20_000):
+        q = np.exp(dense @ w + b)
+        q /= q.sum(1, keepdims=True)
+        error = (q - np.eye(3)[y]) / 200
+        w, b = w - 1.0 * (dense.T @ error + 0.3 / 200 * w), b - 1.0 * error.sum(0)
+
+    def posterior(w, b):
+        q = np.exp(dense @ w + b)
+        return q / q.sum(1, keepdims=True)
+
+    assert abs(posterior(weights, bias) - posterior(w, b)).max() < 0.01
