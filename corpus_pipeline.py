@@ -3,9 +3,9 @@
 Quality classifier, near duplicates, benchmark decontamination, mixing, sharding. A stage gets all that
 the one before it kept, written as Parquet in the shared folder and read again, so a lost
 executor costs no more than its own tasks. All stages but the last return the columns of
-``documents``. Null or empty texts go where the quality classifier sends them; rows with
-a null id pass the joins on ids and are told apart by nothing else; an empty table stays
-empty through all stages.
+``documents``, whatever they are called. Null or empty texts go where the quality classifier
+sends them. Decisions after the first stage are by doc_id: rows repeated with one id share their
+fate, and rows with a null id stay. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from tapewright.llm._common import scratch, stored, table
+from tapewright.llm._common import scratch, stored, table, without
 
 #: weights of the domains after mixing; rates stay at or below 1, as copies were just taken out
 TARGETS = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
@@ -40,8 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay as often as their rate says: with rates of at most 1, once or not at all."""
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, most=1.0)
-    gone = mixed.where(F.col("copies") < 1).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return without(docs, mixed.where(F.col("copies") < 1).select("doc_id"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_duplicates", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix), ("sharding", shard)]
 
-#: classifiers have no SQL; tests hold the stages against brute-force versions
+#: classifiers have no SQL; tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
