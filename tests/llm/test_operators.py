@@ -54,23 +54,38 @@ def test_dedup_follows_the_definition(odd):
 
 def test_colliding_hashes_are_told_apart_by_bytes(spark):
     rows = [(i, f"text {i % 37}") for i in range(200)]
-    entries = exact_dedup.build_index(frame(spark, rows), capacity=2, hash_bits=3, range_bits=1).collect()
+    index = exact_dedup.build_index(frame(spark, rows), capacity=2, hash_bits=3, range_bits=1)
+    entries = index.where("directory is null").collect()
     assert len(entries) == 37 and sum(e.group_size for e in entries) == 200
     assert max(e.chain for e in entries) > 0
-    found = exact_dedup.look_up(frame(spark, rows), exact_dedup.build_index(frame(spark, rows), capacity=2, hash_bits=3, range_bits=1))
-    assert {(r.doc_id, r.keep_id) for r in found.collect()} == {(i, i % 37) for i in range(200)}
+    found = exact_dedup.look_up(frame(spark, rows), index, hash_bits=3, range_bits=1)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in found.collect()} == {(i, i % 37, len(range(i % 37, 200, 37))) for i in range(200)}
+    unknown = exact_dedup.look_up(frame(spark, [(1, "text 1"), (999, "never seen")]), index, hash_bits=3, range_bits=1).collect()
+    assert {(r.doc_id, r.keep_id) for r in unknown} == {(1, 1), (999, None)}
 
 
 def test_directory_doubles_and_keeps_every_entry():
     index = exact_dedup.KeyRange(16, 4)
     rng = random.Random(1)
-    hashes = [rng.randrange(1 << 16) for _ in range(500)]
+    hashes = rng.sample(range(1 << 16), 500)
     for n, h in enumerate(hashes):
-        index.add(h, b"%d" % n, b"", n, 1)
+        index.add(h, [(str(n), n, 1)])
     assert len(index.directory) == 1 << index.depth and index.depth > 5
     assert sorted(e[5] for e in index.entries()) == list(range(500))
     for slot, bucket in enumerate(index.directory):
         assert all(index.slot(h) >> (index.depth - bucket["depth"]) == slot >> (index.depth - bucket["depth"]) for h in bucket["chains"])
+    rows = index.rows(3).to_pylist()
+    again = exact_dedup.Stored(16, rows[-1]["depth"], rows[-1]["directory"])
+    for r in rows[:-1]:
+        again.add(r["bucket"], r["hash"], r["text_sha256"], r["keep_id"], r["group_size"])
+    assert all(again.find(h, str(n)) == (n, 1) for n, h in enumerate(hashes)) and again.find(hashes[0], "x") == (None, None)
+
+
+def test_texts_of_a_hash_are_compared_by_bytes():
+    chain = exact_dedup.Chain()
+    for text, keep in ((b"a", 5), (b"b", None), (b"a", 3), (b"b", 9), (b"a", None)):
+        chain.add(text, keep, 1)
+    assert [(e[0], e[2], e[3]) for e in chain.entries] == [(b"a", 3, 3), (b"b", 9, 2)]
 
 
 def test_a_third_of_rows_in_one_group(spark):
