@@ -555,7 +555,7 @@ def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, path: st
     """Pairs (hub, node) of different components in one large cell that pass the bound, each once.
 
     Only nodes outside the cell's largest component ask; every pair of different components has one.
-    A tile of BLOCK nodes goes once to each tile of those that ask, and they to each tile.
+    A tile of nodes goes once to each tile of those that ask, and they to each tile.
     """
     named = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_comp"))
     large = stored(cells.where(F.col("rows") > SMALL).join(named, F.col("node") == F.col("_n"), "left").select("cell", "node", F.coalesce("_comp", "node").alias("comp")), f"{path}/large")
@@ -567,7 +567,9 @@ def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, path: st
         return large.where("1 = 0").select(F.col("cell").alias("hub"), "node")
     own = points.select(F.col("node").alias("_p"), "counts")
     rows = _with_info(large, info, "_all", total).join(own, F.col("node") == F.col("_p"))
-    tiles, ask_tiles = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_all", "_asking"))
+    # where few nodes ask, small tiles spread the cell; where many do, large ones keep the copies few
+    tiles = F.ceil(F.col("_all") / F.least(F.lit(BLOCK), F.greatest(F.lit(2 * TILE), F.col("_asking")))).cast("int")
+    ask_tiles = F.ceil(F.col("_asking") / BLOCK).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     tile = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
     build = rows.select("cell", tile(tiles).alias("tile"), each(ask_tiles).alias("ask_tile"), F.lit(False).alias("asks"), "node", "comp", "counts")
