@@ -121,8 +121,8 @@ def pct_change0(col: str | Column, w: WindowSpec) -> Column:
 
 
 def bull_aligned(columns: list[str]) -> Column:
-    """Whether each average stands above the next longer one."""
+    """Whether each average stands above the next longer one; less than 1e-9 is the rounding of sums."""
     out = F.lit(True)
     for short, long in zip(columns, columns[1:], strict=False):
-        out = out & (F.col(short) > F.col(long))
+        out = out & (F.col(short) - F.col(long) > 1e-9)
     return F.coalesce(out, F.lit(False))

@@ -45,7 +45,9 @@ def _signals(bars, features, listing_days, start, end, ranks, columns) -> DataFr
 
 
 def indexed(bars: DataFrame) -> DataFrame:
-    """Bars with bar_idx (from 0) and bars_total of their instrument."""
+    """Bars with bar_idx (from 0) and bars_total of their instrument; bars that have them already stay as they are, so a caller can number them once."""
+    if {"bar_idx", "bars_total"} <= set(bars.columns):
+        return bars
     return bars.withColumns({"bar_idx": F.row_number().over(I.by_date()) - 1, "bars_total": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
 
 
@@ -100,10 +102,24 @@ def outcomes(trades: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HOR
     return rows.select(*trades.columns, "horizon", date.alias("exit_date"), close.alias("exit_price_adj"), I.ratio(close - F.col("buy_price_adj"), F.col("buy_price_adj")).alias("ret"), done.alias("completed"))
 
 
+def _in_reach(trades: DataFrame, own: DataFrame, first: int, last: int) -> DataFrame:
+    """Trades with the rows of ``own`` (_s, bar_idx, ...) from ``first`` to ``last`` bars after the buy.
+
+    Bars lie in blocks as long as the range, and a trade asks the two or three blocks that it touches: an equi-join on
+    (symbol, block), so a trade meets a few blocks of bars and not its instrument's whole history.
+    """
+    size = max(1, last - first + 1)
+    block = lambda c: F.floor(c / size)
+    asked = trades.withColumn("_block", F.explode(F.sequence(block(F.col("buy_idx") + first), block(F.col("buy_idx") + last))))
+    rows = own.withColumn("_of", block(F.col("bar_idx")))
+    met = asked.join(rows, (F.col("symbol") == F.col("_s")) & (F.col("_block") == F.col("_of")))
+    return met.where(F.col("bar_idx").between(F.col("buy_idx") + first, F.col("buy_idx") + last)).drop("_block", "_of")
+
+
 def _held(trades: DataFrame, bars: DataFrame, horizons: tuple[int, ...], first: int) -> DataFrame:
-    """Trades with the bars from ``first`` bars after the buy to the longest horizon: an equi-join on symbol with a bounded range."""
-    own = indexed(bars).select(F.col("symbol").alias("_s"), "bar_idx", "bars_total", F.col("date").alias("_date"), F.col("low_adj").alias("_low"), F.col("close_adj").alias("_close"), F.col("volume").alias("_volume"))
-    return trades.join(own, (F.col("symbol") == F.col("_s")) & F.col("bar_idx").between(F.col("buy_idx") + first, F.col("buy_idx") + max(horizons)))
+    """Trades with the bars from ``first`` bars after the buy to the longest horizon."""
+    own = indexed(bars).select(F.col("symbol").alias("_s"), "bar_idx", F.col("date").alias("_date"), F.col("low_adj").alias("_low"), F.col("close_adj").alias("_close"), F.col("volume").alias("_volume"))
+    return _in_reach(trades, own, first, max(horizons))
 
 
 def holding_drawdown(trades: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -149,10 +165,10 @@ def cap_bin(cap: Column) -> Column:
     return out
 
 
-def confirm_trend(signals: DataFrame, bars: DataFrame, slope_pos: bool = True, above_daily: bool = True, above_weekly: bool = False, above_monthly: bool = False) -> DataFrame:
-    """Signals whose close passes the chosen tests against 30-period averages; an undefined average passes."""
-    rated = resample_ma(resample_ma(daily_ma_slope(bars), "week"), "month")
-    own = rated.select(F.col("symbol").alias("_s"), F.col("date").alias("_d"), F.col("close_adj").alias("_c"), "ma_day", "ma_day_slope", "ma_week", "ma_month")
+def confirm_trend(signals: DataFrame, bars: DataFrame, slope_pos: bool = True, above_daily: bool = True, above_weekly: bool = False, above_monthly: bool = False, col: str = "close") -> DataFrame:
+    """Signals whose close (unadjusted, or ``col``) passes the chosen tests against its 30-period averages; an undefined average passes."""
+    rated = resample_ma(resample_ma(daily_ma_slope(bars, col=col), "week", col=col), "month", col=col)
+    own = rated.select(F.col("symbol").alias("_s"), F.col("date").alias("_d"), F.col(col).alias("_c"), "ma_day", "ma_day_slope", "ma_week", "ma_month")
     joined = signals.join(own, (F.col("symbol") == F.col("_s")) & (F.col("date") == F.col("_d")), "left")
     tests = [(slope_pos, F.col("ma_day_slope") > 0), (above_daily, F.col("_c") > F.col("ma_day")), (above_weekly, F.col("_c") > F.col("ma_week")), (above_monthly, F.col("_c") > F.col("ma_month"))]
     wanted = [F.coalesce(test, F.lit(True)) for on, test in tests if on]
@@ -253,7 +269,7 @@ def evaluate_exits(trades: DataFrame, bars: DataFrame, stop: float = 8.0, trail:
     """
     rated = bars.withColumn("_ma20", I.sma("close_adj", 20))
     own = indexed(rated).select(F.col("symbol").alias("_s"), "bar_idx", F.col("date").alias("_date"), F.col("close_adj").alias("_close"), F.col("volume").alias("_v"), "_ma20")
-    held = trades.join(own, (F.col("symbol") == F.col("_s")) & F.col("bar_idx").between(F.col("buy_idx") + 1, F.col("buy_idx") + max_days)).where(F.col("_v") > 0)
+    held = _in_reach(trades, own, 1, max_days).where(F.col("_v") > 0)
     w = Window.partitionBy(*TRADE).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
     peaked = held.withColumn("_peak", F.greatest(F.max("_close").over(w), F.col("buy_price_adj")))
     price = F.col("buy_price_adj")
@@ -311,16 +327,18 @@ def exposure(trades: DataFrame) -> DataFrame:
 def sweep(bars: DataFrame, grid: DataFrame, lookback: int = 12, min_months: int = 2, listing_days: int = 390, horizon: int = 60, capital: float = 100_000.0) -> DataFrame:
     """Per combination of grid (param_id, vol_ratio, upper, lower): trades, valid, avg_ret, win_rate and total_pl at the horizon.
 
-    One job: monthly features are computed once and crossed with the few combinations.
+    One job: the months' windows run once, with a count for each different ratio of the grid (a few numbers, which the
+    driver sees); the combinations meet the signals that are left.
     """
+    limits = sorted(r["vol_ratio"] for r in grid.select("vol_ratio").distinct().collect())
     rated = hist_range(monthly_bars(bars), lookback).withColumn("mom_ratio", I.ratio(F.col("amount"), F.lag("amount").over(by_month())))
-    crossed = rated.crossJoin(F.broadcast(grid))
-    w = Window.partitionBy("param_id", "symbol").orderBy("month").rowsBetween(-lookback, -1)
-    counted = crossed.withColumn("abnormal_months_count", F.coalesce(F.sum(F.when(F.col("mom_ratio") >= F.col("vol_ratio"), 1).otherwise(0)).over(w), F.lit(0)))
-    features = counted.where(F.col("abnormal_months_count") >= min_months)
-    columns = ["param_id", "upper", "lower", "abnormal_months_count", "hist_max_high_adj", "hist_min_low_adj"]
-    signals = _signals(bars, features, listing_days, None, None, (1, 2), columns)
-    near = price_position(signals, F.col("upper"), F.col("lower"))
+    before = by_month().rowsBetween(-lookback, -1)
+    counts = F.array(*(F.struct(F.lit(float(x)).alias("ratio"), F.coalesce(F.sum(F.when(F.col("mom_ratio") >= x, 1).otherwise(0)).over(before), F.lit(0)).alias("n")) for x in limits))
+    features = rated.withColumn("_counts", F.filter(counts, lambda c: c["n"] >= min_months)).where(F.size("_counts") > 0)
+    signals = _signals(bars, features, listing_days, None, None, (1, 2), ["_counts", "hist_max_high_adj", "hist_min_low_adj"])
+    counted = signals.withColumn("_c", F.explode("_counts")).withColumn("abnormal_months_count", F.col("_c.n"))
+    combined = counted.join(grid.select("param_id", F.col("vol_ratio").cast("double").alias("_ratio"), "upper", "lower"), F.col("_c.ratio") == F.col("_ratio")).drop("_counts", "_c", "_ratio")
+    near = price_position(combined, F.col("upper"), F.col("lower"))
     fills = _fills_by_param(near, bars)
     results = size_and_pl(outcomes(fills, bars, (horizon,), incomplete="null"), capital)
     own = results.groupBy("param_id").agg(*_summary())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I  # noqa: E741
 from ..functions import symbols as S
-from .universe import at_latest
+from .universe import at_latest, latest_window
 
 # fixed values: columns of the temperature table, from the lowest return to the highest
 BINS = ("limit_down", "n7_10", "n5_7", "n3_5", "n0_3", "p0_3", "p3_5", "p5_7", "p7_10", "limit_up")
@@ -21,10 +21,18 @@ def return_bins(r: Column) -> dict[str, Column]:
     return {b: both[b] for b in BINS}
 
 
-def market_temperature(bars: DataFrame, date: str | None = None) -> DataFrame:
-    """One row: trade_date, total_stocks, median_return, flat_count and the count of each return bin."""
+#: calendar days that the screens of one date look back: enough for 250 daily bars
+WARMUP_DAYS = 400
+
+
+def market_temperature(bars: DataFrame, date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    """One row: trade_date, total_stocks, median_return, flat_count and the count of each return bin.
+
+    A return needs a bar before within ``warmup_days`` days.
+    """
     r = F.col("ret")
-    today = at_latest(bars.withColumn("ret", I.pct_return()), date=date).where(r.isNotNull())
+    recent, day = latest_window(bars, warmup_days, date=date)
+    today = at_latest(recent.withColumn("ret", I.pct_return()), date=day).where(r.isNotNull())
     return today.agg(
         F.max("date").alias("trade_date"), F.count(F.lit(1)).alias("total_stocks"), F.median("ret").alias("median_return"),
         F.count_if(r == 0).alias("flat_count"), *(F.count_if(c).alias(b) for b, c in return_bins(r).items()),
@@ -63,15 +71,14 @@ def limit_up_flag(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret", I.pct_return("close")).withColumn("limit_up", limit_up(F.col("ret"), F.col("symbol")))
 
 
-def limit_up_streaks(bars: DataFrame, date: str | None = None) -> DataFrame:
-    """symbol, close, ret and streak of the instruments at their limit on the market's latest date."""
-    flagged = limit_up_flag(bars)
-    if date is not None:
-        flagged = flagged.where(F.col("date") <= F.to_date(F.lit(date)))
+def limit_up_streaks(bars: DataFrame, date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    """symbol, close, ret and streak of the instruments at their limit on the market's latest date; streaks within ``warmup_days`` days."""
+    recent, day = latest_window(bars, warmup_days, date=date)
+    flagged = limit_up_flag(recent)
     # a run gets the number of misses before it; its last bar counts its length
     island = F.sum(F.when(F.col("limit_up"), 0).otherwise(1)).over(I.by_date().rowsBetween(Window.unboundedPreceding, 0))
     runs = flagged.withColumn("_island", island).withColumn("streak", F.sum(F.when(F.col("limit_up"), 1).otherwise(0)).over(Window.partitionBy("symbol", "_island")))
-    return at_latest(runs, date=date, calendar=bars).where("limit_up").select("symbol", "close", "ret", "streak")
+    return at_latest(runs, date=day).where("limit_up").select("symbol", "close", "ret", "streak")
 
 
 def streak_ladder(streaks: DataFrame, names: DataFrame) -> DataFrame:
@@ -80,11 +87,11 @@ def streak_ladder(streaks: DataFrame, names: DataFrame) -> DataFrame:
     return named.groupBy("streak").agg(F.count(F.lit(1)).alias("stocks"), F.array_join(F.array_sort(F.collect_list(F.coalesce("name", "symbol"))), ",").alias("symbols")).orderBy(F.desc("streak"))
 
 
-def latest_flags(bars: DataFrame, mult: float = 1.5, mas: tuple[int, ...] = (5, 10, 20, 60), date: str | None = None) -> DataFrame:
-    """symbol, above_ma20, bull and breakout at the latest date: one window pass, then one row an instrument."""
+def latest_flags(bars: DataFrame, mult: float = 1.5, mas: tuple[int, ...] = (5, 10, 20, 60), date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    """symbol, above_ma20, bull and breakout at the latest date: one window pass over the last ``warmup_days`` days, then one row an instrument."""
     columns = {f"_ma{n}": I.sma("close_adj", n) for n in {*mas, 20}}
-    rows = bars.withColumns(columns | {"_v5": I.vol_ma(5)})
-    today = at_latest(rows, calendar=bars, date=date)
+    recent, day = latest_window(bars, warmup_days, date=date)
+    today = at_latest(recent.withColumns(columns | {"_v5": I.vol_ma(5)}), date=day)
     return today.select(
         "symbol",
         (F.col("close_adj") > F.col("_ma20")).alias("above_ma20"),
@@ -111,13 +118,13 @@ def breadth(flags: DataFrame, members: DataFrame, key: str) -> DataFrame:
     )
 
 
-def concept_breadth(bars: DataFrame, blocks: DataFrame, mult: float = 1.5) -> DataFrame:
+def concept_breadth(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, warmup_days: int = WARMUP_DAYS) -> DataFrame:
     concept = blocks.where(F.col("block_category") == "concept").select(F.concat("market", "code").alias("symbol"), "block_name")
-    return breadth(latest_flags(bars, mult), concept, "block_name")
+    return breadth(latest_flags(bars, mult, warmup_days=warmup_days), concept, "block_name")
 
 
-def industry_breadth(bars: DataFrame, industries: DataFrame, mult: float = 1.5) -> DataFrame:
-    return breadth(latest_flags(bars, mult), industries, "industry_name")
+def industry_breadth(bars: DataFrame, industries: DataFrame, mult: float = 1.5, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    return breadth(latest_flags(bars, mult, warmup_days=warmup_days), industries, "industry_name")
 
 
 def breadth_label(ratio: Column) -> Column:

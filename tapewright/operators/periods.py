@@ -38,14 +38,14 @@ def hist_range(monthly: DataFrame, lookback: int = 12) -> DataFrame:
     )
 
 
-def resample_ma(bars: DataFrame, unit: str, n: int = 30, lookahead: bool = True) -> DataFrame:
-    """Bars with ma_<unit>: the n-period average of week or month closes, in order of time.
+def resample_ma(bars: DataFrame, unit: str, n: int = 30, lookahead: bool = True, col: str = "close") -> DataFrame:
+    """Bars with ma_<unit>: the n-period average of week or month closes (unadjusted unless ``col`` says so), in order of time.
 
     With ``lookahead`` every day of a period has the average that the period's last close completes;
     without it, that of the period before.
     """
     period = F.date_trunc(unit, "date").cast("date")
-    closes = bars.groupBy("symbol", period.alias("_period")).agg(F.max_by("close_adj", "date").alias("_close"))
+    closes = bars.groupBy("symbol", period.alias("_period")).agg(F.max_by(col, "date").alias("_close"))
     w = Window.partitionBy("symbol").orderBy("_period")
     averaged = closes.withColumn("_ma", I.sma_full("_close", n, w))
     if not lookahead:
@@ -54,9 +54,9 @@ def resample_ma(bars: DataFrame, unit: str, n: int = 30, lookahead: bool = True)
     return bars.join(averaged, (F.col("symbol") == F.col("_symbol")) & (period == F.col("_period")), "left").drop("_symbol", "_period")
 
 
-def daily_ma_slope(bars: DataFrame, n: int = 30) -> DataFrame:
-    """Bars with ma_day (null until n rows) and its change on the row before."""
-    return bars.withColumn("ma_day", I.sma_full("close_adj", n)).withColumn("ma_day_slope", F.col("ma_day") - F.lag("ma_day").over(I.by_date()))
+def daily_ma_slope(bars: DataFrame, n: int = 30, col: str = "close") -> DataFrame:
+    """Bars with ma_day of the unadjusted close or of ``col`` (null until n rows) and its change on the row before."""
+    return bars.withColumn("ma_day", I.sma_full(col, n)).withColumn("ma_day_slope", F.col("ma_day") - F.lag("ma_day").over(I.by_date()))
 
 
 # fixed values: slope and position of the index that each preset asks for
@@ -78,11 +78,13 @@ def regime(index_bars: DataFrame, n: int = 250, k: int = 5, preset: str = "reson
 
 
 def drift_vol(bars: DataFrame, n: int = 60) -> DataFrame:
-    """Per instrument: last close, and mean and deviation of the returns within its last n bars (defaults 0.0005 and 0.02)."""
+    """Per instrument: last close, and mean and deviation of its last n bars' returns.
+
+    Without returns the mean is 0.0005; a deviation that is missing or 0 becomes 0.02.
+    """
     before = F.lag("close_adj").over(Window.partitionBy("symbol").orderBy("date"))
-    recent = bars.withColumn("_rn", I.recency_rank()).where(F.col("_rn") <= n)
-    returns = recent.withColumn("_r", I.ratio(F.col("close_adj") - before, before))
+    returns = bars.withColumns({"_r": I.ratio(F.col("close_adj") - before, before), "_rn": I.recency_rank()}).where(F.col("_rn") <= n)
     return returns.groupBy("symbol").agg(
         F.max_by("close_adj", "date").alias("close"), F.max("date").alias("date"),
-        F.coalesce(F.avg("_r"), F.lit(0.0005)).alias("drift"), F.coalesce(F.stddev_samp("_r"), F.lit(0.02)).alias("vol"),
+        F.coalesce(F.avg("_r"), F.lit(0.0005)).alias("drift"), F.when(F.stddev_samp("_r") > 0, F.stddev_samp("_r")).otherwise(F.lit(0.02)).alias("vol"),
     )

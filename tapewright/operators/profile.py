@@ -40,6 +40,7 @@ def pattern_stats(bars: DataFrame, horizon: int = 5) -> DataFrame:
     """
     rated = bars.withColumns({"ret": I.pct_return(), "fwd": I.forward_return(horizon), "ma20": I.sma("close_adj", 20), "v5": I.vol_ma(5), "v20": I.vol_ma(20)})
     rated = rated.withColumns({"dev": I.deviation_pct("close_adj", "ma20"), "top": I.trailing_max("ret", 14, 1)}).where(F.col("fwd").isNotNull())
+    # fixed values: the thresholds of the patterns
     patterns = {
         "breakout": (F.col("close_adj") > F.col("ma20")) & (F.col("volume") > 1.5 * F.col("v5")),
         "support": (F.col("low_adj") <= F.col("ma20")) & (F.col("ma20") <= F.col("close_adj")),
@@ -59,34 +60,37 @@ def pattern_stats(bars: DataFrame, horizon: int = 5) -> DataFrame:
 
 
 def forward_stats(bars: DataFrame, horizon: int = 5) -> DataFrame:
-    """symbol, samples, wins, avg_gain and avg_loss of the returns over the next rows."""
+    """symbol, samples, wins, avg_gain and avg_loss of the returns over the next rows; a return of 0 is neither gain nor loss."""
     fwd = bars.withColumn("fwd", I.forward_return(horizon)).where(F.col("fwd").isNotNull())
     up = F.col("fwd") > 0
-    return fwd.groupBy("symbol").agg(F.count(F.lit(1)).alias("samples"), F.count_if(up).alias("wins"), F.avg(F.when(up, F.col("fwd"))).alias("avg_gain"), F.avg(F.when(~up, F.col("fwd"))).alias("avg_loss"))
+    return fwd.groupBy("symbol").agg(F.count(F.lit(1)).alias("samples"), F.count_if(up).alias("wins"), F.avg(F.when(up, F.col("fwd"))).alias("avg_gain"), F.avg(F.when(F.col("fwd") < 0, F.col("fwd"))).alias("avg_loss"))
 
 
 def outlook(stats: DataFrame, features: DataFrame, env: DataFrame) -> DataFrame:
     """symbol, win_rate, expected_return and risk_reward.
 
     With more than 100 samples the win rate is moved by the mean slope and by a tenth of the market
-    temperature's distance from 50, within 18 and 92; otherwise 52.4, 1.85 and 1.35 stand.
+    temperature's distance from 50, within 18 and 92; otherwise 52.4, 1.85 and 1.35 stand. Rates and the
+    temperature have one digit, all else two, before they are used any further.
     """
-    own = features.select(F.col("symbol").alias("_s"), "slope_ma20", "slope_ma30", "dev_ma20", "vol_ratio_5")
-    joined = own.join(stats, F.col("_s") == F.col("symbol"), "left").crossJoin(F.broadcast(env.select("temperature_index")))
+    shown = lambda c, digits: F.round(F.round(c, 6), digits)  # noqa: E731  a last binary digit doesn't decide
+    own = features.select(F.col("symbol").alias("_s"), *(shown(F.col(c), 2).alias(c) for c in ("slope_ma20", "slope_ma30", "dev_ma20", "vol_ratio_5")))
+    joined = own.join(stats, F.col("_s") == F.col("symbol"), "left").crossJoin(F.broadcast(env.select(shown(F.col("temperature_index"), 1).alias("temperature_index"))))
     enough = F.coalesce(F.col("samples"), F.lit(0)) > 100
     gain, loss = F.coalesce("avg_gain", F.lit(2.5)), F.abs(F.coalesce("avg_loss", F.lit(-2.0)))
-    moved = F.col("wins") * 100.0 / F.nullif(F.col("samples"), F.lit(0)) + (F.col("slope_ma20") + F.col("slope_ma30")) / 2 + (F.col("temperature_index") - 50) / 10
-    win = F.when(enough, F.least(F.lit(92.0), F.greatest(F.lit(18.0), moved))).otherwise(F.lit(52.4))
+    moved = shown(F.col("wins") * 100.0 / F.nullif(F.col("samples"), F.lit(0)), 1) + (F.col("slope_ma20") + F.col("slope_ma30")) / 2 + (F.col("temperature_index") - 50) / 10
+    win = F.when(enough, F.least(F.lit(92.0), F.greatest(F.lit(18.0), shown(moved, 1)))).otherwise(F.lit(52.4))
     return joined.select(
         F.col("_s").alias("symbol"), win.alias("win_rate"),
-        F.when(enough, win / 100 * gain - (1 - win / 100) * loss).otherwise(F.lit(1.85)).alias("expected_return"),
-        F.when(enough, F.when(loss > 0, gain / F.nullif(loss, F.lit(0.0))).otherwise(F.lit(1.5))).otherwise(F.lit(1.35)).alias("risk_reward"),
+        F.when(enough, shown(win / 100 * gain - (1 - win / 100) * loss, 2)).otherwise(F.lit(1.85)).alias("expected_return"),
+        F.when(enough, F.when(loss > 0, shown(gain / F.nullif(loss, F.lit(0.0)), 2)).otherwise(F.lit(1.5))).otherwise(F.lit(1.35)).alias("risk_reward"),
         "dev_ma20", "vol_ratio_5",
     )
 
 
 def advice(df: DataFrame) -> DataFrame:
     """Adds one of five labels by win rate, risk/reward, distance from MA20 and volume."""
+    # fixed values: the thresholds of the labels
     win, dev = F.col("win_rate"), F.col("dev_ma20")
     label = (
         F.when((win >= 62) & (F.col("risk_reward") >= 1.5), "accumulate")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I  # noqa: E741
-from .universe import at_latest
+from .market import WARMUP_DAYS
+from .universe import at_latest, latest_window
 
 REQUIRED = ("symbol", "Close", "Vol_Ratio")
 
@@ -53,21 +54,23 @@ def resonance(picked: DataFrame, blocks: DataFrame, min_count: int = 3) -> DataF
     )
 
 
-def _screen(bars: DataFrame, blocks: DataFrame, condition: Column, mas: tuple[int, ...], min_count: int, date: str | None) -> DataFrame:
-    today = at_latest(factors(bars, mas), calendar=bars, date=date)
+def _screen(bars: DataFrame, blocks: DataFrame, condition: Column, mas: tuple[int, ...], min_count: int, date: str | None, warmup_days: int) -> DataFrame:
+    """One date's screen: only the ``warmup_days`` days up to it are read, and averages see no rows before them."""
+    recent, day = latest_window(bars, warmup_days, date=date)
+    today = at_latest(factors(recent, mas), date=day)
     return resonance(today.where(condition), blocks, min_count).drop("date").orderBy(F.desc("Vol_Ratio"), "symbol")
 
 
-def resonance_breakout(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, min_count: int = 3, date: str | None = None) -> DataFrame:
-    return _screen(bars, blocks, volume_breakout(mult), (20,), min_count, date)
+def resonance_breakout(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, min_count: int = 3, date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    return _screen(bars, blocks, volume_breakout(mult), (20,), min_count, date, warmup_days)
 
 
-def ma_long_sequence(bars: DataFrame, blocks: DataFrame, mult: float = 1.2, mas: tuple[int, ...] = I.MA_LENGTHS, min_count: int = 3, date: str | None = None) -> DataFrame:
-    return _screen(bars, blocks, long_sequence(mult, mas), mas, min_count, date)
+def ma_long_sequence(bars: DataFrame, blocks: DataFrame, mult: float = 1.2, mas: tuple[int, ...] = I.MA_LENGTHS, min_count: int = 3, date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    return _screen(bars, blocks, long_sequence(mult, mas), mas, min_count, date, warmup_days)
 
 
-def dual_resonance(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, mas: tuple[int, ...] = I.MA_LENGTHS, min_count: int = 3, date: str | None = None) -> DataFrame:
-    return _screen(bars, blocks, volume_breakout(mult) & I.bull_aligned([f"ma{n}" for n in mas]), mas, min_count, date)
+def dual_resonance(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, mas: tuple[int, ...] = I.MA_LENGTHS, min_count: int = 3, date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    return _screen(bars, blocks, volume_breakout(mult) & I.bull_aligned([f"ma{n}" for n in mas]), mas, min_count, date, warmup_days)
 
 
 def intersect(*results: DataFrame) -> DataFrame:
@@ -86,9 +89,10 @@ def merge_sectors(df: DataFrame, cols: list[str], name: str = "Sectors") -> Data
     return df.withColumn(name, F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*lists)))), ", "))
 
 
-def with_slopes(result: DataFrame, bars: DataFrame, lengths: tuple[int, ...] = (20, 30), k: int = 5) -> DataFrame:
-    """Adds slope_ma<n> of the latest bar of each selected symbol; 0 where there is none."""
-    picked = bars.join(F.broadcast(result.select(F.col("symbol").alias("_p")).distinct()), F.col("symbol") == F.col("_p"), "left_semi")
+def with_slopes(result: DataFrame, bars: DataFrame, lengths: tuple[int, ...] = (20, 30), k: int = 5, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+    """Adds slope_ma<n> of the latest bar of each selected symbol within ``warmup_days`` days; 0 where there is none."""
+    recent, _ = latest_window(bars, warmup_days)
+    picked = recent.join(result.select(F.col("symbol").alias("_p")).distinct(), F.col("symbol") == F.col("_p"), "left_semi")
     averaged = picked.withColumns({f"_ma{n}": I.sma("close_adj", n) for n in lengths})
     sloped = averaged.withColumns({f"slope_ma{n}": I.slope_pct(f"_ma{n}", k) for n in lengths} | {"_rn": I.recency_rank()}).where("_rn = 1")
     own = sloped.select(F.col("symbol").alias("_s"), *(F.col(f"slope_ma{n}").alias(f"_sl{n}") for n in lengths))
@@ -138,9 +142,16 @@ class Catalogue:
         strategy = self.entries[key][2]
         if callable(strategy):
             return strategy(**inputs, **params)
-        for name, df in inputs.items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(strategy, args=params)
+        before = {name: spark.table(name) for name in inputs if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary}
+        try:
+            for name, df in inputs.items():
+                df.createOrReplaceTempView(name)
+            return spark.sql(strategy, args=params)
+        finally:  # the result is analysed by now; the session's own views come back
+            for name in inputs:
+                spark.catalog.dropTempView(name)
+            for name, df in before.items():
+                df.createOrReplaceTempView(name)
 
 
 def default_catalogue() -> Catalogue:

@@ -44,16 +44,17 @@ def active_seats(totals: DataFrame, alias: DataFrame, min_total: float = 5e6) ->
 
 def node_size(total: Column, kind: str) -> Column:
     """18 to 40 for stocks, 12 to 30 for seats, by total."""
+    # fixed values: smallest size, room above it, and the total that adds so many steps
     low, room, unit, step = {"stock": (18, 22.0, 4e7, 10.0), "seat": (12, 18.0, 3e7, 8.0)}[kind]
     return F.lit(low) + F.floor(F.least(F.lit(room), total / unit * step)).cast("int")
 
 
 def edges(rows: DataFrame, stocks: DataFrame, seats: DataFrame) -> DataFrame:
     """src (dept), dst (code), net, buy, sell and width of the first record of each pair of active nodes."""
-    order = [F.asc_nulls_first("date"), F.desc("net"), F.desc("buy"), F.desc("sell")]
-    first = rows.where(F.col("dept").isNotNull()).withColumn("_nth", F.row_number().over(Window.partitionBy("dept", "code").orderBy(*order))).where("_nth = 1")
-    live = first.join(stocks.select(F.col("code").alias("_c")), F.col("code") == F.col("_c"), "left_semi").join(seats.select(F.col("dept").alias("_d")), F.col("dept") == F.col("_d"), "left_semi")
-    return live.select(F.col("dept").alias("src"), F.col("code").alias("dst"), "net", "buy", "sell", F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.abs("net") / 2e6)).alias("width"))
+    live = rows.join(stocks.select(F.col("code").alias("_c")), F.col("code") == F.col("_c"), "left_semi").join(seats.select(F.col("dept").alias("_d")), F.col("dept") == F.col("_d"), "left_semi")
+    # the first date, of several records that day the one with the largest amounts; null dates come first
+    first = live.groupBy("dept", "code").agg(F.min_by(F.struct("net", "buy", "sell"), F.struct("date", -F.col("net"), -F.col("buy"), -F.col("sell"))).alias("_x")).select("dept", "code", "_x.*")
+    return first.select(F.col("dept").alias("src"), F.col("code").alias("dst"), "net", "buy", "sell", F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.abs("net") / 2e6)).alias("width"))
 
 
 def _top(rows: DataFrame, keys: list[str], label: str, order: list, k: int, name: str) -> DataFrame:

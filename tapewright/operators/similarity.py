@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I  # noqa: E741
+from ..sources.shared import on_workers
+from .universe import valid_prices
 
 SIZE, FUTURE, GAP = 30, 20, 10
 
@@ -21,10 +23,11 @@ def minmax(arr: Column) -> Column:
 def windows(bars: DataFrame, size: int = SIZE, future: int = FUTURE, gap: int = GAP) -> DataFrame:
     """source, start_idx, start_date, end_date, prices (size + future closes) and pattern (the first ``size``, scaled).
 
-    A window starts at every bar that has size + future + gap bars or more after it.
+    Bars without an adjusted close or a volume are passed over. A window starts at every bar that has size +
+    future + gap bars or more after it.
     """
     w = I.by_date()
-    rows = bars.select("symbol", "date", "close_adj").withColumns(
+    rows = valid_prices(bars).select("symbol", "date", "close_adj").withColumns(
         {
             "start_idx": F.row_number().over(w) - 1,
             "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol")),
@@ -37,24 +40,96 @@ def windows(bars: DataFrame, size: int = SIZE, future: int = FUTURE, gap: int =
 
 
 def targets(bars: DataFrame, symbols: list[str] | None = None, size: int = SIZE) -> DataFrame:
-    """target, start_price and pattern of the last ``size`` bars of the instruments (all, or those named) that have so many."""
-    own = bars if symbols is None else bars.where(F.col("symbol").isin(symbols))
+    """target, start_price and target_pattern of the last ``size`` valid bars of the instruments (all, or those named) that have so many."""
+    own = valid_prices(bars if symbols is None else bars.where(F.col("symbol").isin(symbols)))
     last = own.withColumn("_rn", I.recency_rank()).where(F.col("_rn") <= size)
     listed = last.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close_adj"))), lambda x: x["close_adj"]).alias("_p")).where(F.size("_p") == size)
     return listed.select(F.col("symbol").alias("target"), F.element_at("_p", 1).alias("start_price"), minmax(F.col("_p")).alias("target_pattern"))
 
 
-def nearest_l2(aims: DataFrame, pool: DataFrame, k: int = 150, scope: str = "all", index: str = "sh000001") -> DataFrame:
-    """The k windows nearest to each target by root mean squared difference.
-
-    scope: ``all`` windows, or ``own`` history plus one index. Targets are few (named by a
-    caller, SIZE doubles each) and go to the windows; each task keeps k a target before the shuffle.
+class _Best:
+    """The k smallest distances of each target so far, with all ties of the k-th."""
+
+    def __init__(self, k: int):
+        self.k, self.bound, self.held = k, np.inf, []
+
+    def add(self, distance: np.ndarray, at: np.ndarray) -> None:
+        near = distance <= self.bound
+        if near.any():
+            self.held.append((distance[near], at[near]))
+            if sum(len(d) for d, _ in self.held) > 4 * self.k:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0), np.zeros(0, np.int64)
+        distance, at = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        if len(distance) > self.k:
+            self.bound = np.partition(distance, self.k - 1)[self.k - 1]
+            distance, at = distance[distance <= self.bound], at[distance <= self.bound]
+        self.held = [(distance, at)]
+        return distance, at
+
+
+_FOUND = "target string, source string, start_idx int, start_date date, end_date date, l2 double, pattern array<double>"
+
+
+def _scan(names: list[str], patterns: np.ndarray, k: int, scope: str, index: str, size: int, future: int, gap: int):
+    """One instrument's history against all targets: its k nearest windows for each."""
+
+    def run(history: pd.DataFrame) -> pd.DataFrame:
+        history = history.sort_values("date")
+        source, prices, dates = history["symbol"].iloc[0], history["close_adj"].to_numpy(float), history["date"].to_numpy()
+        n = len(prices) - size - future - gap
+        asked = [t for t, name in enumerate(names) if scope == "all" or source in (name, index)]
+        if n <= 0 or not asked:
+            return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+        rows = np.lib.stride_tricks.sliding_window_view(prices, size)[:n]
+        low, span = rows.min(1, keepdims=True), np.ptp(rows, axis=1)[:, None]
+        scaled = (rows - low) / np.where(span > 0, span, 1.0)
+        out = []
+        for t in asked:
+            distance = np.sqrt(((patterns[t] - scaled) ** 2).sum(1) / size)
+            best = _Best(k)
+            best.add(distance, np.arange(n))
+            near, at = best.cut()
+            out.append(pd.DataFrame({"target": names[t], "source": source, "start_idx": at.astype(np.int32), "start_date": dates[at], "end_date": dates[at + size - 1], "l2": near, "pattern": list(scaled[at])}))
+        return pd.concat(out)
+
+    return run
+
+
+def nearest_l2(aims: DataFrame, bars: DataFrame, k: int = 150, scope: str = "all", index: str = "sh000001", at_once: int = 20_000, size: int = SIZE, future: int = FUTURE, gap: int = GAP) -> DataFrame:
+    """The k windows of ``bars`` nearest to each target by root mean squared difference, with l2_rank, prices and the target's columns.
+
+    scope: ``all`` windows, or ``own`` history plus one index. Targets are taken in blocks of about ``at_once`` (SIZE
+    doubles each), which go to the tasks; a block reads the bars once, an instrument's history (as many rows as
+    there were trading days) is one group, and k windows an instrument and target at most are shuffled.
+    Closes of the winners alone are fetched.
     """
-    joined = pool.join(F.broadcast(aims), F.lit(True) if scope == "all" else (F.col("source") == F.col("target")) | (F.col("source") == index))
-    squared = F.aggregate(F.zip_with("target_pattern", "pattern", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = joined.withColumn("l2", F.sqrt(squared / F.size("pattern")))
+    on_workers(bars.sparkSession)
+    history = valid_prices(bars).select("symbol", "date", "close_adj")
+    blocks = max(1, -(-aims.count() // at_once))
+    found = None
+    for block in range(blocks):
+        own = aims.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == block).select("target", "target_pattern").collect()
+        names, patterns = [r["target"] for r in own], np.array([r["target_pattern"] for r in own], float).reshape(-1, size)
+        one = history.groupBy("symbol").applyInPandas(_scan(names, patterns, k, scope, index, size, future, gap), _FOUND)
+        found = one if found is None else found.unionByName(one)
     nth = F.row_number().over(Window.partitionBy("target").orderBy("l2", "source", "start_idx"))
-    return near.withColumn("l2_rank", nth).where(F.col("l2_rank") <= k)
+    near = found.withColumn("l2_rank", nth).where(F.col("l2_rank") <= k)
+    targeted = near.join(aims.select(F.col("target").alias("_t"), "start_price", "target_pattern"), F.col("target") == F.col("_t")).drop("_t")
+    return _with_prices(targeted, history, size + future)
+
+
+def _with_prices(matches: DataFrame, history: DataFrame, length: int) -> DataFrame:
+    """Adds prices: the closes of ``length`` bars from each match's first."""
+    wanted = matches.select(F.col("source").alias("_s"), F.col("start_idx").alias("_i")).distinct()
+    rows = history.withColumn("_at", F.row_number().over(I.by_date()) - 1).select("symbol", "_at", "close_adj")
+    each = wanted.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    met = each.join(rows, (F.col("_s") == F.col("symbol")) & (F.col("_i") + F.col("_k") == F.col("_at")))
+    listed = met.groupBy("_s", "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "close_adj"))), lambda x: x["close_adj"]).alias("prices"))
+    return matches.join(listed, (F.col("source") == F.col("_s")) & (F.col("start_idx") == F.col("_i"))).drop("_s", "_i")
 
 
 def dtw_distances(a: np.ndarray, b: np.ndarray, band: int = 4) -> np.ndarray:
@@ -129,7 +204,7 @@ def match_summary(matches: DataFrame) -> DataFrame:
     )
 
 
-def similar_patterns(bars: DataFrame, symbols: list[str], k: int = 150, n: int = 5, scope: str = "all") -> DataFrame:
-    """The whole chain for the named targets."""
-    near = nearest_l2(targets(bars, symbols), windows(bars), k, scope)
+def similar_patterns(bars: DataFrame, aims: DataFrame, k: int = 150, n: int = 5, scope: str = "all") -> DataFrame:
+    """The whole chain for the targets ``aims`` (see ``targets``)."""
+    near = nearest_l2(aims, bars, k, scope)
     return align_matches(non_overlapping(near.withColumn("dtw", dtw("target_pattern", "pattern")), n))

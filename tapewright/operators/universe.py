@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def at_latest(df: DataFrame, calendar: DataFrame | None = None, date: str | None
     return df.crossJoin(latest_date(df if calendar is None else calendar)).where(F.col("date") == F.col("latest")).drop("latest")
 
 
+def latest_window(bars: DataFrame, days: int, calendar: DataFrame | None = None, date: str | None = None) -> tuple[DataFrame, str]:
+    """Bars of the ``days`` calendar days up to a date, and the date: the one given, or the calendar's (default: the bars') latest.
+
+    The range is a literal, so it reaches the scan before any window; the driver sees one date.
+    Windows over the result see the rows of these days only.
+    """
+    last = datetime.date.fromisoformat(date) if date is not None else (bars if calendar is None else calendar).agg(F.max("date")).first()[0]
+    if last is None:
+        return bars.where(F.lit(False)), "1970-01-01"
+    return bars.where(F.col("date").between(F.lit(last - datetime.timedelta(days)), F.lit(last))), last.isoformat()
+
+
 def traded_today(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Bars of the calendar's latest date with a volume."""
     return at_latest(bars, calendar).where(F.col("volume") > 0)
@@ -59,9 +73,9 @@ def latest_n(bars: DataFrame, n: int) -> DataFrame:
 
 
 def price_position(signals: DataFrame, upper: float = 1.3, lower: float = 0.7) -> DataFrame:
-    """Signals near their history: highest high at most close * upper, lowest low at least close * lower; 0 passes."""
+    """Signals near their history: highest high at most close * upper and lowest low at least close * lower. A high of 0 (no history) passes."""
     high, low, close = F.col("hist_max_high_adj"), F.col("hist_min_low_adj"), F.col("close_adj")
-    return signals.where(((high == 0) | (high <= close * upper)) & ((low == 0) | (low >= close * lower)))
+    return signals.where((high == 0) | ((high <= close * upper) & (low >= close * lower)))
 
 
 def resolve_symbol(ids: DataFrame, names: DataFrame, bars: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ _SIGNALS = _FLAGS + _MONTHLY + """, u as (select symbol, date, cast(date_trunc('
 _FILLS = _SIGNALS + """, ib as (select *, row_number() over (partition by symbol order by date) - 1 as i, count(*) over (partition by symbol) as n, lead(low_adj) over w as nl, lead(high_adj) over w as nh, lead(date) over w as nd from bars window w as (partition by symbol order by date)),
     pl as (select sg.*, i, nd, coalesce(nl <= sg.close_adj and nh >= sg.close_adj, false) as fits from sg join ib on ib.symbol = sg.symbol and ib.date = sg.date),
     tr as (select a.symbol, a.signal_month, a.date as signal_date, case when a.fits then a.nd else b.nd end as buy_date, case when a.fits then a.i else b.i end + 1 as buy_idx, case when a.fits then a.close else b.close end as buy_price,
-            case when a.fits then a.close_adj else b.close_adj end as buy_price_adj, 1.0::double as buy_factor, case when a.fits then 'first' else 'second' end as buy_type
+            case when a.fits then a.close_adj else b.close_adj end as buy_price_adj, case when a.fits then a.factor else b.factor end as buy_factor, case when a.fits then 'first' else 'second' end as buy_type
         from pl a left join pl b on b.symbol = a.symbol and b.signal_month = a.signal_month and b.limit_up_rank = 2
         where a.limit_up_rank = 1 and a.nd is not null and (a.fits or coalesce(b.fits and b.nd is not null and b.i - a.i <= 10 and (b.close_adj - a.close_adj) / a.close_adj <= 0.2, false)))"""
 _OUTCOMES = _FILLS + f""", oc as (select tr.*, horizon, x.i is not null as completed, coalesce(x.date, l.date) as exit_date, coalesce(x.close_adj, l.close_adj) as exit_price_adj
@@ -39,7 +39,8 @@ def _signals(v: Views):
 
 
 def _trades(v: Views):
-    return events.match_fills(_signals(v), v.bars)
+    """The trades of all signals, written once a session; b3_match_fills makes them."""
+    return v.kept("trades", lambda: events.match_fills(_signals(v), v.numbered))
 
 
 Q["b1_limit_up_flag"] = (lambda v: events.limit_up_flag(v.bars).select("symbol", "date", "limit_up", *r6(ret=F.col("ret"))), with_views("bars", _FLAGS + " select symbol, date, up as limit_up, round(ret, 6) + 0::double as ret from fl"))
@@ -49,29 +50,29 @@ Q["b2_f12_signals"] = (
 )
 Q["f8_price_position"] = (
     lambda v: universe.price_position(_signals(v), 1.15, 0.85).select("symbol", "date"),
-    with_views("bars", _SIGNALS + " select symbol, date from sg where (hist_max_high_adj = 0 or hist_max_high_adj <= close_adj * 1.15) and (hist_min_low_adj = 0 or hist_min_low_adj >= close_adj * 0.85)"),
+    with_views("bars", _SIGNALS + " select symbol, date from sg where hist_max_high_adj = 0 or (hist_max_high_adj <= close_adj * 1.15 and hist_min_low_adj >= close_adj * 0.85)"),
 )
 _TR = "symbol, signal_month, signal_date, buy_date, buy_idx, buy_price, buy_price_adj, buy_type"
-Q["b3_match_fills"] = (lambda v: _trades(v).select(*_TR.split(", ")), with_views("bars", _FILLS + f" select {_TR} from tr"))
+Q["b3_match_fills"] = (lambda v: events.match_fills(_signals(v), v.numbered).select(*_TR.split(", ")), with_views("bars", _FILLS + f" select {_TR} from tr"))
 Q["b4_b6_outcomes"] = (
-    lambda v: events.outcomes(_trades(v), v.bars, H).select("symbol", "signal_month", "horizon", "exit_date", "completed", *r6(ret=F.col("ret"))),
+    lambda v: events.outcomes(_trades(v), v.numbered, H).select("symbol", "signal_month", "horizon", "exit_date", "completed", *r6(ret=F.col("ret"))),
     with_views("bars", _OUTCOMES + " select symbol, signal_month, horizon, exit_date, completed, round(ret, 6) + 0::double as ret from ou"),
 )
 Q["b6_outcomes_null"] = (
-    lambda v: events.outcomes(_trades(v), v.bars, H, "null").select("symbol", "signal_month", "horizon", "exit_date", "completed", *r6(ret=F.col("ret"))),
+    lambda v: events.outcomes(_trades(v), v.numbered, H, "null").select("symbol", "signal_month", "horizon", "exit_date", "completed", *r6(ret=F.col("ret"))),
     with_views("bars", _OUTCOMES + " select symbol, signal_month, horizon, case when completed then exit_date end as exit_date, completed, case when completed then round(ret, 6) + 0::double end as ret from ou"),
 )
 _DD = _FILLS + f", dd as (select tr.symbol, tr.signal_month, horizon, min(low_adj) / any_value(buy_price_adj) - 1 as dd from tr cross join {_HS} join ib on ib.symbol = tr.symbol and ib.i between buy_idx + 1 and buy_idx + horizon group by 1, 2, 3)"
 Q["b5_holding_drawdown"] = (
-    lambda v: events.holding_drawdown(_trades(v), v.bars, H).where("dd is not null").select("symbol", "signal_month", "horizon", *r6(dd=F.col("dd"))),
+    lambda v: events.holding_drawdown(_trades(v), v.numbered, H).where("dd is not null").select("symbol", "signal_month", "horizon", *r6(dd=F.col("dd"))),
     with_views("bars", _DD + " select symbol, signal_month, horizon, round(dd, 6) + 0::double as dd from dd"),
 )
 
 
 def _measured(v: Views):
     """Outcomes with drawdown, benchmark, market cap, industry, shares and money."""
-    results = events.outcomes(_trades(v), v.bars, H)
-    dd = events.holding_drawdown(_trades(v), v.bars, H).select(F.col("symbol").alias("_s"), F.col("signal_month").alias("_m"), F.col("horizon").alias("_h"), "dd")
+    results = events.outcomes(_trades(v), v.numbered, H)
+    dd = events.holding_drawdown(_trades(v), v.numbered, H).select(F.col("symbol").alias("_s"), F.col("signal_month").alias("_m"), F.col("horizon").alias("_h"), "dd")
     joined = results.join(dd, (F.col("symbol") == F.col("_s")) & (F.col("signal_month") == F.col("_m")) & (F.col("horizon") == F.col("_h")), "left").drop("_s", "_m", "_h")
     own = v.industries.select(F.col("symbol").alias("_i"), F.col("industry_name").alias("industry"))
     with_industry = events.with_benchmark(joined, v.index_bars).join(own, F.col("symbol") == F.col("_i"), "left").drop("_i")
@@ -88,7 +89,7 @@ _MEASURED = _OUTCOMES + f""", ddx as (select tr.symbol, tr.signal_month, horizon
 _NEED = "bars index_bars industries share_events"
 _KEY = ["symbol", "signal_month", "horizon"]
 Q["b7_with_benchmark"] = (
-    lambda v: events.with_benchmark(events.outcomes(_trades(v), v.bars, H), v.index_bars).select(*_KEY, *r6(idx_ret=F.col("idx_ret"), alpha=F.col("alpha"))),
+    lambda v: events.with_benchmark(events.outcomes(_trades(v), v.numbered, H), v.index_bars).select(*_KEY, *r6(idx_ret=F.col("idx_ret"), alpha=F.col("alpha"))),
     with_views(_NEED, _MEASURED + " select symbol, signal_month, horizon, round(idx_ret, 6) + 0::double as idx_ret, round(alpha, 6) + 0::double as alpha from me"),
 )
 _CLASS = "case when float_market_cap < 50e8 then '<50' when float_market_cap < 200e8 then '50-200' when float_market_cap < 500e8 then '200-500' when float_market_cap < 1000e8 then '500-1000' else '>=1000' end"
@@ -98,13 +99,13 @@ Q["b8_b10_market_cap"] = (
     with_views(_NEED, _MEASURED + f" select symbol, signal_month, round(float_market_cap, 2) as float_market_cap, {_CLASS} as cap_class, {_BIN} as cap_bin from me where horizon = 4"),
 )
 _TREND = "".join(
-    f""", c{u} as (select symbol, date_trunc('{u}', date) as p, arg_max(close_adj, date) as c from bars group by 1, 2), a{u} as (select symbol, p, case when row_number() over (partition by symbol order by p) >= 30 then avg(c) over (partition by symbol order by p rows 29 preceding) end as ma from c{u})"""
+    f""", c{u} as (select symbol, date_trunc('{u}', date) as p, arg_max(close, date) as c from bars group by 1, 2), a{u} as (select symbol, p, case when row_number() over (partition by symbol order by p) >= 30 then avg(c) over (partition by symbol order by p rows 29 preceding) end as ma from c{u})"""
     for u in ("week", "month")
-) + f", dy as (select *, case when row_number() over (partition by symbol order by date) >= 30 then {_avg(30)} end as ma from bars), ds as (select *, ma - lag(ma) over (partition by symbol order by date) as slope from dy)"
+) + f", dy as (select *, case when row_number() over (partition by symbol order by date) >= 30 then {_avg(30, 'close')} end as ma from bars), ds as (select *, ma - lag(ma) over (partition by symbol order by date) as slope from dy)"
 Q["b11_confirm_trend"] = (
     lambda v: events.confirm_trend(_signals(v), v.bars, True, True, True, True).select("symbol", "date"),
     with_views("bars", _SIGNALS + _TREND + """ select sg.symbol, sg.date from sg join ds on ds.symbol = sg.symbol and ds.date = sg.date left join aweek w on w.symbol = sg.symbol and w.p = date_trunc('week', sg.date)
-        left join amonth o on o.symbol = sg.symbol and o.p = date_trunc('month', sg.date) where coalesce(slope > 0, true) and coalesce(ds.close_adj > ds.ma, true) and coalesce(ds.close_adj > w.ma, true) and coalesce(ds.close_adj > o.ma, true)"""),
+        left join amonth o on o.symbol = sg.symbol and o.p = date_trunc('month', sg.date) where coalesce(slope > 0, true) and coalesce(ds.close > ds.ma, true) and coalesce(ds.close > w.ma, true) and coalesce(ds.close > o.ma, true)"""),
 )
 _REGIME = ", rm as (select date, close, case when row_number() over (order by date) >= 60 then avg(close) over (order by date rows 59 preceding) end as ma from index_bars), rp as (select *, lag(ma, 5) over (order by date) as b from rm), rg as (select date, case when ma is null or b is null then true else ma > b and close > ma end as ok from rp)"
 
@@ -119,7 +120,7 @@ Q["b12_regime_stats"] = (
     with_views("bars index_bars", _FILLS + _REGIME + " select count(*) as signals, count(*) filter (where coalesce(ok, true)) as executed, count(*) filter (where not coalesce(ok, true)) as bypassed, round(coalesce(count(*) filter (where not coalesce(ok, true)) * 100.0::double / nullif(count(*), 0), 0), 6) as bypass_ratio from tr left join rg on rg.date = signal_date"),
 )
 Q["b13_stop_loss"] = (
-    lambda v: events.apply_stop_loss(_trades(v), v.bars, 8.0, H).select(*_KEY, "exit_date", "stopped", *r6(ret=F.col("ret"), exit_price_adj=F.col("exit_price_adj"))),
+    lambda v: events.apply_stop_loss(_trades(v), v.numbered, 8.0, H).select(*_KEY, "exit_date", "stopped", *r6(ret=F.col("ret"), exit_price_adj=F.col("exit_price_adj"))),
     with_views("bars", _OUTCOMES + """, sp as (select ou.*, (select min(i) from ib where ib.symbol = ou.symbol and ib.i between buy_idx and buy_idx + horizon and low_adj <= buy_price_adj * (1 - 8.0::double / 100)) as si from ou where completed)
         select sp.symbol, signal_month, horizon, case when si is not null then ib.date else exit_date end as exit_date, si is not null as stopped, round(case when si is not null then -0.08 else ret end, 6) + 0::double as ret,
             round(case when si is not null then buy_price_adj * 0.92 else exit_price_adj end, 6) as exit_price_adj from sp left join ib on ib.symbol = sp.symbol and ib.i = si"""),
@@ -176,18 +177,18 @@ _EXITS = _FILLS + f""", m20 as (select symbol, date, {_avg(20)} as ma20 from bar
     rs as (select *, case when close_adj < buy_price_adj * (1 - 8.0::double / 100) then 'stop' when close_adj < peak * (1 - 6.0::double / 100) then 'trail' when close_adj < ma20 then 'average' when held >= 10 then 'time' end as reason from hb),
     ex as (select symbol, signal_month, any_value(buy_price_adj) as buy_price_adj, min(held) as held, arg_min(date, held) as exit_date, arg_min(close_adj, held) as exit_price, arg_min(reason, held) as reason from rs where reason is not null group by 1, 2)"""
 Q["b20_evaluate_exits"] = (
-    lambda v: events.evaluate_exits(_trades(v), v.bars).select("symbol", "signal_month", "exit_date", "exit_price", "reason", "held"),
+    lambda v: events.evaluate_exits(_trades(v), v.numbered).select("symbol", "signal_month", "exit_date", "exit_price", "reason", "held"),
     with_views("bars", _EXITS + " select symbol, signal_month, exit_date, exit_price, reason, held from ex"),
 )
 Q["b21_net_of_costs"] = (
-    lambda v: events.net_of_costs(events.evaluate_exits(_trades(v), v.bars)).select("symbol", "signal_month", *r6(net_pct=F.col("net_pct"))),
+    lambda v: events.net_of_costs(events.evaluate_exits(_trades(v), v.numbered)).select("symbol", "signal_month", *r6(net_pct=F.col("net_pct"))),
     with_views("bars", _EXITS + " select symbol, signal_month, round((exit_price * (1 - 0.1::double / 100) * (1 - (0.03::double + 0.1::double) / 100) / (buy_price_adj * (1 + 0.1::double / 100) * (1 + 0.03::double / 100)) - 1) * 100, 6) as net_pct from ex"),
 )
 
 
 def _exposed(v: Views):
     """Trades with their exits, industries and concept blocks."""
-    closed = events.evaluate_exits(_trades(v), v.bars).select("symbol", "buy_date", "exit_date")
+    closed = events.evaluate_exits(_trades(v), v.numbered).select("symbol", "buy_date", "exit_date")
     own = v.industries.select(F.col("symbol").alias("_i"), F.col("industry_name").alias("industry"))
     concepts = v.blocks.where("block_category = 'concept'").groupBy(F.concat("market", "code").alias("_c")).agg(F.collect_set("block_name").alias("concepts"))
     return closed.join(own, F.col("symbol") == F.col("_i"), "left").join(concepts, F.col("symbol") == F.col("_c"), "left").select("symbol", "buy_date", "exit_date", "industry", "concepts")
@@ -219,21 +220,21 @@ Q["b23_curve_metrics"] = (
 )
 Q["b24_benchmark_nav"] = (lambda v: curves.benchmark_nav(v.index_bars, 100.0).select("date", *r6(nav=F.col("nav"))), with_views("index_bars", "select date, round(close / (select arg_min(close, date) from index_bars) * 100, 6) as nav from index_bars"))
 Q["b25_trade_ratios"] = (
-    lambda v: curves.trade_ratios(events.net_of_costs(events.evaluate_exits(_trades(v), v.bars)), "net_pct").select("sells", *r6(win_rate=F.col("win_rate"), profit_loss_ratio=F.col("profit_loss_ratio"))),
+    lambda v: curves.trade_ratios(events.net_of_costs(events.evaluate_exits(_trades(v), v.numbered)), "net_pct").select("sells", *r6(win_rate=F.col("win_rate"), profit_loss_ratio=F.col("profit_loss_ratio"))),
     with_views("bars", _EXITS + ", np as (select (exit_price * 0.999 * (1 - 0.0013) / (buy_price_adj * 1.001 * 1.0003) - 1) * 100 as p from ex) select count(*) as sells, round(coalesce(count(*) filter (where p > 0) * 100.0::double / nullif(count(*), 0), 0), 6) as win_rate, case when count(*) = 0 then 0 else round(coalesce(coalesce(avg(p) filter (where p > 0), 0) / avg(-p) filter (where p <= 0), 99), 6) end as profit_loss_ratio from np"),
 )
 _SWEEP = _FLAGS + _MONTHLY.partition(",\n    ma as")[0] + """,
     ma as (select *, coalesce(sum(case when ratio >= vol_ratio then 1 else 0 end) over (partition by param_id, symbol order by month rows between 12 preceding and 1 preceding), 0)::bigint as cnt from mr, params),
-    u as (select symbol, date, cast(date_trunc('month', date) as date) as signal_month, close, close_adj, first, row_number() over (partition by symbol, date_trunc('month', date) order by date) as rk
+    u as (select symbol, date, cast(date_trunc('month', date) as date) as signal_month, close, close_adj, factor, first, row_number() over (partition by symbol, date_trunc('month', date) order by date) as rk
         from (select fl.*, f0.first from fl join (select symbol, min(date) as first from bars group by 1) f0 on f0.symbol = fl.symbol) where up),
-    sg as (select param_id, u.symbol, u.date, u.signal_month, close, close_adj, rk as limit_up_rank from u join ma on ma.symbol = u.symbol and ma.month = u.signal_month where rk <= 2 and date - first >= 390 and cnt >= 2
-        and (mx = 0 or mx <= close_adj * upper) and (mn = 0 or mn >= close_adj * lower)),
+    sg as (select param_id, u.symbol, u.date, u.signal_month, close, close_adj, factor, rk as limit_up_rank from u join ma on ma.symbol = u.symbol and ma.month = u.signal_month where rk <= 2 and date - first >= 390 and cnt >= 2
+        and (mx = 0 or (mx <= close_adj * upper and mn >= close_adj * lower))),
     ib as (select *, row_number() over (partition by symbol order by date) - 1 as i, lead(low_adj) over w as nl, lead(high_adj) over w as nh, lead(date) over w as nd from bars window w as (partition by symbol order by date)),
     pl as (select sg.*, i, nd, coalesce(nl <= sg.close_adj and nh >= sg.close_adj, false) as fits from sg join ib on ib.symbol = sg.symbol and ib.date = sg.date),
-    tr as (select a.param_id, a.symbol, case when a.fits then a.i else b.i end + 1 as buy_idx, case when a.fits then a.close else b.close end as price
+    tr as (select a.param_id, a.symbol, case when a.fits then a.i else b.i end + 1 as buy_idx, case when a.fits then a.close else b.close end as price, case when a.fits then a.close_adj else b.close_adj end as price_adj, case when a.fits then a.factor else b.factor end as factor
         from pl a left join pl b on b.param_id = a.param_id and b.symbol = a.symbol and b.signal_month = a.signal_month and b.limit_up_rank = 2
         where a.limit_up_rank = 1 and a.nd is not null and (a.fits or coalesce(b.fits and b.nd is not null and b.i - a.i <= 10 and (b.close_adj - a.close_adj) / a.close_adj <= 0.2, false))),
-    rs as (select tr.*, x.close_adj / price - 1 as ret, greatest(floor(100000.0 / price / 100) * 100, 100) * (x.close_adj - price) as pl, x.i is not null as done from tr left join ib x on x.symbol = tr.symbol and x.i = buy_idx + 12),
+    rs as (select tr.*, x.close_adj / price_adj - 1 as ret, greatest(floor(100000.0 / price / 100) * 100, 100) * (x.close_adj - price_adj) / tr.factor as pl, x.i is not null as done from tr left join ib x on x.symbol = tr.symbol and x.i = buy_idx + 12),
     sw as (select p.param_id, vol_ratio, upper, lower, count(rs.symbol) as trades, count(*) filter (where done) as valid, round(avg(ret) filter (where done) * 100, 6) as avg_ret, round(count(*) filter (where done and ret > 0) * 100.0::double / nullif(count(*) filter (where done), 0), 6) as win_rate, round(sum(pl) filter (where done), 4) as total_pl
         from params p left join rs on rs.param_id = p.param_id group by 1, 2, 3, 4)"""
 Q["b26_b27_sweep"] = (

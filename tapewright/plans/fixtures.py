@@ -1,15 +1,22 @@
 """Views of bars, mappings, actions, seats and curves over the star-schema tables, and the same views as SQL.
 
 Each supplier is an instrument and each ISO week a trading day. ``Views`` gives DataFrames;
-``with_views`` puts the same definitions before a query for DuckDB.
+``with_views`` puts the same definitions before a query for DuckDB. The bars are adjusted for the view's
+corporate actions and lie in a store on disk, which a session writes once a folder of tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.adjust import adjusted_bars
+from ..operators.events import indexed
+from ..sources.bars import load_bars, write_bars
+from ..sources.shared import shared_path
+
 _SYMBOL = "case l_suppkey % 5 when 0 then 'sh60' when 1 then 'sh68' when 2 then 'sz00' when 3 then 'sz30' else 'bj43' end || lpad(cast(l_suppkey as {text}), 4, '0')"
 _ORDER = "{row}(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
 
@@ -23,9 +30,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as amount, cast(sum(l_quantity) as bigint) as volume
         from lineitem join part on l_partkey = p_partkey where l_shipdate < timestamp '2001-07-30' group by 1, 2""",
     ),
+    # for DuckDB; Spark's bars come from the library's own adjustment
     "bars": (
-        ("bars_raw",),
-        """select *, cast(1 as double) as factor, open as open_adj, high as high_adj, low as low_adj, close as close_adj, cast(volume as double) as volume_adj from bars_raw""",
+        ("bars_raw", "actions"),
+        """with f as (select a.symbol, a.date, case when b.close * (1 + a.split_ratio / 10 + a.allocated_ratio / 10) > 0
+                then (b.close - a.dividend / 10 + a.allocated_price * a.allocated_ratio / 10) / (b.close * (1 + a.split_ratio / 10 + a.allocated_ratio / 10)) else 1 end as factor
+            from actions a asof join bars_raw b on a.symbol = b.symbol and a.date > b.date where a.category = 1),
+        c as (select b.*, coalesce((select product(f.factor) from f where f.symbol = b.symbol and f.date > b.date), 1) as factor from bars_raw b)
+        select *, round(open * factor, 2) as open_adj, round(high * factor, 2) as high_adj, round(low * factor, 2) as low_adj, round(close * factor, 2) as close_adj, round(volume / factor, 0) as volume_adj from c""",
     ),
     "index_bars": (
         ("bars_raw",),
@@ -101,6 +113,10 @@ _SPARK = {"text": "string", "row": "struct", "min_by": "min_by", "max_by": "max_
 _DUCK = {"text": "varchar", "row": "row", "min_by": "arg_min", "max_by": "arg_max"}
 
 
+#: tables that a session has written, by application, folder and name
+_kept: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
     """The views over the Parquet tables of a folder, made once each."""
 
@@ -112,6 +128,34 @@ class Views:
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The result of ``build``, written once a session to the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _kept:
+            path = shared_path(self.spark, name)
+            build().write.parquet(path)
+            _kept[key] = path
+        return self.spark.read.parquet(_kept[key])
+
+    @cached_property
+    def store(self) -> str:
+        """Path of the store of adjusted bars."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "store")
+        if key not in _kept:
+            path = shared_path(self.spark, "bars")
+            write_bars(adjusted_bars(self.bars_raw, self.actions), path)
+            _kept[key] = path
+        return _kept[key]
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return load_bars(self.spark, self.store)
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """Bars with bar_idx and bars_total."""
+        return self.kept("numbered", lambda: indexed(self.bars))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS and name not in self.tables:
             raise AttributeError(name)

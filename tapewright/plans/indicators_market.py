@@ -85,7 +85,7 @@ def _resampled(v: Views, lookahead: bool):
 def _resample_sql(lag: str) -> str:
     parts, joins, cols = "", "", []
     for unit, n in (("month", 12), ("quarter", 4)):
-        parts += f""", c{unit} as (select symbol, date_trunc('{unit}', date) as p, arg_max(close_adj, date) as c from bars group by 1, 2),
+        parts += f""", c{unit} as (select symbol, date_trunc('{unit}', date) as p, arg_max(close, date) as c from bars group by 1, 2),
             a{unit} as (select symbol, p, case when row_number() over (partition by symbol order by p) >= {n} then avg(c) over (partition by symbol order by p rows {n - 1} preceding) end as ma from c{unit}),
             l{unit} as (select symbol, p, {lag} as ma from a{unit})"""
         joins += f" left join l{unit} on b.symbol = l{unit}.symbol and date_trunc('{unit}', b.date) = l{unit}.p"
@@ -97,12 +97,22 @@ Q["w22_resample_ma"] = (lambda v: _resampled(v, True), with_views("bars", _resam
 Q["w22_resample_ma_previous"] = (lambda v: _resampled(v, False), with_views("bars", _resample_sql("lag(ma) over (partition by symbol order by p)")))
 Q["w23_daily_slope"] = (
     lambda v: periods.daily_ma_slope(v.bars).select("symbol", "date", *r6(ma=F.col("ma_day"), slope=F.col("ma_day_slope"))),
-    with_views("bars", f""", m as (select symbol, date, case when row_number() over (partition by symbol order by date) >= 30 then {_avg(30)} end as ma from bars)
+    with_views("bars", f""", m as (select symbol, date, case when row_number() over (partition by symbol order by date) >= 30 then {_avg(30, "close")} end as ma from bars)
         select symbol, date, round(ma, 6) as ma, round(ma - lag(ma) over (partition by symbol order by date), 6) + 0::double as slope from m"""),
 )
 _MAS = (5, 10, 20, 30, 60, 120, 250)
-_ALIGNED = " and ".join(f"ma{a} > ma{b}" for a, b in zip(_MAS, _MAS[1:], strict=False))
-_ALL_MA = ", a as (select *, " + ", ".join(f"{_avg(n)} as ma{n}" for n in _MAS) + f", {_avg(5, 'volume')} as v5 from bars)"
+_ALIGNED = " and ".join(f"ma{a} - ma{b} > 1e-9" for a, b in zip(_MAS, _MAS[1:], strict=False))
+#: calendar days that the screens of the latest date look back here: the bars are weekly
+WARM = 840
+_RECENT = f", recent as (select * from bars where date >= (select max(date) from bars) - {WARM})"
+
+
+def _all_ma(source: str) -> str:
+    return ", a as (select *, " + ", ".join(f"{_avg(n)} as ma{n}" for n in _MAS) + f", {_avg(5, 'volume')} as v5 from {source})"
+
+
+_ALL_MA = _all_ma("bars")
+_RECENT_MA = _RECENT + _all_ma("recent")
 Q["w24_bull_aligned"] = (
     lambda v: v.bars.withColumns({f"ma{n}": I.sma("close_adj", n) for n in I.MA_LENGTHS}).where(I.bull_aligned([f"ma{n}" for n in I.MA_LENGTHS])).select("symbol", "date"),
     with_views("bars", _ALL_MA + f" select symbol, date from a where {_ALIGNED}"),
@@ -124,15 +134,15 @@ Q["w25_regime"] = (
         select date, preset, round(ma, 9) as ma, case when ma is null or b is null or preset = 'custom' then true when preset = 'resonance' then ma > b and close > ma
             when preset = 'pullback' then ma > b and close < ma else ma < b and close < ma end as ok from p, s"""),
 )
+DRIFT = """, r as (select *, (close_adj - lag(close_adj) over (partition by symbol order by date)) / lag(close_adj) over (partition by symbol order by date) as r, row_number() over (partition by symbol order by date desc) as rn from bars),
+    dv as (select symbol, max(date) as date, arg_max(close_adj, date) as close, coalesce(avg(r), 0.0005) as drift, case when stddev_samp(r) > 0 then stddev_samp(r) else 0.02 end as vol from r where rn <= 60 group by 1)"""
 Q["w26_drift_vol"] = (
     lambda v: periods.drift_vol(v.bars).select("symbol", "date", *r6(close=F.col("close"), drift=F.col("drift"), vol=F.col("vol"))),
-    with_views("bars", """, l as (select * from (select *, row_number() over (partition by symbol order by date desc) as rn from bars) where rn <= 60),
-        r as (select *, (close_adj - lag(close_adj) over (partition by symbol order by date)) / lag(close_adj) over (partition by symbol order by date) as r from l)
-        select symbol, max(date) as date, round(arg_max(close_adj, date), 6) as close, round(coalesce(avg(r), 0.0005), 6) as drift, round(coalesce(stddev_samp(r), 0.02), 6) as vol from r group by 1"""),
+    with_views("bars", DRIFT + " select symbol, date, round(close, 6) as close, round(drift, 6) as drift, round(vol, 6) as vol from dv"),
 )
 
 # ---------------------------------------------------------------- market
-_TEMP = f""", r as (select *, {_RET} as ret from bars), t as (select * from r where date = (select max(date) from bars) and ret is not null),
+_TEMP = _RECENT + f""", r as (select *, {_RET} as ret from recent), t as (select * from r where date = (select max(date) from bars) and ret is not null),
     k as (select max(date) as trade_date, count(*) as total_stocks, median(ret) as median_return, count(*) filter (where ret = 0) as flat_count,
         count(*) filter (where ret < -9.9) as limit_down, count(*) filter (where ret between -9.9 and -7) as n7_10, count(*) filter (where ret <= -5 and ret > -7) as n5_7,
         count(*) filter (where ret <= -3 and ret > -5) as n3_5, count(*) filter (where ret < 0 and ret > -3) as n0_3, count(*) filter (where ret > 0 and ret < 3) as p0_3,
@@ -140,27 +150,33 @@ _TEMP = f""", r as (select *, {_RET} as ret from bars), t as (select * from r wh
         count(*) filter (where ret > 9.9) as limit_up from t)"""
 _BINS = "limit_down, n7_10, n5_7, n3_5, n0_3, p0_3, p3_5, p5_7, p7_10, limit_up"
 Q["m1_market_temperature"] = (
-    lambda v: market.market_temperature(v.bars).withColumn("median_return", F.round("median_return", 6)),
+    lambda v: market.market_temperature(v.bars, warmup_days=WARM).withColumn("median_return", F.round("median_return", 6)),
     with_views("bars", _TEMP + f" select trade_date, total_stocks, round(median_return, 6) as median_return, flat_count, {_BINS} from k"),
 )
 _RISE = _TEMP + ", f as (select *, p0_3 + p3_5 + p5_7 + p7_10 + limit_up as rising, limit_down + n7_10 + n5_7 + n3_5 + n0_3 as falling from k)"
 Q["m2_m14_rise_fall_env"] = (
-    lambda v: market.market_env(market.rise_fall(market.market_temperature(v.bars))).select("trade_date", "rising", "falling", *r6(rising_pct=F.col("rising_pct"), falling_pct=F.col("falling_pct"), advance_decline=F.col("advance_decline"), temperature_index=F.col("temperature_index")), "market_env"),
+    lambda v: market.market_env(market.rise_fall(market.market_temperature(v.bars, warmup_days=WARM))).select("trade_date", "rising", "falling", *r6(rising_pct=F.col("rising_pct"), falling_pct=F.col("falling_pct"), advance_decline=F.col("advance_decline"), temperature_index=F.col("temperature_index")), "market_env"),
     with_views("bars", _RISE + """ select trade_date, rising, falling, round(rising * 100.0 / total_stocks, 6)::double as rising_pct, round(falling * 100.0 / total_stocks, 6)::double as falling_pct,
         round(rising::double / greatest(1, falling), 6) as advance_decline, round(coalesce(rising * 100.0::double / nullif(rising + falling, 0), 50), 6) as temperature_index,
         case when coalesce(rising * 100.0 / nullif(rising + falling, 0), 50) > 65 then 'bull' when coalesce(rising * 100.0 / nullif(rising + falling, 0), 50) < 35 then 'defensive' else 'balanced' end as market_env from f"""),
 )
 _LIMIT = "coalesce(case when symbol like 'sh60%' or symbol like 'sz00%' then ret >= 9.91 when symbol like 'sh68%' or symbol like 'sz30%' then ret >= 19.91 else false end, false)"
-_FLAGS = f""", fr as (select *, (close - lag(close) over (partition by symbol order by date)) / nullif(lag(close) over (partition by symbol order by date), 0) * 100 as ret from bars), fl as (select *, {_LIMIT} as up from fr)"""
-_STREAKS = _FLAGS + """, g as (select *, count(*) filter (where not up) over (partition by symbol order by date rows unbounded preceding) as isle from fl),
+
+
+def _flags(source: str) -> str:
+    return f""", fr as (select *, (close - lag(close) over (partition by symbol order by date)) / nullif(lag(close) over (partition by symbol order by date), 0) * 100 as ret from {source}), fl as (select *, {_LIMIT} as up from fr)"""
+
+
+_FLAGS = _flags("bars")
+_STREAKS = _RECENT + _flags("recent") + """, g as (select *, count(*) filter (where not up) over (partition by symbol order by date rows unbounded preceding) as isle from fl),
     st as (select symbol, close, ret, date, (select count(*) from g h where h.symbol = g.symbol and h.isle = g.isle and h.up) as streak from g where up and date = (select max(date) from bars))"""
-Q["m3_limit_up_streaks"] = (lambda v: market.limit_up_streaks(v.bars).withColumn("ret", F.round("ret", 6)), with_views("bars", _STREAKS + " select symbol, close, round(ret, 6) as ret, streak from st"))
+Q["m3_limit_up_streaks"] = (lambda v: market.limit_up_streaks(v.bars, warmup_days=WARM).withColumn("ret", F.round("ret", 6)), with_views("bars", _STREAKS + " select symbol, close, round(ret, 6) as ret, streak from st"))
 Q["m4_streak_ladder"] = (
-    lambda v: market.streak_ladder(market.limit_up_streaks(v.bars), v.names),
+    lambda v: market.streak_ladder(market.limit_up_streaks(v.bars, warmup_days=WARM), v.names),
     with_views("bars names", _STREAKS + " select streak, count(*) as stocks, string_agg(coalesce(n.name, st.symbol), ',' order by coalesce(n.name, st.symbol)) as symbols from st left join names n on n.symbol = st.symbol group by 1"),
 )
-_TODAY = f""", x as (select *, {_avg(5)} as ma5, {_avg(10)} as ma10, {_avg(20)} as ma20, {_avg(60)} as ma60, {_avg(5, "volume")} as v5 from bars),
-    d as (select symbol, close_adj > ma20 as above, ma5 > ma10 and ma10 > ma20 and ma20 > ma60 as bull, close_adj > ma20 and volume > 1.5 * v5 as brk from x where date = (select max(date) from bars))"""
+_TODAY = _RECENT + f""", x as (select *, {_avg(5)} as ma5, {_avg(10)} as ma10, {_avg(20)} as ma20, {_avg(60)} as ma60, {_avg(5, "volume")} as v5 from recent),
+    d as (select symbol, close_adj > ma20 as above, ma5 - ma10 > 1e-9 and ma10 - ma20 > 1e-9 and ma20 - ma60 > 1e-9 as bull, close_adj > ma20 and volume > 1.5 * v5 as brk from x where date = (select max(date) from bars))"""
 
 
 def _breadth_sql(members: str, key: str) -> str:
@@ -170,10 +186,10 @@ def _breadth_sql(members: str, key: str) -> str:
 
 
 _CONCEPT = "select distinct market || code as symbol, block_name from blocks where block_category = 'concept'"
-Q["m5_concept_breadth"] = (lambda v: market.concept_breadth(v.bars, v.blocks), with_views("bars blocks", _breadth_sql(_CONCEPT, "block_name")))
-Q["m6_industry_breadth"] = (lambda v: market.industry_breadth(v.bars, v.industries), with_views("bars industries", _breadth_sql("select distinct symbol, industry_name from industries", "industry_name")))
+Q["m5_concept_breadth"] = (lambda v: market.concept_breadth(v.bars, v.blocks, warmup_days=WARM), with_views("bars blocks", _breadth_sql(_CONCEPT, "block_name")))
+Q["m6_industry_breadth"] = (lambda v: market.industry_breadth(v.bars, v.industries, warmup_days=WARM), with_views("bars industries", _breadth_sql("select distinct symbol, industry_name from industries", "industry_name")))
 Q["m7_breadth_label"] = (
-    lambda v: market.industry_breadth(v.bars, v.industries).select("industry_name", market.breadth_label(F.col("above_ma20_ratio")).alias("label")),
+    lambda v: market.industry_breadth(v.bars, v.industries, warmup_days=WARM).select("industry_name", market.breadth_label(F.col("above_ma20_ratio")).alias("label")),
     with_views("bars industries", _TODAY + """, s as (select industry_name, count(*) filter (where above) * 100.0 / count(*) as share from d join industries m on d.symbol = m.symbol group by 1)
         select industry_name, case when share >= 40 then 'main line' when share >= 25 then 'medium-term bull' else 'local' end as label from s"""),
 )

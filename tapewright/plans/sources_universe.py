@@ -19,14 +19,39 @@ Q: dict[str, tuple] = {}
 
 
 def i3_bars_round_trip(v: Views):
-    path = shared_path(v.spark, "bars")
+    path = shared_path(v.spark, "round-trip")
     bar_files.write_bars(v.bars, path)
-    return bar_files.load_bars(v.spark, path).select("symbol", "date", "close", "close_adj", "volume", "board")
+    return universe.with_board(bar_files.load_bars(v.spark, path)).select("symbol", "date", "close", "close_adj", "volume", "board")
+
+
+def i3_replace_instruments(v: Views):
+    """Instruments with numbers divisible by 20 get other bars (one close more, no bars of 1996); all others stay."""
+    path = shared_path(v.spark, "replaced")
+    bar_files.write_bars(v.bars, path)
+    bar_files.replace_instruments(v.bars.where(_ASKED).where("year(date) <> 1996").withColumn("close", F.col("close") + 1), path)
+    return bar_files.load_bars(v.spark, path).select("symbol", "date", "close", "close_adj", "volume")
+
+
+def i1_bars_by_file(v: Views):
+    """One file an instrument, named by its id."""
+    path = shared_path(v.spark, "by-file")
+    rows = v.bars.withColumn("file", F.concat("symbol", F.lit(".parquet"))).drop("symbol")
+    rows.repartition("file").write.partitionBy("file").parquet(path)
+    return bar_files.load_bars_by_file(v.spark, path).select("symbol", "date", "close", "close_adj", "volume")
+
+
+#: the instruments that searches ask for: numbers divisible by 20
+_ASKED = "cast(substring(symbol, 5) as int) % 20 = 0"
 
 
 _BOARD = "case when symbol like 'sh60%' then 'main_sh' when symbol like 'sh68%' then 'star' when symbol like 'sz00%' then 'main_sz' when symbol like 'sz30%' then 'chinext' when symbol like 'bj%' then 'bj' else 'other' end"
 Q["i1_i3_bars_round_trip"] = (i3_bars_round_trip, with_views("bars", f"select symbol, date, close, close_adj, volume, {_BOARD} as board from bars"))
-Q["i2_load_symbol"] = (lambda v: bar_files.load_symbol(v.bars, "sh600005", ["date", "close_adj"]), with_views("bars", "select date, close_adj from bars where symbol = 'sh600005'"))
+Q["i3_replace_instruments"] = (
+    i3_replace_instruments,
+    with_views("bars", ", a as (select *, cast(substr(symbol, 5) as int) % 20 = 0 as asked from bars) select symbol, date, case when asked then close + 1 else close end as close, close_adj, volume from a where not (asked and year(date) = 1996)"),
+)
+Q["i1_bars_by_file"] = (i1_bars_by_file, with_views("bars", "select symbol, date, close, close_adj, volume from bars"))
+Q["i2_load_symbol"] = (lambda v: bar_files.load_symbol(v.spark.read.parquet(v.store), "sh600005", ["date", "close_adj"]), with_views("bars", "select date, close_adj from bars where symbol = 'sh600005'"))
 
 
 def i4_bar_files(v: Views):

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import on_workers
+
 # fixed values: record formats of the three kinds of files
 BAR_RECORD = np.dtype([("date", "<i4"), ("open", "<i4"), ("high", "<i4"), ("low", "<i4"), ("close", "<i4"), ("amount", "<f4"), ("volume", "<i4"), ("reserved", "<i4")])
 NAMES_HEADER, NAMES_RECORD = 50, np.dtype([("code", "S6"), ("gap", "V25"), ("name", "S20"), ("rest", "V309")])
@@ -69,6 +71,7 @@ BLOCKS_LAYOUT = Layout("block_name string, block_type_id int, raw_code string",
 
 def read_fixed_width(spark: SparkSession, glob: str, layout: Layout) -> DataFrame:
     """Rows of all files of a glob; records with an invalid date or code are left out."""
+    on_workers(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,6 +123,8 @@ def write_files(rows: DataFrame, key: str, encode: Callable[[pd.DataFrame], byte
     A file is written under the name of its attempt and then renamed, so a repeated task leaves one whole file.
     """
 
+    on_workers(rows.sparkSession)
+
     def write(group: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
         from pyspark import TaskContext

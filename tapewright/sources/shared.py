@@ -4,17 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _made: dict[str, str] = {}
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; in local mode without it, below a temporary folder of the application."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset (tests in local mode) one temporary folder is made for the application; a cluster
+    without the setting is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _made.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        app = spark.sparkContext.applicationId
+        base = _made[app] = _made.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it."""
+    home = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}".rstrip(":")

@@ -39,10 +39,23 @@ def radar(history: DataFrame, today: DataFrame, blocks: DataFrame, mult: float =
 
 
 def start_radar(bars: DataFrame, history: DataFrame, blocks: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mult: float = 1.5, alert: int = 8, every: str | None = None) -> StreamingQuery:
-    """Runs the screen on each batch of running bars and hands the result to ``sink`` (frame, batch number)."""
+    """Runs the screen on each batch of running bars and hands the result to ``sink`` (frame, batch number).
 
-    def screen(batch: DataFrame, number: int) -> None:
-        sink(radar(history, batch, blocks, mult, alert), number)
+    A batch brings the bars that have changed, so the stream's state shrinks with the watermark. They are merged with the
+    bars so far, a table beside the checkpoint in two turns: a batch reads the turn of the one before
+    and writes its own, so a batch that is run again reads the same.
+    """
+    spark = bars.sparkSession
 
-    writer = bars.writeStream.outputMode("complete").foreachBatch(screen).option("checkpointLocation", checkpoint)
+    def screen(batch: DataFrame, number: int) -> None:
+        new = batch.select(F.col("symbol").alias("_s"), F.col("date").alias("_d"))
+        today = batch
+        if number > 0:
+            before = spark.read.schema(batch.schema).parquet(f"{checkpoint}/bars/{(number - 1) % 2}")
+            today = batch.unionByName(before.join(new, (F.col("symbol") == F.col("_s")) & (F.col("date") == F.col("_d")), "left_anti"))
+        path = f"{checkpoint}/bars/{number % 2}"
+        today.write.mode("overwrite").parquet(path)
+        sink(radar(history, spark.read.schema(batch.schema).parquet(path), blocks, mult, alert), number)
+
+    writer = bars.writeStream.outputMode("update").foreachBatch(screen).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

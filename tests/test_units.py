@@ -140,6 +140,9 @@ def test_screens_and_catalogue(spark):
     own.register("k", "n", "d", "select symbol from bars where symbol = :s")
     assert own.run(spark, "k", {"bars": a}, s="y").collect()[0].symbol == "y"
     assert "k" in {r.key for r in own.list_strategies(spark).collect()}
+    a.limit(1).createOrReplaceTempView("bars")
+    assert own.run(spark, "k", {"bars": a}, s="y").count() == 1 and spark.table("bars").count() == 1
+    spark.catalog.dropTempView("bars")
 
 
 def test_rebalance_dates(spark):
@@ -222,6 +225,45 @@ def test_business_days_and_bands(spark):
     assert [r.day.isoweekday() for r in rows] == [1, 2, 3, 4, 5, 1] and all(r.p5 == r.p95 == 10.0 for r in rows)
 
 
+def test_losses_leave_out_returns_of_zero(spark):
+    row = profile.forward_stats(bars(spark, [100.0, 100.0, 90.0, 90.0, 99.0]), 1).first()
+    assert (row.samples, row.wins, row.avg_gain, row.avg_loss) == (4, 1, pytest.approx(10.0), pytest.approx(-10.0))
+
+
+def test_drift_takes_sixty_returns(spark):
+    row = periods.drift_vol(bars(spark, [50.0] + [100.0] * 60)).first()
+    assert row.drift == pytest.approx(1 / 60) and row.vol > 0
+    flat = periods.drift_vol(bars(spark, [5.0] * 70)).first()
+    assert (flat.drift, flat.vol) == (0.0, 0.02)
+    one = periods.drift_vol(bars(spark, [5.0])).first()
+    assert (one.drift, one.vol) == (0.0005, 0.02)
+
+
+def test_outlook_rounds_before_its_thresholds(spark):
+    stats = spark.createDataFrame([("s", 1000, 619, 3.0, -2.0)], "symbol string, samples long, wins long, avg_gain double, avg_loss double")
+    features = spark.createDataFrame([("s", 0.04, 0.05, 1.0, 1.0)], "symbol string, slope_ma20 double, slope_ma30 double, dev_ma20 double, vol_ratio_5 double")
+    env = spark.createDataFrame([(50.04,)], "temperature_index double")
+    row = profile.advice(profile.outlook(stats, features, env)).first()
+    # 61.9 + 0.045 becomes 61.9; 50.04 counts as 50.0
+    assert (row.win_rate, row.risk_reward, row.expected_return, row.advice) == (61.9, 1.5, 1.1, "hold")
+    up = profile.advice(profile.outlook(stats.withColumn("wins", F.lit(620)), features, env)).first()
+    assert (up.win_rate, up.advice) == (62.0, "accumulate")
+
+
+def test_price_position_passes_only_without_history(spark):
+    rows = [("a", 120.0, 0.0, 100.0), ("b", 0.0, 1.0, 100.0), ("c", 120.0, 80.0, 100.0), ("d", 140.0, 80.0, 100.0)]
+    signals = spark.createDataFrame(rows, "symbol string, hist_max_high_adj double, hist_min_low_adj double, close_adj double")
+    assert {r.symbol for r in universe.price_position(signals).collect()} == {"b", "c"}
+
+
+def test_trends_are_of_unadjusted_closes(spark):
+    df = bars(spark, [10.0] * 39 + [11.0]).withColumn("close_adj", F.lit(5.0) - F.datediff("date", F.lit(DAY)) / 1000)
+    rated = {r.date: r for r in periods.daily_ma_slope(df).collect()}
+    assert rated[at(39)].ma_day == pytest.approx(10 + 1 / 30) and rated[at(39)].ma_day_slope > 0
+    one = spark.createDataFrame([("sh600000", at(39))], "symbol string, date date")
+    assert events.confirm_trend(one, df).count() == 1 and events.confirm_trend(one, df, col="close_adj").count() == 0
+
+
 def direct_dtw(a, b, band):
     n, m = len(a), len(b)
     band = max(band, abs(n - m))
@@ -244,11 +286,34 @@ def test_time_warping_matches_the_plain_table():
 def test_windows_and_overlaps(spark):
     assert similarity.windows(bars(spark, [float(k % 7) for k in range(61)])).count() == 1
     assert similarity.windows(bars(spark, [1.0] * 60)).count() == 0
+    assert similarity.windows(bars(spark, [1.0] * 62, volumes=[0, *[100] * 61])).count() == 1
     rows = [("t", s, i, d) for s, i, d in (("a", 0, 1.0), ("a", 39, 2.0), ("a", 40, 3.0), ("b", 5, 4.0), ("b", 6, 5.0))]
     got = similarity.non_overlapping(spark.createDataFrame(rows, "target string, source string, start_idx int, dtw double"), 3)
     assert sorted((r.match, r.source, r.start_idx) for r in got.collect()) == [(1, "a", 0), (2, "a", 40), (3, "b", 5)]
 
 
+@pytest.mark.parametrize("scope", ["all", "own"])
+def test_nearest_windows_match_brute_force(spark, scope):
+    rng = np.random.default_rng(4)
+    series = {f"sh60000{k}": (100 + rng.normal(size=70 + 5 * k).cumsum()).round(2).tolist() for k in range(4)} | {"sh000001": (3000 + rng.normal(size=80).cumsum()).round(2).tolist()}
+    frames = [bars(spark, closes, s) for s, closes in series.items()]
+    df = frames[0]
+    for f in frames[1:]:
+        df = df.unionByName(f)
+    aims = similarity.targets(df.where("symbol in ('sh600001', 'sh600003')"))
+    scale = lambda x: (x - x.min()) / (np.ptp(x) or 1.0)
+    wanted = {}
+    for t in ("sh600001", "sh600003"):
+        last = scale(np.array(series[t][-30:]))
+        pool = [(s, i) for s, closes in series.items() for i in range(len(closes) - 60) if scope == "all" or s in (t, "sh000001")]
+        far = sorted((np.sqrt(((scale(np.array(series[s][i : i + 30])) - last) ** 2).mean()), s, i) for s, i in pool)
+        wanted |= {(t, s, i): (n + 1, round(d, 9)) for n, (d, s, i) in enumerate(far[:7])}
+    for at_once in (20_000, 1):
+        found = similarity.nearest_l2(aims, df, 7, scope, at_once=at_once).collect()
+        assert {(r.target, r.source, r.start_idx): (r.l2_rank, round(r.l2, 9)) for r in found} == wanted
+        assert all(r.prices == series[r.source][r.start_idx : r.start_idx + 50] for r in found)
+
+
 # --------------------------------------------------------------- lookups, seats
 
 
@@ -285,15 +350,45 @@ def test_fixed_width_files(spark, tmp_path):
     assert {tuple(r) for r in fixed_width.read_fixed_width(spark, f"{tmp_path}/*.dat", fixed_width.BLOCKS_LAYOUT).collect()} == {("通信", 2, "0000001"), ("通信", 2, "1600000")}
 
 
-def test_bars_by_file_and_overwrite_by_board(spark):
+def test_bars_by_file(spark):
     path = shared_path(spark, "by-file")
     for s in ("sh600000", "sz000001"):
         bars(spark, [1.0, 2.0], s).drop("symbol").write.parquet(f"{path}/{s}.parquet")
     assert {(r.symbol, r["count"]) for r in bar_files.load_bars_by_file(spark, path).groupBy("symbol").count().collect()} == {("sh600000", 2), ("sz000001", 2)}
-    out = shared_path(spark, "boards")
-    bar_files.write_bars(bars(spark, [1.0], "sh600000").unionByName(bars(spark, [1.0], "sz000001")), out)
-    bar_files.write_bars(bars(spark, [5.0, 6.0], "sh600000"), out)
-    assert {(r.symbol, r["count"]) for r in bar_files.load_bars(spark, out).groupBy("symbol").count().collect()} == {("sh600000", 2), ("sz000001", 1)}
+
+
+def test_one_instrument_is_replaced_and_all_others_stay(spark):
+    path = shared_path(spark, "store")
+    every = [f"sh6{k:05d}" for k in range(40)]
+    full = spark.range(40 * 3).selectExpr("concat('sh6', lpad(cast(id div 3 as string), 5, '0')) as symbol", "date_add(date'2020-12-30', cast(id % 3 as int)) as date", "cast(id as double) as close", "100L as volume")
+    bar_files.write_bars(full, path, buckets=4)
+    counts = lambda: {r.symbol: r["count"] for r in bar_files.load_bars(spark, path).groupBy("symbol").count().collect()}
+    assert counts() == dict.fromkeys(every, 3)
+    new = spark.createDataFrame([("sh600007", dt.date(1999, 1, 4), 7.5, 1), ("sh699999", dt.date(1999, 1, 4), 1.0, 1)], "symbol string, date date, close double, volume long")
+    bar_files.replace_instruments(new, path, buckets=4)
+    assert counts() == dict.fromkeys(every, 3) | {"sh600007": 1, "sh699999": 1}
+    rest = bar_files.load_bars(spark, path).where("symbol not in ('sh600007', 'sh699999')")
+    assert rest.exceptAll(full.where("symbol <> 'sh600007'")).count() == 0 and rest.count() == 39 * 3
+    bar_files.replace_instruments(new.where("1 = 0"), path, buckets=4)
+    assert sum(counts().values()) == 39 * 3 + 2
+    stored = spark.read.parquet(path)
+    assert [r.close for r in bar_files.load_symbol(stored, "sh600007", ["close"], buckets=4).collect()] == [7.5]
+    fresh = shared_path(spark, "new-store")
+    bar_files.replace_instruments(new, fresh)
+    assert bar_files.load_bars(spark, fresh).count() == 2
+
+
+def test_screens_of_a_date_read_its_days_only(spark, capsys):
+    path = shared_path(spark, "long-store")
+    bar_files.write_bars(bars(spark, [10.0 + k % 9 for k in range(900)]), path)
+    stored = bar_files.load_bars(spark, path)
+    market.latest_flags(stored, mas=(5, 10), warmup_days=60).explain("formatted")
+    said = capsys.readouterr().out
+    first, last = at(899 - 60), at(899)
+    assert f"GreaterThanOrEqual(date,{first})" in said and f"LessThanOrEqual(date,{last})" in said
+    row = market.latest_flags(stored, mas=(5, 10), warmup_days=60).first()
+    assert tuple(row) == tuple(market.latest_flags(stored, mas=(5, 10), warmup_days=2000).first())
+    assert market.market_temperature(stored.where("1 = 0")).first().total_stocks == 0
 
 
 def test_reference_files_and_sync(spark, tmp_path):
@@ -329,6 +424,31 @@ def test_radar_screens_running_bars(spark, tmp_path):
     assert {(r.symbol, r.Close, r.Resonance_Sectors) for r in seen} == {(f"sh60000{s}", 11.0, "B(3/100.0%)") for s in range(3)}
 
 
+def test_radar_merges_batches_and_leaves_late_ticks_out(spark, tmp_path):
+    from tapewright.streaming import radar
+
+    schema = "ts timestamp, symbol string, price double, volume long"
+    history = bars(spark, [5.0] * 5, "sh600000").unionByName(bars(spark, [5.0] * 5, "sh600001"))
+    blocks = spark.createDataFrame([("B", 1, "concept", f"60000{s}", "sh") for s in range(2)], "block_name string, block_type_id int, block_category string, code string, market string")
+    seen = {}
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    batches = [
+        [(dt.datetime(2020, 3, 1, 10), "sh600000", 10.0, 500)],
+        [(dt.datetime(2020, 3, 1, 11), "sh600001", 12.0, 500)],  # the other one's bar comes from the batch before
+        [(dt.datetime(2020, 3, 3, 9), "sh600000", 20.0, 500), (dt.datetime(2020, 3, 3, 9), "sh600001", 20.0, 500)],
+        [(dt.datetime(2020, 3, 1, 12), "sh600000", 99.0, 500), (dt.datetime(2020, 3, 3, 10), "sh600000", 21.0, 1)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = radar.start_radar(radar.running_bars(stream), history, blocks, lambda df, n: seen.setdefault(n, []).extend(df.collect()), str(tmp_path / "cp"), alert=2)
+        query.awaitTermination(120)
+        assert k < len(seen)
+    last = {r.symbol: r.Close for r in seen[max(seen)]}
+    assert any({r.symbol for r in rows} == {"sh600000", "sh600001"} for rows in seen.values()) and last == {"sh600000": 21.0, "sh600001": 20.0}
+    kept = spark.read.parquet(f"{tmp_path}/cp/bars/{max(seen) % 2}")
+    assert kept.where("high = 99").count() == 0
+
+
 def test_blocks_and_names_spread_over_files(spark, monkeypatch, tmp_path):
     from tapewright.plans import sources_universe
     from tapewright.sources import fixed_width
