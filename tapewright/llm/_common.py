@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset (tests in local mode) one temporary folder is made for the
-    application; a cluster without the setting is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _local[app]
+from ..sources.shared import on_workers, shared_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tapewright/{name}-{uuid.uuid4().hex[:12]}"
+    return shared_path(spark, f"tapewright/{name}")
 
 
 def stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
@@ -53,10 +32,7 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     Arrow batches get ``rows`` rows at most, so that a worker never sees many long texts at
     once; and workers find this package where the driver found it.
     """
-    home = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if home not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}".rstrip(":")
+    on_workers(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
