@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from tapewright.llm._common import scratch, stored, table, without
+from tapewright.llm._common import remove, scratch, stored, table, without
 
 #: weights of the domains after mixing; rates stay at or below 1, as copies were just taken out
 TARGETS = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
@@ -54,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for nth, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if nth + 1 < len(STAGES):
-            docs = stored(docs, scratch(spark, f"pipeline-{name}"))
+            path = scratch(spark, f"pipeline-{name}")
+            docs = stored(docs, path)
+            if before is not None:
+                remove(spark, before)
+            before = path
     return docs
