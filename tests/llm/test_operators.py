@@ -234,6 +234,21 @@ def test_few_cells_move_when_a_shard_is_added():
     assert max(loads.values()) <= 1.05 * sum(loads.values()) / 10
 
 
+def test_ring_walk_matches_a_plain_one():
+    rng = random.Random(31)
+    cells = [(c, rng.randrange(1, 400)) for c in sorted(rng.sample(range(256), 120))]
+    points = sharding.ring(5, 8, 8)
+    found = sharding.walk(cells, points, 5, 0.02)
+    bound, load, wanted = 1.02 * sum(w for _, w in cells) / 5, [0] * 5, {}
+    for cell, weight in sorted(cells, key=lambda x: (-x[1], x[0])):
+        clockwise = [s for at, s in points if at >= cell] + [s for _, s in points]
+        fits = [s for s in clockwise if load[s] + weight <= bound]
+        shard = fits[0] if fits else min(range(5), key=lambda s: (load[s], s))
+        load[shard] += weight
+        wanted[cell] = shard
+    assert found == wanted
+
+
 # --------------------------------------------------------------- token codes
 
 
@@ -528,17 +543,45 @@ def test_a_rare_language_is_learnt_beside_a_million_grams(spark):
     assert langid.identify(spark.createDataFrame([(1, "жук")], "doc_id long, text string"), model).first().lang_pred == "rare"
 
 
-def test_probabilities_sum_to_one():
+def plain_kneser_ney(words, order):
+    """p(character | context) by the textbook recursion over counts of the words themselves."""
+    grams = collections.Counter(padded[k : k + order] for w in words for padded in ["\x02" * (order - 1) + w + "\x03"] for k in range(len(w) + 1))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    discounts = {}
+    for k, own in levels.items():
+        ones, twos = list(own.values()).count(1), list(own.values()).count(2)
+        discounts[k] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(context, c):
+        k = len(context) + 1
+        below = p(context[1:], c) if context else 1 / (len(levels[1]) + 1)
+        followers = {g: n for g, n in levels[k].items() if g[:-1] == context}
+        if not followers:
+            return below
+        total, d = sum(followers.values()), discounts[k]
+        return max(followers.get(context + c, 0) - d, 0) / total + d * len(followers) / total * below
+
+    return p, sorted(levels[1])
+
+
+def test_scores_are_those_of_the_plain_recursion(spark):
     rng = random.Random(12)
-    counts = collections.Counter()
-    for _ in range(300):
-        word = "\x02\x02" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) + "\x03"
-        counts.update(word[k : k + 3] for k in range(len(word) - 2))
-    model = langid.resolve({"x": langid.kneser_ney(dict(counts), 3)}, 3)
-    letters = sorted({g[-1] for g in counts})
-    for context in {g[:2] for g in counts} | {"ca"}:
-        total = sum(float(np.exp(model.gram_scores(langid._code_points(context + c))[2, 0])) for c in letters)
-        assert 0.9 < total <= 1.0001
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(300)] + ["öx", "x"]
+    p, letters = plain_kneser_ney(words, 3)
+    docs = spark.createDataFrame([("x", w) for w in words], "lang string, text string")
+    model = langid.write_tables(langid.gram_counts(docs, 3), 3).loaded()
+    for context in ("\x02\x02", "\x02a", "ab", "ca", "öx", "zz", "bz"):
+        found = {c: float(np.exp(model.gram_scores(langid._code_points(context + c))[2, 0])) for c in letters}
+        assert all(np.isclose(found[c], p(context, c), rtol=1e-4) for c in letters)
+        unseen = float(np.exp(model.gram_scores(langid._code_points(context + "q"))[2, 0]))
+        assert abs(sum(found.values()) + unseen - 1) < 1e-4
+    text = "ab cab öx"
+    entropy, size = model.entropies([text])
+    own = [padded for w in text.split() for padded in ["\x02\x02" + w + "\x03"]]
+    wanted = -sum(np.log(p(q[k : k + 2], q[k + 2])) for q in own for k in range(len(q) - 2)) / sum(len(q) - 2 for q in own)
+    assert size[0] == sum(len(q) - 2 for q in own) and np.isclose(entropy[0, 0], wanted, rtol=1e-4)
 
 
 # ------------------------------------------------------------------- quality
@@ -575,6 +618,29 @@ def test_flattened_trees_walk_like_nested_ones():
     assert ((trees.scores(x) > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 
+def test_first_split_is_the_best_of_all():
+    """One tree of depth one against every cut of every statistic, by the gain of the logistic loss."""
+    rng = np.random.default_rng(30)
+    x = np.round(rng.normal(size=(120, 5)), 1)
+    y = ((x[:, 2] > 0.3) ^ (rng.random(120) < 0.15)).astype(float)
+    tree = quality.fit(x, y, trees=1, depth=1, bins=64, ridge=1.0, least=8)
+    share = (y.sum() + 1) / (len(y) + 2)
+    grad, hess = y - share, np.full(len(y), share * (1 - share))
+
+    def gain(f, cut):
+        left = x[:, f] <= cut
+        if left.sum() < 8 or (~left).sum() < 8:
+            return 0.0
+        part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1.0)
+        return part(left) + part(~left) - part(np.ones(len(y), bool))
+
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(5)]
+    best = max((gain(f, c), f, c) for f in range(5) for c in edges[f])
+    assert np.isclose(gain(int(tree.feature[0, 0]), tree.cut[0, 0]), best[0]) and tree.feature[0, 0] == 2
+    for side, leaf in ((x[:, 2] <= tree.cut[0, 0], 0), (x[:, 2] > tree.cut[0, 0], 1)):
+        assert np.isclose(tree.leaf[0, leaf], 0.15 * grad[side].sum() / (hess[side].sum() + 1.0))
+
+
 # -------------------------------------------------------------------- mixing
 
 
