@@ -145,12 +145,20 @@ def cuts_at_spaces(tokenizer) -> bool:
     )
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that a byte-level pre-tokenizer writes bytes as: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, with the ids of pieces that come again kept.
 
     Where the tokenizer's settings allow it (``cuts_at_spaces``) a text is cut before each
     space, and every piece is encoded by the library once; a mark at the end of a run of
-    letters is a piece of its own. All other texts (those with a run of white
+    letters is a piece of its own. A run of letters is one word for the pre-tokenizer, so it goes
+    straight to the library's model. All other texts (those with a run of white
     space after a space, with a special token, or for another kind of tokenizer) go to the library whole.
     Kept are the pieces of this and of the last generation of at most ``most``.
     """
@@ -164,6 +172,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.in_pieces = cuts_at_spaces(self.tokenizer)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -173,6 +182,10 @@ class PieceEncoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, word: str) -> bytes:
+        """Ids of a run of letters with a space before it."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def learn(self, pieces: set[str]) -> None:
         """Ids of new pieces, each with a space before it; those that were learnt a generation ago are taken over."""
         parts = {}
@@ -187,8 +200,11 @@ class PieceEncoder:
         words = {w for own in parts.values() for w in own} - self.words.keys()
         for word in words & self.old_words.keys():
             self.words[word] = self.old_words[word]
-        new = sorted(words - self.old_words.keys())
-        self.words.update(zip(new, self.library(new), strict=True))
+        new = words - self.old_words.keys()
+        other = [w for w in new if not w[1:].isalpha()]
+        self.words.update(zip(other, self.library(other), strict=True))
+        for word in new.difference(other):
+            self.words[word] = self.word(word)
         for piece, own in parts.items():
             self.pieces[piece] = b"".join(map(self.words.__getitem__, own))
 
