@@ -83,7 +83,8 @@ def _scan(names: list[str], patterns: np.ndarray, k: int, scope: str, index: str
         n = len(prices) - size - future - gap
         asked = [t for t, name in enumerate(names) if scope == "all" or source in (name, index)]
         if n <= 0 or not asked:
-            return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+            kinds = {"start_idx": np.int32, "l2": float}
+            return pd.DataFrame({c: pd.Series([], dtype=kinds.get(c, object)) for c in ("target", "source", "start_idx", "start_date", "end_date", "l2", "pattern")})
         rows = np.lib.stride_tricks.sliding_window_view(prices, size)[:n]
         low, span = rows.min(1, keepdims=True), np.ptp(rows, axis=1)[:, None]
         scaled = (rows - low) / np.where(span > 0, span, 1.0)

@@ -431,6 +431,7 @@ def test_radar_merges_batches_and_leaves_late_ticks_out(spark, tmp_path):
     history = bars(spark, [5.0] * 5, "sh600000").unionByName(bars(spark, [5.0] * 5, "sh600001"))
     blocks = spark.createDataFrame([("B", 1, "concept", f"60000{s}", "sh") for s in range(2)], "block_name string, block_type_id int, block_category string, code string, market string")
     seen = {}
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     batches = [
         [(dt.datetime(2020, 3, 1, 10), "sh600000", 10.0, 500)],
