@@ -27,10 +27,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -40,6 +40,7 @@ from ._common import partitions, scratch, small_batches
 
 MAGIC, VERSION, HEAD, LEVEL, STEP = b"TWDC", 1, "<4sIQQII", "<QQQQ", 512
 FILE_TOKENS = 8_000_000
+ENCODE_CHARS = 8 << 20
 MANIFEST = "file string, part int, nth int, documents long, tokens long"
 
 
@@ -156,16 +157,17 @@ class PieceEncoder:
     """Ids of whole texts by the tokenizers library, with the ids of pieces that come again kept.
 
     Where the tokenizer's settings allow it (``cuts_at_spaces``) a text is cut before each
-    space, and every piece is encoded by the library once; a mark at the end of a run of
-    letters is a piece of its own. A run of letters is one word for the pre-tokenizer, so it goes
-    straight to the library's model. All other texts (those with a run of white
-    space after a space, with a special token, or for another kind of tokenizer) go to the library whole.
-    Kept are the pieces of this and of the last generation of at most ``most``.
+    space, and before each line break if it has no two white-space characters in a row; every piece is
+    encoded by the library once. A mark at the end of a run of letters is a piece of its own, and a
+    run of letters is one word for the pre-tokenizer, so it goes straight to the library's
+    model. All other texts (those with white space after a space, with a special token, or for another
+    kind of tokenizer) go to the library whole. Kept are the pieces of this and of the last generation of
+    at most ``most``; a piece has a space before it unless it starts with a line break.
     """
 
-    RUN = re.compile(r" \s")
+    RUN, AFTER_SPACE = re.compile(r"\s\s"), re.compile(r" \s")
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -173,10 +175,9 @@ class PieceEncoder:
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.in_pieces = cuts_at_spaces(self.tokenizer)
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.marks = {m: self.library([m])[0] for m in (".", ",")}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.most = most
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -184,45 +185,63 @@ class PieceEncoder:
 
     def word(self, word: str) -> bytes:
         """Ids of a run of letters with a space before it."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces, each with a space before it; those that were learnt a generation ago are taken over."""
-        parts = {}
+        ids = self.pieces.get(word) or self.old_pieces.get(word)
+        if ids is None:
+            written = f" {word}".encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        self.pieces[word] = ids
+        return ids
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces."""
+        other = []
         for piece in pieces:
-            ids = self.old_pieces.get(piece)
-            if ids is not None:
-                self.pieces[piece] = ids
-            elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
-                parts[piece] = (" " + piece[:-1], piece[-1])
+            if piece.isalpha():
+                self.word(piece)
+            elif piece in self.old_pieces:
+                self.pieces[piece] = self.old_pieces[piece]
+            elif piece[-1:] in self.marks and piece[:-1].isalpha():
+                self.pieces[piece] = self.word(piece[:-1]) + self.marks[piece[-1]]
             else:
-                parts[piece] = (" " + piece,)
-        words = {w for own in parts.values() for w in own} - self.words.keys()
-        for word in words & self.old_words.keys():
-            self.words[word] = self.old_words[word]
-        new = words - self.old_words.keys()
-        other = [w for w in new if not w[1:].isalpha()]
-        self.words.update(zip(other, self.library(other), strict=True))
-        for word in new.difference(other):
-            self.words[word] = self.word(word)
-        for piece, own in parts.items():
-            self.pieces[piece] = b"".join(map(self.words.__getitem__, own))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The little-endian unsigned 32-bit ids of each text."""
+                other.append(piece)
+        if other:
+            self.pieces.update(zip(other, self.library([p if p[:1] == "\n" else f" {p}" for p in other]), strict=True))
+
+    def marked(self, text: str) -> str | None:
+        """The text with a space wherever it may be cut, or None if it must stay whole."""
+        if not self.in_pieces or any(s in text for s in self.special):
+            return None
+        if not self.RUN.search(text):
+            return text.replace("\n", " \n")
+        return None if self.AFTER_SPACE.search(text) else text
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has.
+
+        The different pieces of all texts are looked up once; numpy then puts their ids where the pieces stand.
+        """
         if len(self.pieces) > self.most:
             self.pieces, self.old_pieces = {}, self.pieces
-        if len(self.words) > self.most:
-            self.words, self.old_words = {}, self.words
-        cut = [self.in_pieces and not self.RUN.search(t) and not any(s in t for s in self.special) for t in texts]
-        own = [t.split(" ") if c else [t] for t, c in zip(texts, cut, strict=True)]
-        heads = self.library([o[0] for o in own])  # what stands before the first space, or a whole text
-        known, new = self.pieces.__contains__, set()
-        for pieces in own:
-            new.update(filterfalse(known, islice(pieces, 1, None)))
-        self.learn(new)
-        get = self.pieces.__getitem__
-        return [head + b"".join(map(get, islice(pieces, 1, None))) for head, pieces in zip(heads, own, strict=True)]
+        marked = list(map(self.marked, texts))
+        split = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), " ")
+        first = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code[first[:-1]] = len(different) + np.arange(len(texts))
+        # what stands before the first space, or a whole text, has no space before it
+        heads = self.library([t if m is None else m.split(" ", 1)[0] for t, m in zip(texts, marked, strict=True)])
+        found = list(map(self.pieces.get, different))
+        if None in found:
+            self.learn([p for p, x in zip(different, found, strict=True) if x is None])
+            found = list(map(self.pieces.get, different))
+        found += heads
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), "<u4")
+        long = size[code]
+        end = np.cumsum(long)
+        at = np.repeat(start[code] - (end - long), long) + np.arange(int(long.sum()))
+        return ids[at], np.add.reduceat(long, first[:-1]) if len(texts) else np.zeros(0, np.int64)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -248,29 +267,44 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
         store, base = fs.FileSystem.from_uri(path)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store.create_dir(base, recursive=True)
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[list[int], np.ndarray, np.ndarray]] = []  # document ids, tokens, tokens of each document
         size = nth = 0
 
         def flush():
             nonlocal held, size, nth
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            packed = pack(np.array([d for d, _ in held], "<i8"), np.array([len(x) // 4 for _, x in held]), ids)
+            doc_ids, ids, lengths = (np.concatenate(c) for c in zip(*held, strict=True))
+            packed = pack(doc_ids.astype("<i8"), lengths, ids)
             name = f"{base}/codes-{part:06d}-{nth:04d}"
             with store.open_output_stream(f"{name}.attempt-{attempt}") as out:
                 out.write(packed)
             store.move(f"{name}.attempt-{attempt}", name)
-            row = [[f"{path}/codes-{part:06d}-{nth:04d}"], [part], [nth], [len(held)], [len(ids)]]
+            row = [[f"{path}/codes-{part:06d}-{nth:04d}"], [part], [nth], [len(doc_ids)], [len(ids)]]
             held, size, nth = [], 0, nth + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["file", "part", "nth", "documents", "tokens"])
 
+        doc_ids: list[int] = []
+        texts: list[str] = []
+
+        def encode():
+            nonlocal doc_ids, texts, size
+            ids, lengths = _encoder(tokenizer).encode(texts)
+            ends = np.cumsum(lengths)
+            held.append((doc_ids, np.insert(ids, ends, end_id), lengths + 1))  # the end id after each document
+            size += len(ids) + len(lengths)
+            doc_ids, texts = [], []
+
+        chars = 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, own in zip(batch.column(0).to_pylist(), _encoder(tokenizer).encode(texts), strict=True):
-                held.append((-(2**63) if doc_id is None else doc_id, own + end))
-                size += len(own) // 4 + 1
+            doc_ids += [-(2**63) if d is None else d for d in batch.column(0).to_pylist()]
+            texts += [t or "" for t in batch.column(1).to_pylist()]
+            chars += sum(map(len, texts[-batch.num_rows :])) if batch.num_rows else 0
+            if chars >= ENCODE_CHARS:
+                encode()
+                chars = 0
                 if size >= FILE_TOKENS:
                     yield flush()
+        if texts:
+            encode()
         if held:
             yield flush()
 
