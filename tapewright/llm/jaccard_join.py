@@ -399,17 +399,17 @@ def _named(met: DataFrame, most_common: int) -> DataFrame:
     return met.where("at is null").select("cell", "node").unionByName(hot).dropDuplicates(["cell", "node"])
 
 
-def _with_info(rows: DataFrame, info: DataFrame, weight: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``info``, one row a cell, of which ``weight`` tells the cell's rows.
+def _with_info(rows: DataFrame, info: DataFrame, weight: str, total: int, key: str = "cell") -> DataFrame:
+    """``rows`` with the columns of ``info``, one row a key, of which ``weight`` tells the key's rows.
 
-    Cells with more than one row in HOT_SHARE, so HOT_SHARE of them at most, are broadcast; their rows stay where they are.
+    Keys with more than one row in HOT_SHARE, so HOT_SHARE of them at most, are broadcast; their rows stay where they are.
     """
     hot = F.col(weight) > max(1000, total // HOT_SHARE)
-    renamed = info.withColumnRenamed("cell", "_cell")
+    renamed = info.withColumnRenamed(key, "_key")
     large = F.broadcast(renamed.where(hot))
-    met = rows.join(large, F.col("cell") == F.col("_cell"))
-    other = rows.join(F.broadcast(renamed.where(hot).select("_cell")), F.col("cell") == F.col("_cell"), "left_anti").join(renamed.where(~hot), F.col("cell") == F.col("_cell"))
-    return met.unionByName(other).drop("_cell")
+    met = rows.join(large, F.col(key) == F.col("_key"))
+    other = rows.join(F.broadcast(renamed.where(hot).select("_key")), F.col(key) == F.col("_key"), "left_anti").join(renamed.where(~hot), F.col(key) == F.col("_key"))
+    return met.unionByName(other).drop("_key")
 
 
 def _with_hubs(own: DataFrame, path: str) -> DataFrame:
@@ -635,9 +635,10 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     labels = components(edges, f"{base}/tmp/components")
 
     degree = edges.select(F.col("hub").alias("node")).unionByName(edges.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    own = points.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = own.groupBy("comp").agg(F.min("rep").alias("component_id")).select(F.col("comp").alias("_comp"), "component_id")
-    named = own.join(lowest, F.col("comp") == F.col("_comp")).select("node", "copies", "component_id")
+    own = points.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").select("node", "copies", "rep", F.coalesce("comp", "node").alias("comp"))
+    own = stored(own, f"{base}/tmp/comps")
+    lowest = stored(own.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_nodes")), f"{base}/tmp/lowest")
+    named = _with_info(own, lowest, "_nodes", own.count(), "comp").select("node", "copies", "component_id")
     named = stored(named.join(degree.select(F.col("node").alias("_d"), "links"), F.col("node") == F.col("_d"), "left").select("node", "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links")), f"{base}/named")
     remove(spark, f"{base}/tmp")
     return _for_documents(sets, named)
