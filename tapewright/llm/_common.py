@@ -45,10 +45,20 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: ids of eight bytes that may be broadcast, about 40 MB
+BROADCAST_IDS = 1_000_000
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is not in the one column of ``gone``; null ids stay."""
+    """The rows of ``docs``, with all their columns, whose doc_id is not in the one column of ``gone``; null ids stay.
+
+    The ids are written first. Up to BROADCAST_IDS of them are broadcast, so that no text is moved; more meet the texts in a shuffle.
+    """
     name = fresh(docs, "_gone")
-    return docs.join(gone.toDF(name).distinct(), docs["doc_id"] == F.col(name), "left_anti")
+    ids = stored(gone.toDF(name).where(F.col(name).isNotNull()).distinct(), scratch(docs.sparkSession, "gone"))
+    if ids.count() <= BROADCAST_IDS:  # size checked just now
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, small_batches, stored
+from ._common import remove, scratch, small_batches, stored
 from .quality import STATISTICS, statistics
 
 DOMAINS = ("clean", "low", "toxic")
@@ -103,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_ma
                 yield pa.RecordBatch.from_arrays([pa.array([domain] * len(marks), pa.int32()), pa.array(marks, pa.string())], names=["domain", "mark"])
 
     counts = sample.mapInArrow(spread, "domain int, mark string").groupBy("mark").agg(*(F.count(F.when(F.col("domain") == k, 1)).alias(f"n{k}") for k in range(domains)))
-    counts = stored(counts, scratch(spark, "marks"))
+    path = scratch(spark, "marks")
+    counts = stored(counts, path)
     rows_of = counts.where("mark = ''").first()
     size = [rows_of[f"n{k}"] for k in range(domains)] if rows_of else [0] * domains
     total = sum(size)
@@ -118,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_ma
 
     telling = counts.where((F.col("mark") != "") & (seen >= least_rows)).withColumn("_z", F.greatest(*(away(k) for k in range(domains)))).where("_z > 3")
     place = {r["mark"]: k for k, r in enumerate(telling.orderBy(F.desc("_z"), "mark").limit(most_marks).collect())}
+    remove(spark, path)
 
     def places(batches):
         for batch in batches:
