@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import chat, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, secrets, sharding, token_codes
+from tapewright.llm import _common, chat, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, secrets, sharding, token_codes
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti", "ve", "zu") for b in ("bar", "den", "fil", "gan", "hot", "jus", "kem", "lin")]
 
@@ -204,6 +204,17 @@ def test_odd_rows_have_components(odd, none):
     assert jaccard_join.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_rows_go_by_id_however_many(spark, monkeypatch, odd, most):
+    monkeypatch.setattr(_common, "BROADCAST_IDS", most)
+    docs = odd.withColumnsRenamed({"source": "_gone", "hub": "__gone"})
+    gone = spark.createDataFrame([(8,), (8,), (10,), (None,), (77,)], "x long")
+    left = _common.without(docs, gone)
+    assert left.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in left.collect()) == collections.Counter(i for i, _ in ODD if i not in (8, 10))
+    assert _common.without(docs, gone.where("1 = 0")).count() == len(ODD)
+
+
 # ------------------------------------------------------------------ sharding
 
 
