@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,66 +73,81 @@ class _Best:
         return distance, at
 
 
-_FOUND = "target string, source string, start_idx int, start_date date, end_date date, l2 double, pattern array<double>"
+_FOUND = "target string, source string, start_idx int, l2 double"
 
 
 def _scan(names: list[str], patterns: np.ndarray, k: int, scope: str, index: str, size: int, future: int, gap: int):
-    """One instrument's history against all targets: its k nearest windows for each."""
-
-    def run(history: pd.DataFrame) -> pd.DataFrame:
-        history = history.sort_values("date")
-        source, prices, dates = history["symbol"].iloc[0], history["close_adj"].to_numpy(float), history["date"].to_numpy()
-        n = len(prices) - size - future - gap
-        asked = [t for t, name in enumerate(names) if scope == "all" or source in (name, index)]
-        if n <= 0 or not asked:
-            kinds = {"start_idx": np.int32, "l2": float}
-            return pd.DataFrame({c: pd.Series([], dtype=kinds.get(c, object)) for c in ("target", "source", "start_idx", "start_date", "end_date", "l2", "pattern")})
-        rows = np.lib.stride_tricks.sliding_window_view(prices, size)[:n]
-        low, span = rows.min(1, keepdims=True), np.ptp(rows, axis=1)[:, None]
-        scaled = (rows - low) / np.where(span > 0, span, 1.0)
-        out = []
-        for t in asked:
-            distance = np.sqrt(((patterns[t] - scaled) ** 2).sum(1) / size)
-            best = _Best(k)
-            best.add(distance, np.arange(n))
-            near, at = best.cut()
-            out.append(pd.DataFrame({"target": names[t], "source": source, "start_idx": at.astype(np.int32), "start_date": dates[at], "end_date": dates[at + size - 1], "l2": near, "pattern": list(scaled[at])}))
-        return pd.concat(out)
+    """The k nearest windows for each target among the instruments of a task: rows (symbol, close_adj) by instrument and date."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, sources = [_Best(k) for _ in names], []
+
+        def search(source: str, prices: np.ndarray) -> None:
+            n = len(prices) - size - future - gap
+            asked = [t for t, name in enumerate(names) if scope == "all" or source in (name, index)]
+            if n <= 0 or not asked:
+                return
+            rows = np.lib.stride_tricks.sliding_window_view(prices, size)[:n]
+            low, span = rows.min(1, keepdims=True), np.ptp(rows, axis=1)[:, None]
+            scaled = (rows - low) / np.where(span > 0, span, 1.0)
+            at = (len(sources) << 32) + np.arange(n)
+            sources.append(source)
+            for t in asked:
+                best[t].add(np.sqrt(((patterns[t] - scaled) ** 2).sum(1) / size), at)
+
+        now, parts = None, []
+        for frame in frames:
+            symbols, closes = frame["symbol"].to_numpy(), frame["close_adj"].to_numpy(float)
+            cuts = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), len(symbols)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and symbols[a] != now:
+                    if parts:
+                        search(now, np.concatenate(parts))
+                    now, parts = symbols[a], []
+                parts.append(closes[a:b])
+        if parts:
+            search(now, np.concatenate(parts))
+        for name, own in zip(names, best, strict=True):
+            distance, at = own.cut()
+            yield pd.DataFrame({"target": [name] * len(at), "source": [sources[x] for x in (at >> 32).tolist()], "start_idx": (at & 0xFFFFFFFF).astype(np.int32), "l2": distance})
 
     return run
 
 
 def nearest_l2(aims: DataFrame, bars: DataFrame, k: int = 150, scope: str = "all", index: str = "sh000001", at_once: int = 20_000, size: int = SIZE, future: int = FUTURE, gap: int = GAP) -> DataFrame:
-    """The k windows of ``bars`` nearest to each target by root mean squared difference, with l2_rank, prices and the target's columns.
+    """The k windows of ``bars`` nearest to each target by root mean squared difference, with l2_rank, start_date, end_date, prices, pattern and the target's columns.
 
     scope: ``all`` windows, or ``own`` history plus one index. Targets are taken in blocks of about ``at_once`` (SIZE
-    doubles each), which go to the tasks; a block reads the bars once, an instrument's history (as many rows as
-    there were trading days) is one group, and k windows an instrument and target at most are shuffled.
-    Closes of the winners alone are fetched.
+    doubles each), which go to the tasks; a block reads the bars once. A task goes through its instruments one
+    after the other and keeps k windows a target (and ties), which are all that is shuffled. Closes of
+    the winners alone are fetched.
     """
     on_workers(bars.sparkSession)
     history = valid_prices(bars).select("symbol", "date", "close_adj")
+    dealt = history.repartition("symbol").sortWithinPartitions("symbol", "date").select("symbol", "close_adj")
     blocks = max(1, -(-aims.count() // at_once))
     found = None
     for block in range(blocks):
         own = aims.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == block).select("target", "target_pattern").collect()
         names, patterns = [r["target"] for r in own], np.array([r["target_pattern"] for r in own], float).reshape(-1, size)
-        one = history.groupBy("symbol").applyInPandas(_scan(names, patterns, k, scope, index, size, future, gap), _FOUND)
+        one = dealt.mapInPandas(_scan(names, patterns, k, scope, index, size, future, gap), _FOUND)
         found = one if found is None else found.unionByName(one)
     nth = F.row_number().over(Window.partitionBy("target").orderBy("l2", "source", "start_idx"))
     near = found.withColumn("l2_rank", nth).where(F.col("l2_rank") <= k)
     targeted = near.join(aims.select(F.col("target").alias("_t"), "start_price", "target_pattern"), F.col("target") == F.col("_t")).drop("_t")
-    return _with_prices(targeted, history, size + future)
+    return _with_prices(targeted, history, size, size + future)
 
 
-def _with_prices(matches: DataFrame, history: DataFrame, length: int) -> DataFrame:
-    """Adds prices: the closes of ``length`` bars from each match's first."""
+def _with_prices(matches: DataFrame, history: DataFrame, size: int, length: int) -> DataFrame:
+    """Adds prices (the closes of ``length`` bars from each match's first), pattern (the first ``size``, scaled), start_date and end_date."""
     wanted = matches.select(F.col("source").alias("_s"), F.col("start_idx").alias("_i")).distinct()
-    rows = history.withColumn("_at", F.row_number().over(I.by_date()) - 1).select("symbol", "_at", "close_adj")
+    rows = history.withColumn("_at", F.row_number().over(I.by_date()) - 1)
     each = wanted.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     met = each.join(rows, (F.col("_s") == F.col("symbol")) & (F.col("_i") + F.col("_k") == F.col("_at")))
-    listed = met.groupBy("_s", "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "close_adj"))), lambda x: x["close_adj"]).alias("prices"))
-    return matches.join(listed, (F.col("source") == F.col("_s")) & (F.col("start_idx") == F.col("_i"))).drop("_s", "_i")
+    listed = met.groupBy("_s", "_i").agg(F.array_sort(F.collect_list(F.struct("_k", "close_adj", "date"))).alias("_rows"))
+    own = listed.select("_s", "_i", F.transform("_rows", lambda x: x["close_adj"]).alias("prices"), F.element_at("_rows", 1)["date"].alias("start_date"), F.element_at("_rows", size)["date"].alias("end_date"))
+    joined = matches.join(own, (F.col("source") == F.col("_s")) & (F.col("start_idx") == F.col("_i"))).drop("_s", "_i")
+    return joined.withColumn("pattern", minmax(F.slice("prices", 1, size)))
 
 
 def dtw_distances(a: np.ndarray, b: np.ndarray, band: int = 4) -> np.ndarray:
