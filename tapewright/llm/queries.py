@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, secrets, sharding, token_codes
+from . import chat, decontaminate, exact_dedup, jaccard_join, langid, merkle, mixing, quality, rules, secrets, sharding, spelling, token_codes
 from ._common import part_of, scratch, stored, table
 
 
@@ -88,10 +88,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TYPO_EVERY, TAMPER_EVERY = 97, 2
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), TYPO_EVERY)
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), TAMPER_EVERY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_mixing, op2_language, op3_exact_dedup, op4_jaccard_join, op5_quality,
         op6_secrets, op7_sharding, op8_token_codes, op9_decontamination, op10_chat,
+        op11_spelling, op12_rules, op13_merkle,
     )
     return {f.__name__: f for f in every}
 
@@ -150,7 +167,76 @@ def _overlaps_sql() -> str:
     """
 
 
+#: crc32 by bytes: the table follows from the polynomial
+_CRC_TABLE = """steps as (select i as code, i as c, 0 as step from range(256) r(i)
+            union all select code, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from steps where step < 8),
+        crc_table as (select list(c order by code) as crc_of from steps where step = 8)"""
+
+
+def _crc(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes; crc_table's crc_of must be in scope."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)"
+
+
+def _spelling_sql() -> str:
+    """Near words by deletions: of one length if they agree but for one place, else if one is the other without a letter."""
+    lowered = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    cut = "substr(word, 1, k - 1) || {} || substr(word, k + 1)"
+    return f"""
+        with recursive {_CRC_TABLE}, runs as (select doc_id, {lowered} as w, count(*) as c from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as r from documents) group by all),
+        hashed as (select w, c, {_crc("coalesce(doc_id::varchar, '') || ':' || w")} as h from runs, crc_table),
+        typed as (select case when h % {TYPO_EVERY} = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, c from hashed),
+        words as (select word, sum(c)::bigint as n from typed group by 1 having sum(c) >= {spelling.LEAST_COUNT} and length(word) >= {spelling.LEAST_LETTERS}),
+        places as (select word, n, unnest(range(1, length(word) + 1)) as k from words),
+        replaced as (select word, n, k, {cut.format("chr(1)")} as gap from places), deleted as (select word, n, {cut.format("''")} as rest from places),
+        pairs as (select a.word, b.word as near, a.n, b.n as near_n from replaced a join replaced b on a.gap = b.gap and a.word <> b.word
+            union select d.word, w.word, d.n, w.n from deleted d join words w on d.rest = w.word
+            union select w.word, d.word, w.n, d.n from deleted d join words w on d.rest = w.word),
+        best as (select word, any_value(n) as n, count(*) as n_near, max(near_n) as most from pairs group by 1),
+        formed as (select b.word, n_near, case when most >= 2 * b.n then (select min(near) from pairs p where p.word = b.word and near_n = most) end as form, case when most >= 2 * b.n then most end as form_n from best b),
+        chain as (select word, form as root, 1 as step from formed where form is not null union all select c.word, f.form, step + 1 from chain c join formed f on f.word = c.root where f.form is not null),
+        ends as (select word, arg_max(root, step) as root from chain group by 1)
+        select w.word, f.form, coalesce(e.root, w.word) as root, w.n, coalesce(f.n_near, 0)::bigint as n_near, f.form_n from words w left join formed f on f.word = w.word left join ends e on e.word = w.word
+    """
+
+
+def _merkle_sql(levels: int = 13, top_levels: int = 6) -> str:
+    """The trees level by level, written out; enough for 3 ** levels rows a source and 3 ** top_levels sources."""
+    fields = lambda text: "||".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+
+    def tree(name: str, leaves: str, depth: int) -> str:
+        """{name}{k}: tree, pos, node, n of level k; {name}s{k}: the digests to the left and right of each node."""
+        parts = [f"{name}0 as materialized ({leaves})"]
+        for k in range(depth):
+            parts.append(f"""{name}s{k} as materialized (select a.tree, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (where b.pos < a.pos), '') as l, coalesce(string_agg(b.node, '' order by b.pos) filter (where b.pos > a.pos), '') as r
+                from {name}{k} a join {name}{k} b on a.tree = b.tree and a.pos // 3 = b.pos // 3 where a.n > 1 group by 1, 2)""")
+            parts.append(f"{name}{k + 1} as materialized (select tree, pos // 3 as pos, case when any_value(n) > 1 then sha256(string_agg(node, '' order by pos)) else any_value(node) end as node, (any_value(n) + 2) // 3 as n from {name}{k} group by 1, 2)")
+        return ", ".join(parts)
+
+    def climb(name: str, before: str, depth: int, tree_of: str, pos_of: str) -> tuple[str, str]:
+        parts, last = [], before
+        for k in range(depth):
+            parts.append(f"{name}f{k} as (select x.* exclude (proof, folded), proof || coalesce(s.l || s.r, '') as proof, case when s.l is null then folded else sha256(s.l || folded || s.r) end as folded from {last} x left join {name}s{k} s on s.tree = x.{tree_of} and s.pos = x.{pos_of} // {3**k})")
+            last = f"{name}f{k}"
+        return ", ".join(parts), last
+
+    up, upper = climb("t", "rows", levels, "tree", "pos")
+    over, last = climb("o", upper, top_levels, "top_tree", "top_pos")
+    return f"""
+        with recursive {_CRC_TABLE}, hashed as (select *, sha256({fields("text")}) as leaf, sha256({fields("other")}) as tampered from (select *, case when {_crc("coalesce(doc_id::varchar, '')")} % {TAMPER_EVERY} = 0 then replace(text, chr(10), '') else text end as other from documents, crc_table)),
+        placed as (select doc_id, leaf, tampered, case when source is null then 'n' else 's' || source end as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from hashed),
+        {tree("t", "select tree, pos, leaf as node, n from placed", levels)},
+        roots as (select tree as own, node as subroot, row_number() over (order by tree) - 1 as top_pos, count(*) over () as n from t{levels}),
+        {tree("o", "select 'all' as tree, top_pos as pos, subroot as node, n from roots", top_levels)},
+        rows as (select doc_id, leaf, tree, pos, 'all' as top_tree, top_pos, subroot, '' as proof, tampered as folded from placed join roots on own = tree), {up}, {over}
+        select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, folded as folded_root, folded = node as verified from {last} x, o{top_levels} z
+    """
+
+
 ORACLE = {
+    "op11_spelling": _spelling_sql(),
+    "op13_merkle": _merkle_sql(),
     "op6_secrets": _secrets_sql(),
     "op9_decontamination": _overlaps_sql(),
     "op3_exact_dedup": r"""
