@@ -52,12 +52,6 @@ HOT_SHARE = 500
 FLUSH_ENTRIES = 1_000_000
 
 
-_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-SEGMENT = 1 << 21
-_powers: dict[str, np.ndarray] = {}
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,26 +59,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(1 << 17, 1 << (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-                _powers[name] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def _window_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """Hashes of the bytes of each run of ``width`` words with one space between, by differences of prefix sums."""
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _powers_of(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1])])
-        spaces = np.flatnonzero(data == 32)
-        starts = np.concatenate([[0], spaces + 1])[: len(words) - width + 1]
-        ends = np.concatenate([spaces, [len(data)]])[width - 1 :]
-        return mixed((sums[ends] - sums[starts]) * down[starts])
+    """Hashes of each run of ``width`` words: xxh3 of the words, stirred one after the other."""
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = mixed(out) ^ own[k : k + n]
+    return mixed(out)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -92,12 +74,7 @@ def shingles(text: bytes | None) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    width = min(WORDS, len(words))
-    if len(text) <= SEGMENT:
-        out = _window_hashes(words, width)
-    else:  # very long texts go in parts that overlap by four words; a part is bounded in bytes by its words' lengths
-        step = max(1, SEGMENT // max(map(len, words)))
-        out = np.concatenate([_window_hashes(words[k : k + step + width - 1], width) for k in range(0, len(words) - width + 1, step)])
+    out = _window_hashes(words, min(WORDS, len(words)))
     out.sort()
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
@@ -582,9 +559,9 @@ def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, path: st
 
 
 def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id and links.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id and links_used.
 
-    links counts the verified links of the document's shingle set that the components
+    links_used counts the verified links of the document's shingle set that the components
     rest on (not all links of a large group). Null texts and texts without words have an empty
     set and are linked with nothing. Documents with equal sets are linked; rows repeated with one
     doc_id are one document. component_id is the smallest doc_id that can be reached; a null
@@ -634,12 +611,12 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     edges = stored(edges.unionByName(_verify(more, texts, f"{base}/tmp/tree")), f"{base}/tmp/edges")
     labels = components(edges, f"{base}/tmp/components")
 
-    degree = edges.select(F.col("hub").alias("node")).unionByName(edges.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    degree = edges.select(F.col("hub").alias("node")).unionByName(edges.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links_used"))
     own = points.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").select("node", "copies", "rep", F.coalesce("comp", "node").alias("comp"))
     own = stored(own, f"{base}/tmp/comps")
     lowest = stored(own.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_nodes")), f"{base}/tmp/lowest")
     named = _with_info(own, lowest, "_nodes", own.count(), "comp").select("node", "copies", "component_id")
-    named = stored(named.join(degree.select(F.col("node").alias("_d"), "links"), F.col("node") == F.col("_d"), "left").select("node", "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links")), f"{base}/named")
+    named = stored(named.join(degree.select(F.col("node").alias("_d"), "links_used"), F.col("node") == F.col("_d"), "left").select("node", "copies", "component_id", F.coalesce("links_used", F.lit(0)).alias("links_used")), f"{base}/named")
     remove(spark, f"{base}/tmp")
     return _for_documents(sets, named)
 
@@ -654,8 +631,8 @@ def _for_documents(sets: DataFrame, named: DataFrame, hot_share: int = HOT_SHARE
     """Each document's component. Nodes with a large part of all rows, ``hot_share`` of them at most, are broadcast."""
     total = named.agg(F.sum("copies")).first()[0] or 0
     hot = F.col("copies") > max(1000, total // hot_share)
-    few = F.broadcast(named.where(hot).select(F.col("node").alias("_hot"), F.col("component_id").alias("_hot_id"), F.col("links").alias("_hot_links")))
-    rest = named.where(~hot).select(F.col("node").alias("_node"), F.col("component_id").alias("_id"), F.col("links").alias("_links"))
+    few = F.broadcast(named.where(hot).select(F.col("node").alias("_hot"), F.col("component_id").alias("_hot_id"), F.col("links_used").alias("_hot_links")))
+    rest = named.where(~hot).select(F.col("node").alias("_node"), F.col("component_id").alias("_id"), F.col("links_used").alias("_links"))
     met = sets.select("doc_id", "n", "node").join(few, (F.col("node") == F.col("_hot")) & (F.col("n") > 0), "left")
     # rows that are done, and empty sets, get keys of their own: they spread and meet nothing
     key = F.when(F.col("_hot").isNull() & (F.col("n") > 0), F.struct(F.col("node").alias("k"), F.lit(None).cast("long").alias("d"))).otherwise(F.struct(F.lit(None).cast("long").alias("k"), F.col("doc_id").alias("d")))
@@ -665,7 +642,7 @@ def _for_documents(sets: DataFrame, named: DataFrame, hot_share: int = HOT_SHARE
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("_hot_id", "_id", "doc_id").alias("component_id"),
-        F.coalesce("_hot_links", "_links", F.lit(0)).alias("links"),
+        F.coalesce("_hot_links", "_links", F.lit(0)).alias("links_used"),
     )
 
 

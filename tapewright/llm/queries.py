@@ -148,14 +148,14 @@ def _overlaps_sql() -> str:
             {name}x as (select {key}, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) - 1 as p from {name}w),
             {name} as (select {key}, n, p, {shifted} from {name}x window o as (partition by {key} order by p))"""
 
-    is_short = f"b.n between {decontaminate.SHORTEST} and {span}"
+    is_short = f"b.n between 1 and {span}"
 
     def joined(mask: tuple[int, ...], more: str = "") -> str:
         on = " and ".join(f"d.w{before + k} = b.w{before + k}" for k in mask) + more
         same = ", ".join(f"coalesce((d.w{k} = b.w{k})::int, 0)" for k in range(width))
         return f"select d.doc_id, b.item_id, b.n, d.p as place, case when {is_short} then 0 else b.p end as item_place, [{same}] as same from d join b on {on}"
 
-    seeds = [*map(joined, decontaminate.MASKS), joined(decontaminate.SHORT, f" and {is_short} and b.p = case when b.n = {span} then 1 else 0 end")]
+    seeds = [*map(joined, decontaminate.MASKS), *(joined(m, f" and {is_short} and least(b.n, {len(decontaminate.SHORT)}) = {len(m)} and b.p = case when b.n = {span} then 1 else 0 end") for m in decontaminate.SHORT)]
 
     best = "greatest(" + ", ".join(f"list_sum(same[{k + 1}:{k + decontaminate.WINDOW}])" for k in range(before + 1)) + ")"
     wanted = f"least({decontaminate.WINDOW}, n)"

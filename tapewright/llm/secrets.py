@@ -32,21 +32,64 @@ ALLOWED = ("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "[eE][xX][aA]
 _SPAN = "array<struct<start:int,`end`:int,found:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(items: Column, start: Column, step, wanted, told, kind: str) -> Column:
+    """Left to right over an array: ``told(state, item)`` of the items for which ``wanted(state, item)``, where ``step(state, item)`` is the next state.
+
+    An array that grows by one item is copied for it. So items go in runs of about the root of their number:
+    answers grow within a run, and the runs' answers are put together at the end.
+    """
+    none = F.array().cast(kind)
+
+    def within(done: Column, item: Column) -> Column:
+        one = F.array(told(done["state"], item)).cast(kind)
+        return F.struct(step(done["state"], item).alias("state"), F.when(wanted(done["state"], item), F.concat(done["out"], one)).otherwise(done["out"]).alias("out"))
+
+    def across(done: Column, run: Column) -> Column:
+        return F.concat(done, F.array(F.aggregate(run, F.struct(F.element_at(done, -1)["state"].alias("state"), none.alias("out")), within)))
+
+    def runs(held: Column, side: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / side).cast("int")), lambda k: F.slice(held, k * side + 1, side))
+
+    def found(held: Column) -> Column:
+        dealt = _let(F.ceil(F.sqrt(F.size(held))).cast("int"), lambda side: runs(held, side))
+        out = F.aggregate(dealt, F.array(F.struct(start.alias("state"), none.alias("out"))), across, lambda done: F.flatten(F.transform(done, lambda d: d["out"])))
+        return F.when(F.size(held) > 0, out).otherwise(none)
+
+    return _let(items, found)
+
+
 def _spans(text: Column, pattern: str, keep) -> Column:
     """(start, end, found) of the non-overlapping matches, leftmost first, that ``keep`` lets through."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(_SPAN)
-
-    def step(state, e):
-        start = state["at"] + F.length(e["pieces"])
-        end = start + F.length(e["found"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), e["found"].alias("found"))).cast(_SPAN)
-        return F.struct(end.alias("at"), F.when(keep(e["found"]), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    pairs = F.filter(F.arrays_zip(pieces.alias("pieces"), found.alias("found")), lambda e: e["found"].isNotNull())
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    pairs = F.filter(F.arrays_zip(F.transform(pieces, F.length).alias("before"), found.alias("found")), lambda e: e["found"].isNotNull())
+    spans = _scan(
+        pairs, F.lit(0), lambda at, e: at + e["before"] + F.length(e["found"]), lambda _, e: keep(e["found"]),
+        lambda at, e: F.struct((at + e["before"]).alias("start"), (at + e["before"] + F.length(e["found"])).alias("end"), e["found"].alias("found")), _SPAN,
+    )
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+
+
+def _apart(spans: Column, taken: Column) -> Column:
+    """The ``spans`` that overlap none of ``taken``: all are sorted, one scan tells how far those before reach, one backwards where the next begins."""
+    kind = "array<struct<start:int,`end`:int,found:string,free:boolean,reach:int>>"
+    mark = lambda c, free: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(free).alias("free"), s["end"].alias("end"), s["found"].alias("found")))
+    marked = F.concat(mark(taken, False), mark(spans, True))
+    always = lambda *_: F.lit(True)
+    ahead = _scan(
+        F.array_sort(marked), F.lit(0), lambda reach, s: F.when(s["free"], reach).otherwise(F.greatest(reach, s["end"])), always,
+        lambda reach, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), s["free"].alias("free"), reach.alias("reach")), kind,
+    )
+    back = _scan(
+        F.reverse(ahead), F.lit(2**31 - 1), lambda begins, s: F.when(s["free"], begins).otherwise(s["start"]),
+        lambda begins, s: s["free"] & (s["reach"] <= s["start"]) & (begins >= s["end"]), lambda _, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")), _SPAN,
+    )
+    return F.when((F.size(spans) > 0) & (F.size(taken) > 0), F.reverse(back)).otherwise(spans)
 
 
 def _best_entropy(candidate: Column, window: int) -> Column:
@@ -99,7 +142,8 @@ def scan(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOW
     Places are code points of the whole text, ends exclusive. A null text is empty
     and has no spans. Entropy spans that overlap one of the others are left out. Repeated
     rows get equal answers; other columns are ignored; an empty table gives no rows. The time
-    for a candidate grows with its length alone. window: characters, 70 at most.
+    for a candidate grows with its length alone, and that for a text about with the number of its spans.
+    window: characters, 70 at most.
     """
     if not 1 < window <= MOST_WINDOW:
         raise ValueError(f"a window has 2 to {MOST_WINDOW} characters")
@@ -110,13 +154,11 @@ def scan(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOW
         _spans(F.col("_text"), ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8).alias("assign"),
         _spans(F.col("_text"), ACCESS, always).alias("access"),
         _spans(F.col("_text"), HEX, always).alias("hex"),
-        _spans(F.col("_text"), CANDIDATE, lambda m: _secret(m, window, allowed)).alias("_dense"),
-    )
-    taken = F.concat("assign", "access", "hex")
-    return base.select(
-        "doc_id", "assign", "access", "hex",
-        F.filter("_dense", lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias("entropy"),
+        _spans(F.col("_text"), CANDIDATE, always).alias("_dense"),
     )
+    # only candidates that no fixed pattern has found are worth a look at their windows
+    free = base.select("doc_id", "assign", "access", "hex", _apart(F.col("_dense"), F.concat("assign", "access", "hex")).alias("_free"))
+    return free.select("doc_id", "assign", "access", "hex", F.filter("_free", lambda s: _secret(s["found"], window, allowed)).alias("entropy"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -439,6 +439,34 @@ def test_a_megabyte_candidate_is_scanned(spark):
     assert abs(found[3] - max(entropies(rows[2][1], 20))) < 1e-9
 
 
+def test_secrets_of_texts_with_many_spans(spark):
+    """Spans of all kinds in number, side by side and inside each other, against pairs of spans."""
+    rng = random.Random(14)
+    make = [lambda: f"{rng.getrandbits(160):040x}", lambda: "token=" + f"{rng.getrandbits(60):x}", lambda: "AKIA" + "".join(rng.choices("ABCDEFG0123456", k=20)), lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=30)), lambda: "plain words", lambda: "é" * rng.randint(1, 4)]
+    texts = [(i, "".join(rng.choice(make)() + rng.choice([" ", "  ", "", "é ", "/"]) for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 9, 10, 26, 300, 1100])]
+    for row, (_, text) in zip(sorted(secrets.scan(frame(spark, texts)).collect()), texts, strict=True):
+        base = []
+        for kind, pattern in (("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX)):
+            own = [m.span() for m in re.finditer(pattern, text) if kind != "assign" or len(m.group(2)) >= 8]
+            assert [(s.start, s.end) for s in row[kind]] == own
+            base += own
+        free = [m.span() for m in re.finditer(secrets.CANDIDATE, text) if not any(a < m.end() and m.start() < b for a, b in base)]
+        found = [(s.start, s.end) for s in row["entropy"]]
+        assert set(found) <= set(free) and found == sorted(found) and all(text[s.start : s.end] == s.found for s in row["entropy"])
+        if len(text) > 20_000:
+            assert len(found) > 50
+
+
+def test_shingles_tell_words_apart_that_a_polynomial_does_not():
+    for n in (10, 12):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(2**n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        a, b = jaccard_join.shingles(word.encode()), jaccard_join.shingles(other.encode())
+        assert len(a) == len(b) == 1 and not jaccard_join.linked(a, b)
+    assert len(jaccard_join.shingles(("x" * 300_000 + " y " * 9).encode())) == 2
+    assert len(set(jaccard_join.shingles(b"a b c d e a b c d f").tolist()) & set(jaccard_join.shingles(b"b a c d e").tolist())) == 0
+
+
 # ----------------------------------------------------------- decontamination
 
 
@@ -461,7 +489,7 @@ def test_leaks_are_found_with_substitutions(spark, none):
     def brute(text, item):
         a, b = re.findall(r"\w+", text.lower()), re.findall(r"\w+", (item or "").lower())
         w = min(12, len(b))
-        return w >= 6 and any(sum(x == y for x, y in zip(a[p : p + w], b[q : q + w], strict=False)) >= w - w * 2 // 12 for p in range(len(a) - w + 1) for q in range(len(b) - w + 1))
+        return w >= 1 and any(sum(x == y for x, y in zip(a[p : p + w], b[q : q + w], strict=False)) >= w - w * 2 // 12 for p in range(len(a) - w + 1) for q in range(len(b) - w + 1))
 
     wanted = {(i, k) for i, t in texts for k, b in items if brute(t, b)}
     assert found == wanted and (50, 92) in found
@@ -469,6 +497,14 @@ def test_leaks_are_found_with_substitutions(spark, none):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), benchmark).collect()} == {i for i, _ in texts} - {i for i, _ in wanted}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_items_of_few_words_are_found_whole(spark, n):
+    item = " ".join(["one", "two", "three"][:n])
+    texts = [(1, item), (2, item.upper() + "!"), (3, "three two one" if n > 1 else "on e"), (4, f"so {item}, or"), (5, "one" if n > 1 else "won"), (6, None), (7, ""), (8, f"{item} {item}")]
+    found = decontaminate.overlaps(frame(spark, texts), spark.createDataFrame([(1, item), (2, item), (3, ""), (4, None)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.windows) for r in found} == {(d, k, 2 if d == 8 else 1) for d in (1, 2, 4, 8) for k in (1, 2)}
+
+
 def test_masks_leave_no_two_substitutions_unseen():
     for gone in itertools.combinations(range(12), 2):
         assert any(all(o + k not in gone for k in m) for m in decontaminate.MASKS for o in range(7))
@@ -489,7 +525,7 @@ def test_short_items_are_found(spark, monkeypatch, broadcast_words):
     def brute(text, item):
         a, b = text.split(), item.split()
         w = len(b)
-        return w >= 4 and any(sum(x == y for x, y in zip(a[p : p + w], b, strict=True)) >= w - w * 2 // 12 for p in range(len(a) - w + 1))
+        return any(sum(x == y for x, y in zip(a[p : p + w], b, strict=True)) >= w - w * 2 // 12 for p in range(len(a) - w + 1))
 
     wanted = {(i, k) for i, t in texts for k, b in items if brute(t, b)}
     found = decontaminate.overlaps(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
