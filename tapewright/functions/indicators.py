@@ -2,11 +2,15 @@
 
 Every builder works on rows of an instrument in date order; give another ``w`` for
 other keys. Divisions are guarded: a zero or missing divisor gives null.
+
+Builders of sums and extremes add up their window anew at each row. ``with_means`` and ``with_extremes`` add columns to a
+DataFrame at a cost a row that doesn't, or hardly, depend on the window: means from differences of one exact
+running sum, extremes from windows that double.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MA_LENGTHS = (5, 10, 20, 30, 60, 120, 250)
@@ -40,6 +44,57 @@ def sma_full(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     return F.when(F.count(_col(col)).over(f) == n, F.avg(_col(col)).over(f))
 
 
+def with_means(df: DataFrame, col: str, lengths: dict[str, int], scale: int = 100, full: bool = False, w: WindowSpec | None = None) -> DataFrame:
+    """Adds a moving average for each name in ``lengths`` (name: rows): partial at the start, or with ``full`` null until there are that many values.
+
+    Values are whole numbers after multiplying by ``scale`` (100 for prices in whole cents, 1 for volumes), so the
+    running sum is an exact long and each average is a difference of two of its values. Nulls count neither as
+    value nor as row of the average.
+    """
+    w = w or by_date()
+    value = F.round(F.col(col) * scale).cast("long")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("_upto", F.struct(F.sum(value).over(so_far).alias("s"), F.count(value).over(so_far).alias("n")))
+    nothing = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0).cast("long").alias("n"))
+    for name, n in lengths.items():
+        summed = summed.withColumn(f"_before_{name}", F.lag("_upto", n).over(w))
+    out = {}
+    for name, n in lengths.items():
+        before = F.coalesce(F.col(f"_before_{name}"), nothing)
+        count = F.col("_upto.n") - before["n"]
+        out[name] = F.when(count == n if full else count > 0, (F.col("_upto.s") - F.coalesce(before["s"], F.lit(0))) / count / scale)
+    return summed.withColumns(out).drop("_upto", *(f"_before_{name}" for name in lengths))
+
+
+def with_extremes(df: DataFrame, highs: dict[str, tuple[str, int]], lows: dict[str, tuple[str, int]], w: WindowSpec | None = None) -> DataFrame:
+    """Adds the highest (``highs``) and lowest (``lows``) value of up to n rows; each name comes with its column and n.
+
+    An extreme of 2k rows is that of two extremes of k rows, and one of n rows is that of two of the largest power of two
+    that fits, which may overlap; so n rows take log2(n) looks back, all over one sort. Nulls are passed over.
+    """
+    w = w or by_date()
+    columns = {(c, F.greatest): max(n for k, n in highs.values() if k == c) for c in {k for k, _ in highs.values()}}
+    columns |= {(c, F.least): max(n for k, n in lows.values() if k == c) for c in {k for k, _ in lows.values()}}
+    level = {(c, pick, 1): F.col(c) for c, pick in columns}
+    k = 1
+    while any(2 * k <= most for most in columns.values()):
+        grown = {}
+        for nth, ((c, pick), most) in enumerate(sorted(columns.items(), key=lambda x: (x[0][0], x[0][1] is F.least))):
+            if 2 * k <= most:
+                own = f"_x{nth}_{2 * k}"
+                grown[own] = pick(level[c, pick, k], F.lag(level[c, pick, k], k).over(w))
+                level[c, pick, 2 * k] = F.col(own)
+        df, k = df.withColumns(grown), 2 * k
+    out = {}
+    for asked, pick in ((highs, F.greatest), (lows, F.least)):
+        for name, (c, n) in asked.items():
+            half = 1 << (n.bit_length() - 1)
+            own = level[c, pick, half]
+            out[name] = own if half == n else pick(own, F.lag(own, n - half).over(w))
+    made = [x for x in df.columns if x.startswith("_x")]
+    return df.withColumns(out).drop(*made)
+
+
 def vol_ma(n: int, w: WindowSpec | None = None) -> Column:
     return sma("volume", n, w)
 
@@ -50,6 +105,11 @@ def vol_ratio(n: int, w: WindowSpec | None = None) -> Column:
     return F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0))
 
 
+def over_mean(mean: str, col: str = "volume") -> Column:
+    """A value over its average, which is a column; 1 where the average is not above 0."""
+    return F.when(F.col(mean) > 0, F.col(col) / F.col(mean)).otherwise(F.lit(1.0))
+
+
 def pct_return(col: str | Column = "close_adj", w: WindowSpec | None = None) -> Column:
     """Return on the row before, in percent."""
     before = F.lag(_col(col)).over(w or by_date())

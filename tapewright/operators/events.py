@@ -267,7 +267,7 @@ def evaluate_exits(trades: DataFrame, bars: DataFrame, stop: float = 8.0, trail:
     Rules in order: close below the stop, close below the running peak less ``trail`` percent, close below
     its 20-row average, held max_days or longer. Bars without volume are passed over.
     """
-    rated = bars.withColumn("_ma20", I.sma("close_adj", 20))
+    rated = I.with_means(bars, "close_adj", {"_ma20": 20})
     own = indexed(rated).select(F.col("symbol").alias("_s"), "bar_idx", F.col("date").alias("_date"), F.col("close_adj").alias("_close"), F.col("volume").alias("_v"), "_ma20")
     held = _in_reach(trades, own, 1, max_days).where(F.col("_v") > 0)
     w = Window.partitionBy(*TRADE).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)

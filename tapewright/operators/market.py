@@ -89,9 +89,9 @@ def streak_ladder(streaks: DataFrame, names: DataFrame) -> DataFrame:
 
 def latest_flags(bars: DataFrame, mult: float = 1.5, mas: tuple[int, ...] = (5, 10, 20, 60), date: str | None = None, warmup_days: int = WARMUP_DAYS) -> DataFrame:
     """symbol, above_ma20, bull and breakout at the latest date: one window pass over the last ``warmup_days`` days, then one row an instrument."""
-    columns = {f"_ma{n}": I.sma("close_adj", n) for n in {*mas, 20}}
     recent, day = latest_window(bars, warmup_days, date=date)
-    today = at_latest(recent.withColumns(columns | {"_v5": I.vol_ma(5)}), date=day)
+    priced = I.with_means(recent, "close_adj", {f"_ma{n}": n for n in sorted({*mas, 20})})
+    today = at_latest(I.with_means(priced, "volume", {"_v5": 5}, scale=1), date=day)
     return today.select(
         "symbol",
         (F.col("close_adj") > F.col("_ma20")).alias("above_ma20"),

@@ -32,10 +32,10 @@ def abnormal_count(monthly: DataFrame, ratio: float | Column = 3.0, lookback: in
 
 def hist_range(monthly: DataFrame, lookback: int = 12) -> DataFrame:
     """Adds hist_max_high_adj and hist_min_low_adj of the ``lookback`` months before (0 where there are none)."""
-    f = by_month().rowsBetween(-lookback, -1)
-    return monthly.withColumns(
-        {"hist_max_high_adj": F.coalesce(F.max("max_high_adj").over(f), F.lit(0.0)), "hist_min_low_adj": F.coalesce(F.min("min_low_adj").over(f), F.lit(0.0))}
-    )
+    w = by_month()
+    rated = I.with_extremes(monthly, {"_high": ("max_high_adj", lookback)}, {"_low": ("min_low_adj", lookback)}, w)
+    before = {"hist_max_high_adj": F.coalesce(F.lag("_high").over(w), F.lit(0.0)), "hist_min_low_adj": F.coalesce(F.lag("_low").over(w), F.lit(0.0))}
+    return rated.withColumns(before).drop("_high", "_low")
 
 
 def resample_ma(bars: DataFrame, unit: str, n: int = 30, lookahead: bool = True, col: str = "close") -> DataFrame:

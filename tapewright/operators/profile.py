@@ -16,11 +16,11 @@ def risk_level(volatility: Column) -> Column:
 def feature_snapshot(bars: DataFrame, lookback: int = 260) -> DataFrame:
     """One row per instrument: price, averages, slopes, volume and volatility of its latest bar, from its last ``lookback`` bars."""
     recent = latest_n(bars, lookback).withColumn("ret", I.pct_return())
-    rated = recent.withColumns(
-        {f"ma{n}": I.sma("close_adj", n) for n in I.MA_LENGTHS}
-        | {
-            "high_250": I.rolling_max("close_adj", 250), "low_250": I.rolling_min("close_adj", 250), "dist_high_pct": I.dist_from_high(250),
-            "vol_ratio_5": I.vol_ratio(5), "vol_ratio_20": I.vol_ratio(20), "volatility": I.rolling_std("ret", 20, annualize=250),
+    means = I.with_means(I.with_means(recent, "close_adj", {f"ma{n}": n for n in I.MA_LENGTHS}), "volume", {"_v5": 5, "_v20": 20}, scale=1)
+    rated = I.with_extremes(means, {"high_250": ("close_adj", 250)}, {"low_250": ("close_adj", 250)}).withColumns(
+        {
+            "dist_high_pct": I.ratio(F.col("high_250") - F.col("close_adj"), F.col("high_250")) * 100,
+            "vol_ratio_5": I.over_mean("_v5"), "vol_ratio_20": I.over_mean("_v20"), "volatility": I.rolling_std("ret", 20, annualize=250),
         }
     )
     sloped = rated.withColumns({"slope_ma20": I.slope_pct("ma20"), "slope_ma30": I.slope_pct("ma30"), "dev_ma20": I.deviation_pct("close_adj", "ma20")})
@@ -38,7 +38,8 @@ def pattern_stats(bars: DataFrame, horizon: int = 5) -> DataFrame:
     7 % or more within the 15 rows up to now, on under 0.65 of the 20-row volume). Rates
     default to 50, returns to 0.
     """
-    rated = bars.withColumns({"ret": I.pct_return(), "fwd": I.forward_return(horizon), "ma20": I.sma("close_adj", 20), "v5": I.vol_ma(5), "v20": I.vol_ma(20)})
+    rated = bars.withColumns({"ret": I.pct_return(), "fwd": I.forward_return(horizon)})
+    rated = I.with_means(I.with_means(rated, "close_adj", {"ma20": 20}), "volume", {"v5": 5, "v20": 20}, scale=1)
     rated = rated.withColumns({"dev": I.deviation_pct("close_adj", "ma20"), "top": I.trailing_max("ret", 14, 1)}).where(F.col("fwd").isNotNull())
     # fixed values: the thresholds of the patterns
     patterns = {
@@ -125,5 +126,5 @@ def price_bands(last: DataFrame, horizon: int = 10, quantiles: dict[int, float]
 
 def chart_slice(bars: DataFrame, n: int = 90) -> DataFrame:
     """symbol, date, close, ma20 and ma30 of each instrument's last n bars; averages over the whole history."""
-    rated = bars.withColumns({"ma20": I.sma("close_adj", 20), "ma30": I.sma("close_adj", 30)})
+    rated = I.with_means(bars, "close_adj", {"ma20": 20, "ma30": 30})
     return latest_n(rated, n).select("symbol", "date", F.col("close_adj").alias("close"), "ma20", "ma30")

@@ -17,8 +17,7 @@ REQUIRED = ("symbol", "Close", "Vol_Ratio")
 
 def factors(bars: DataFrame, mas: tuple[int, ...] = I.MA_LENGTHS) -> DataFrame:
     """Bars with ma<n>, vol_ma5, Vol_Ratio and Dev_MA20_Pct, in one window pass."""
-    columns = {f"ma{n}": I.sma("close_adj", n) for n in {*mas, 20}} | {"vol_ma5": I.vol_ma(5)}
-    rated = bars.withColumns(columns)
+    rated = I.with_means(I.with_means(bars, "close_adj", {f"ma{n}": n for n in sorted({*mas, 20})}), "volume", {"vol_ma5": 5}, scale=1)
     return rated.withColumns({"Vol_Ratio": I.ratio(F.col("volume"), F.col("vol_ma5")), "Dev_MA20_Pct": I.deviation_pct("close_adj", "ma20")})
 
 
@@ -93,7 +92,7 @@ def with_slopes(result: DataFrame, bars: DataFrame, lengths: tuple[int, ...] = (
     """Adds slope_ma<n> of the latest bar of each selected symbol within ``warmup_days`` days; 0 where there is none."""
     recent, _ = latest_window(bars, warmup_days)
     picked = recent.join(result.select(F.col("symbol").alias("_p")).distinct(), F.col("symbol") == F.col("_p"), "left_semi")
-    averaged = picked.withColumns({f"_ma{n}": I.sma("close_adj", n) for n in lengths})
+    averaged = I.with_means(picked, "close_adj", {f"_ma{n}": n for n in lengths})
     sloped = averaged.withColumns({f"slope_ma{n}": I.slope_pct(f"_ma{n}", k) for n in lengths} | {"_rn": I.recency_rank()}).where("_rn = 1")
     own = sloped.select(F.col("symbol").alias("_s"), *(F.col(f"slope_ma{n}").alias(f"_sl{n}") for n in lengths))
     return result.join(own, F.col("symbol") == F.col("_s"), "left").select(*result.columns, *(F.coalesce(f"_sl{n}", F.lit(0.0)).alias(f"slope_ma{n}") for n in lengths))
@@ -110,7 +109,7 @@ def rebalance_dates(calendar: DataFrame, start: str, end: str, period: str = "we
 
 def select_all_dates(bars: DataFrame, blocks: DataFrame, dates: DataFrame, condition: Column | None = None, mas: tuple[int, ...] = (20,), min_count: int = 3) -> DataFrame:
     """A screen on every rebalance date in one plan: factors once, then resonance by date and block."""
-    wanted = F.broadcast(dates.select(F.col("date").alias("_w")).distinct())
+    wanted = dates.select(F.col("date").alias("_w")).distinct()
     rated = factors(bars, mas).join(wanted, F.col("date") == F.col("_w"), "left_semi")
     return resonance(rated.where(volume_breakout() if condition is None else condition), blocks, min_count)
 

@@ -59,41 +59,98 @@ class _Best:
         near = distance <= self.bound
         if near.any():
             self.held.append((distance[near], at[near]))
-            if sum(len(d) for d, _ in self.held) > 4 * self.k:
-                self.cut()
+            self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.held:
             return np.zeros(0), np.zeros(0, np.int64)
         distance, at = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        if len(distance) > self.k:
+        if len(distance) >= self.k:
             self.bound = np.partition(distance, self.k - 1)[self.k - 1]
             distance, at = distance[distance <= self.bound], at[distance <= self.bound]
         self.held = [(distance, at)]
         return distance, at
 
 
+#: windows that meet the targets at once, and parts of a window whose means bound a distance
+WINDOWS_AT_ONCE, PARTS = 8192, 6
 _FOUND = "target string, source string, start_idx int, l2 double"
 
 
+def scaled_windows(prices: np.ndarray, size: int, n: int) -> np.ndarray:
+    """The first n windows of ``size`` prices, each scaled to 0..1; a flat one becomes zeros."""
+    rows = np.lib.stride_tricks.sliding_window_view(prices, size)[:n]
+    low, span = rows.min(1, keepdims=True), np.ptp(rows, axis=1)[:, None]
+    return (rows - low) / np.where(span > 0, span, 1.0)
+
+
+def part_means(rows: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """Means of the parts of each row, times the root of a part's length over the row's: their Euclidean distance bounds the root mean square from below."""
+    size = rows.shape[1]
+    edges = np.linspace(0, size, min(parts, size) + 1).astype(int)
+    lengths = np.diff(edges)
+    return np.add.reduceat(rows, edges[:-1], axis=1) / lengths * np.sqrt(lengths / size)
+
+
+class _Search:
+    """Blocks of windows against all targets: bounds by one matrix product, distances for what the bounds leave.
+
+    ``met`` and ``measured`` count pairs of target and window, and those whose distance was computed.
+    """
+
+    def __init__(self, patterns: np.ndarray, k: int):
+        self.patterns, self.means, self.k = patterns, part_means(patterns), k
+        self.squares = (self.means**2).sum(1)
+        self.best = [_Best(k) for _ in patterns]
+        self.met = self.measured = 0
+
+    def distances(self, t: int, rows: np.ndarray) -> np.ndarray:
+        self.measured += len(rows)
+        return np.sqrt(((self.patterns[t] - rows) ** 2).sum(1) / rows.shape[1])
+
+    def add(self, rows: np.ndarray, at: np.ndarray, asked: np.ndarray) -> None:
+        """rows: scaled windows; at: their numbers; asked: the targets that look at them."""
+        means = part_means(rows)
+        # squared distances of the part means, less what rounding may add to them
+        bounds = self.squares[asked, None] + (means**2).sum(1) - 2 * (self.means[asked] @ means.T) - 1e-9
+        self.met += bounds.size
+        for t, own in zip(asked.tolist(), bounds, strict=True):
+            best, seen = self.best[t], np.zeros(0, np.int64)
+            if best.bound == np.inf and len(own) > self.k:  # the windows of least bound make a first one
+                seen = np.argpartition(own, self.k - 1)[: self.k]
+                best.add(self.distances(t, rows[seen]), at[seen])
+                own[seen] = np.inf
+            left = np.flatnonzero(own <= best.bound**2)
+            left = left[np.isfinite(own[left])]
+            if len(left):
+                best.add(self.distances(t, rows[left]), at[left])
+
+
 def _scan(names: list[str], patterns: np.ndarray, k: int, scope: str, index: str, size: int, future: int, gap: int):
     """The k nearest windows for each target among the instruments of a task: rows (symbol, close_adj) by instrument and date."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, sources = [_Best(k) for _ in names], []
+        search, sources = _Search(patterns, k), []
+        every, place = np.arange(len(names)), {name: t for t, name in enumerate(names)}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if held:
+                rows, at = (np.concatenate(c) for c in zip(*held, strict=True))
+                held.clear()
+                search.add(rows, at, every)
 
-        def search(source: str, prices: np.ndarray) -> None:
+        def meet(source: str, prices: np.ndarray) -> None:
             n = len(prices) - size - future - gap
-            asked = [t for t, name in enumerate(names) if scope == "all" or source in (name, index)]
-            if n <= 0 or not asked:
+            if n <= 0 or not names or scope != "all" and source != index and source not in place:
                 return
-            rows = np.lib.stride_tricks.sliding_window_view(prices, size)[:n]
-            low, span = rows.min(1, keepdims=True), np.ptp(rows, axis=1)[:, None]
-            scaled = (rows - low) / np.where(span > 0, span, 1.0)
-            at = (len(sources) << 32) + np.arange(n)
+            rows, at = scaled_windows(prices, size, n), (len(sources) << 32) + np.arange(n)
             sources.append(source)
-            for t in asked:
-                best[t].add(np.sqrt(((patterns[t] - scaled) ** 2).sum(1) / size), at)
+            if scope != "all" and source != index:
+                return search.add(rows, at, np.array([place[source]]))
+            held.append((rows, at))
+            if sum(len(a) for _, a in held) >= WINDOWS_AT_ONCE:
+                flush()
 
         now, parts = None, []
         for frame in frames:
@@ -102,12 +159,13 @@ def _scan(names: list[str], patterns: np.ndarray, k: int, scope: str, index: str
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b and symbols[a] != now:
                     if parts:
-                        search(now, np.concatenate(parts))
+                        meet(now, np.concatenate(parts))
                     now, parts = symbols[a], []
                 parts.append(closes[a:b])
         if parts:
-            search(now, np.concatenate(parts))
-        for name, own in zip(names, best, strict=True):
+            meet(now, np.concatenate(parts))
+        flush()
+        for name, own in zip(names, search.best, strict=True):
             distance, at = own.cut()
             yield pd.DataFrame({"target": [name] * len(at), "source": [sources[x] for x in (at >> 32).tolist()], "start_idx": (at & 0xFFFFFFFF).astype(np.int32), "l2": distance})
 
@@ -118,9 +176,10 @@ def nearest_l2(aims: DataFrame, bars: DataFrame, k: int = 150, scope: str = "all
     """The k windows of ``bars`` nearest to each target by root mean squared difference, with l2_rank, start_date, end_date, prices, pattern and the target's columns.
 
     scope: ``all`` windows, or ``own`` history plus one index. Targets are taken in blocks of about ``at_once`` (SIZE
-    doubles each), which go to the tasks; a block reads the bars once. A task goes through its instruments one
-    after the other and keeps k windows a target (and ties), which are all that is shuffled. Closes of
-    the winners alone are fetched.
+    doubles each), which go to the tasks; a block reads the bars once. A task takes windows by thousands: one matrix
+    product of part means bounds the distances to all targets from below, and only windows below a target's k-th
+    distance so far are measured, so results are exact. It keeps k windows a target (and ties), which are all
+    that is shuffled. Closes of the winners alone are fetched.
     """
     on_workers(bars.sparkSession)
     history = valid_prices(bars).select("symbol", "date", "close_adj")

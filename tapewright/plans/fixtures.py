@@ -2,7 +2,7 @@
 
 Each supplier is an instrument and each ISO week a trading day. ``Views`` gives DataFrames;
 ``with_views`` puts the same definitions before a query for DuckDB. The bars are adjusted for the view's
-corporate actions and lie in a store on disk, which a session writes once a folder of tables.
+corporate actions and lie in a store, which a session writes once a folder of tables.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.adjust import adjusted_bars
 from ..operators.events import indexed
-from ..sources.bars import load_bars, write_bars
 from ..sources.shared import shared_path
+from ..sources.store import buckets_for, load_store, write_store
 
 _SYMBOL = "case l_suppkey % 5 when 0 then 'sh60' when 1 then 'sh68' when 2 then 'sz00' when 3 then 'sz30' else 'bj43' end || lpad(cast(l_suppkey as {text}), 4, '0')"
 _ORDER = "{row}(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
@@ -137,24 +137,30 @@ class Views:
             _kept[key] = path
         return self.spark.read.parquet(_kept[key])
 
-    @cached_property
-    def store(self) -> str:
-        """Path of the store of adjusted bars."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, "store")
+    def table(self, name: str, build: Callable[[], DataFrame]) -> str:
+        """Name of a store (bucketed by instrument) with the result of ``build``, written once a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"table {name}")
         if key not in _kept:
-            path = shared_path(self.spark, "bars")
-            write_bars(adjusted_bars(self.bars_raw, self.actions), path)
-            _kept[key] = path
+            path = shared_path(self.spark, name)
+            table = path.rsplit("/", 1)[-1].replace("-", "_")
+            # a bar is made of one item or more
+            write_store(build(), table, buckets_for(self.lineitem.count(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))), path)
+            _kept[key] = table
         return _kept[key]
 
+    @cached_property
+    def store(self) -> str:
+        """Name of the store of adjusted bars."""
+        return self.table("bars", lambda: adjusted_bars(self.bars_raw, self.actions))
+
     @cached_property
     def bars(self) -> DataFrame:
-        return load_bars(self.spark, self.store)
+        return load_store(self.spark, self.store)
 
     @cached_property
     def numbered(self) -> DataFrame:
         """Bars with bar_idx and bars_total."""
-        return self.kept("numbered", lambda: indexed(self.bars))
+        return load_store(self.spark, self.table("numbered", lambda: indexed(self.bars)))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS and name not in self.tables:

@@ -21,15 +21,15 @@ def r6(digits: int = 6, **columns):
 
 
 Q["w1_sma"] = (
-    lambda v: v.bars.select("symbol", "date", *r6(9, **{f"ma{n}": I.sma("close_adj", n) for n in I.MA_LENGTHS})),
+    lambda v: I.with_means(v.bars, "close_adj", {f"ma{n}": n for n in I.MA_LENGTHS}).select("symbol", "date", *r6(9, **{f"ma{n}": F.col(f"ma{n}") for n in I.MA_LENGTHS})),
     with_views("bars", "select symbol, date, " + ", ".join(f"round({_avg(n)}, 9) as ma{n}" for n in (5, 10, 20, 30, 60, 120, 250)) + " from bars"),
 )
 Q["w2_sma_full"] = (
-    lambda v: v.bars.select("symbol", "date", *r6(ma30=I.sma_full("close_adj", 30), ma250=I.sma_full("close_adj", 250))),
+    lambda v: I.with_means(v.bars, "close_adj", {"ma30": 30, "ma250": 250}, full=True).select("symbol", "date", *r6(ma30=F.col("ma30"), ma250=F.col("ma250"))),
     with_views("bars", "select symbol, date, " + ", ".join(f"case when row_number() over (partition by symbol order by date) >= {n} then round({_avg(n)}, 6) end as ma{n}" for n in (30, 250)) + " from bars"),
 )
 Q["w3_w4_volume_ratio"] = (
-    lambda v: v.bars.select("symbol", "date", *r6(v5=I.vol_ma(5), v20=I.vol_ma(20), ratio5=I.vol_ratio(5), ratio20=I.vol_ratio(20))),
+    lambda v: I.with_means(v.bars, "volume", {"v5": 5, "v20": 20}, scale=1).select("symbol", "date", *r6(v5=F.col("v5"), v20=F.col("v20"), ratio5=I.over_mean("v5"), ratio20=I.over_mean("v20"))),
     with_views("bars", f"select symbol, date, round({_avg(5, 'volume')}, 6) as v5, round({_avg(20, 'volume')}, 6) as v20, round(volume / {_avg(5, 'volume')}, 6) as ratio5, round(volume / {_avg(20, 'volume')}, 6) as ratio20 from bars"),
 )
 _RET = "(close_adj - lag(close_adj) over (partition by symbol order by date)) / nullif(lag(close_adj) over (partition by symbol order by date), 0) * 100"
@@ -39,12 +39,12 @@ Q["w5_w6_returns"] = (
         select symbol, date, round(ret, 6) as ret, round(s, 6) as std20, round(s * sqrt(250), 6) as annual from s"""),
 )
 Q["w7_w12_range"] = (
-    lambda v: v.bars.select("symbol", "date", *r6(high250=I.rolling_max("close_adj", 250), low250=I.rolling_min("close_adj", 250), dist=I.dist_from_high(250))),
+    lambda v: I.with_extremes(v.bars, {"hi": ("close_adj", 250)}, {"lo": ("close_adj", 250)}).select("symbol", "date", *r6(high250=F.col("hi"), low250=F.col("lo"), dist=I.ratio(F.col("hi") - F.col("close_adj"), F.col("hi")) * 100)),
     with_views("bars", """, m as (select *, max(close_adj) over (partition by symbol order by date rows 249 preceding) as hi, min(close_adj) over (partition by symbol order by date rows 249 preceding) as lo from bars)
         select symbol, date, round(hi, 6) as high250, round(lo, 6) as low250, round((hi - close_adj) / hi * 100, 6) as dist from m"""),
 )
 Q["w8_w9_slope_deviation"] = (
-    lambda v: v.bars.withColumns({"ma20": I.sma("close_adj", 20), "ma30": I.sma("close_adj", 30)}).select("symbol", "date", *r6(slope20=I.slope_pct("ma20"), slope30=I.slope_pct("ma30"), dev=I.deviation_pct("close_adj", "ma20"))),
+    lambda v: I.with_means(v.bars, "close_adj", {"ma20": 20, "ma30": 30}).select("symbol", "date", *r6(slope20=I.slope_pct("ma20"), slope30=I.slope_pct("ma30"), dev=I.deviation_pct("close_adj", "ma20"))),
     with_views("bars", f""", m as (select *, {_avg(20)} as a, {_avg(30)} as b from bars),
         p as (select *, coalesce(lag(a, 5) over (partition by symbol order by date), a) as pa, coalesce(lag(b, 5) over (partition by symbol order by date), b) as pb from m)
         select symbol, date, round((a - pa) / pa * 100, 6) + 0::double as slope20, round((b - pb) / pb * 100, 6) + 0::double as slope30, round((close_adj - a) / a * 100, 6) as dev from p"""),
@@ -114,7 +114,7 @@ def _all_ma(source: str) -> str:
 _ALL_MA = _all_ma("bars")
 _RECENT_MA = _RECENT + _all_ma("recent")
 Q["w24_bull_aligned"] = (
-    lambda v: v.bars.withColumns({f"ma{n}": I.sma("close_adj", n) for n in I.MA_LENGTHS}).where(I.bull_aligned([f"ma{n}" for n in I.MA_LENGTHS])).select("symbol", "date"),
+    lambda v: I.with_means(v.bars, "close_adj", {f"ma{n}": n for n in I.MA_LENGTHS}).where(I.bull_aligned([f"ma{n}" for n in I.MA_LENGTHS])).select("symbol", "date"),
     with_views("bars", _ALL_MA + f" select symbol, date from a where {_ALIGNED}"),
 )
 

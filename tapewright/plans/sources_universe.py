@@ -8,7 +8,7 @@ from ..functions import indicators as I  # noqa: E741
 from ..functions import symbols as S
 from ..operators import adjust, universe
 from ..sources import bars as bar_files
-from ..sources import fixed_width, reference, sync
+from ..sources import fixed_width, reference, store, sync
 from ..sources.shared import shared_path
 from .fixtures import Views, with_views
 
@@ -18,18 +18,25 @@ FILE_ROWS = 4000
 Q: dict[str, tuple] = {}
 
 
+def _new_table(v: Views, name: str) -> tuple[str, str]:
+    path = shared_path(v.spark, name)
+    return path.rsplit("/", 1)[-1].replace("-", "_"), path
+
+
 def i3_bars_round_trip(v: Views):
-    path = shared_path(v.spark, "round-trip")
-    bar_files.write_bars(v.bars, path)
-    return universe.with_board(bar_files.load_bars(v.spark, path)).select("symbol", "date", "close", "close_adj", "volume", "board")
+    table, path = _new_table(v, "round-trip")
+    store.write_store(v.bars, table, path=path)
+    return universe.with_board(store.load_store(v.spark, table)).select("symbol", "date", "close", "close_adj", "volume", "board")
 
 
 def i3_replace_instruments(v: Views):
-    """Instruments with numbers divisible by 20 get other bars (one close more, no bars of 1996); all others stay."""
-    path = shared_path(v.spark, "replaced")
-    bar_files.write_bars(v.bars, path)
-    bar_files.replace_instruments(v.bars.where(_ASKED).where("year(date) <> 1996").withColumn("close", F.col("close") + 1), path)
-    return bar_files.load_bars(v.spark, path).select("symbol", "date", "close", "close_adj", "volume")
+    """Instruments with numbers divisible by 20 get other bars (one close more, no bars of 1996); all others stay. Those divisible by 40 get theirs twice."""
+    table, path = _new_table(v, "replaced")
+    store.write_store(v.bars, table, path=path)
+    other = v.bars.where(_ASKED).where("year(date) <> 1996").withColumn("close", F.col("close") + 1)
+    store.replace_instruments(other.where("cast(substring(symbol, 5) as int) % 40 = 0").withColumn("close", F.lit(0.0)), table)
+    store.replace_instruments(other, table)
+    return store.load_store(v.spark, table).select("symbol", "date", "close", "close_adj", "volume")
 
 
 def i1_bars_by_file(v: Views):
@@ -51,7 +58,7 @@ Q["i3_replace_instruments"] = (
     with_views("bars", ", a as (select *, cast(substr(symbol, 5) as int) % 20 = 0 as asked from bars) select symbol, date, case when asked then close + 1 else close end as close, close_adj, volume from a where not (asked and year(date) = 1996)"),
 )
 Q["i1_bars_by_file"] = (i1_bars_by_file, with_views("bars", "select symbol, date, close, close_adj, volume from bars"))
-Q["i2_load_symbol"] = (lambda v: bar_files.load_symbol(v.spark.read.parquet(v.store), "sh600005", ["date", "close_adj"]), with_views("bars", "select date, close_adj from bars where symbol = 'sh600005'"))
+Q["i2_load_symbol"] = (lambda v: store.load_symbol(v.spark, v.store, "sh600005", ["date", "close_adj"]), with_views("bars", "select date, close_adj from bars where symbol = 'sh600005'"))
 
 
 def i4_bar_files(v: Views):

@@ -1,9 +1,8 @@
-"""Bars on disk: reading, writing, calendars and snapshots."""
+"""Bars on disk: schemas, reading, calendars and snapshots; ``store`` has the store."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,17 +15,9 @@ BARS_RAW = T.StructType(
 BARS = T.StructType([*BARS_RAW.fields, *(T.StructField(c, T.DoubleType()) for c in ("factor", *(f"{p}_adj" for p in _PRICES), "volume_adj"))])
 
 
-#: parts of a store; an instrument's whole history lies in one
-BUCKETS = 16
-
-
-def bucket(symbol: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(symbol), F.lit(buckets)).cast("int")
-
-
 def load_bars(spark: SparkSession, path: str) -> DataFrame:
-    """The bars of a store, or of any Parquet dataset with a symbol column."""
-    return spark.read.parquet(path).drop("bucket")
+    """The bars of a Parquet dataset with a symbol column."""
+    return spark.read.parquet(path)
 
 
 def load_bars_by_file(spark: SparkSession, path: str) -> DataFrame:
@@ -35,45 +26,6 @@ def load_bars_by_file(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_path"), r"([a-z]{2}[0-9]+)[.]parquet", 1))
 
 
-def load_symbol(bars: DataFrame, symbol: str, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Some columns of one instrument: predicate and projection reach the scan, and of a store (with its bucket column) one part is read."""
-    own = bars.where(F.col("symbol") == symbol)
-    return (own.where(F.col("bucket") == bucket(F.lit(symbol), buckets)) if "bucket" in bars.columns else own).select(*columns)
-
-
-def _placed(bars: DataFrame, buckets: int) -> DataFrame:
-    """Bars with their bucket, by bucket and year and in order of date: files and row groups cover short ranges of dates."""
-    own = bars.withColumn("bucket", bucket(F.col("symbol"), buckets))
-    return own.repartition("bucket", F.year("date")).sortWithinPartitions("bucket", "date", "symbol")
-
-
-def write_bars(bars: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Writes a whole store: Snappy Parquet in ``buckets`` parts by instrument. What was there before goes."""
-    _placed(bars, buckets).write.mode("overwrite").option("compression", "snappy").partitionBy("bucket").parquet(path)
-
-
-def replace_instruments(bars: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replaces the whole history of the instruments in ``bars``; all others in the store stay as they are.
-
-    Only the parts that hold one of the instruments are written again, with the rows that they keep. A part
-    changes when the whole job is committed. A store that isn't there yet is written.
-    """
-    spark = bars.sparkSession
-    own = bars.withColumn("bucket", bucket(F.col("symbol"), buckets))
-    touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
-    try:
-        before = spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return write_bars(bars, path, buckets)
-    new = bars.select(F.col("symbol").alias("_new")).distinct()
-    kept = before.where(F.col("bucket").isin(touched)).join(new, F.col("symbol") == F.col("_new"), "left_anti")
-    merged = _placed(kept.unionByName(own).drop("bucket"), buckets)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("bucket").parquet(path)
-    spark.catalog.refreshByPath(path)
-
-
 def trading_calendar(bars: DataFrame, index: str | None = None) -> DataFrame:
     """The distinct dates, in order, of one index or of all bars."""
     return (bars if index is None else bars.where(F.col("symbol") == index)).select("date").distinct().orderBy("date")

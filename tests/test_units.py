@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from tapewright.functions import indicators as I  # noqa: E741
 from tapewright.functions import symbols as S
 from tapewright.operators import adjust, curves, events, lookup, market, periods, profile, screens, seats, similarity, universe
 from tapewright.sources import bars as bar_files
-from tapewright.sources import fixed_width, reference, sync
+from tapewright.sources import fixed_width, reference, store, sync
 from tapewright.sources.shared import shared_path
 
 DAY = dt.date(2020, 1, 6)
@@ -350,6 +351,26 @@ def test_fixed_width_files(spark, tmp_path):
     assert {tuple(r) for r in fixed_width.read_fixed_width(spark, f"{tmp_path}/*.dat", fixed_width.BLOCKS_LAYOUT).collect()} == {("通信", 2, "0000001"), ("通信", 2, "1600000")}
 
 
+def test_bounds_prune_and_lose_no_window():
+    rng = np.random.default_rng(4)
+    walk = np.cumsum(rng.normal(size=30_000)) + 500
+    walk[200:300] = 7.0  # flat windows, many ties
+    rows = similarity.scaled_windows(walk, 30, 29_000)
+    patterns = rows[[5, 210, 700, 12_000]]
+    search = similarity._Search(patterns, 20)
+    for a in range(0, len(rows), 4000):
+        search.add(rows[a : a + 4000], np.arange(len(rows))[a : a + 4000], np.arange(4))
+    for pattern, best in zip(patterns, search.best, strict=True):
+        every = np.sqrt(((rows - pattern) ** 2).mean(1))
+        distance, at = best.cut()
+        assert set(np.flatnonzero(every <= np.sort(every)[19] * (1 - 1e-12)).tolist()) <= set(at.tolist())
+        assert np.allclose(np.sort(distance)[:20], np.sort(every)[:20]) and np.allclose(every[at], distance)
+    assert search.met == 4 * len(rows) and search.measured < 0.2 * search.met
+    for size in (1, 4, 7, 30):
+        a, b = rng.random((50, size)), rng.random((50, size))
+        assert (np.sqrt(((similarity.part_means(a) - similarity.part_means(b)) ** 2).sum(1)) <= np.sqrt(((a - b) ** 2).mean(1)) + 1e-12).all()
+
+
 def test_bars_by_file(spark):
     path = shared_path(spark, "by-file")
     for s in ("sh600000", "sz000001"):
@@ -357,31 +378,76 @@ def test_bars_by_file(spark):
     assert {(r.symbol, r["count"]) for r in bar_files.load_bars_by_file(spark, path).groupBy("symbol").count().collect()} == {("sh600000", 2), ("sz000001", 2)}
 
 
+def new_store(spark, name):
+    path = shared_path(spark, name)
+    return path.rsplit("/", 1)[-1].replace("-", "_"), path
+
+
 def test_one_instrument_is_replaced_and_all_others_stay(spark):
-    path = shared_path(spark, "store")
+    table, path = new_store(spark, "store")
     every = [f"sh6{k:05d}" for k in range(40)]
     full = spark.range(40 * 3).selectExpr("concat('sh6', lpad(cast(id div 3 as string), 5, '0')) as symbol", "date_add(date'2020-12-30', cast(id % 3 as int)) as date", "cast(id as double) as close", "100L as volume")
-    bar_files.write_bars(full, path, buckets=4)
-    counts = lambda: {r.symbol: r["count"] for r in bar_files.load_bars(spark, path).groupBy("symbol").count().collect()}
+    store.write_store(full, table, 4, path)
+    counts = lambda: {r.symbol: r["count"] for r in store.load_store(spark, table).groupBy("symbol").count().collect()}
     assert counts() == dict.fromkeys(every, 3)
     new = spark.createDataFrame([("sh600007", dt.date(1999, 1, 4), 7.5, 1), ("sh699999", dt.date(1999, 1, 4), 1.0, 1)], "symbol string, date date, close double, volume long")
-    bar_files.replace_instruments(new, path, buckets=4)
-    assert counts() == dict.fromkeys(every, 3) | {"sh600007": 1, "sh699999": 1}
-    rest = bar_files.load_bars(spark, path).where("symbol not in ('sh600007', 'sh699999')")
+    store.replace_instruments(new.withColumn("close", F.lit(-1.0)), table)
+    before = store.load_store(spark, table)  # a reader keeps what it has planned
+    store.replace_instruments(new, table)
+    assert counts() == dict.fromkeys(every, 3) | {"sh600007": 1, "sh699999": 1} and before.count() == 39 * 3 + 2
+    rest = store.load_store(spark, table).where("symbol not in ('sh600007', 'sh699999')")
     assert rest.exceptAll(full.where("symbol <> 'sh600007'")).count() == 0 and rest.count() == 39 * 3
-    bar_files.replace_instruments(new.where("1 = 0"), path, buckets=4)
+    store.replace_instruments(new.where("1 = 0"), table)
     assert sum(counts().values()) == 39 * 3 + 2
-    stored = spark.read.parquet(path)
-    assert [r.close for r in bar_files.load_symbol(stored, "sh600007", ["close"], buckets=4).collect()] == [7.5]
-    fresh = shared_path(spark, "new-store")
-    bar_files.replace_instruments(new, fresh)
-    assert bar_files.load_bars(spark, fresh).count() == 2
+    assert [r.close for r in store.load_symbol(spark, table, "sh600007", ["close"]).collect()] == [7.5]
+    small, small_path = new_store(spark, "small-store")
+    store.compact(spark, table, small, small_path)
+    assert spark.table(small).count() == 39 * 3 + 2 and store.load_store(spark, small).columns == full.columns
+
+
+def test_a_writer_lost_before_its_note_changes_nothing(spark):
+    table, path = new_store(spark, "store")
+    full = bars(spark, [1.0, 2.0], "sh600000").unionByName(bars(spark, [3.0], "sz000001"))
+    store.write_store(full, table, 2, path)
+    store._write(bars(spark, [9.0], "sh600000").withColumn(store.VERSION, F.lit(5)), table, 2, "append", None)
+    store.replace_instruments(bars(spark, [4.0], "sz000001"), table)
+    found = sorted((r.symbol, r.close) for r in store.load_store(spark, table).where("symbol = 'sz000001'").collect())
+    assert found == [("sz000001", 4.0)]
+
+
+def test_windows_and_joins_over_a_store_need_no_exchange(spark, capsys):
+    table, path = new_store(spark, "store")
+    store.write_store(bars(spark, [1.0, 2.0, 3.0], "sh600000").unionByName(bars(spark, [3.0], "sz000001")), table, 3, path)
+    stored = store.load_store(spark, table)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        I.with_means(stored, "close_adj", {"ma5": 5}).join(events.indexed(stored).select("symbol", "date", "bar_idx").hint("merge"), ["symbol", "date"]).explain()
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    said = capsys.readouterr().out
+    assert "Window" in said and "Join" in said and "Exchange" not in said
+    assert store.buckets_for(10, 8) == 8 and store.buckets_for(10**9, 8) == 10**9 * store.BAR_BYTES // store.BUCKET_BYTES + 1
+
+
+def test_means_and_extremes_equal_those_of_sliding_windows(spark):
+    rng = random.Random(5)
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=k), None if rng.random() < 0.1 else round(rng.random() * 50, 2)) for s in "ab" for k in range(70)] + [("c", dt.date(2020, 1, 1), None)]
+    df = spark.createDataFrame(rows, "symbol string, date date, x double")
+    lengths = (1, 2, 3, 4, 7, 8, 30, 64, 65)
+    got = I.with_means(df, "x", {f"m{n}": n for n in lengths})
+    got = I.with_means(got, "x", {f"f{n}": n for n in lengths}, full=True)
+    got = I.with_extremes(got, {f"h{n}": ("x", n) for n in lengths}, {f"l{n}": ("x", n) for n in lengths})
+    wanted = df.withColumns({f"m{n}": I.sma("x", n) for n in lengths} | {f"f{n}": I.sma_full("x", n) for n in lengths} | {f"h{n}": I.rolling_max("x", n) for n in lengths} | {f"l{n}": I.rolling_min("x", n) for n in lengths})
+    assert got.columns == wanted.columns
+    cut = lambda row: tuple(round(v, 9) if isinstance(v, float) else v for v in row)
+    key = lambda row: (row[0], row[1])
+    assert list(map(cut, sorted(got.collect(), key=key))) == list(map(cut, sorted(wanted.collect(), key=key)))
 
 
 def test_screens_of_a_date_read_its_days_only(spark, capsys):
-    path = shared_path(spark, "long-store")
-    bar_files.write_bars(bars(spark, [10.0 + k % 9 for k in range(900)]), path)
-    stored = bar_files.load_bars(spark, path)
+    table, path = new_store(spark, "long-store")
+    store.write_store(bars(spark, [10.0 + k % 9 for k in range(900)]), table, 2, path)
+    stored = store.load_store(spark, table)
     market.latest_flags(stored, mas=(5, 10), warmup_days=60).explain("formatted")
     said = capsys.readouterr().out
     first, last = at(899 - 60), at(899)
