@@ -118,13 +118,15 @@ def breadth(flags: DataFrame, members: DataFrame, key: str) -> DataFrame:
     )
 
 
-def concept_breadth(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, warmup_days: int = WARMUP_DAYS) -> DataFrame:
+def concept_breadth(bars: DataFrame, blocks: DataFrame, mult: float = 1.5, warmup_days: int = WARMUP_DAYS, date: str | None = None) -> DataFrame:
+    """Breadth of each concept block at ``date``, or at the latest one."""
     concept = blocks.where(F.col("block_category") == "concept").select(F.concat("market", "code").alias("symbol"), "block_name")
-    return breadth(latest_flags(bars, mult, warmup_days=warmup_days), concept, "block_name")
+    return breadth(latest_flags(bars, mult, date=date, warmup_days=warmup_days), concept, "block_name")
 
 
-def industry_breadth(bars: DataFrame, industries: DataFrame, mult: float = 1.5, warmup_days: int = WARMUP_DAYS) -> DataFrame:
-    return breadth(latest_flags(bars, mult, warmup_days=warmup_days), industries, "industry_name")
+def industry_breadth(bars: DataFrame, industries: DataFrame, mult: float = 1.5, warmup_days: int = WARMUP_DAYS, date: str | None = None) -> DataFrame:
+    """Breadth of each industry at ``date``, or at the latest one."""
+    return breadth(latest_flags(bars, mult, date=date, warmup_days=warmup_days), industries, "industry_name")
 
 
 def breadth_label(ratio: Column) -> Column:

@@ -104,6 +104,7 @@ _MAS = (5, 10, 20, 30, 60, 120, 250)
 _ALIGNED = " and ".join(f"ma{a} - ma{b} > 1e-9" for a, b in zip(_MAS, _MAS[1:], strict=False))
 #: calendar days that the screens of the latest date look back here: the bars are weekly
 WARM = 840
+_UNCUT = ", recent as (select * from bars)"
 _RECENT = f", recent as (select * from bars where date >= (select max(date) from bars) - {WARM})"
 
 
@@ -171,6 +172,9 @@ _FLAGS = _flags("bars")
 _STREAKS = _RECENT + _flags("recent") + """, g as (select *, count(*) filter (where not up) over (partition by symbol order by date rows unbounded preceding) as isle from fl),
     st as (select symbol, close, ret, date, (select count(*) from g h where h.symbol = g.symbol and h.isle = g.isle and h.up) as streak from g where up and date = (select max(date) from bars))"""
 Q["m3_limit_up_streaks"] = (lambda v: market.limit_up_streaks(v.bars, warmup_days=WARM).withColumn("ret", F.round("ret", 6)), with_views("bars", _STREAKS + " select symbol, close, round(ret, 6) as ret, streak from st"))
+#: the same screens against SQL that reads the whole history: the warm-up leaves nothing out
+for _name in ("m1_market_temperature", "m3_limit_up_streaks"):
+    Q[f"{_name}_uncut"] = (Q[_name][0], Q[_name][1].replace(_RECENT, _UNCUT))
 Q["m4_streak_ladder"] = (
     lambda v: market.streak_ladder(market.limit_up_streaks(v.bars, warmup_days=WARM), v.names),
     with_views("bars names", _STREAKS + " select streak, count(*) as stocks, string_agg(coalesce(n.name, st.symbol), ',' order by coalesce(n.name, st.symbol)) as symbols from st left join names n on n.symbol = st.symbol group by 1"),
@@ -188,6 +192,11 @@ def _breadth_sql(members: str, key: str) -> str:
 _CONCEPT = "select distinct market || code as symbol, block_name from blocks where block_category = 'concept'"
 Q["m5_concept_breadth"] = (lambda v: market.concept_breadth(v.bars, v.blocks, warmup_days=WARM), with_views("bars blocks", _breadth_sql(_CONCEPT, "block_name")))
 Q["m6_industry_breadth"] = (lambda v: market.industry_breadth(v.bars, v.industries, warmup_days=WARM), with_views("bars industries", _breadth_sql("select distinct symbol, industry_name from industries", "industry_name")))
+#: a screen date in the past
+_PAST = "1998-06-01"
+_past = lambda sql: sql.replace("(select max(date) from bars)", f"date '{_PAST}'").replace(f"date >= date '{_PAST}' - {WARM}", f"date between date '{_PAST}' - {WARM} and date '{_PAST}'")
+Q["m5_concept_breadth_past"] = (lambda v: market.concept_breadth(v.bars, v.blocks, warmup_days=WARM, date=_PAST), _past(Q["m5_concept_breadth"][1]))
+Q["m6_industry_breadth_past"] = (lambda v: market.industry_breadth(v.bars, v.industries, warmup_days=WARM, date=_PAST), _past(Q["m6_industry_breadth"][1]))
 Q["m7_breadth_label"] = (
     lambda v: market.industry_breadth(v.bars, v.industries, warmup_days=WARM).select("industry_name", market.breadth_label(F.col("above_ma20_ratio")).alias("label")),
     with_views("bars industries", _TODAY + """, s as (select industry_name, count(*) filter (where above) * 100.0 / count(*) as share from d join industries m on d.symbol = m.symbol group by 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup, market, periods, profile, screens, similarity
 from .fixtures import Views, with_views
-from .indicators_market import _ALL_MA, _RECENT, _RECENT_MA, _RET, DRIFT, WARM, _avg, r6
+from .indicators_market import DRIFT, WARM, _ALL_MA, _RECENT, _RECENT_MA, _RET, _UNCUT, _avg, r6
 
 Q: dict[str, tuple] = {}
 _MAS = (5, 10, 20, 60)
@@ -39,6 +39,8 @@ Q["s3_ma_long_sequence"] = (
     lambda v: _shown(screens.ma_long_sequence(v.bars, v.blocks, 0.5, _MAS, 2, warmup_days=WARM)),
     with_views("bars blocks", _resonance_sql(_SHORT + " and volume >= 0.5 * v5", _TODAY, 2) + _OUT),
 )
+#: the same screen against SQL that reads the whole history
+Q["s3_ma_long_sequence_uncut"] = (Q["s3_ma_long_sequence"][0], Q["s3_ma_long_sequence"][1].replace(_RECENT, _UNCUT))
 Q["s4_dual_resonance"] = (
     lambda v: _shown(screens.dual_resonance(v.bars, v.blocks, 1.1, (5, 10, 20), 1, warmup_days=WARM)),
     with_views("bars blocks", _resonance_sql("close_adj > ma20 and volume > 1.1 * v5 and ma5 - ma10 > 1e-9 and ma10 - ma20 > 1e-9", _TODAY, 1) + _OUT),
