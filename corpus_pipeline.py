@@ -10,6 +10,8 @@ fate, and rows with a null id stay. An empty table stays empty through all stage
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from tapewright.llm._common import remove, scratch, stored, table, without
 #: weights of the domains after mixing; rates stay at or below 1, as copies were just taken out
 TARGETS = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
 SHARDS = 24
+#: a share of all tokens by which a target may be missed in silence
+MISS = 1e-3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +42,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as their rate says: with rates of at most 1, once or not at all."""
+    """Documents stay as often as their rate says: with rates of at most 1, once or not at all.
+
+    Targets that the bounds on the rates put out of reach are told in a warning, with the share by which they are missed.
+    """
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, most=1.0)
+    first = mixed.select("residual").first()
+    if first is not None and (first["residual"] or 0.0) > MISS:
+        warnings.warn(f"mixing misses a target by {first['residual']:.4f} of all tokens", stacklevel=2)
     return without(docs, mixed.where(F.col("copies") < 1).select("doc_id"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its shard, as ``sharding.assign`` tells; the columns are that operator's."""
     return sharding.assign(docs, SHARDS)
 
 
