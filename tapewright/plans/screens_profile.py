@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup, market, periods, profile, screens, similarity
+from ..operators import lookup, market, periods, profile, screens, similarity, terms
 from .fixtures import Views, with_views
 from .indicators_market import DRIFT, WARM, _ALL_MA, _RECENT, _RECENT_MA, _RET, _UNCUT, _avg, r6
 
@@ -119,6 +119,23 @@ Q["q6_initials"] = (
     lambda v: lookup.initials_of(v.names.select("symbol", "name"), v.spark.sql("select 'S' as char, 'x' as initial union all select '#', ''")).select("symbol", "initials"),
     with_views("names", "select symbol, lower(replace(replace(name, 'S', 'x'), '#', '')) as initials from names"),
 )
+
+
+def _terms(v: Views):
+    """All names of blocks, industries and instruments, and terms cut from them: words, ends, beginnings and letters."""
+    texts = v.blocks.select(F.concat_ws(":", "block_category", "block_name").alias("key"), F.col("block_name").alias("text"))
+    texts = texts.unionByName(v.industries.select(F.concat(F.lit("industry:"), "industry_name").alias("key"), F.col("industry_name").alias("text"))).unionByName(v.names.select(F.col("symbol").alias("key"), F.col("name").alias("text")))
+    index = v.kept("postings", lambda: terms.postings(texts))
+    parts = F.concat(F.split("text", " "), F.array(F.substring("text", -3, 3), F.substring("text", 1, 2), F.substring("text", 2, 1), F.concat("text", F.lit("x")), F.expr("right(text, 2) || left(text, 2)")))
+    return terms.search_terms(texts.select(F.explode(parts).alias("term")), index)
+
+
+Q["q2_q6_search_terms"] = (
+    lambda v: _terms(v).groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.min("key").alias("first_key"), F.max("key").alias("last_key")),
+    with_views("blocks industries names", """, x as (select distinct block_category || ':' || block_name as key, block_name as text from blocks union select 'industry:' || industry_name, industry_name from industries union select symbol, name from names),
+        t as (select distinct unnest(list_concat(string_split(text, ' '), [right(text, 3), left(text, 2), substr(text, 2, 1), text || 'x', right(text, 2) || left(text, 2)])) as term from x)
+        select term, count(*) as hits, min(key) as first_key, max(key) as last_key from t join x on contains(lower(text), lower(term)) where term <> '' group by 1"""),
+)
 Q["q7_recent_bars"] = (
     lambda v: lookup.recent_bars(v.bars, "sz300003", 10).select("symbol", "date", "close", "bars", "first_date", "last_date"),
     with_views("bars", "select symbol, date, close, (select count(*) from bars where symbol = 'sz300003') as bars, (select min(date) from bars where symbol = 'sz300003') as first_date, (select max(date) from bars where symbol = 'sz300003') as last_date from bars where symbol = 'sz300003' order by date desc limit 10"),

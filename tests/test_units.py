@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import indicators as I  # noqa: E741
 from tapewright.functions import symbols as S
-from tapewright.operators import adjust, curves, events, lookup, market, periods, profile, screens, seats, similarity, universe
+from tapewright.operators import adjust, curves, events, lookup, market, periods, profile, screens, seats, similarity, terms, universe
 from tapewright.sources import bars as bar_files
 from tapewright.sources import fixed_width, reference, store, sync
 from tapewright.sources.shared import shared_path
@@ -351,6 +351,17 @@ def test_fixed_width_files(spark, tmp_path):
     assert {tuple(r) for r in fixed_width.read_fixed_width(spark, f"{tmp_path}/*.dat", fixed_width.BLOCKS_LAYOUT).collect()} == {("通信", 2, "0000001"), ("通信", 2, "1600000")}
 
 
+def test_terms_find_what_a_scan_finds(spark):
+    rng = random.Random(8)
+    names = [(k, "".join(rng.choices("abAé ", k=rng.randint(0, 7)))) for k in range(60)] + [(60, None), (60, "ab"), (60, "ab")]
+    asked = ["".join(rng.choices("abBÉ ", k=n)) for n in (1, 1, 2, 2, 3, 3, 4, 4, 5, 6)] + ["zz", "abz", "", None, "aba", "aba"]
+    df = spark.createDataFrame(names, "key long, text string")
+    found = terms.search_terms(spark.createDataFrame([(t,) for t in asked], "term string"), terms.postings(df)).collect()
+    wanted = {(t, k, x) for t in asked if t for k, x in names if x is not None and t.lower() in x.lower()}
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    assert terms.search_terms(spark.createDataFrame([("a",)], "term string"), terms.postings(df.limit(0))).count() == 0
+
+
 def test_bounds_prune_and_lose_no_window():
     rng = np.random.default_rng(4)
     walk = np.cumsum(rng.normal(size=30_000)) + 500
