@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -153,6 +154,25 @@ class Catalogue:
                 df.createOrReplaceTempView(name)
 
 
+    def as_table_function(self, spark: SparkSession, key: str, arguments: dict[str, str], returns: str, tables: dict[str, str]) -> str:
+        """Makes an SQL strategy a temporary table function of its key's name, to be called in FROM with arguments and joined like a table.
+
+        arguments: type of each ``:argument`` of the strategy, in order. returns: the result's columns as DDL. tables: the catalogue
+        table (such as a store's) or the query that stands behind each name the strategy reads; no view is made.
+        """
+        strategy = self.entries[key][2]
+        if callable(strategy):
+            raise ValueError(f"{key} is a function, not SQL")
+        if not key.isidentifier():
+            raise ValueError(f"{key} can't be a function's name")
+        # an argument is named with its function, so that no column hides it
+        body = re.sub(r"(?<!:):([A-Za-z_]\w*)", lambda m: f"{key}.{m.group(1)}" if m.group(1) in arguments else m.group(0), strategy)
+        read = ", ".join(f"{name} as (select * from {table})" for name, table in tables.items())
+        declared = ", ".join(f"{name} {kind}" for name, kind in arguments.items())
+        spark.sql(f"create or replace temporary function {key}({declared}) returns table ({returns}) return with {read} select * from ({body})")
+        return key
+
+
 def default_catalogue() -> Catalogue:
     own = Catalogue(hidden=("market_temperature", "limit_up_streaks", "sector_breadth", "index_support", "industry_breadth", "industry_flow_30d", "concept_flow_30d"))
     own.register("resonance_breakout", "Resonance breakout", "Breakouts on volume whose concept blocks break out together", resonance_breakout)

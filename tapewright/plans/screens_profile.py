@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lookup, market, periods, profile, screens, similarity, terms
+from ..sources.store import current_sql
 from .fixtures import Views, with_views
 from .indicators_market import DRIFT, WARM, _ALL_MA, _RECENT, _RECENT_MA, _RET, _UNCUT, _avg, r6
 
@@ -92,6 +93,24 @@ def s10_catalogue(v: Views):
     return thin.crossJoin(F.broadcast(listed))
 
 
+def s10_table_function(v: Views):
+    """A strategy in SQL, called twice in FROM with different arguments and joined to industries; it reads the store and leaves no view."""
+    own = screens.Catalogue()
+    own.register("strong_days", "Strong days", "Bars that gained on the open by a share, from a date on", "select symbol, date, close / open - 1 as gain from bars where open > 0 and close / open - 1 >= :least and date >= cast(:since as date)")
+    name = own.as_table_function(v.spark, "strong_days", {"least": "double", "since": "string"}, "symbol string, date date, gain double", {"bars": current_sql(v.store)})
+    text = f"""select i.industry_name, count(*) as days, count(s.gain) as very_strong, round(max(a.gain), 6) as best from {name}(0.05, '1997-01-01') a
+        join {{industries}} i on i.symbol = a.symbol left join {name}(least => 0.2, since => '1998-01-01') s on s.symbol = a.symbol and s.date = a.date group by 1"""
+    return v.spark.sql(text, industries=v.industries)
+
+
+Q["s10_table_function"] = (
+    s10_table_function,
+    with_views("bars industries", """, d as (select symbol, date, close / open - 1 as gain from bars where open > 0)
+        select i.industry_name, count(*) as days, count(*) filter (where a.gain >= 0.2 and a.date >= date '1998-01-01') as very_strong, round(max(a.gain), 6) as best
+        from d a join industries i on i.symbol = a.symbol where a.gain >= 0.05 and a.date >= date '1997-01-01' group by 1"""),
+)
+
+
 Q["s10_s11_catalogue"] = (s10_catalogue, with_views("bars", f"select symbol, close_adj as Close, volume::double as Vol_Ratio, 'dual_resonance,ma_long_sequence,resonance_breakout,thin' as keys from bars where {_TODAY} and volume < 60"))
 
 # --------------------------------------------------------------- lookups

@@ -63,6 +63,12 @@ def load_store(spark: SparkSession, table: str) -> DataFrame:
     return met.where(F.col(VERSION) >= F.coalesce("_latest", F.lit(0))).drop(VERSION, "_noted", "_latest")
 
 
+def current_sql(table: str) -> str:
+    """The bars of a store, each instrument's in its last version, as a subquery for SQL."""
+    latest = f"(select symbol as _noted, max({VERSION}) as _latest from {_notes(table)} group by symbol)"
+    return f"(select * except ({VERSION}, _noted, _latest) from {table} left join {latest} on symbol = _noted where {VERSION} >= coalesce(_latest, 0))"
+
+
 def _buckets_of(spark: SparkSession, table: str) -> int:
     told = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe formatted {table}").collect()}
     return int(told["Num Buckets"])

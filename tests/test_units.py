@@ -351,6 +351,21 @@ def test_fixed_width_files(spark, tmp_path):
     assert {tuple(r) for r in fixed_width.read_fixed_width(spark, f"{tmp_path}/*.dat", fixed_width.BLOCKS_LAYOUT).collect()} == {("通信", 2, "0000001"), ("通信", 2, "1600000")}
 
 
+def test_a_strategy_becomes_a_table_function(spark):
+    own = screens.Catalogue()
+    own.register("above", "Above", "", "select symbol, close from bars where close > :close and symbol like :like and volume::double > 0")
+    own.register("coded", "Coded", "", lambda bars: bars)
+    table, path = new_store(spark, "store")
+    store.write_store(bars(spark, [1.0, 2.0, 3.0]), table, 1, path)
+    before = {t.name for t in spark.catalog.listTables()}
+    name = own.as_table_function(spark, "above", {"close": "double", "like": "string"}, "symbol string, price double", {"bars": store.current_sql(table)})
+    assert sorted(r.price for r in spark.sql(f"select price from {name}(1.5, 'sh%')").collect()) == [2.0, 3.0]
+    assert spark.sql(f"select * from {name}(like => 'sz%', close => 0.0)").count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == before
+    with pytest.raises(ValueError):
+        own.as_table_function(spark, "coded", {}, "symbol string", {})
+
+
 def test_terms_find_what_a_scan_finds(spark):
     rng = random.Random(8)
     names = [(k, "".join(rng.choices("abAé ", k=rng.randint(0, 7)))) for k in range(60)] + [(60, None), (60, "ab"), (60, "ab")]
@@ -411,6 +426,8 @@ def test_one_instrument_is_replaced_and_all_others_stay(spark):
     store.replace_instruments(new.where("1 = 0"), table)
     assert sum(counts().values()) == 39 * 3 + 2
     assert [r.close for r in store.load_symbol(spark, table, "sh600007", ["close"]).collect()] == [7.5]
+    assert spark.sql(f"select * from {store.current_sql(table)}").exceptAll(store.load_store(spark, table)).count() == 0
+    assert spark.sql(f"select count(*) as n from {store.current_sql(table)}").first().n == 39 * 3 + 2
     small, small_path = new_store(spark, "small-store")
     store.compact(spark, table, small, small_path)
     assert spark.table(small).count() == 39 * 3 + 2 and store.load_store(spark, small).columns == full.columns
