@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I  # noqa: E741
+from . import levels
 from .market import limit_up_flag
-from .periods import abnormal_count, by_month, daily_ma_slope, hist_range, monthly_bars, resample_ma
-from .universe import nth_in_month, price_position
+from .periods import abnormal_count, by_month, daily_ma_slope, hist_range, mom_ratio, monthly_bars, resample_ma
+from .universe import nth_in_month
 
 HORIZONS = (20, 40, 60, 120)
 CAP_CLASSES = ("<50", "50-200", "200-500", "500-1000", ">=1000")
@@ -58,6 +59,11 @@ def match_fills(signals: DataFrame, bars: DataFrame, strict_band: bool = True, m
     ``strict_band`` the next high not below it either). Otherwise the second may, if it came within
     max_gap bars and max_gain of the first. Without a next bar after the first there is no trade.
     """
+    return _fills(_filled(signals, bars, strict_band, max_gap, max_gain))
+
+
+def _filled(signals: DataFrame, bars: DataFrame, strict_band: bool, max_gap: int, max_gain: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Months with a trade: the first signal a, the second b (null without one) and c, the one of them that fills; each with the columns ``carry``."""
     w = I.by_date()
     following = indexed(bars).select(
         F.col("symbol").alias("_s"), F.col("date").alias("_d"), "bar_idx",
@@ -65,18 +71,21 @@ def match_fills(signals: DataFrame, bars: DataFrame, strict_band: bool = True, m
     )
     placed = signals.join(following, (F.col("symbol") == F.col("_s")) & (F.col("date") == F.col("_d")))
     fits = (F.col("_low") <= F.col("close_adj")) & (F.col("_high") >= F.col("close_adj") if strict_band else F.lit(True))
-    fields = F.struct("date", "close", "close_adj", "factor", "bar_idx", F.col("_next").alias("next"), F.coalesce(fits, F.lit(False)).alias("fits"))
+    fields = F.struct("date", "close", "close_adj", "factor", "bar_idx", F.col("_next").alias("next"), F.coalesce(fits, F.lit(False)).alias("fits"), *carry)
     both = placed.groupBy(*TRADE).agg(
         F.min_by(F.when(F.col("limit_up_rank") == 1, fields), F.when(F.col("limit_up_rank") == 1, F.col("date"))).alias("a"),
         F.min_by(F.when(F.col("limit_up_rank") == 2, fields), F.when(F.col("limit_up_rank") == 2, F.col("date"))).alias("b"),
     ).where(F.col("a.next").isNotNull())
     near = (F.col("b.bar_idx") - F.col("a.bar_idx") <= max_gap) & (I.ratio(F.col("b.close_adj") - F.col("a.close_adj"), F.col("a.close_adj")) <= max_gain)
     second = F.coalesce(near & F.col("b.fits") & F.col("b.next").isNotNull(), F.lit(False))
-    chosen = both.where(F.col("a.fits") | second).withColumn("c", F.when(F.col("a.fits"), F.col("a")).otherwise(F.col("b")))
+    return both.where(F.col("a.fits") | second).withColumn("c", F.when(F.col("a.fits"), F.col("a")).otherwise(F.col("b")))
+
+
+def _fills(chosen: DataFrame, *more: Column) -> DataFrame:
     return chosen.select(
         *TRADE, F.col("a.date").alias("signal_date"), F.col("c.next").alias("buy_date"), (F.col("c.bar_idx") + 1).alias("buy_idx"),
         F.col("c.close").alias("buy_price"), F.col("c.close_adj").alias("buy_price_adj"), F.col("c.factor").alias("buy_factor"),
-        F.when(F.col("a.fits"), "first").otherwise("second").alias("buy_type"),
+        F.when(F.col("a.fits"), "first").otherwise("second").alias("buy_type"), *more,
     )
 
 
@@ -116,16 +125,18 @@ def _in_reach(trades: DataFrame, own: DataFrame, first: int, last: int) -> DataF
     return met.where(F.col("bar_idx").between(F.col("buy_idx") + first, F.col("buy_idx") + last)).drop("_block", "_of")
 
 
-def _held(trades: DataFrame, bars: DataFrame, horizons: tuple[int, ...], first: int) -> DataFrame:
-    """Trades with the bars from ``first`` bars after the buy to the longest horizon."""
-    own = indexed(bars).select(F.col("symbol").alias("_s"), "bar_idx", F.col("date").alias("_date"), F.col("low_adj").alias("_low"), F.col("close_adj").alias("_close"), F.col("volume").alias("_volume"))
-    return _in_reach(trades, own, first, max(horizons))
+def _lows(bars: DataFrame) -> DataFrame:
+    return indexed(bars).select(F.col("symbol").alias("_s"), "bar_idx", F.col("date").alias("_date"), F.col("low_adj").alias("_low"))
 
 
 def holding_drawdown(trades: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """symbol, signal_month, horizon and dd: the lowest low after the buy within the horizon, relative to the price."""
-    held = _held(trades, bars, horizons, 1)
-    lows = held.groupBy(*TRADE, "buy_price_adj").agg(*(F.min(F.when(F.col("bar_idx") <= F.col("buy_idx") + h, F.col("_low"))).alias(f"h{h}") for h in horizons))
+    """symbol, signal_month, horizon and dd: the lowest low after the buy within the horizon, relative to the price.
+
+    A trade meets two blocks of lows at most, with minima in levels; trades without a later bar are left out.
+    """
+    reach = 1, max(horizons)
+    met = levels.met(trades.select(*TRADE, "buy_price_adj", "buy_idx"), _lows(bars), "_low", *reach)
+    lows = met.groupBy(*TRADE, "buy_price_adj").agg(*(F.min(levels.lowest(h, *reach)).alias(f"h{h}") for h in horizons)).where(F.col(f"h{max(horizons)}").isNotNull())
     rows = lows.select(*TRADE, "buy_price_adj", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("low")) for h in horizons))).alias("x"))
     return rows.select(*TRADE, "x.horizon", (I.ratio(F.col("x.low"), F.col("buy_price_adj")) - 1).alias("dd"))
 
@@ -186,11 +197,13 @@ def regime_bypass(trades: DataFrame, regimes: DataFrame) -> tuple[DataFrame, Dat
 def apply_stop_loss(trades: DataFrame, bars: DataFrame, pct: float = 10.0, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Outcomes with a stop: the first bar from the buy day on whose low reaches the stop ends the trade at -pct percent.
 
-    Only horizons that history reaches; adds stopped.
+    Only horizons that history reaches; adds stopped. The first hit is found by minima in levels.
     """
     stop = F.col("buy_price_adj") * (1 - pct / 100.0)
-    hits = _held(trades, bars, horizons, 0).where(F.col("_low") <= stop).groupBy(*TRADE).agg(F.min("bar_idx").alias("stop_idx"), F.min("_date").alias("stop_date"))
-    hits = hits.select(F.col("symbol").alias("_hs"), F.col("signal_month").alias("_hm"), "stop_idx", "stop_date")
+    reach = 0, max(horizons)
+    met = levels.met(trades.select(*TRADE, "buy_idx", stop.alias("_stop")), _lows(bars), "_low", *reach)
+    hits = met.groupBy(*TRADE).agg(F.min(levels.first_hit("_stop", *reach)).alias("hit"))
+    hits = hits.select(F.col("symbol").alias("_hs"), F.col("signal_month").alias("_hm"), F.col("hit.bar_idx").alias("stop_idx"), F.col("hit._date").alias("stop_date"))
     base = outcomes(trades, bars, horizons, incomplete="null").where("completed")
     joined = base.join(hits, (F.col("symbol") == F.col("_hs")) & (F.col("signal_month") == F.col("_hm")), "left")
     stopped = F.coalesce(F.col("stop_idx") <= F.col("buy_idx") + F.col("horizon"), F.lit(False))
@@ -324,33 +337,66 @@ def exposure(trades: DataFrame) -> DataFrame:
     )
 
 
+#: what a sweep varies, each with its direction from the strictest value to the loosest
+AXES = {"vol_ratio": False, "upper": True, "lower": False}
+
+
+def _above(column: str, bits: int) -> Column:
+    """Nodes above a place (from 1) in a binary tree over 2^bits places: halves of its own number up to 1, the root."""
+    return F.expr(f"transform(sequence(0, {bits}), k -> shiftright({(1 << bits) - 1} + {column}, k))")
+
+
+def _before(column: str, bits: int) -> Column:
+    """Nodes that together cover the places up to a place: one for each bit of its number."""
+    return F.expr(f"transform(filter(sequence(0, {bits}), k -> shiftright({column}, k) % 2 = 1), k -> shiftleft(1, {bits} - k) + shiftright({column}, k) - 1)")
+
+
 def sweep(bars: DataFrame, grid: DataFrame, lookback: int = 12, min_months: int = 2, listing_days: int = 390, horizon: int = 60, capital: float = 100_000.0) -> DataFrame:
     """Per combination of grid (param_id, vol_ratio, upper, lower): trades, valid, avg_ret, win_rate and total_pl at the horizon.
 
-    One job: the months' windows run once, with a count for each different ratio of the grid (a few numbers, which the
-    driver sees); the combinations meet the signals that are left.
+    A month's trade is the same for all combinations that allow it: those from its strictest ratio and bounds on, which its own figures
+    tell. So each trade is made and followed once and counted in one cell of the grid; a combination adds up the cells
+    before it on all three axes by a tree over each axis, a logarithmic number of sums an axis. The driver sees the different values
+    of each axis. Adjusted closes are above zero. A combination with a null has no trades.
     """
-    limits = sorted(r["vol_ratio"] for r in grid.select("vol_ratio").distinct().collect())
-    rated = hist_range(monthly_bars(bars), lookback).withColumn("mom_ratio", I.ratio(F.col("amount"), F.lag("amount").over(by_month())))
+    own = grid.agg(*(F.sort_array(F.collect_set(F.col(c).cast("double")), asc=asc).alias(c) for c, asc in AXES.items())).first()
+    values = {c: F.array(*map(F.lit, own[c])).cast("array<double>") for c in AXES}
+    bits = {c: max(0, len(own[c]) - 1).bit_length() for c in AXES}
+    place = lambda c, passed: (len(own[c]) + 1 - passed).cast("int")  # noqa: E731  # of the strictest value that passes; one too far if none does
+
     before = by_month().rowsBetween(-lookback, -1)
-    counts = F.array(*(F.struct(F.lit(float(x)).alias("ratio"), F.coalesce(F.sum(F.when(F.col("mom_ratio") >= x, 1).otherwise(0)).over(before), F.lit(0)).alias("n")) for x in limits))
-    features = rated.withColumn("_counts", F.filter(counts, lambda c: c["n"] >= min_months)).where(F.size("_counts") > 0)
-    signals = _signals(bars, features, listing_days, None, None, (1, 2), ["_counts", "hist_max_high_adj", "hist_min_low_adj"])
-    counted = signals.withColumn("_c", F.explode("_counts")).withColumn("abnormal_months_count", F.col("_c.n"))
-    combined = counted.join(grid.select("param_id", F.col("vol_ratio").cast("double").alias("_ratio"), "upper", "lower"), F.col("_c.ratio") == F.col("_ratio")).drop("_counts", "_c", "_ratio")
-    near = price_position(combined, F.col("upper"), F.col("lower"))
-    fills = _fills_by_param(near, bars)
+    rated = hist_range(monthly_bars(bars), lookback).withColumn("mom_ratio", mom_ratio())
+    ratio = F.get(F.sort_array(F.collect_list("mom_ratio").over(before), asc=False), F.lit(min_months - 1)) if min_months > 0 else F.lit(float("inf"))
+    features = rated.withColumn("_ratio", ratio).withColumn("_vol_ratio", place("vol_ratio", F.size(F.filter(values["vol_ratio"], lambda x: F.col("_ratio") >= x)))).where(F.col("_vol_ratio") <= len(own["vol_ratio"]))
+    found = _signals(bars, features, listing_days, None, None, (1, 2), ["_vol_ratio", "hist_max_high_adj", "hist_min_low_adj"])
+    high, low, close = F.col("hist_max_high_adj"), F.col("hist_min_low_adj"), F.col("close_adj")
+    signals = found.withColumns({
+        "_upper": place("upper", F.size(F.filter(values["upper"], lambda x: (high == 0) | (high <= close * x)))),
+        "_lower": place("lower", F.size(F.filter(values["lower"], lambda x: (high == 0) | (low >= close * x)))),
+    })
+    # a second signal's trade asks that both pass
+    strictest = [F.when(F.col("a.fits"), F.col(f"a._{c}")).otherwise(F.greatest(f"a._{c}", f"b._{c}")).alias(f"_{c}") for c in AXES]
+    allowed = signals.where((F.col("_upper") <= len(own["upper"])) & (F.col("_lower") <= len(own["lower"])))
+    fills = _fills(_filled(allowed, bars, True, 10, 0.20, tuple(f"_{c}" for c in AXES)), *strictest)
     results = size_and_pl(outcomes(fills, bars, (horizon,), incomplete="null"), capital)
-    own = results.groupBy("param_id").agg(*_summary())
-    return grid.join(own.withColumnRenamed("param_id", "_p"), F.col("param_id") == F.col("_p"), "left").select(
-        *grid.columns, F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("valid", F.lit(0)).alias("valid"), "avg_ret", "win_rate", "total_pl"
-    )
 
-
-def _fills_by_param(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Fills of every combination at once: the combination becomes part of the month's key and comes back after."""
-    tagged = signals.withColumn("signal_month", F.struct("param_id", "signal_month"))
-    return match_fills(tagged, bars).select("symbol", F.col("signal_month.param_id").alias("param_id"), F.col("signal_month.signal_month").alias("signal_month"), "signal_date", "buy_date", "buy_idx", "buy_price", "buy_price_adj", "buy_factor", "buy_type")
+    done = F.col("completed")
+    cells = results.groupBy(*(f"_{c}" for c in AXES)).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(done).alias("_valid"), F.count_if(done & (F.col("ret") > 0)).alias("_wins"),
+        F.sum(F.when(done, F.col("ret"))).alias("_ret"), F.sum(F.when(done, F.col("pl"))).alias("_pl"),
+    )
+    sums = ("_n", "_valid", "_wins", "_ret", "_pl")
+    for c in AXES:
+        cells = cells.withColumn(f"_at_{c}", F.explode(_above(f"_{c}", bits[c])))
+    nodes = cells.groupBy(*(f"_at_{c}" for c in AXES)).agg(*(F.sum(x).alias(x) for x in sums))
+    asked = grid.select(F.col("param_id").alias("_p"), *(F.array_position(values[c], F.col(c).cast("double")).cast("int").alias(f"_{c}") for c in AXES))
+    for c in AXES:
+        asked = asked.withColumn(f"_on_{c}", F.explode(_before(f"_{c}", bits[c])))
+    total = asked.join(nodes, reduce(lambda a, b: a & b, [F.col(f"_on_{c}") == F.col(f"_at_{c}") for c in AXES])).groupBy("_p").agg(*(F.sum(x).alias(x) for x in sums))
+    return grid.join(total, F.col("param_id") == F.col("_p"), "left").select(
+        *grid.columns, F.coalesce("_n", F.lit(0)).alias("trades"), F.coalesce("_valid", F.lit(0)).alias("valid"),
+        (I.ratio(F.col("_ret"), F.col("_valid")) * 100).alias("avg_ret"), I.ratio(F.col("_wins") * 100.0, F.col("_valid")).alias("win_rate"), F.col("_pl").alias("total_pl"),
+    )
 
 
 def rank_sweep(results: DataFrame, min_samples: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import indicators as I  # noqa: E741
 from tapewright.functions import symbols as S
-from tapewright.operators import adjust, curves, events, lookup, market, periods, profile, screens, seats, similarity, terms, universe
+from tapewright.operators import adjust, curves, events, levels, lookup, market, periods, profile, screens, seats, similarity, terms, universe
 from tapewright.sources import bars as bar_files
 from tapewright.sources import fixed_width, reference, store, sync
 from tapewright.sources.shared import shared_path
@@ -192,6 +192,50 @@ def test_outcomes_stop_and_drawdown(spark):
     assert not events.apply_stop_loss(t, df, 11.0, (2,)).first().stopped
 
 
+def test_levels_find_what_a_scan_finds(spark):
+    rng = random.Random(5)
+    lows = {f"s{k}": [rng.choice([None, float("nan")]) if rng.random() < 0.05 else float(rng.randrange(40)) for _ in range(n)] for k, n in enumerate((1, 2, 7, 8, 9, 100))}
+    own = spark.createDataFrame([(s, i, x) for s, xs in lows.items() for i, x in enumerate(xs)], "_s string, bar_idx long, _low double")
+    asks = [(s, rng.randrange(len(xs) + 2), float(rng.randrange(-1, 30))) for s, xs in lows.items() for _ in range(25)]
+    trades = spark.createDataFrame([(k, *a) for k, a in enumerate(asks)], "id int, symbol string, buy_idx long, _stop double")
+    for first, last in ((0, 0), (0, 7), (1, 5), (0, 20), (1, 300)):
+        held = lambda s, i, reach: [(k, x) for k, x in enumerate(lows[s]) if i + first <= k <= i + reach and x is not None and x == x]  # noqa: B023, E731
+        for horizon in {last, (first + last) // 2}:
+            got = levels.met(trades, own, "_low", first, last).groupBy("id").agg(F.min(levels.first_hit("_stop", first, last)).alias("hit"), F.min(levels.lowest(horizon, first, last)).alias("low"))
+            found = {r.id: ((r.hit.bar_idx if r.hit and r.hit.bar_idx <= asks[r.id][1] + horizon else None), None if r.low is None or r.low != r.low else r.low) for r in got.collect()}
+            for k, (s, i, stop) in enumerate(asks):
+                inside = held(s, i, horizon)
+                wanted = (next((at for at, x in inside if x <= stop), None), min((x for _, x in inside), default=None))
+                assert found.get(k, (None, None)) == wanted, (first, last, horizon, asks[k])
+
+
+def test_a_sweep_equals_its_combinations_one_by_one(spark):
+    rng = random.Random(11)
+    frames, day = [], dt.date(2019, 1, 1)
+    for n in range(12):
+        price, rows = 100.0, []
+        for k in range(500):
+            price = round(price * (1.1 if rng.random() < 0.06 else rng.uniform(0.985, 1.01)), 2)
+            rows.append((f"sh6000{n:02d}", day + dt.timedelta(days=k * 3), price, price, round(price * 1.02, 2), round(price * 0.97, 2), 1.0, 1000, float(rng.randrange(1, 9)) * rng.choice([1.0, 6.0])))
+        frames += rows
+    df = spark.createDataFrame(frames, "symbol string, date date, close double, close_adj double, high_adj double, low_adj double, factor double, volume long, amount double").cache()
+    grid = [(k, r, u, w) for k, (r, u, w) in enumerate([(1.0, 1.1, 0.5), (1.5, 1.1, 0.9), (1.0, 0.9, 0.9), (2.5, 1.3, 0.1), (99.0, 1.3, 0.1), (1.0, 1.3, 0.1), (None, 1.3, 0.1)])]
+    got = {r.param_id: r for r in events.sweep(df, spark.createDataFrame(grid, "param_id int, vol_ratio double, upper double, lower double"), horizon=10).collect()}
+    assert sorted(got) == list(range(7)) and got[6].trades == got[4].trades == 0 and got[4].avg_ret is None
+    seen = set()
+    for k, ratio, upper, lower in grid[:6]:
+        near = universe.price_position(events.abnormal_volume_signals(df, ratio), upper, lower)
+        results = events.size_and_pl(events.outcomes(events.match_fills(near, df), df, (10,), incomplete="null")).collect()
+        done = [r for r in results if r.completed]
+        assert (got[k].trades, got[k].valid) == (len(results), len(done))
+        if done:
+            assert abs(got[k].avg_ret - sum(r.ret for r in done) / len(done) * 100) < 1e-9 and abs(got[k].win_rate - sum(r.ret > 0 for r in done) / len(done) * 100) < 1e-9
+            assert abs(got[k].total_pl - sum(r.pl for r in done)) < 1e-4
+        seen.add(len(results))
+    assert len(seen) > 3
+    assert events.sweep(df, spark.createDataFrame([], "param_id int, vol_ratio double, upper double, lower double")).count() == 0
+
+
 def test_exit_priority(spark):
     exits = lambda closes, **k: [(r.reason, r.held) for r in events.evaluate_exits(spark.createDataFrame([trade(0)], TRADE), bars(spark, closes), **k).collect()]
     assert exits([10.0, 9.0]) == [("stop", 1)] and exits([10.0, 12.0, 11.0]) == [("trail", 2)] and exits([10.0, 9.9]) == [("average", 1)]
