@@ -8,7 +8,7 @@ from ..functions import indicators as I  # noqa: E741
 from ..functions import symbols as S
 from ..operators import adjust, universe
 from ..sources import bars as bar_files
-from ..sources import fixed_width, reference, store, sync
+from ..sources import appended, fixed_width, reference, store, sync
 from ..sources.shared import shared_path
 from .fixtures import Views, with_views
 
@@ -163,6 +163,21 @@ Q["i11_changed_sources"] = (
     lambda v: sync.changed_sources(v.sources.select("path", "mtime"), v.manifest),
     with_views("sources manifest", "select s.path, s.mtime from sources s left join manifest m on s.path = m.path where m.path is null or s.mtime > m.mtime"),
 )
+_GROWN = "1997-01-01"
+
+
+def i11_appended_bars(v: Views):
+    """Bar files up to a date, then grown to all days: the second run reads their new ends, and the store has all bars adjusted."""
+    table, path = _new_table(v, "followed")
+    folder, raw = shared_path(v.spark, "growing"), shared_path(v.spark, "followed-raw")
+    store.write_store(v.bars.limit(0), table, store.buckets_for(v.lineitem.count(), int(v.spark.conf.get("spark.sql.shuffle.partitions"))), path)
+    for part, rows in enumerate((v.bars_raw.where(F.col("date") < _GROWN), v.bars_raw)):
+        fixed_width.write_files(rows, "symbol", fixed_width.encode_bars, folder, ".day").write.parquet(f"{folder}-manifest-{part}")
+        appended.follow(v.spark, folder, raw, v.actions, table, f"{raw}-offsets").awaitTermination()
+    return store.load_store(v.spark, table).select("symbol", "date", "close", "volume", F.round("close_adj", 2).alias("close_adj"))
+
+
+Q["i11_appended_bars"] = (i11_appended_bars, with_views("bars", "select symbol, date, round(close, 2) as close, volume, round(close_adj, 2) as close_adj from bars"))
 Q["i13_ingest_summary"] = (
     lambda v: sync.ingest_summary(v.sources.select("path", F.when(F.col("k") % 97 == 0, "failed").otherwise("success").alias("status"))),
     with_views("sources", """, r as (select path, case when k % 97 = 0 then 'failed' else 'success' end as status from sources),

@@ -135,7 +135,10 @@ def write_files(rows: DataFrame, key: str, encode: Callable[[pd.DataFrame], byte
         attempt = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}"
         with store.open_output_stream(attempt) as out:
             out.write(content)
-        store.move(attempt, f"{base}/{name}{suffix}")
+        target = f"{base}/{name}{suffix}"
+        if store.get_file_info(target).type != fs.FileType.NotFound:  # not all file systems rename onto a file
+            store.delete_file(target)
+        store.move(attempt, target)
         return pd.DataFrame({key: [name], "bytes": [len(content)]})
 
     return rows.groupBy(key).applyInPandas(write, f"{key} string, bytes long")

@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tapewright.functions import indicators as I  # noqa: E741
 from tapewright.functions import symbols as S
 from tapewright.operators import adjust, curves, events, levels, lookup, market, periods, profile, screens, seats, similarity, terms, universe
 from tapewright.sources import bars as bar_files
-from tapewright.sources import fixed_width, reference, store, sync
+from tapewright.sources import appended, fixed_width, reference, store, sync
 from tapewright.sources.shared import shared_path
 
 DAY = dt.date(2020, 1, 6)
@@ -395,6 +396,45 @@ def test_fixed_width_files(spark, tmp_path):
     assert {tuple(r) for r in fixed_width.read_fixed_width(spark, f"{tmp_path}/*.dat", fixed_width.BLOCKS_LAYOUT).collect()} == {("通信", 2, "0000001"), ("通信", 2, "1600000")}
 
 
+def test_ranges_split_large_files_and_join_small_ones():
+    found = appended.ranges({"a": 3, "c": 5}, {"a": 10, "b": 2, "c": 5, "d": 1}, 4)
+    assert [r.parts for r in found] == [[("a", 3, 7)], [("a", 7, 10), ("b", 0, 1)], [("b", 1, 2), ("d", 0, 1)]]
+    assert appended.ranges({}, {}, 4) == []
+    with pytest.raises(ValueError, match="fewer records"):
+        appended.ranges({"a": 3}, {"a": 2}, 4)
+
+
+def test_a_grown_file_is_read_from_its_old_end(spark, tmp_path):
+    rows = lambda symbol, days: pd.DataFrame([(symbol, at(k), 1.0 + k, 1.0 + k, 1.0 + k, 1.0 + k, 10.0, 5) for k in days], columns=[c.split()[0] for c in BAR.split(", ")])
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "sh600000.day").write_bytes(fixed_width.encode_bars(rows("", range(7))))
+    (folder / "sz000001.day").write_bytes(fixed_width.encode_bars(rows("", range(2))) + b"half a record")
+    (folder / "notes.txt").write_bytes(b"x" * 99)
+    source = f"file://{folder}"
+    appended.register(spark)
+    read = spark.read.format("bar_files").option("records", "3").load(source)
+    assert read.rdd.getNumPartitions() == 3 and sorted((r.symbol, r.record, r.close) for r in read.collect()) == [("sh600000", k, 1.0 + k) for k in range(7)] + [("sz000001", k, 1.0 + k) for k in range(2)]
+
+    table, raw = f"followed_{tmp_path.name}".replace("-", "_"), f"file://{tmp_path}/raw"
+    store.write_store(spark.createDataFrame([], f"{BAR}, factor double, open_adj double, high_adj double, low_adj double, close_adj double, volume_adj double"), table, 2, f"file://{tmp_path}/store")
+    actions = spark.createDataFrame([action(at(8), split=10.0)], ACTION)
+    run = lambda: appended.follow(spark, source, raw, actions, table, f"file://{tmp_path}/offsets").awaitTermination(120)
+    run()
+    # what was read is spoilt, so that reading it again would show
+    with open(folder / "sh600000.day", "r+b") as file:
+        file.write(b"\xff" * 32 * 7)
+        file.write(fixed_width.encode_bars(rows("", range(7, 10))))
+        file.write(fixed_width.encode_bars(rows("", [9]).assign(close=20.0)))  # a day that comes again
+    run()
+    run()  # nothing new
+    batches = {b: spark.read.parquet(f"{raw}/batch={b}") for b in (0, 1)}
+    assert [(b, sorted((r.symbol, r.record) for r in df.collect())) for b, df in batches.items()][1] == (1, [("sh600000", k) for k in range(7, 11)])
+    kept = {(r.symbol, r.date): (r.close, r.close_adj) for r in store.load_store(spark, table).collect()}
+    assert len(kept) == 12 and kept["sh600000", at(0)] == (1.0, 0.5) and kept["sh600000", at(9)] == (20.0, 20.0) and kept["sz000001", at(1)] == (2.0, 2.0)
+    spark.sql(f"drop table {table}")
+
+
 def test_a_strategy_becomes_a_table_function(spark):
     own = screens.Catalogue()
     own.register("above", "Above", "", "select symbol, close from bars where close > :close and symbol like :like and volume::double > 0")
