@@ -58,12 +58,14 @@ def market_env(counted: DataFrame) -> DataFrame:
     return out.withColumn("market_env", F.when(F.col("temperature_index") > 65, "bull").when(F.col("temperature_index") < 35, "defensive").otherwise("balanced"))
 
 
+def limit_of(symbol: Column) -> Column:
+    """The return in percent that counts as the limit of the symbol's board; null for boards without one."""
+    return F.when(S.starts_with_any(symbol, ("sh60", "sz00")), 9.91).when(S.starts_with_any(symbol, ("sh68", "sz30")), 19.91)
+
+
 def limit_up(ret: Column, symbol: Column) -> Column:
     """Whether an unadjusted return in percent reaches the limit of the symbol's board."""
-    return F.coalesce(
-        F.when(S.starts_with_any(symbol, ("sh60", "sz00")), ret >= 9.91).when(S.starts_with_any(symbol, ("sh68", "sz30")), ret >= 19.91).otherwise(F.lit(False)),
-        F.lit(False),
-    )
+    return F.coalesce(ret >= limit_of(symbol), F.lit(False))
 
 
 def limit_up_flag(bars: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I  # noqa: E741
 from ..operators import curves, market, periods, universe
+from ..sources.shared import shared_path
+from ..streaming import arrivals
 from .fixtures import Views, with_views
 
 Q: dict[str, tuple] = {}
@@ -233,3 +235,23 @@ Q["m13_market_turnover"] = (
     lambda v: market.market_turnover(v.bars, v.index_bars).select("date", *(F.round(c, 2).alias(c) for c in ("sh", "sz", "chinext", "bj", "star", "total"))),
     with_views("bars", "select date, " + ", ".join(f"coalesce(round(sum(amount) filter (where symbol like '{p}%'), 2), 0) as {n}" for n, p in (("sh", "sh60"), ("sz", "sz00"), ("chinext", "sz30"), ("bj", "bj"), ("star", "sh68"))) + ", round(sum(amount), 2) as total from bars where date in (select distinct date from bars order by date desc limit 30) group by 1"),
 )
+
+
+# ------------------------------------------------------------------ as bars arrive
+def w1_w5_m3_on_arrival(v: Views):
+    """Averages, returns and streaks of all bars, which arrive in three parts; each part sees the state that the one before left."""
+    spark, bars = v.spark, v.bars.select("symbol", "date", "close", "close_adj")
+    came, out = shared_path(spark, "arriving"), shared_path(spark, "arrived")
+    edges = ("1900-01-01", "1994-06-01", "1998-03-01", "2100-01-01")
+    for part, (first, last) in enumerate(zip(edges, edges[1:], strict=False)):
+        bars.where((F.col("date") >= first) & (F.col("date") < last)).write.parquet(f"{came}/part={part}")
+        running = arrivals.on_arrival(spark.readStream.schema(bars.schema).parquet(came), idle_days=4000)  # longer than any pause, as the SQL has none
+        running.writeStream.format("parquet").option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("symbol", "date", "streak", *r6(ma5=F.col("ma5"), ma20=F.col("ma20"), ret=F.col("ret")))
+
+
+Q["w1_w5_m3_on_arrival"] = (
+    w1_w5_m3_on_arrival,
+    with_views("bars", _FLAGS + f""", g as (select *, count(*) filter (where not up) over (partition by symbol order by date rows unbounded preceding) as isle from fl)
+        select symbol, date, round({_avg(5)}, 6) + 0::double as ma5, round({_avg(20)}, 6) + 0::double as ma20, round(ret, 6) + 0::double as ret, count(*) filter (where up) over (partition by symbol, isle order by date rows unbounded preceding) as streak from g"""),
+)

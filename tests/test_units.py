@@ -628,6 +628,31 @@ def test_radar_merges_batches_and_leaves_late_ticks_out(spark, tmp_path):
     assert kept.where("high = 99").count() == 0
 
 
+def test_bars_on_arrival_go_on_from_their_state(spark, tmp_path):
+    from tapewright.streaming import arrivals
+
+    schema = "symbol string, date date, close double, close_adj double"
+    closes = {"sh600000": [10.0, 11.0, 12.1, 12.0, 13.2, 13.2, 14.52], "bj430001": [1.0, 2.0, 4.0], "sz300001": [10.0, 11.5, 13.8]}
+    rows = {s: [(s, at(k), c, c / 2) for k, c in enumerate(xs)] for s, xs in closes.items()}
+    first = [rows["sh600000"][2], rows["sh600000"][0], rows["sh600000"][1], rows["bj430001"][0]]
+    later = [rows["sh600000"][1], *rows["sh600000"][3:], *rows["bj430001"][1:], *rows["sz300001"], rows["sz300001"][2]]  # one is old, one comes twice
+    running = lambda: arrivals.on_arrival(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), (2, 3))
+    spark.createDataFrame(first, schema).write.parquet(f"{tmp_path}/in/part=0")
+    for part in (first, later):
+        if part is later:
+            spark.createDataFrame(later, schema).write.parquet(f"{tmp_path}/in/part=1")
+        assert running().writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
+        found = {(r.symbol, r.date): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        if part is first:
+            assert len(found) == 4
+    assert len(found) == sum(map(len, closes.values())) == spark.read.parquet(f"{tmp_path}/out").count()
+    for s, xs in closes.items():
+        assert [found[s, at(k)].ma3 for k in range(len(xs))] == pytest.approx([sum(xs[max(0, k - 2) : k + 1]) / min(k + 1, 3) / 2 for k in range(len(xs))])
+        assert [found[s, at(k)].ret for k in range(len(xs))] == [None, *(pytest.approx((b - a) / a * 100) for a, b in itertools.pairwise(xs))]
+    assert [found["sh600000", at(k)].streak for k in range(7)] == [0, 1, 2, 0, 1, 0, 1]
+    assert [found["bj430001", at(2)].streak, found["sz300001", at(1)].streak, found["sz300001", at(2)].streak] == [0, 0, 1]
+
+
 def test_blocks_and_names_spread_over_files(spark, monkeypatch, tmp_path):
     from tapewright.plans import sources_universe
     from tapewright.sources import fixed_width
