@@ -653,6 +653,19 @@ def test_bars_on_arrival_go_on_from_their_state(spark, tmp_path):
     assert [found["bj430001", at(2)].streak, found["sz300001", at(1)].streak, found["sz300001", at(2)].streak] == [0, 0, 1]
 
 
+def test_an_instrument_without_bars_for_long_is_forgotten(spark, tmp_path):
+    from tapewright.streaming import arrivals
+
+    schema = "symbol string, date date, close double, close_adj double"
+    parts = [[("sh600000", at(0), 10.0, 10.0), ("sh600001", at(0), 10.0, 10.0)], [("sh600001", at(30), 20.0, 20.0)], [("sh600000", at(31), 30.0, 30.0), ("sh600001", at(31), 40.0, 40.0)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in/part={k}")
+        stream = arrivals.on_arrival(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), (2,), idle_days=10)
+        assert stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
+    last = {r.symbol: (r.ma2, r.ret) for r in spark.read.parquet(f"{tmp_path}/out").where(F.col("date") == at(31)).collect()}
+    assert last == {"sh600000": (30.0, None), "sh600001": (30.0, 100.0)}
+
+
 def test_blocks_and_names_spread_over_files(spark, monkeypatch, tmp_path):
     from tapewright.plans import sources_universe
     from tapewright.sources import fixed_width
