@@ -20,17 +20,13 @@ then renamed, so a task that runs twice leaves one whole file.
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -40,7 +36,7 @@ from ._common import partitions, scratch, small_batches
 
 MAGIC, VERSION, HEAD, LEVEL, STEP = b"TWDC", 1, "<4sIQQII", "<QQQQ", 512
 FILE_TOKENS = 8_000_000
-ENCODE_CHARS = 8 << 20
+ENCODE_CHARS = 1 << 20
 MANIFEST = "file string, part int, nth int, documents long, tokens long"
 
 
@@ -132,124 +128,27 @@ class Reader:
         return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n + 1, 8 * n).astype(np.int64)
 
 
-def cuts_at_spaces(tokenizer) -> bool:
-    """Whether the tokenizer's own settings promise that no token spans the place before a single space.
+class Encoder:
+    """Ids of whole texts, each encoded by one call's batch of the tokenizers library."""
 
-    So does a byte-level pre-tokenizer with its word pattern, if nothing rewrites texts
-    before it and no prefix space is added.
-    """
-    said = json.loads(tokenizer.to_str())
-    first = said["pre_tokenizer"] or {}
-    return (
-        said["normalizer"] is None and said["truncation"] is None and said["padding"] is None and said["model"]["type"] == "BPE"
-        and first.get("type") == "ByteLevel" and first.get("use_regex") is True and first.get("add_prefix_space") is False
-    )
-
-
-def byte_letters() -> dict[int, str]:
-    """The letters that a byte-level pre-tokenizer writes bytes as: printable ones stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
-
-
-class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, with the ids of pieces that come again kept.
-
-    Where the tokenizer's settings allow it (``cuts_at_spaces``) a text is cut before each
-    space, and before each line break if it has no two white-space characters in a row; every piece is
-    encoded by the library once. A mark at the end of a run of letters is a piece of its own, and a
-    run of letters is one word for the pre-tokenizer, so it goes straight to the library's
-    model. All other texts (those with white space after a space, with a special token, or for another
-    kind of tokenizer) go to the library whole. Kept are the pieces of this and of the last generation of
-    at most ``most``; a piece has a space before it unless it starts with a line break.
-    """
-
-    RUN, AFTER_SPACE = re.compile(r"\s\s"), re.compile(r" \s")
-
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.in_pieces = cuts_at_spaces(self.tokenizer)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.marks = {m: self.library([m])[0] for m in (".", ",")}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.most = most
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def word(self, word: str) -> bytes:
-        """Ids of a run of letters with a space before it."""
-        ids = self.pieces.get(word) or self.old_pieces.get(word)
-        if ids is None:
-            written = f" {word}".encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-        self.pieces[word] = ids
-        return ids
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces."""
-        other = []
-        for piece in pieces:
-            if piece.isalpha():
-                self.word(piece)
-            elif piece in self.old_pieces:
-                self.pieces[piece] = self.old_pieces[piece]
-            elif piece[-1:] in self.marks and piece[:-1].isalpha():
-                self.pieces[piece] = self.word(piece[:-1]) + self.marks[piece[-1]]
-            else:
-                other.append(piece)
-        if other:
-            self.pieces.update(zip(other, self.library([p if p[:1] == "\n" else f" {p}" for p in other]), strict=True))
-
-    def marked(self, text: str) -> str | None:
-        """The text with a space wherever it may be cut, or None if it must stay whole."""
-        if not self.in_pieces or any(s in text for s in self.special):
-            return None
-        if not self.RUN.search(text):
-            return text.replace("\n", " \n")
-        return None if self.AFTER_SPACE.search(text) else text
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each has.
-
-        The different pieces of all texts are looked up once; numpy then puts their ids where the pieces stand.
-        """
-        if len(self.pieces) > self.most:
-            self.pieces, self.old_pieces = {}, self.pieces
-        marked = list(map(self.marked, texts))
-        split = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), " ")
-        first = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        code, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        code[first[:-1]] = len(different) + np.arange(len(texts))
-        # what stands before the first space, or a whole text, has no space before it
-        heads = self.library([t if m is None else m.split(" ", 1)[0] for t, m in zip(texts, marked, strict=True)])
-        found = list(map(self.pieces.get, different))
-        if None in found:
-            self.learn([p for p, x in zip(different, found, strict=True) if x is None])
-            found = list(map(self.pieces.get, different))
-        found += heads
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(found), "<u4")
-        long = size[code]
-        end = np.cumsum(long)
-        at = np.repeat(start[code] - (end - long), long) + np.arange(int(long.sum()))
-        return ids[at], np.add.reduceat(long, first[:-1]) if len(texts) else np.zeros(0, np.int64)
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def _encoder(path: str) -> PieceEncoder:
+        """The ids of all texts, one after the other, and how many each has."""
+        own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *own]), np.fromiter(map(len, own), np.int64, len(own))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
