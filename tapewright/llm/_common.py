@@ -9,8 +9,17 @@ from ..sources.shared import on_workers, shared_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return shared_path(spark, f"tapewright/{name}")
+    """A new folder below the shared folder, deleted when the driver ends unless ``remove`` comes first."""
+    path = shared_path(spark, f"tapewright/{name}")
+    where, store = _located(spark, path)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
@@ -22,8 +31,8 @@ def stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFra
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder through Spark's own file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _located(spark, path)
+    store.delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -5,13 +5,14 @@ domains (words that tell the domains apart, and coarse document statistics, in a
 multinomial logistic model). Every document then gets a nonnegative rate, how often it
 is to be used, so that the expected tokens of each domain match their targets:
 weighted least squares over the rates, solved by scaled projected gradient steps until
-the targets are met or the bounds allow no more. A step needs two small aggregations over all
+the targets are met or a duality gap proves that the bounds allow no more. A step needs two small aggregations over all
 documents (sums over the domains); the rate of a document is a function of its posterior and the steps
 so far.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -146,21 +147,27 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 #: parts of a step that are tried at once
 PARTS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+#: multiples of the gradient step that are tried beside it
+TIMES = (1.0, 8.0, 64.0, 512.0, 4096.0)
+#: the bound of rates without one, for the duality gap alone
+FAR = 100.0
 STORE_EVERY = 6
 
 
-def rates(soft: DataFrame, targets: dict[str, float], anchor: str = "clean", most: float | None = None, close: float = 1e-5, least_gain: float = 1e-3) -> tuple[DataFrame, list[dict[str, float]], float]:
+def rates(soft: DataFrame, targets: dict[str, float], anchor: str = "clean", most: float | None = None, close: float = 1e-5, slack: float = 1e-3, most_steps: int = 200) -> tuple[DataFrame, list[dict[str, float]], float]:
     """Adds ``rate`` to (doc_id, tokens, p_<domain>...), and tells the expected share of each domain after each step and the residual.
 
     targets: the domains' weights. The anchor's expected tokens stay as they are, which sets
     the total. most: an upper bound for each rate, if any. Minimised is the sum over
     domains of (expected - target)^2 / mass, over rates from 0 to ``most``. A step moves a document by
     a combination of its posteriors and projects the rate into its bounds. Tried are parts of the step that
-    the second derivatives over the documents free to move suggest, and the plain gradient step, which
+    the second derivatives over the documents free to move suggest, multiples of the gradient step, and the plain one, which
     can't overshoot because the posteriors of a document sum to one; the best one is taken. Ends when no
-    domain is off by more than ``close`` of all tokens, or when the sum falls by less than ``least_gain``
-    of itself: then the bounds leave no better rates. The residual is the largest share by which a domain
-    is off in the end. Documents without tokens keep rate 1, and a domain without mass is left out.
+    domain is off by more than ``close`` of all tokens, or when the rates are optimal: the problem is convex, so
+    the gradient times the way to the farthest rates that it favours bounds what any rates could gain (up to FAR where ``most``
+    is None), and that gap is at most ``slack`` of the sum. If neither holds after ``most_steps`` steps, or a step
+    gains nothing that a double can tell, a warning tells the gap. The residual
+    is the largest share by which a domain is off in the end. Documents without tokens keep rate 1, and a domain without mass is left out.
     """
     names = list(targets)
     t = F.col("tokens").cast("double")
@@ -178,22 +185,28 @@ def rates(soft: DataFrame, targets: dict[str, float], anchor: str = "clean", mos
     away = lambda off: float((off**2 / scale).sum())
     rate, now, told = F.lit(1.0), dict(mass), [dict(mass)]
     while abs(off_of(now)).max() > close:
-        off = off_of(now)
+        off, held, r = off_of(now), soft.withColumn("_now", rate), F.col("_now")
         down = sums_to(off / scale)
-        free = ((rate > 0) | (down < 0)) & (F.lit(True) if most is None else (rate < most) | (down > 0))
+        free = ((r > 0) | (down < 0)) & (F.lit(True) if most is None else (r < most) | (down > 0))
+        gain = F.sum(t * (down * r - F.least(F.lit(0.0), down * float(FAR if most is None else most)))).alias("gain")
         pairs = [(i, j) for i in range(len(live)) for j in range(i + 1)]
-        row = soft.agg(*(F.sum(F.when(free, t * F.col(f"p_{live[i]}") * F.col(f"p_{live[j]}"))).alias(f"h{i}_{j}") for i, j in pairs)).first()
+        row = held.agg(gain, *(F.sum(F.when(free, t * F.col(f"p_{live[i]}") * F.col(f"p_{live[j]}"))).alias(f"h{i}_{j}") for i, j in pairs)).first()
+        gap = 2 * (row["gain"] or 0.0) / total / away(off)
+        if gap <= slack:
+            break
         second = np.zeros((len(live), len(live)))
         for i, j in pairs:
             second[i, j] = second[j, i] = (row[f"h{i}_{j}"] or 0.0) / total
         newton = np.linalg.lstsq(second + 1e-9 * np.eye(len(live)), off, rcond=None)[0]
-        tried = [inside(rate - sums_to(off / scale)), *(inside(rate - sums_to(part * newton)) for part in PARTS)]
-        row = soft.agg(*(F.sum(t * F.col(f"p_{d}") * r).alias(f"{d}_{k}") for k, r in enumerate(tried) for d in live)).first()
-        ends = [{d: (row[f"{d}_{k}"] or 0.0) / total for d in live} | {d: 0.0 for d in names if d not in live} for k in range(len(tried))]
-        best = min(range(len(tried)), key=lambda k: away(off_of(ends[k])))
-        if away(off_of(ends[best])) >= (1 - least_gain) * away(off):
+        moves = [*(times * off / scale for times in TIMES), *(part * newton for part in PARTS)]
+        tried = held.select("tokens", *(f"p_{d}" for d in live), *(inside(r - sums_to(move)).alias(f"r{k}") for k, move in enumerate(moves)))
+        row = tried.agg(*(F.sum(t * F.col(f"p_{d}") * F.col(f"r{k}")).alias(f"{d}_{k}") for k in range(len(moves)) for d in live)).first()
+        ends = [{d: (row[f"{d}_{k}"] or 0.0) / total for d in live} | {d: 0.0 for d in names if d not in live} for k in range(len(moves))]
+        best = min(range(len(moves)), key=lambda k: away(off_of(ends[k])))
+        if len(told) > most_steps or away(off_of(ends[best])) >= (1 - 1e-12) * away(off):
+            warnings.warn(f"rates are not at their best after {len(told) - 1} steps: other rates could lower the sum by up to {gap:.2e} of itself", stacklevel=2)
             break
-        rate, now = tried[best], ends[best]
+        rate, now = inside(rate - sums_to(moves[best])), ends[best]
         told.append(dict(now))
         if len(told) % STORE_EVERY == 0:  # keeps the expression short
             soft = stored(soft.withColumn("_rate", rate), scratch(soft.sparkSession, "rates"))
@@ -212,7 +225,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: s
     copies is the rate rounded up or down by a fixed number of the row, so that the
     expected copies equal the rate. residual is one number for all rows: the largest share of all
     tokens by which a domain's expected tokens miss their target in the end (above 1e-5 only if the
-    bounds on the rates leave no better ones). Null and empty texts have no tokens, rate 1 and one copy.
+    bounds on the rates leave no better ones, which the duality gap proves). Null and empty texts have no tokens, rate 1 and one copy.
     Repeated rows get equal answers; other columns are ignored; an empty table gives no
     rows; without labels every rate is 1.
     """

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
 import zlib
@@ -736,6 +737,41 @@ def test_rates_are_as_good_as_brute_force(spark, most, targets):
     assert residual <= 1e-5 or best > 1e-10
 
 
+@pytest.mark.parametrize("most", [1.0, 1.3])
+def test_rates_that_miss_a_target_are_optimal(spark, most):
+    """Where the bounds rule a target out, the duality gap, counted anew from all rates, proves that no others are better."""
+    targets = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
+    rng = np.random.default_rng(31)
+    p, t = rng.dirichlet([2.0, 0.6, 0.3], 400), rng.integers(1, 400, 400)
+    soft = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
+    out, told, residual = mixing.rates(soft, targets, most=most)
+    rate = out.orderBy("doc_id").toPandas()["rate"].to_numpy()
+    mass = (p * t[:, None]).sum(0) / t.sum()
+    off = (p * (t * rate)[:, None]).sum(0) / t.sum() - mass[0] * np.array([targets[d] / targets["clean"] for d in targets])
+    down = p @ (off / mass)
+    gap = 2 * (t * (down * rate - np.minimum(0, down * most))).sum() / t.sum()
+    assert residual > 1e-3 and gap <= 1e-3 * (off**2 / mass).sum() + 1e-12
+    with pytest.warns(UserWarning, match="not at their best"):
+        mixing.rates(soft, targets, most=most, slack=-1.0, most_steps=1)
+
+
+def test_scratch_folders_go_when_the_driver_ends(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from tapewright.llm import _common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+path = _common.scratch(spark, "x")
+assert _common.stored(spark.range(3), path).count() == 3
+print(path)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    path = done.stdout.split()[-1]
+    assert done.returncode == 0 and path.startswith(f"file://{tmp_path}") and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_posteriors_are_those_of_a_plain_model(spark):
     """The classifier's weights are near the minimum that a plain gradient descent over dense rows finds."""
     rng = np.random.default_rng(29)
