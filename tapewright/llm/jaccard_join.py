@@ -432,12 +432,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     return stored(ordered.mapInArrow(_compare, "hub long, node long"), f"{path}/links")
 
 
+def _thinned(edges: DataFrame, path: str) -> DataFrame:
+    """Fewer edges (hub, node), hub the smaller, that join the same nodes: about one a node, however many hubs it met.
+
+    Of a node's smaller neighbours the smallest keeps the edge; the others get an edge to that one instead, and
+    the nodes of one group give the same such edges.
+    """
+    own = stored(edges.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), f"{path}/edges")
+    info = stored(own.groupBy("node").agg(F.min("hub").alias("_least"), F.count(F.lit(1)).alias("_met")), f"{path}/least")
+    met = _with_info(own, info, "_met", own.count(), "node")
+    return met.select(F.col("_least").alias("hub"), F.when(F.col("hub") == F.col("_least"), F.col("node")).otherwise(F.col("hub")).alias("node")).distinct()
+
+
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, comp) of all nodes of ``edges`` (hub, node); comp is the component's smallest node.
 
-    Each step takes the smallest label among the neighbours and then the label of that
+    Edges are thinned first, so the steps cost the nodes and not the links of a group. Each step takes the smallest label among the neighbours and then the label of that
     label, so long chains shrink fast; labels only fall, so the steps end.
     """
+    edges = stored(_thinned(edges, path), f"{path}/thinned")
     both = stored(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct(), f"{path}/both")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), f"{path}/labels-0")
     for step in count(1):

@@ -222,3 +222,15 @@ def test_manifest_of_untampered_single_and_no_rows(spark):
     (one,) = merkle.manifest(docs.where("source = 'solo'")).collect()
     assert one.leaf == one.subroot == one.root and one.proof_sha256 == H("")
     assert merkle.manifest(docs.limit(0)).count() == 0
+
+
+def test_thinned_edges_of_a_group_are_about_one_a_node(spark, tmp_path):
+    from tapewright.llm import jaccard_join
+
+    hubs, nodes = list(range(0, 80, 10)), [n for n in range(1, 400) if n % 10]
+    pairs = [(min(h, n), max(h, n)) for n in nodes for h in hubs] + [(1000, 1001), (1002, 1001)]
+    edges = spark.createDataFrame(pairs, "hub long, node long")
+    thin = {(r["hub"], r["node"]) for r in jaccard_join._thinned(edges, f"file://{tmp_path}/thin").collect()}
+    assert len(thin) <= 1.5 * (len(nodes) + len(hubs))
+    labels = {r["node"]: r["comp"] for r in jaccard_join.components(edges, f"file://{tmp_path}/components").collect()}
+    assert labels == {n: 0 for n in [*hubs, *nodes]} | {1000: 1000, 1001: 1000, 1002: 1000}
