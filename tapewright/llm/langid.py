@@ -10,9 +10,8 @@ n-grams. The probabilities are resolved for all languages at once and written to
 shared folder, from which each worker loads them into sorted arrays of n-gram hashes;
 scoring looks the hashes of a text's n-grams up by binary
 search, from the longest order down. The language with the lowest cross-entropy
-per character wins. A scale fitted on a bounded sample of learning documents turns
-the entropies into a probability, and the entropies of that sample also give each
-language a bound above which a text is flagged as rejected.
+per character wins. A scale fitted on all learning documents turns the entropies into a
+probability, and their entropies also give each language a bound above which a text is flagged as rejected.
 """
 
 from __future__ import annotations
@@ -334,44 +333,60 @@ def write_tables(counts: DataFrame, order: int) -> Model:
     return Model(languages, order, [], [], np.array(floor, np.float32), path=f"{base}/tables")
 
 
-def calibrate(model: Model, sample: DataFrame, quantile: float = 0.999) -> Model:
-    """Fits the scale by the likelihood of the languages of ``sample`` (lang, text), and the bound of each language by a quantile."""
-    of_worker = _in_worker(sample, model)
+#: scales that are tried, bins of an entropy of 1, and parts of a loss of 1 (whole numbers add up alike in any order)
+SCALES = np.geomspace(0.5, 200, 60)
+BINS, LOSS_PARTS = 4096, 10_000
+
+
+def _tally(of_worker):
+    """Per task: kind -1 has the summed loss of each scale (k), kind of a language its documents by bin of their own entropy (k)."""
 
     def run(batches):
-        own = of_worker()
+        own, losses, bins = of_worker(), np.zeros(len(SCALES), np.int64), Counter()
         for batch in batches:
+            langs = batch.column(0).to_pylist()
             entropy, size = own.entropies(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.float64()), pa.array(entropy.tolist(), pa.list_(pa.float64()))], names=["lang", "size", "entropy"])
+            some = np.flatnonzero(size > 0)
+            if not len(some):
+                continue
+            right = np.array([own.languages.index(langs[i]) for i in some])
+            entropy = entropy[some]
+            z = -(entropy - entropy.min(axis=1, keepdims=True))
+            for k, scale in enumerate(SCALES):
+                lost = np.log(np.exp(z * scale).sum(axis=1)) - z[np.arange(len(some)), right] * scale
+                losses[k] += int(np.rint(lost * LOSS_PARTS).astype(np.int64).sum())
+            bins.update(zip(right.tolist(), np.floor(entropy[np.arange(len(some)), right] * BINS).astype(int).tolist(), strict=True))
+        if bins:
+            rows = [(-1, k, int(x)) for k, x in enumerate(losses)] + [(lang, k, n) for (lang, k), n in bins.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["kind", "k", "n"])
 
-    rows = [r for r in sample.mapInArrow(run, "lang string, size double, entropy array<double>").collect() if r["size"] > 0 and r["lang"] in model.languages]
-    if rows:
-        entropy, right = np.array([r["entropy"] for r in rows]), np.array([model.languages.index(r["lang"]) for r in rows])
-        gap = entropy - entropy.min(axis=1, keepdims=True)
+    return run
 
-        def loss(scale: float) -> float:
-            z = -gap * scale
-            return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(right)), right]))
 
-        model.scale = min((loss(s), s) for s in np.geomspace(0.5, 200, 60))[1]
-        own = entropy[np.arange(len(right)), right]
-        model.bound = np.array([np.quantile(own[right == k], quantile) + 0.25 if (right == k).any() else np.inf for k in range(len(model.languages))])
-    return model
+def calibrate(model: Model, docs: DataFrame, quantile: float = 0.999) -> Model:
+    """Fits the scale by the likelihood of the languages of all rows of ``docs`` (lang, text), and the bound of each language by a quantile.
 
+    Losses and bins of entropies are summed over all rows; the driver sees a number a scale and bin. A bound lies at most one bin (1 / BINS) above the quantile.
+    """
+    known = docs.where(F.col("lang").isin(model.languages))
+    rows = known.mapInArrow(_tally(_in_worker(docs, model)), "kind long, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).collect()
+    if rows:
+        losses = {r["k"]: r["n"] for r in rows if r["kind"] < 0}
+        model.scale = float(min((losses[k], s) for k, s in enumerate(SCALES))[1])
+        model.bound = np.full(len(model.languages), np.inf)
+        for lang in range(len(model.languages)):
+            counts = sorted((r["k"], r["n"]) for r in rows if r["kind"] == lang)
+            if counts:
+                upto = np.cumsum([n for _, n in counts])
+                model.bound[lang] = (counts[int(np.searchsorted(upto, quantile * upto[-1]))][0] + 1) / BINS + 0.25
+    return model
 
-def train(docs: DataFrame, order: int = 4, sample_rows: int = 2000) -> Model:
-    """A model from all n-grams of all rows of ``docs`` with a language and a text.
 
-    sample_rows bounds the documents that calibrate the scores (those with the smallest hash
-    of the text), not the rows that are counted.
-    """
+def train(docs: DataFrame, order: int = 4) -> Model:
+    """A model from all n-grams of all rows of ``docs`` with a language and a text; all of them calibrate its scores too."""
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = write_tables(gram_counts(rows, order), order)
-    if not model.languages:
-        return model
-    n = rows.count()
-    keep = rows.withColumn("_at", F.xxhash64("text")).where(F.pmod("_at", F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1)
-    return calibrate(model, keep.orderBy("_at").limit(sample_rows).select("lang", "text"))
+    return calibrate(model, rows) if model.languages else model
 
 
 _models: dict[int, Model] = {}

@@ -234,3 +234,22 @@ def test_thinned_edges_of_a_group_are_about_one_a_node(spark, tmp_path):
     assert len(thin) <= 1.5 * (len(nodes) + len(hubs))
     labels = {r["node"]: r["comp"] for r in jaccard_join.components(edges, f"file://{tmp_path}/components").collect()}
     assert labels == {n: 0 for n in [*hubs, *nodes]} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_all_learning_documents_calibrate_the_language_model(spark):
+    import numpy as np
+
+    from tapewright.llm import langid
+
+    # 2,400 easy texts of two languages and odd ones, which a sample of 2,000 would see in part only
+    rows = [("x" if i % 2 else "y", f"{'abba baab' if i % 2 else 'cddc dccd'} {'ab' if i % 2 else 'cd'}{i % 7}") for i in range(2400)] + [("x", "cddc abba dccd")] * 37
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    model = langid.train(docs)
+    entropy, _ = model.loaded().entropies([t for _, t in rows])
+    right = np.array([model.languages.index(x) for x, _ in rows])
+    own, z = entropy[np.arange(len(rows)), right], -(entropy - entropy.min(axis=1, keepdims=True))
+    loss = [float(np.mean(np.log(np.exp(z * s).sum(axis=1)) - z[np.arange(len(rows)), right] * s)) for s in langid.SCALES]
+    assert loss[int(np.abs(langid.SCALES - model.scale).argmin())] <= min(loss) + 1e-4
+    for k in range(2):
+        least = np.sort(own[right == k])[int(np.ceil(0.999 * (right == k).sum())) - 1]
+        assert least < model.bound[k] - 0.25 <= least + 1 / langid.BINS + 1e-9
