@@ -7,7 +7,7 @@ the others in few steps is unlike them. The mean path length over all trees beco
 threshold the text goes. Thresholds are calibrated on labelled rows, one a band of lengths, since short texts
 scatter more: the best cut among those that cost no more than a given share of the good rows.
 
-The forest and the thresholds are a few thousand numbers, fitted on a bounded sample of labelled rows; statistics and
+The forest and the thresholds are a few thousand numbers, fitted on all labelled rows; statistics and
 scores are computed for all rows where they are read, and no text is shuffled.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import remove, scratch, small_batches, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = ("log_words", "chars_a_word", "symbols_a_word", "dup_lines", "repeat_words", "upper", "digits", "bare_words", "closed_words", "bangs", "top_word", "log_words_a_line", "closed_lines")
@@ -118,16 +118,16 @@ class Forest:
         return self.scores(x) <= np.array(self.thresholds)[np.searchsorted(BANDS, n_words)]
 
 
-def fit(x: np.ndarray, trees: int = 150, sample: int = 256, seed: int = 12) -> Forest:
-    """Random trees over random rows: a node's statistic and its cut between the least and the largest value there are random."""
-    rng, sample = np.random.default_rng(seed), min(sample, len(x))
+def fit(x: np.ndarray, trees: int = 150, sample: int = 256, seed: int = 12, drawn: list[np.ndarray] | None = None) -> Forest:
+    """Random trees over random rows (of ``x``, or those that ``drawn`` has for each tree): a node's statistic and its cut between the least and the largest value there are random."""
+    rng, sample = np.random.default_rng(seed), min(sample, len(x) if drawn is None else max(map(len, drawn), default=0))
     depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
     inner = 2**depth - 1
     out = Forest(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)), sample)
     if not sample:
         return out
     for t in range(trees):
-        held = {0: x[rng.choice(len(x), sample, replace=False)]}
+        held = {0: x[rng.choice(len(x), sample, replace=False)] if drawn is None else drawn[t]}
         for level in range(depth):
             for node in range(2**level - 1, 2 ** (level + 1) - 1):
                 rows = held.pop(node, None)
@@ -149,13 +149,13 @@ def fit(x: np.ndarray, trees: int = 150, sample: int = 256, seed: int = 12) -> F
     return out
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, most_lost: float) -> float:
-    """The score above which most bad rows for the good ones lost lie, losing ``most_lost`` of the good rows at most."""
+def threshold(scores: np.ndarray, good: np.ndarray, most_lost: float, times: np.ndarray | None = None) -> float:
+    """The score above which most bad rows for the good ones lost lie, losing ``most_lost`` of the good rows at most. times: rows that each score stands for."""
     if not good.any() or good.all():
         return np.inf
-    cuts = np.unique(scores)
-    lost = 1 - np.searchsorted(np.sort(scores[good]), cuts, side="right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(scores[~good]), cuts, side="right") / (~good).sum()
+    times = np.ones(len(scores)) if times is None else times
+    cuts, at = np.unique(scores, return_inverse=True)
+    lost, caught = (1 - np.cumsum(np.bincount(at, times * own, len(cuts))) / (times * own).sum() for own in (good, ~good))
     worth = np.where(lost <= most_lost, caught - lost, -1)
     best = int(worth.argmax())
     if worth[best] <= 0:
@@ -164,43 +164,68 @@ def threshold(scores: np.ndarray, good: np.ndarray, most_lost: float) -> float:
     return float((cuts[best] + above) / 2)
 
 
-def calibrate(forest: Forest, x: np.ndarray, n_words: np.ndarray, good: np.ndarray, most_lost: float = 0.01, least_good: int = 100, least_bad: int = 5) -> Forest:
-    """Sets a threshold a band; a band with fewer good or bad rows than that takes the threshold of all rows."""
-    scores, band = forest.scores(x), np.searchsorted(BANDS, n_words)
-    whole = threshold(scores, good, most_lost)
+def calibrate(forest: Forest, scores: np.ndarray, band: np.ndarray, good: np.ndarray, times: np.ndarray, most_lost: float = 0.01, least_good: int = 100, least_bad: int = 5) -> Forest:
+    """Sets a threshold a band from scores that stand for ``times`` rows each; a band with fewer good or bad rows than that takes the threshold of all rows."""
+    whole = threshold(scores, good, most_lost, times)
     for k in range(len(BANDS) + 1):
         own = band == k
-        few = (good & own).sum() < least_good or (~good & own).sum() < least_bad
-        forest.thresholds[k] = whole if few else threshold(scores[own], good[own], most_lost)
+        few = times[good & own].sum() < least_good or times[~good & own].sum() < least_bad
+        forest.thresholds[k] = whole if few else threshold(scores[own], good[own], most_lost, times[own])
     return forest
 
 
+#: scores are counted by so many bins of 1
+SCORE_BINS = 100_000
+
+
+def _tally(forest: Forest):
+    def run(batches):
+        for batch in batches:
+            x = np.array(batch.column(2).to_pylist(), float).reshape(-1, len(RATES))
+            bins = np.rint(forest.scores(x) * SCORE_BINS).astype(np.int64)
+            band = np.searchsorted(BANDS, batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), pa.array(bins, pa.int64()), pa.array(batch.column(0).to_numpy() > 0, pa.bool_())], names=["band", "bin", "good"])
+
+    return run
+
+
 def _measured(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     both = [statistics(t) for t in batch.column(name).cast(pa.binary()).to_pylist()]
     return np.array([c for c, _ in both], np.int64).reshape(-1, len(COUNTS)), np.array([r for _, r in both], float).reshape(-1, len(RATES))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **params) -> Forest:
-    """A forest over the good rows and its thresholds, from at most ``sample_rows`` labelled documents (those with the smallest hash of the id).
+def train(docs: DataFrame, labels: DataFrame, trees: int = 150, sample: int = 256, **params) -> Forest:
+    """A forest over the good rows and its thresholds, from all labelled documents.
 
-    labels: doc_id and quality; of two labels of one document the lower counts, rows without a quality are left out. Rows
-    that a rule rejects anyway play no part. Without good and bad rows nothing is rejected by the forest.
+    Each tree draws its ``sample`` rows from all good ones, by a hash of the tree and the document; thresholds come from the scores of
+    all labelled rows, counted by bins. labels: doc_id and quality; of two labels of one document the lower counts, rows without a
+    quality are left out. Rows that a rule rejects anyway play no part. Without good and bad rows nothing is rejected by the forest.
     """
     spark = docs.sparkSession
     small_batches(spark)
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))  # bounded by sample_rows
 
     def run(batches):
         for batch in batches:
             counts, rates = _measured(batch, "text")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.tolist(), pa.list_(pa.int64())), pa.array(rates.tolist(), pa.list_(pa.float64()))], names=["quality", "counts", "x"])
-
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select(F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "quality int, counts array<long>, x array<double>").collect()
-    rows = sorted((r["x"], r["counts"], r["quality"]) for r in rows if not base_failed(r["counts"][0], r["counts"][-1]))  # rows come in any order
-    x = np.array([r[0] for r in rows], float).reshape(-1, len(RATES))
-    good = np.array([r[2] > 0 for r in rows], bool)
-    return calibrate(fit(x[good], **params), x, np.array([r[1][0] for r in rows], np.int64), good)
+            fine = [not base_failed(int(c[0]), int(c[-1])) for c in counts]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts[:, 0], pa.int64()), pa.array(rates.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "n_words", "x"])
+            yield out.filter(pa.array(fine, pa.bool_()))
+
+    base = scratch(spark, "rules")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    rows = stored(texts.mapInArrow(run, "doc_id long, quality int, n_words long, x array<double>"), base)
+    good = rows.where("quality > 0")
+    share = min(1.0, 3 * sample / max(good.count(), 1))  # three times what a tree takes: trees * sample * 3 rows at most reach the driver, about
+    dealt = good.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "doc_id").withColumn("_u", F.xxhash64("doc_id", "tree"))
+    drawn: list[list] = [[] for _ in range(trees)]
+    for r in dealt.where(F.col("_u") < int(share * 2**64) - 2**63 if share < 1 else F.lit(True)).collect():
+        drawn[r["tree"]].append((r["_u"], r["x"]))
+    forest = fit(np.zeros((0, len(RATES))), trees, sample, drawn=[np.array([x for _, x in sorted(d)[:sample]], float).reshape(-1, len(RATES)) for d in drawn], **params)
+    found = rows.select("quality", "n_words", "x").mapInArrow(_tally(forest), "band long, bin long, good boolean").groupBy("band", "bin", "good").count().collect()
+    remove(spark, base)
+    column = lambda name, kind: np.array([r[name] for r in found], kind)
+    return calibrate(forest, column("bin", float) / SCORE_BINS, column("band", int), column("good", bool), column("count", float))
 
 
 JUDGED = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"

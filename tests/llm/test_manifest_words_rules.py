@@ -253,3 +253,12 @@ def test_all_learning_documents_calibrate_the_language_model(spark):
     for k in range(2):
         least = np.sort(own[right == k])[int(np.ceil(0.999 * (right == k).sum())) - 1]
         assert least < model.bound[k] - 0.25 <= least + 1 / langid.BINS + 1e-9
+
+
+def test_thresholds_of_counted_scores_are_those_of_all_rows():
+    import numpy as np
+
+    from tapewright.llm import rules
+
+    scores, good, times = np.array([0.2, 0.3, 0.4, 0.6]), np.array([True, True, True, False]), np.array([5, 3, 90, 4])
+    assert rules.threshold(scores, good, 0.01, times) == rules.threshold(np.repeat(scores, times), np.repeat(good, times), 0.01) == 0.5
