@@ -7,8 +7,8 @@ the others in few steps is unlike them. The mean path length over all trees beco
 threshold the text goes. Thresholds are calibrated on labelled rows, one a band of lengths, since short texts
 scatter more: the best cut among those that cost no more than a given share of the good rows.
 
-The forest and the thresholds are a few thousand numbers, fitted on all labelled rows; statistics and
-scores are computed for all rows where they are read, and no text is shuffled.
+The forest and the thresholds are a few thousand numbers, fitted on all labelled rows. Statistics are computed
+where texts are read; what meets the labels, and may be shuffled for that, is these 18 numbers a row and never a text.
 """
 
 from __future__ import annotations
@@ -178,10 +178,14 @@ def calibrate(forest: Forest, scores: np.ndarray, band: np.ndarray, good: np.nda
 SCORE_BINS = 100_000
 
 
+def _rates(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(RATES))
+
+
 def _tally(forest: Forest):
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), float).reshape(-1, len(RATES))
+            x = _rates(batch.column(2))
             bins = np.rint(forest.scores(x) * SCORE_BINS).astype(np.int64)
             band = np.searchsorted(BANDS, batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), pa.array(bins, pa.int64()), pa.array(batch.column(0).to_numpy() > 0, pa.bool_())], names=["band", "bin", "good"])
@@ -194,27 +198,41 @@ def _measured(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]
     return np.array([c for c, _ in both], np.int64).reshape(-1, len(COUNTS)), np.array([r for _, r in both], float).reshape(-1, len(RATES))
 
 
+MEASURED = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>"
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the COUNTS and the RATES (x), for ``train_measured`` and ``judge_measured``."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            counts, rates = _measured(batch, "text")
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(rates) + 1) * len(RATES), pa.int32()), pa.array(rates.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts.T), x], names=["doc_id", *COUNTS, "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEASURED)
+
+
 def train(docs: DataFrame, labels: DataFrame, trees: int = 150, sample: int = 256, **params) -> Forest:
-    """A forest over the good rows and its thresholds, from all labelled documents.
+    """``train_measured`` on the statistics of ``docs``."""
+    return train_measured(measure(docs), labels, trees, sample, **params)
+
+
+def train_measured(measured: DataFrame, labels: DataFrame, trees: int = 150, sample: int = 256, **params) -> Forest:
+    """A forest over the good rows and its thresholds, from all labelled rows of ``measure``.
 
     Each tree draws its ``sample`` rows from all good ones, by a hash of the tree and the document; thresholds come from the scores of
     all labelled rows, counted by bins. labels: doc_id and quality; of two labels of one document the lower counts, rows without a
     quality are left out. Rows that a rule rejects anyway play no part. Without good and bad rows nothing is rejected by the forest.
     """
-    spark = docs.sparkSession
+    spark = measured.sparkSession
     small_batches(spark)
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
-    def run(batches):
-        for batch in batches:
-            counts, rates = _measured(batch, "text")
-            fine = [not base_failed(int(c[0]), int(c[-1])) for c in counts]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts[:, 0], pa.int64()), pa.array(rates.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "n_words", "x"])
-            yield out.filter(pa.array(fine, pa.bool_()))
-
     base = scratch(spark, "rules")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = stored(texts.mapInArrow(run, "doc_id long, quality int, n_words long, x array<double>"), base)
+    fine = measured.where(f"not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words)")
+    rows = stored(fine.join(marked, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "n_words", "x"), base)
     good = rows.where("quality > 0")
     share = min(1.0, 3 * sample / max(good.count(), 1))  # three times what a tree takes: trees * sample * 3 rows at most reach the driver, about
     dealt = good.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "doc_id").withColumn("_u", F.xxhash64("doc_id", "tree"))
@@ -231,8 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, trees: int = 150, sample: int = 25
 JUDGED = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
 
 
-def _judged(forest: Forest, batch: pa.RecordBatch) -> list[pa.Array]:
-    counts, rates = _measured(batch, "text")
+def _judged(forest: Forest, counts: np.ndarray, rates: np.ndarray) -> list[pa.Array]:
     failed = np.array([base_failed(int(c[0]), int(c[-1])) for c in counts], bool)
     scores = forest.scores(rates)
     kept = ~failed & (scores <= np.array(forest.thresholds)[np.searchsorted(BANDS, counts[:, 0])])
@@ -246,14 +263,20 @@ def judge(docs: DataFrame, forest: Forest) -> DataFrame:
     five fails; what the forest finds unlike the good rows isn't kept either. Repeated rows get equal answers;
     other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    return judge_measured(measure(docs), forest)
+
+
+def judge_measured(measured: DataFrame, forest: Forest) -> DataFrame:
+    """``judge`` for rows of ``measure``."""
+    small_batches(measured.sparkSession)
     names = ["doc_id", *(c.split()[0] for c in JUDGED.split(", "))]
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(forest, batch)], names=names)
+            counts = np.column_stack([batch.column(1 + k).to_numpy() for k in range(len(COUNTS))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(forest, counts, _rates(batch.column(len(COUNTS) + 1)))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {JUDGED}")
+    return measured.mapInArrow(run, f"doc_id long, {JUDGED}")
 
 
 def keep(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -262,6 +285,6 @@ def keep(docs: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(_judged(forest, batch)[-1])
+            yield batch.filter(_judged(forest, *_measured(batch, "text"))[-1])
 
     return docs.mapInArrow(run, docs.schema)

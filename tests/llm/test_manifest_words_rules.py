@@ -262,3 +262,22 @@ def test_thresholds_of_counted_scores_are_those_of_all_rows():
 
     scores, good, times = np.array([0.2, 0.3, 0.4, 0.6]), np.array([True, True, True, False]), np.array([5, 3, 90, 4])
     assert rules.threshold(scores, good, 0.01, times) == rules.threshold(np.repeat(scores, times), np.repeat(good, times), 0.01) == 0.5
+
+
+def test_no_text_meets_the_labels(spark, sf_dir, monkeypatch):
+    from tapewright.llm import queries
+
+    joins = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            joins.append(node.output().mkString(","))
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    own = rules.stored
+    monkeypatch.setattr(rules, "stored", lambda df, *a: walk(df._jdf.queryExecution().optimizedPlan()) or own(df, *a))
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    wanted = rules.judge(docs, rules.train(docs, labels)).orderBy("doc_id").collect()
+    assert queries.op12_rules(spark, sf_dir).orderBy("doc_id").collect() == wanted
+    assert len(joins) == 2 and not any("text#" in j for j in joins)
