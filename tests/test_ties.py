@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import indicators as I  # noqa: E741
-from tapewright.operators import events, lookup, profile, screens
-from tapewright.plans import indicators_market
+from tapewright.operators import adjust, events, lookup, profile, screens
+from tapewright.plans import fixtures, indicators_market
 
 DAY = datetime.date(2024, 1, 1)
 #: prices in cents whose sum of doubles is not the double of their sum
@@ -63,6 +63,29 @@ def test_s1_a_close_at_its_average_is_no_breakout(spark):
     assert found == above
 
 
+def test_s1_half_cents_of_adjusted_closes_go_away_from_zero(spark):
+    duckdb = pytest.importorskip("duckdb")
+    # a close before its event: (p - d + 20 r) / (1 + s + r), half a cent for many p; s, r in hundredths
+    rows = []
+    for p in range(30000, 140000, 37):
+        for d, split, right in ((80, 10, 10), (0, 2, 10), (30, 4, 0)):
+            over, under = (p - d + 20 * right * 10) * 100, 100 + split + right
+            if 2 * over % under == 0 and over % under:
+                close = p / 100
+                below = close * (1 + split / 100 + right / 100)
+                rows.append((len(rows), close, (close - d / 100 + 200.0 * right / 100) / below, (over + under // 2) // under / 100))
+    assert len(rows) > 300
+    df = spark.createDataFrame(rows, "k int, close double, factor double, wanted double").withColumn("volume", F.lit(1))
+    found = adjust.with_adjusted(df.withColumns({c: F.col("close") for c in ("open", "high", "low")})).orderBy("k").collect()
+    assert [r.close_adj for r in found] == [r.wanted for r in found]
+    db = duckdb.connect()
+    db.execute("create table c (k int, close double, factor double)")
+    db.executemany("insert into c values (?, ?, ?)", [r[:3] for r in rows])
+    assert [x for (x,) in db.execute(f"select close_adj from (select k, {fixtures.adjusted_sql('close')} from c) order by k").fetchall()] == [r[3] for r in rows]
+    odd = spark.createDataFrame([(None,), (0.0,), (-0.001,), (-1.005,), (2.675,), (float("nan"),)], "x double").select(adjust.whole_cents(F.col("x")).alias("x")).collect()
+    assert repr([r.x for r in odd]) == "[None, 0.0, 0.0, -1.01, 2.68, nan]"
+
+
 def test_b11_a_close_at_its_average_does_not_confirm(spark):
     # closes as the difference of doubles: 30 equal ones lie at their average, and its slope is 0
     closes = [912.34 - 600, 312.34] * 20
