@@ -14,6 +14,10 @@ first n - ceil(3n/4) + 1 shingles in any fixed order, so each set goes to the ce
 those shingles; the order puts shingles that many documents share last, which keeps
 common passages from making large cells. The order decides speed only.
 
+The first shingle that two sets share in that order has n - i shingles of one set and m - j of the other at it
+and behind it, i and j its places there. Where these are fewer than the overlap that a link of n and m needs, the two need
+not meet, so a node leaves a cell of up to SMALL entries in which no other is near enough for it.
+
 A shingle that very many sets share (HOT_ENTRIES documents or more) is not gathered in one
 place: its entries stay spread, and its cell is named by an aggregate.
 
@@ -50,6 +54,8 @@ PREFIX_ENTRIES = 1_000_000
 HOT_ENTRIES = 10_000
 HOT_SHARE = 500
 FLUSH_ENTRIES = 1_000_000
+PLACES = 12
+MARKS = 1 << 25
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -249,13 +255,26 @@ def in_order(shingle_set: np.ndarray, common: np.ndarray, rank: np.ndarray) -> n
     return np.concatenate([shingle_set[~is_common], last[np.argsort(rank[at[is_common]], kind="stable")]])
 
 
-_CELL_PART = "bucket int, nodes binary, sizes binary, counts binary, shingles binary"
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return n - (3 * n + 3) // 4 + 1
+
+
+_CELL_PART = "bucket int, nodes binary, sizes binary, counts binary, shingles binary, places binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(values.tobytes())
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
 def _deal(common: np.ndarray, rank: np.ndarray, buckets: int, hot: np.ndarray):
     """Each set's prefix, dealt into buckets of shingle hashes; one row a bucket and flush.
 
-    Entries of hot shingles go to any bucket, in rows without sizes.
+    Within a bucket 32 bits more tell shingles apart: of a million others 1 in 4,000 finds one that looks the same, and cells that
+    fall together so lose nothing. A shingle's place in the prefix goes along in PLACES steps. Entries of hot shingles go to any bucket, in rows without sizes.
     """
 
     def run(batches):
@@ -267,26 +286,30 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int, hot: np.ndarray):
 
         def flush():
             flat = np.concatenate(prefixes)
-            of = np.repeat(np.arange(len(nodes)), [len(p) for p in prefixes])
-            keys, own_sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
-            out = [[], [], [], [], []]
+            lengths = np.array([len(p) for p in prefixes])
+            of = np.repeat(np.arange(len(nodes)), lengths)
+            place = ((np.arange(len(flat)) - (np.cumsum(lengths) - lengths)[of]) * PLACES // lengths[of]).astype(np.uint8)
+            keys, own_sizes = np.array(nodes, np.int64), np.array(sizes, np.uint32)
+            out = [[], [], [], [], [], []]
             is_hot = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
             if is_hot.any():
-                for column, value in zip(out, (nodes[0] % buckets, keys[of[is_hot]].tobytes(), None, None, flat[is_hot].tobytes()), strict=True):
+                for column, value in zip(out, (nodes[0] % buckets, keys[of[is_hot]].tobytes(), None, None, flat[is_hot].tobytes(), None), strict=True):
                     column.append(value)
-                flat, of = flat[~is_hot], of[~is_hot]
+                flat, of, place = flat[~is_hot], of[~is_hot], place[~is_hot]
             bucket = (flat % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # within a bucket by node
-            flat, of, bucket = flat[order], of[order], bucket[order]
+            flat, of, bucket, place = flat[order], of[order], bucket[order], place[order]
+            rest = (flat // np.uint64(buckets)).astype(np.uint32)
             starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 first = np.concatenate([[0], np.flatnonzero(np.diff(of[a:b])) + 1])
                 out[0].append(int(bucket[a]))
                 out[1].append(keys[of[a:b][first]].tobytes())
-                out[2].append(own_sizes[of[a:b][first]].tobytes())
-                out[3].append(np.diff(np.concatenate([first, [b - a]])).astype(np.uint32).tobytes())
-                out[4].append(flat[a:b].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "nodes", "sizes", "counts", "shingles"])
+                out[2].append(_packed(own_sizes[of[a:b][first]]))
+                out[3].append(_packed(np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)))
+                out[4].append(rest[a:b].tobytes())
+                out[5].append(_packed(place[a:b]))
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "nodes", "sizes", "counts", "shingles", "places"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -296,7 +319,7 @@ def _deal(common: np.ndarray, rank: np.ndarray, buckets: int, hot: np.ndarray):
                 if not n or node in seen:
                     continue
                 seen.add(node)
-                prefix = in_order(own, common, rank)[: n - (3 * n + 3) // 4 + 1]
+                prefix = in_order(own, common, rank)[: prefix_length(n)]
                 nodes.append(node)
                 sizes.append(n)
                 prefixes.append(prefix)
@@ -319,6 +342,26 @@ def _at(node: np.ndarray) -> np.ndarray:
     return (mixed(node.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def near_enough(n: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which entries of cells, one cell after the other, may link with another of their cell by the places of the cell's shingle.
+
+    Sets of n and m whose first common shingle has the places i and j share min(n - i, m - j) at most.
+    Cells of over SMALL entries stay whole.
+    """
+    behind = n + (-place.astype(np.int64) * prefix_length(n)) // PLACES  # n - i at most, as steps round places down
+    of = np.repeat(np.arange(len(length)), length)
+    stays = np.repeat(length > SMALL, length)
+    a = np.flatnonzero(~stays)
+    for d in range(1, int(length[length <= SMALL].max(initial=0))):
+        a = a[a + d < len(of)]
+        a = a[of[a] == of[a + d]]
+        b = a + d
+        fits = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (np.minimum(behind[a], behind[b]) >= least_overlap(n[a], n[b]))
+        stays[a[fits]] = True
+        stays[b[fits]] = True
+    return stays
+
+
 def _gather(batches) -> Iterator[pa.RecordBatch]:
     """The cells (cell, node) of a bucket that hold two nodes or more; the node that names a cell goes without saying.
 
@@ -326,31 +369,34 @@ def _gather(batches) -> Iterator[pa.RecordBatch]:
     named after its node with the smallest hash, and cells of one name are one: copies
     share many shingles, but meet once. Entries of hot shingles come out as (shingle, node, at).
     """
-    nodes, sizes, shared = [], [], []
+    nodes, sizes, shared, places = [], [], [], []
     for batch in batches:
-        for _, keys, own_sizes, counts, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, keys, own_sizes, counts, flat, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own_sizes is None:
                 node, shingle = np.frombuffer(keys, np.int64), np.frombuffer(flat, np.int64)
                 for low in range(0, len(node), 100_000):
                     some = node[low : low + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(shingle[low : low + 100_000]), pa.array(some), pa.array(_at(some))], names=["cell", "node", "at"])
                 continue
-            times = np.frombuffer(counts, np.uint32)
+            times = _unpacked(counts, np.uint32)
             nodes.append(np.repeat(np.frombuffer(keys, np.int64), times))
-            sizes.append(np.repeat(np.frombuffer(own_sizes, np.int64), times))
-            shared.append(np.frombuffer(flat, np.uint64))
+            sizes.append(np.repeat(_unpacked(own_sizes, np.uint32), times))
+            shared.append(np.frombuffer(flat, np.uint32))
+            places.append(_unpacked(place, np.uint8))
     if not nodes:
         return
-    node, n, shingle = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(shared)
-    order = np.lexsort((node, n, shingle))
-    node, n, shingle = node[order], n[order], shingle[order]
+    node, n, shingle, place = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(shared), np.concatenate(places)
+    order = np.lexsort((place, node, n, shingle))
+    node, n, shingle, place = node[order], n[order].astype(np.int64), shingle[order], place[order]
     fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1])])
-    node, n, shingle = node[fresh], n[fresh], shingle[fresh]
+    node, n, shingle, place = node[fresh], n[fresh], shingle[fresh], place[fresh]
     first = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (3 * n[1:] > 4 * n[:-1])])
-    start = np.flatnonzero(first)
-    length = np.diff(np.concatenate([start, [len(node)]]))
-    node = node[np.repeat(length > 1, length)]
-    length = length[length > 1]
+    length = np.diff(np.concatenate([np.flatnonzero(first), [len(node)]]))
+    several = np.repeat(length > 1, length)
+    node, n, place, length = node[several], n[several], place[several], length[length > 1]
+    stays = near_enough(n, place, length)
+    length = np.bincount(np.repeat(np.arange(len(length)), length)[stays], minlength=len(length))
+    node, length = node[stays], length[length > 0]
     if not len(node):
         return
     start = np.cumsum(length) - length
@@ -389,6 +435,20 @@ def _with_info(rows: DataFrame, info: DataFrame, weight: str, total: int, key: s
     return met.unionByName(other).drop("_key")
 
 
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose long ``key`` is in the one column of ``wanted``, and some others: for a join that would move all rows otherwise.
+
+    The wanted keys' hashes are marks in a map of MARKS bits, so what is broadcast is bounded, however many keys
+    there are; with a million of them 3 % of the other rows come along, with MARKS of them 63 %.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(MARKS))
+    bit = F.expr("shiftleft(1L, int(_slot % 64))")
+    marked = wanted.toDF(key).select(slot.alias("_slot")).select(F.shiftright("_slot", 6).alias("_word"), bit.alias("_bit"))
+    marks = marked.groupBy("_word").agg(F.bit_or("_bit").alias("_marks"))
+    met = rows.withColumn("_slot", slot).join(F.broadcast(marks), (F.shiftright("_slot", 6) == F.col("_word")) & (F.col("_marks").bitwiseAND(bit) != 0), "left_semi")
+    return met.drop("_slot")
+
+
 def _with_hubs(own: DataFrame, path: str) -> DataFrame:
     """cell, node, rows and is_hub of the met nodes and of the node that names the cell: the cell's size, and whether the node is one of its hubs.
 
@@ -511,7 +571,7 @@ def _first_search(small: int):
 
 
 def _first_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
-    own = points.select(F.col("node").alias("_p"), "counts")
+    own = narrowed(points, "node", cells.select("node")).select(F.col("node").alias("_p"), "counts")
     tiles = F.when(F.col("rows") > SMALL, F.ceil(F.col("rows") / TILE).cast("int")).otherwise(1)
     tile = F.when(F.col("is_hub"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), tiles.cast("long")).cast("int")))
     dealt = cells.join(own, F.col("node") == F.col("_p")).select("cell", F.explode(tile).alias("tile"), "rows", "node", "is_hub", "counts")
@@ -555,7 +615,7 @@ def _tree_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, path: st
     total = info.agg(F.sum("_all")).first()[0]
     if not total:
         return large.where("1 = 0").select(F.col("cell").alias("hub"), "node")
-    own = points.select(F.col("node").alias("_p"), "counts")
+    own = narrowed(points, "node", large.select("node")).select(F.col("node").alias("_p"), "counts")
     rows = _with_info(large, info, "_all", total).join(own, F.col("node") == F.col("_p"))
     # where few nodes ask, small tiles spread the cell; where many do, large ones keep the copies few
     tiles = F.ceil(F.col("_all") / F.least(F.lit(BLOCK), F.greatest(F.lit(2 * TILE), F.col("_asking")))).cast("int")
@@ -612,10 +672,10 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     pairs = stored(_first_pairs(cells, points), f"{base}/tmp/first-pairs")
     # texts are fetched once: of the nodes of these pairs, and of large cells, whose nodes may meet again
     wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).unionByName(cells.where(F.col("rows") > SMALL).select("node")).distinct()
-    involved = wanted.join(points.select(F.col("node").alias("_p"), "rep"), F.col("node") == F.col("_p")).select("node", "rep")
-    some = rows.join(involved, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    involved = stored(wanted.join(points.select(F.col("node").alias("_p"), "rep"), F.col("node") == F.col("_p")).select("node", "rep"), f"{base}/tmp/involved")
     # rows that share a doc_id may differ in text: the text must be that of the node
-    texts = stored(some.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), f"{base}/tmp/texts")
+    some = narrowed(rows, "doc_id", involved.select("rep")).select("text").mapInArrow(_with_node, "node long, text string")
+    texts = stored(some.join(involved.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_semi").dropDuplicates(["node"]), f"{base}/tmp/texts")
 
     edges = _verify(pairs, texts, f"{base}/tmp/first")
     labels = components(edges, f"{base}/tmp/components-first")
@@ -634,10 +694,11 @@ def near_duplicates(docs: DataFrame, frequent: int = 16, most_common: int = 100_
     return _for_documents(sets, named)
 
 
-def _own_text(batches) -> Iterator[pa.RecordBatch]:
+def _with_node(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fits = [node == node_of(shingles(text)) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(fits, pa.bool_()))
+        texts = batch.column(0)
+        nodes = [node_of(shingles(text)) for text in texts.cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), texts], names=["node", "text"])
 
 
 def _for_documents(sets: DataFrame, named: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:

@@ -194,6 +194,69 @@ def test_tree_misses_no_set_that_the_bound_allows():
         assert {k for k in range(len(sets)) if jaccard_join.linked(sets[k], sets[q])} <= near
 
 
+def test_cells_leave_out_only_nodes_that_no_other_is_near_enough_for():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    bases = [sentence(rng, rng.choice([3, 9, 30, 120, 300])) for _ in range(60)]
+    texts = bases + [edited(rng, t, k) for t in bases for k in (1, 2, 4)] + [t + " " + sentence(rng, len(t.split()) // 4) for t in bases]
+    few = len(texts)
+    for _ in range(400):  # pairs that share one shingle
+        passage = sentence(rng, 5)
+        texts += [f"{sentence(rng, 20)} {passage} {sentence(rng, 20)}" for _ in range(2)]
+    sets = [jaccard_join.shingles(t.encode()) for t in texts]
+    none, batch = np.zeros(0, np.uint64), pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    dealt = list(jaccard_join._deal(none, np.zeros(0, np.int64), 3, none)([batch]))
+    met = collections.defaultdict(set)
+    for bucket in range(3):
+        own = [part.filter(pa.array([b == bucket for b in part.column(0).to_pylist()])) for part in dealt]
+        for part in jaccard_join._gather(own):
+            for cell, node, _ in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                met[cell] |= {cell, node}
+    together = {(a, b) for cell in met.values() for a in cell for b in cell}
+    nodes = [jaccard_join.node_of(s) for s in sets]
+    for a, b in itertools.combinations(range(few), 2):
+        if nodes[a] != nodes[b] and jaccard_join.linked(sets[a], sets[b]):
+            assert (nodes[a], nodes[b]) in together
+    starts = [set(s[: jaccard_join.prefix_length(len(s))].tolist()) for s in sets]
+    far = [(nodes[k], nodes[k + 1]) for k in range(few, len(texts), 2) if starts[k] & starts[k + 1]]
+    assert len(far) > 10 and sum(pair in together for pair in far) < 0.7 * len(far)
+
+
+def shuffled_bytes(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_that_meet_no_other_stay_where_they_are(spark):
+    rng = random.Random(32)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))) for i in range(600)]
+    rows += [(600 + i, edited(rng, t, 2)) for i, t in rows[:20]]
+    docs = frame(spark, rows).repartition(4).cache()
+    docs.count()
+    before = shuffled_bytes(spark)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large for it
+    try:
+        found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert found == {i: i % 600 if i >= 600 else i for i, _ in rows}
+    moved = shuffled_bytes(spark) - before
+    docs.unpersist()
+    assert moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("marks", [1 << 25, 1 << 7])
+def test_narrowed_rows_keep_all_that_are_wanted(spark, monkeypatch, marks):
+    monkeypatch.setattr(jaccard_join, "MARKS", marks)
+    rows = spark.createDataFrame([(k, "t") for k in [None, -(2**63), *range(2000)]], "doc_id long, text string")
+    wanted = [None, -(2**63), *range(0, 2000, 100)]
+    found = jaccard_join.narrowed(rows, "doc_id", spark.createDataFrame([(k,) for k in wanted], "rep long"))
+    ids = [r.doc_id for r in found.collect()]
+    assert found.columns == rows.columns and set(wanted) <= set(ids) and len(ids) == len(set(ids)) <= (30 if marks > 128 else 1000)
+
+
 def test_odd_rows_have_components(odd, none):
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(odd).collect()}
     assert (1, 0, 1) in found and (3, 0, 3) in found and (5, 1, 5) in found and (6, 1, 5) in found and (None, 1, 5) in found and (None, 0, None) in found
