@@ -597,6 +597,49 @@ def test_odd_rows_and_passages_in_long_texts(spark, monkeypatch, odd, none, broa
     assert decontaminate.clean(docs, benchmark.where("1 = 0")).count() == len(rows)
 
 
+def _leaky(spark):
+    """Documents with repeated rows and ids and with null ids; items of equal texts, and one item of several texts."""
+    rng = random.Random(33)
+    items = [(k, sentence(rng, 1 + k % 40)) for k in range(40)]
+    items += [(k + 100, t) for k, t in items] + [(39, sentence(rng, 40)), (39, sentence(rng, 20)), (None, sentence(rng, 20))]
+    rows = []
+    for i in range(60):
+        words = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(words)), i % 3 if len(words) > 2 else 0):
+            words[at] = "changed"
+        rows.append((i // 2, f"{sentence(rng, 30)} {' '.join(words)} {sentence(rng, i)} {items[-2 - i % 2][1]}"))
+    rows += [*rows[:5], (None, rows[0][1]), (None, rows[0][1]), (None, rows[1][1]), (90, None), (91, "")]
+    return frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_a_large_benchmark_gives_the_rows_of_a_small_one(spark, monkeypatch):
+    docs, benchmark = _leaky(spark)
+    wanted = collections.Counter(map(tuple, decontaminate.overlaps(docs, benchmark).collect()))
+    assert len(wanted) > 100 and (None, 39) in {r[:2] for r in wanted}
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    assert collections.Counter(map(tuple, decontaminate.overlaps(docs, benchmark).collect())) == wanted
+    monkeypatch.setattr(decontaminate, "BLOCKS", 1)  # nearly all places pass
+    assert collections.Counter(map(tuple, decontaminate.overlaps(docs, benchmark).collect())) == wanted
+
+
+def test_of_a_large_benchmark_only_bits_and_ids_are_broadcast(spark, monkeypatch):
+    docs, benchmark = _leaky(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    repeated = benchmark.where("item_id = 38").crossJoin(spark.range(50)).selectExpr("id as item_id", "text")
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 100)
+    assert "SortMergeJoin" not in plan(decontaminate.overlaps(docs, repeated))  # 50 items of 39 words, but one text
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    large = plan(decontaminate.overlaps(docs, benchmark))
+    assert large.count("SortMergeJoin") == 2 and large.count("BroadcastHashJoin") == 2
+
+
+def test_bits_keep_all_that_meet_and_few_others(spark):
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("seed"))
+    found = {r.id for r in decontaminate._may_meet(rows, "seed", hashes).collect()}
+    assert found >= set(range(3000)) and len(found) < 3100
+
+
 # ------------------------------------------------------------------ language
 
 
