@@ -134,7 +134,8 @@ def _keyed(frequency: dict[str, int], is_pivot: bool):
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, n and near_n: all ordered pairs of words (at least five letters) of edit distance one.
 
-    The bigrams' frequencies (at most one row a pair of letters, 8,100 for this alphabet) go to the tasks.
+    The bigrams' frequencies (at most one row a pair of letters, 8,100 for this alphabet) go to the tasks. Keys and words meet in
+    a merge join: a word has dozens of keys, which Spark doesn't see when it sizes a side for a broadcast.
     """
     bigrams = words.select(F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word) - 1), k -> substring(word, k, 2))"))).alias("bigram"))
     frequency = {r["bigram"]: r["n"] for r in bigrams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,7 +143,7 @@ def near_words(words: DataFrame) -> DataFrame:
     asks = rows.mapInArrow(_keyed(frequency, True), "key long, word string, n long")
     index = rows.mapInArrow(_keyed(frequency, False), "_key long, near string, near_n long")
     is_near = (F.col("key") == F.col("_key")) & (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
-    met = asks.join(index, is_near)
+    met = asks.join(index.hint("merge"), is_near)
     both = met.select(F.explode(F.array(F.struct("word", "near", "n", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("near_n").alias("n"), F.col("n").alias("near_n")))).alias("p")).select("p.*")
     return both.distinct()
 
@@ -157,7 +158,7 @@ def roots(forms: DataFrame, most_count: int, path: str) -> DataFrame:
     for nth in range(max(most_count.bit_length(), 1).bit_length()):
         pointers = stored(pointers, f"{path}-{nth}")
         onward = pointers.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        pointers = pointers.join(onward, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"))
+        pointers = pointers.join(onward.hint("merge"), F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"))
     return pointers
 
 
@@ -181,7 +182,7 @@ def group(words: DataFrame) -> DataFrame:
     near = stored(best.select(F.col("word").alias("_word"), "n_near", F.when(is_form, F.col("best.near")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")), f"{path}/near")
     ends = roots(near.where(F.col("form").isNotNull()).select(F.col("_word").alias("word"), "form"), size["n"] or 1, f"{path}/roots").select(F.col("word").alias("_end"), "root")
     return (
-        words.join(near, F.col("word") == F.col("_word"), "left").join(ends, F.col("word") == F.col("_end"), "left")
+        words.join(near.hint("merge"), F.col("word") == F.col("_word"), "left").join(ends.hint("merge"), F.col("word") == F.col("_end"), "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
     )
 

@@ -77,6 +77,14 @@ def test_spelling_chains_empty_tables_and_short_words(spark):
         spelling.group(spark.createDataFrame([("abcd", 9)], "word string, n long"))
 
 
+def test_no_side_of_a_word_join_is_broadcast(spark):
+    words = spark.createDataFrame([("abcde", 9), ("abcdf", 3), ("vwxyz", 4)], "word string, n long")
+    for out, joins in ((spelling.near_words(words), 1), (spelling.group(words), 3)):
+        plan = out._jdf.queryExecution().executedPlan().toString()  # before it runs: sides are sized by guess
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == joins
+    assert {(r["word"], r["form"]) for r in spelling.group(words).collect()} == {("abcde", None), ("abcdf", "abcde"), ("vwxyz", None)}
+
+
 def test_pivots_are_the_cheapest_disjoint_pair():
     rng = random.Random(1)
     for _ in range(300):
